@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,3 +64,15 @@ class ChunkCache:
             if len(c) > self.longest:
                 del known[c]
         return out
+
+
+def bounded_sample(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """At most `limit` rows, chosen by a hash of the key; all rows where there are no more than that.
+
+    The share that the hash lets through leaves a margin of five percent below the limit.
+    """
+    total = rows.count()
+    if total <= limit:
+        return rows
+    share = int(1_000_000 * 0.95 * limit / total)
+    return rows.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < share).limit(limit)
