@@ -1,7 +1,55 @@
-"""Documents to training sequences: quality rules, near-dedup, repeated passages, secrets, packing."""
-STAGES = []
+"""Documents to training sequences: quality rules, near-dedup, repeated passages, secrets, packing.
+
+Each stage is a function of (spark, docs, sf_dir); all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from ledgerlens.llm import packing, quality_rules, secret_scan, simhash_dedup, suffix_dedup
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the band of their language."""
+    return quality_rules.keep_good(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, that with the smallest id."""
+    return simhash_dedup.keep_first(docs)
+
+
+def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of 50 bytes and more that a document with a smaller id has."""
+    return suffix_dedup.remove_repeats(docs)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with a mask in place of every secret."""
+    return secret_scan.redact_secrets(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces of the documents in sequences of 2048 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("simhash_dedup", near_duplicate_stage),
+    ("suffix_dedup", repeated_passage_stage),
+    ("secret_scan", secret_stage),
+    ("packing", packing_stage),
+]
+
+#: SQL can't express the fingerprints, suffixes and tokens; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+    return docs
