@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import hamming_index, html_text, packing, quality_rules, secret_scan, sentencepiece_codec, simhash_dedup, suffix_dedup, toxicity
+from ledgerlens.llm import hamming_index, html_text, packing, pii_surrogates, quality_rules, secret_scan, sentencepiece_codec, simhash_dedup, suffix_dedup, toxicity
 from ledgerlens.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates.replace_entities(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars", "n_entities", "kinds")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure_quality(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
