@@ -145,10 +145,13 @@ def learn_entries(rows: DataFrame, toxic_rows: int, clean_rows: int) -> list[tup
     found = _entry_counts(rows).where((F.col("toxic") >= 3) & (share >= 0.8)).withColumns({"surprise": surprise, "odds": odds}).where("surprise > 13")
     top = found.orderBy(F.desc("surprise"), "entry").limit(LEXICON_LIMIT).collect()
     chosen: dict[str, float] = {}
-    for r in sorted(top, key=lambda r: (-r["surprise"], len(r["entry"]), r["entry"])):
-        entry = r["entry"]
-        if not any(entry[:n] in chosen for n in range(4, len(entry))):
-            chosen[entry] = min(6.0, r["odds"])
+    begun: dict[str, tuple[int, int]] = {}  # every beginning of a chosen entry, with the entry's counts
+    for r in sorted(top, key=lambda r: (-r["surprise"], -len(r["entry"]), r["entry"])):
+        entry, counts = r["entry"], (r["toxic"], r["clean"])
+        if begun.get(entry) == counts or any(entry[:n] in chosen for n in range(4, len(entry))):
+            continue  # a longer entry says the same, or a shorter one says more
+        chosen[entry] = min(6.0, r["odds"])
+        begun.update((entry[:n], counts) for n in range(4, len(entry)))
     return sorted(chosen.items())
 
 
@@ -173,7 +176,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None
         rows = rows.where(train)
     # The sample has at most `limit` rows, which bounds what is broadcast and what reaches the driver.
     sample = bounded_sample(rows, key, limit)
-    known = docs.select(key, F.col(text).alias("text")).join(F.broadcast(sample), key).where("text is not null").withColumn("part", F.pmod(F.xxhash64(key, F.lit("part")), F.lit(3)))
+    known = docs.select(key, F.col(text).alias("text")).join(F.broadcast(sample), key).where("text is not null").withColumn("part", F.pmod(F.xxhash64(key, F.lit("part")), F.lit(4)))
     known = known.select("text", "toxic", "part").persist()
     sizes = {(r["part"] == 0, r["toxic"]): r["n"] for r in known.groupBy((F.col("part") == 0).alias("part"), "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     learnt = learn_entries(known.where("part <> 0"), sizes.get((False, 1), 0), sizes.get((False, 0), 0))
