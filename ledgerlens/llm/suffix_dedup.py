@@ -42,7 +42,7 @@ WINDOW, SEED = 50, 8
 #: Most bytes before an anchor that a window can have.
 BEFORE = WINDOW - SEED
 #: Bytes of text in a run, in a range, and in one step of the search for anchors.
-RUN_BYTES, RANGE_BYTES, STEP_BYTES = 8_000_000, 2_000_000, 1_000_000
+RUN_BYTES, RANGE_BYTES, STEP_BYTES = 8_000_000, 8_000_000, 1_000_000
 #: Documents that the splitters are sampled from, and sampled suffixes for each splitter, about.
 SPLITTER_DOCS, SPLITTER_ROWS = 4_000, 64
 
