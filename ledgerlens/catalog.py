@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from ledgerlens.plans import feature_queries, model_queries, prep_queries  # noqa: F401
+from ledgerlens.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
