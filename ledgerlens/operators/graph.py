@@ -151,6 +151,17 @@ def same_cluster(labels: DataFrame, key: str = "customer_id", cluster: str = "cl
     return a.join(b, cluster).select("i", "j", F.lit(1.0).alias("v"))
 
 
+def aligned_labels(customers: DataFrame, labels: DataFrame, key: str = "customer_id") -> DataFrame:
+    """(key, cluster) of every customer; a KeyError names one without a label, a ValueError tells of repeated ones."""
+    met = customers.select(key).distinct().join(labels.select(key, "cluster"), key, "left")
+    lost = met.where("cluster is null").first()
+    if lost is not None:
+        raise KeyError(lost[key])
+    if not met.groupBy(key).count().where("count > 1").isEmpty():
+        raise ValueError("a customer has several labels")
+    return met
+
+
 def product_after_last(df: DataFrame, least: int = 10, customer: str = "customer_id", product: str = "item", date: str = "invoice_date") -> tuple[DataFrame, DataFrame]:
     """(i, j, v): customers who first bought j after they last bought i; and the windows it is made of."""
     windows = df.groupBy(customer, product).agg(F.min(date).alias("first"), F.max(date).alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)

@@ -17,19 +17,25 @@ def katz_steps(beta: float, max_iter: int = 100, tolerance: float = 1e-10) -> in
     return steps
 
 
-def katz(edges: DataFrame, beta: float, max_iter: int = 100, tolerance: float = 1e-10, normalise: bool = False, most_per_row: int | None = None, rows: DataFrame | None = None, include_self: bool = False, places: int | None = None) -> DataFrame:
+def katz(edges: DataFrame, beta: float, max_iter: int = 100, tolerance: float = 1e-10, normalise: bool = False, most_per_row: int | None = None, rows: DataFrame | None = None, columns: DataFrame | None = None, include_self: bool = False, places: int | None = None) -> DataFrame:
     """K = A + beta A^2 + beta^2 A^3 + ..., truncated.
 
-    Without `most_per_row`, each row stands alone, so only the rows asked for (a table i) are carried
-    through: X becomes X A. With it, the rows of all nodes are pruned in every step and A is multiplied
-    from the left, which gives other numbers. Every step is checkpointed.
+    Without `most_per_row`, rows and columns stand alone, so only the rows (a table i) or the columns (a
+    table j) asked for are carried through: X becomes X A, or Y becomes A Y. Few columns, such as the
+    groups of a graph of customers and groups, keep every step as small as customers times columns. With
+    `most_per_row`, the rows of all nodes are pruned in every step and A is multiplied from the left,
+    which gives other numbers. Every step is checkpointed.
     """
     a = symmetric_normalise(edges) if normalise else edges
     a = checkpointed(a)
-    current = a if rows is None or most_per_row else a.join(rows, "i", "left_semi")
+    current = a
+    if columns is not None and not most_per_row:
+        current = a.join(columns, "j", "left_semi").select("i", "j", "v")
+    elif rows is not None and not most_per_row:
+        current = a.join(rows, "i", "left_semi")
     total, factor = current, 1.0
     for _ in range(katz_steps(beta, max_iter, tolerance)):
-        current = multiply(a, current) if most_per_row else multiply(current, a)
+        current = multiply(a, current) if most_per_row or columns is not None else multiply(current, a)
         if most_per_row:
             current = prune_rows(current, most_per_row, places)
         current = checkpointed(current)
@@ -41,7 +47,7 @@ def katz(edges: DataFrame, beta: float, max_iter: int = 100, tolerance: float =
     if include_self:
         nodes = edges.select("i").distinct()
         total = total.union(nodes.select("i", F.col("i").alias("j"), F.lit(1.0).alias("v"))).groupBy("i", "j").agg(F.sum("v").alias("v"))
-    return total.join(rows, "i", "left_semi") if rows is not None and most_per_row else total
+    return total.join(rows, "i", "left_semi") if rows is not None and (most_per_row or columns is not None) else total
 
 
 def item_scores(scores: DataFrame, customer: str = "customer", item: str = "item") -> DataFrame:

@@ -153,16 +153,15 @@ CHAIN = {
     "stage1": {"use": "prepare", "params": {"price": None, "price_limit": None}},
     "stage2": {"use": "group_share_features"},
     "stage3": {"use": "pca", "params": {"n": 6}},
-    "stage4": {"use": "similarity_graph", "params": {"neighbours": 5, "item": "family"}},
-    "stage5": {"use": "katz", "params": {"beta": 0.1, "max_iter": 1, "k": 3, "item": "family"}},
+    "stage4": {"use": "similarity_graph", "params": {"neighbours": 5, "item": "grp"}},
+    "stage5": {"use": "katz", "params": {"beta": 0.1, "max_iter": 1, "k": 3, "item": "grp"}},
 }
 
 
 @query("pipeline_recommendations")
 def _(spark, d):
-    """The whole chain on the customers of one region, with families as items."""
-    tx = transactions(spark, d).where("region = 'ASIA'")
-    return stages.Pipeline(CHAIN).run(transactions=tx)["recommendations"]
+    """The whole chain, with groups as items."""
+    return stages.Pipeline(CHAIN).run(transactions=transactions(spark, d))["recommendations"]
 
 
 @query("stream_windowed_activity", "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value) + 1e-7, 4) AS value FROM events GROUP BY 1, 2", tx=False)

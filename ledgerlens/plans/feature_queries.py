@@ -190,10 +190,10 @@ def _(spark, d):
     return matrix(spark, d).groupBy(F.split_part("feature", F.lit("__"), F.lit(1)).alias("prefix")).agg(F.count_distinct("feature").alias("n"))
 
 
-@query("agg_nonzero_features", f"WITH {MATRIX_SQL.strip()}, k AS (SELECT customer_id, feature, value, row_number() OVER (PARTITION BY customer_id ORDER BY value DESC, feature) AS rank FROM x WHERE value <> 0 AND customer_id % 50 = 0) SELECT customer_id, feature, round(value + 1e-9, 6) AS value, rank FROM k WHERE rank <= 3")
+@query("agg_nonzero_features", f"WITH {MATRIX_SQL.strip()}, k AS (SELECT customer_id, feature, value, row_number() OVER (PARTITION BY customer_id ORDER BY value DESC, feature) AS rank FROM x WHERE value <> 0) SELECT customer_id, feature, round(value + 1e-9, 6) AS value, rank FROM k WHERE rank <= 3")
 def _(spark, d):
     order = Window.partitionBy("customer_id").orderBy(F.desc("value"), "feature")
-    out = matrix(spark, d).where("value <> 0 and customer_id % 50 = 0").withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 3")
+    out = matrix(spark, d).where("value <> 0").withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 3")
     return rounded(out)
 
 

@@ -47,8 +47,8 @@ def build_graph(embedding: DataFrame, clean: DataFrame, neighbours: int = 10, ke
 
 @stage("katz", [A("graph", "edges"), A("clean", "dataframe")], [A("recommendations", "scores")])
 def rank(graph: DataFrame, clean: DataFrame, beta: float = 0.1, max_iter: int = 2, k: int = 10, item: str = "item", normalise: bool = True):
-    rows = graph.where(F.col("i").startswith("customer:")).select("i").distinct()
-    scores = ranking.item_scores(ranking.katz(graph, beta, max_iter, normalise=normalise, rows=rows))
+    columns = graph.where(F.col("j").startswith("item:")).select("j").distinct()
+    scores = ranking.item_scores(ranking.katz(graph, beta, max_iter, normalise=normalise, columns=columns))
     seen = clean.select(F.col("customer_id").cast("string").alias("customer_id"), F.col(item).cast("string").alias("item"))
     return {"recommendations": ranking.recommend(scores, seen, k)}
 

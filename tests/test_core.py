@@ -63,6 +63,9 @@ def test_katz(spark, steps, normalise, c1):
         assert full["c1", item] == pytest.approx(want, abs=1e-6)
         assert rows["c1", item] == pytest.approx(full["c1", item])
     assert {i for i, _ in rows} == {"c1"}
+    columns = edges(ranking.katz(both, 0.5, steps, normalise=normalise, columns=table(spark, [("i2",)], "j string")))
+    assert {j for _, j in columns} == {"i2"}
+    assert columns["c1", "i2"] == pytest.approx(full["c1", "i2"])
 
 
 def test_katz_steps():
@@ -226,3 +229,13 @@ def test_masked_edges(spark):
     per_row = [r["count"] for r in removed.groupBy("i").count().collect()]
     assert per_row and max(per_row) <= 3
     assert math.isclose(g.count() - left.count(), 2 * removed.select(F.least("i", "j"), F.greatest("i", "j")).distinct().count())
+
+
+def test_labels_must_fit(spark):
+    customers = table(spark, [(1,), (2,)], "customer_id int")
+    good = table(spark, [(1, 0), (2, 1), (3, 1)], "customer_id int, cluster int")
+    assert graph.aligned_labels(customers, good).count() == 2
+    with pytest.raises(KeyError):
+        graph.aligned_labels(customers, good.where("customer_id <> 2"))
+    with pytest.raises(ValueError, match="several"):
+        graph.aligned_labels(customers, good.union(good))
