@@ -6,8 +6,11 @@ import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +32,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def text_slices(batches: Iterable[pa.RecordBatch], limit: int = 4_000_000, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about `limit` bytes of text, or one row."""
     for batch in batches:
-        lengths = batch.column(batch.schema.get_field_index(text)).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_pylist()
         start, held = 0, 0
-        for row, value in enumerate(lengths):
-            size = len(value) if value is not None else 0
+        for row, size in enumerate(sizes):
             if row > start and held + size > limit:
                 yield batch.slice(start, row - start)
                 start, held = row, 0
@@ -41,6 +43,36 @@ def text_slices(batches: Iterable[pa.RecordBatch], limit: int = 4_000_000, text:
             yield batch.slice(start)
 
 
+def packed_texts(docs: DataFrame, text: str) -> DataFrame:
+    """The same rows with compressed texts, which a shuffle then moves and holds."""
+    at = docs.columns.index(text)
+    schema = T.StructType([T.StructField(f.name, T.BinaryType(), True) if f.name == text else f for f in docs.schema])
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=6).compress
+        for batch in text_slices(batches, text=text):
+            columns = list(batch.columns)
+            columns[at] = pa.array([None if t is None else pack(t.encode("utf-8", "surrogatepass")) for t in columns[at].to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def unpacked_texts(docs: DataFrame, text: str) -> DataFrame:
+    """The rows of `packed_texts` as they were."""
+    at = docs.columns.index(text)
+    schema = T.StructType([T.StructField(f.name, T.StringType(), True) if f.name == text else f for f in docs.schema])
+
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in text_slices(batches, limit=1_500_000, text=text):
+            columns = list(batch.columns)
+            columns[at] = pa.array([None if t is None else unpack(t).decode("utf-8", "replace") for t in columns[at].to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 class ChunkCache:
     """What `encode` gives for each chunk, as bytes, kept for short chunks; cleared at `entries`, so its memory is bounded.
 

@@ -2,7 +2,7 @@
 
 A byte is removed if a string of `WINDOW` bytes that covers it also starts in a document with a smaller
 id. Suffixes are sorted where the text itself says so: each window has an anchor, the place of its
-smallest hashed `SEED`-byte string, so equal windows have equal anchors and about one place in twenty is
+smallest hashed string of `SEED` bytes, so equal windows have equal anchors and about one place in twenty is
 sorted. A record is an anchor with all windows that chose it: the suffix from the anchor on, and the
 bytes before it.
 
@@ -36,13 +36,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import text_slices
+from ledgerlens.llm.common import packed_texts, text_slices
 
-WINDOW, SEED = 50, 8
+WINDOW, SEED = 50, 6
 #: Most bytes before an anchor that a window can have.
 BEFORE = WINDOW - SEED
 #: Bytes of text in a run, in a range, and in one step of the search for anchors.
-RUN_BYTES, RANGE_BYTES, STEP_BYTES = 8_000_000, 8_000_000, 1_000_000
+RUN_BYTES, RANGE_BYTES, STEP_BYTES = 6_000_000, 6_000_000, 1_000_000
 #: Documents that the splitters are sampled from, and sampled suffixes for each splitter, about.
 SPLITTER_DOCS, SPLITTER_ROWS = 4_000, 64
 
@@ -53,7 +53,8 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(raw)
     if n < WINDOW:
         return (np.zeros(0, np.int64),) * 3
-    words = np.ndarray(shape=(n - SEED + 1,), dtype="<u8", buffer=raw, strides=(1,))
+    # Eight bytes are read at every place, of which the first SEED count.
+    words = np.ndarray(shape=(n - SEED + 1,), dtype="<u8", buffer=raw + bytes(8), strides=(1,)) & np.uint64((1 << 8 * SEED) - 1)
     value = words * np.uint64(0x9E3779B97F4A7C15)
     value ^= value >> np.uint64(32)
     place = np.arange(len(value), dtype=np.int32)
@@ -121,7 +122,7 @@ def write_piece(rows: list[tuple[bytes, bytes, int, int, int]]) -> bytes:
     docs, at = np.unique(np.array([r[2] for r in rows], dtype=np.int64), return_inverse=True)
     parts = [shared.astype(np.uint8).tobytes(), lengths.astype(np.uint8).tobytes(), np.array([len(r[1]) for r in rows], dtype=np.uint8).tobytes(), at.astype("<u4").tobytes(), np.array([r[3] for r in rows], dtype="<u4").tobytes(), np.array([r[4] for r in rows], dtype="<u4").tobytes(), docs.astype("<i8").tobytes(), tails, befores]
     head = np.array([len(rows), *map(len, parts)], dtype="<u4").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
+    return zstandard.ZstdCompressor(level=6).compress(head + b"".join(parts))
 
 
 def read_piece(data: bytes) -> dict:
@@ -336,7 +337,10 @@ def _merge_range(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _splitters(docs: DataFrame, ranges: int) -> list[bytes]:
-    """Suffixes that cut the table into even ranges, from a sample of documents of bounded size."""
+    """Where the table is cut into even ranges, from a sample of documents of bounded size.
+
+    Equal windows share at least `SEED` bytes from their anchor, so ranges are cut between such beginnings.
+    """
     total = docs.count()
     share = min(1.0, SPLITTER_DOCS / max(1, total))
     sample = docs.where(F.pmod(F.xxhash64("doc"), F.lit(1_000_000)) < int(1_000_000 * share)).limit(2 * SPLITTER_DOCS)
@@ -344,7 +348,7 @@ def _splitters(docs: DataFrame, ranges: int) -> list[bytes]:
     def run(batches):
         for batch in text_slices(batches, limit=STEP_BYTES):
             rows = records([(0, 0, (t or "").encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array([r[0][:24] for r in rows[::8]], pa.binary())], names=["suffix"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0][:SEED] for r in rows[::8]], pa.binary())], names=["suffix"])
 
     found = sample.mapInArrow(run, "suffix binary").where("length(suffix) > 0")
     rows = sorted(bytes(r[0]) for r in found.limit(SPLITTER_ROWS * ranges * 8).collect())
@@ -387,16 +391,17 @@ def dedup_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     spans = repeated_spans(rows).groupBy("doc", "row").agg(F.collect_list("spans").alias("spans"))
 
     def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in text_slices(batches, limit=STEP_BYTES):
             out = [[], [], [], []]
-            for raw, blobs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw = (raw or "").encode("utf-8", "surrogatepass")
+            for packed, blobs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                raw = unpack(packed) if packed is not None else b""
                 left, removed, n = cut(raw, blobs)
                 for column, value in zip(out, (len(raw), removed, n, hashlib.sha256(left).hexdigest()), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined_rows = rows.join(spans, ["doc", "row"], "left").select("doc", "text", "spans")
+    joined_rows = packed_texts(rows, "text").join(spans, ["doc", "row"], "left").select("doc", "text", "spans")
     return joined_rows.mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
@@ -408,20 +413,20 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     rows = docs.withColumn("__row", _row_number(docs, key, text))
     spans = repeated_spans(rows.select(F.col(key).alias("doc"), F.col("__row").alias("row"), F.col(text).alias("text")))
     spans = spans.groupBy(F.col("doc").alias("__doc"), F.col("row").alias("__of")).agg(F.collect_list("spans").alias("__spans"))
-    met = rows.join(spans, (F.col(key) == F.col("__doc")) & (F.col("__row") == F.col("__of")), "left").select(*docs.columns, "__spans")
+    met = packed_texts(rows, text).join(spans, (F.col(key) == F.col("__doc")) & (F.col("__row") == F.col("__of")), "left").select(*docs.columns, "__spans")
     at_text = docs.columns.index(text)
     at_length = docs.columns.index(length) if length in docs.columns else None
 
     def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in text_slices(batches, limit=STEP_BYTES, text=text):
-            texts = []
-            for value, blobs in zip(batch.column(at_text).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                texts.append(cut(value.encode("utf-8", "surrogatepass"), blobs)[0].decode("utf-8", "ignore") if value is not None and blobs else value)
+            spans_of = batch.column(batch.num_columns - 1).to_pylist()
             columns = list(batch.columns[:-1])
+            texts = [None if packed is None else cut(unpack(packed), blobs)[0].decode("utf-8", "ignore") for packed, blobs in zip(columns[at_text].to_pylist(), spans_of, strict=True)]
             columns[at_text] = pa.array(texts, pa.string())
             if at_length is not None:
                 old = columns[at_length].to_pylist()
-                columns[at_length] = pa.array([len(t) if t is not None and b else n for t, b, n in zip(texts, batch.column(batch.num_columns - 1).to_pylist(), old, strict=True)], columns[at_length].type)
+                columns[at_length] = pa.array([len(t) if t is not None and b else n for t, b, n in zip(texts, spans_of, old, strict=True)], columns[at_length].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
     return met.mapInArrow(run, docs.schema)
