@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import checkpointed, text_slices
+from ledgerlens.llm.common import checkpointed, packed_texts, text_slices, unpacked_texts
 from ledgerlens.llm.components import connected_components
 
 SEED, MOST_BITS = 42, 4
@@ -271,4 +271,4 @@ def near_duplicate_groups(docs: DataFrame, width: int = 4, key: str = "doc_id",
 def keep_first(docs: DataFrame, width: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that give their component its name, with all their columns."""
     stay = near_duplicate_groups(docs, width, key, text).where(F.col(key) == F.col("component_id")).select(key).distinct()
-    return docs.join(stay, key, "left_semi").select(docs.columns)
+    return unpacked_texts(packed_texts(docs, text).join(stay, key, "left_semi").select(docs.columns), text)
