@@ -79,7 +79,7 @@ class ChunkCache:
     `encode` maps a list of distinct chunks to a list of bytes.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], entries: int = 800_000, longest: int = 40):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], entries: int = 200_000, longest: int = 40):
         self.encode, self.entries, self.longest = encode, entries, longest
         self.known: dict[str, bytes] = {}
 

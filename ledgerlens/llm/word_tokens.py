@@ -32,7 +32,7 @@ class WordTokenizer:
         for token, i in self.library.get_vocab().items():
             self.is_end[i] = token.endswith("</w>")
         self.words = ChunkCache(self._words, entries=400_000)
-        self.chunks = ChunkCache(self._each, entries=100_000)
+        self.chunks = ChunkCache(self._each, entries=50_000)
 
     def _each(self, chunks: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
