@@ -49,7 +49,7 @@ def packed_texts(docs: DataFrame, text: str) -> DataFrame:
     schema = T.StructType([T.StructField(f.name, T.BinaryType(), True) if f.name == text else f for f in docs.schema])
 
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=6).compress
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in text_slices(batches, text=text):
             columns = list(batch.columns)
             columns[at] = pa.array([None if t is None else pack(t.encode("utf-8", "surrogatepass")) for t in columns[at].to_pylist()], pa.binary())
