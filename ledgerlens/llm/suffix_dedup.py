@@ -8,8 +8,9 @@ bytes before it.
 
 1. Every task sorts the records of some megabytes of documents into a run, front-codes it (each suffix
    as the length it shares with the one before, and the rest), cuts it at splitters that were sampled
-   from the table, and sends the pieces. Of equal records only those of the smallest id are sent; the
-   others are repeats already.
+   from the table, and sends the pieces. Beginnings too frequent for one range are taken apart: each of
+   their windows is a record of its own, dealt over all ranges by a hash of the window. Of equal records
+   only those of the smallest id are sent; the others are repeats already.
 2. Every task merges the pieces of its range with a loser tree that knows for each head how much it
    shares with the last suffix put out. Heads that share different lengths are ordered by these alone;
    otherwise bytes are compared from the shared length on.
@@ -18,15 +19,17 @@ bytes before it.
 4. Spans come together by document, are joined, and the bytes are cut.
 
 Equal records leave a run once, so a passage that many documents share is met in each range at most once
-for each run. Defined cases: a null text is an empty one; texts shorter than a window stay whole; rows
-that repeat an id never remove each other's bytes; an empty table gives an empty result; other columns
-are ignored or kept as the function says.
+for each run, and so is a window that was dealt. Defined cases: a null text is an empty one; texts shorter
+than a window stay whole; rows that repeat an id never remove each other's bytes; an empty table gives an
+empty result; other columns are ignored or kept as the function says.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,13 +41,14 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import packed_texts, text_slices
 
-WINDOW, SEED = 50, 6
+#: A seed has 8 to 16 bytes.
+WINDOW, SEED = 50, 12
 #: Most bytes before an anchor that a window can have.
 BEFORE = WINDOW - SEED
 #: Bytes of text in a run, in a range, and in one step of the search for anchors.
 RUN_BYTES, RANGE_BYTES, STEP_BYTES = 6_000_000, 6_000_000, 1_000_000
-#: Documents that the splitters are sampled from, and sampled suffixes for each splitter, about.
-SPLITTER_DOCS, SPLITTER_ROWS = 4_000, 64
+#: Documents that the splitters are sampled from, most sampled suffixes, and sampled suffixes below which no beginning is hot.
+SPLITTER_DOCS, SPLITTER_ROWS, HOT_ROWS = 4_000, 500_000, 24
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,9 +57,12 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(raw)
     if n < WINDOW:
         return (np.zeros(0, np.int64),) * 3
-    # Eight bytes are read at every place, of which the first SEED count.
-    words = np.ndarray(shape=(n - SEED + 1,), dtype="<u8", buffer=raw + bytes(8), strides=(1,)) & np.uint64((1 << 8 * SEED) - 1)
-    value = words * np.uint64(0x9E3779B97F4A7C15)
+    # The first and the last eight bytes of the seed at every place.
+    words = np.ndarray(shape=(n - 7,), dtype="<u8", buffer=raw, strides=(1,))
+    value = words[: n - SEED + 1] * np.uint64(0x9E3779B97F4A7C15)
+    value ^= value >> np.uint64(32)
+    value += words[SEED - 8 :]
+    value *= np.uint64(0xC2B2AE3D27D4EB4F)
     value ^= value >> np.uint64(32)
     place = np.arange(len(value), dtype=np.int32)
     span, width = 1, WINDOW - SEED + 1
@@ -99,6 +106,13 @@ def records(batch: list[tuple[int, int, bytes]]) -> list[tuple[bytes, bytes, int
     return out
 
 
+def single_windows(record: tuple[bytes, bytes, int, int, int]) -> Iterator[tuple[bytes, bytes, int, int, int]]:
+    """A record as one record for each of its windows."""
+    suffix, before, doc, row, place = record
+    for x in range(WINDOW - len(suffix), len(before) + 1):
+        yield suffix[: WINDOW - x], before[:x], doc, row, place
+
+
 def _matrix(strings: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(b"".join([s.ljust(width, b"\0") for s in strings]), dtype=np.uint8).reshape(-1, width)
 
@@ -261,12 +275,18 @@ NAMES = ["range", "piece", "doc", "row", "spans"]
 KINDS = [pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
 
 
-def _send_runs(splitters: list[bytes]):
-    """For mapInArrow over (doc, row, text): pieces for the ranges, and spans that the run itself shows, which go to some range too."""
+def _send_runs(splitters: list[bytes], hot: frozenset[bytes]):
+    """For mapInArrow over (doc, row, text): pieces for the ranges, and spans that the run itself shows, which go to some range too.
+
+    Windows at hot beginnings are dealt one by one over all ranges, by a hash of the window.
+    """
     ranges = len(splitters) + 1
 
     def send(batch):
-        rows = sorted(records(batch))
+        rows = []
+        for r in records(batch):
+            rows.extend(single_windows(r) if r[0][:SEED] in hot else (r,))
+        rows.sort()
         kept, local, k = [], [], 0
         while k < len(rows):
             end = k + 1
@@ -281,11 +301,23 @@ def _send_runs(splitters: list[bytes]):
             start, stop = place - [len(r[1]) for r in local], place + [len(r[0]) for r in local]
             for doc, row, spans in _span_rows(np.array([r[2] for r in local]), np.array([r[3] for r in local]), start, stop):
                 yield doc % ranges, None, doc, row, spans
+        dealt: dict[int, list] = {}
+        if hot:
+            cold = []
+            for r in kept:
+                if r[0][:SEED] in hot:
+                    dealt.setdefault(zlib.crc32(r[1][::-1] + r[0]) % ranges, []).append(r)
+                else:
+                    cold.append(r)
+            kept = cold
         suffixes = [r[0] for r in kept]
         cuts = [0, *(bisect.bisect_left(suffixes, s) for s in splitters), len(kept)]
         for k in range(ranges):
-            if cuts[k] < cuts[k + 1]:
-                yield k, write_piece(kept[cuts[k] : cuts[k + 1]]), 0, 0, None
+            own = kept[cuts[k] : cuts[k + 1]]
+            if k in dealt:
+                own = sorted(own + dealt.pop(k))
+            if own:
+                yield k, write_piece(own), 0, 0, None
 
     def run(batches):
         held, size = [], 0
@@ -336,10 +368,11 @@ def _merge_range(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([ready, pd.DataFrame(found, columns=["doc", "row", "spans"])]).astype({"doc": "int64", "row": "int32"})
 
 
-def _splitters(docs: DataFrame, ranges: int) -> list[bytes]:
-    """Where the table is cut into even ranges, from a sample of documents of bounded size.
+def _splitters(docs: DataFrame, ranges: int) -> tuple[list[bytes], frozenset[bytes]]:
+    """Where the table is cut into even ranges, and the hot beginnings, from a sample of documents of bounded size.
 
     Equal windows share at least `SEED` bytes from their anchor, so ranges are cut between such beginnings.
+    A beginning with more than two ranges' worth of records is hot: it is in no range.
     """
     total = docs.count()
     share = min(1.0, SPLITTER_DOCS / max(1, total))
@@ -348,18 +381,25 @@ def _splitters(docs: DataFrame, ranges: int) -> list[bytes]:
     def run(batches):
         for batch in text_slices(batches, limit=STEP_BYTES):
             rows = records([(0, 0, (t or "").encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array([r[0][:SEED] for r in rows[::8]], pa.binary())], names=["suffix"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0][:SEED] for r in rows[::2]], pa.binary())], names=["suffix"])
 
     found = sample.mapInArrow(run, "suffix binary").where("length(suffix) > 0")
-    rows = sorted(bytes(r[0]) for r in found.limit(SPLITTER_ROWS * ranges * 8).collect())
-    return sorted({rows[len(rows) * k // ranges] for k in range(1, ranges)}) if rows else []
+    return ranges_of([bytes(r[0]) for r in found.limit(SPLITTER_ROWS).collect()], ranges)
+
+
+def ranges_of(sample: list[bytes], ranges: int) -> tuple[list[bytes], frozenset[bytes]]:
+    """Splitters and hot beginnings of sampled beginnings."""
+    most = max(HOT_ROWS, 2 * len(sample) / ranges)
+    hot = frozenset(s for s, n in Counter(sample).items() if n > most)
+    rows = sorted(s for s in sample if s not in hot)
+    return (sorted({rows[len(rows) * k // ranges] for k in range(1, ranges)}) if rows else []), hot
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc, row, spans) of documents (doc, row, text): lists of start and end bytes, as packed integers, that are repeats."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(32, -(-size // RANGE_BYTES))
-    sent = docs.mapInArrow(_send_runs(_splitters(docs, ranges)), OUT)
+    sent = docs.mapInArrow(_send_runs(*_splitters(docs, ranges)), OUT)
     return sent.groupBy("range").applyInPandas(_merge_range, "doc bigint, row int, spans binary")
 
 

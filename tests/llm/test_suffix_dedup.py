@@ -6,6 +6,7 @@ import random
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import suffix_dedup as S
 
@@ -102,3 +103,22 @@ def test_pieces_round_trip():
     piece = S.read_piece(S.write_piece(rows))
     back = list(zip(piece["suffixes"], piece["befores"], piece["doc"].tolist(), piece["row"].tolist(), piece["place"].tolist(), strict=True))
     assert back == rows
+
+
+def test_hot_beginnings_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(S, "RUN_BYTES", 4000)
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    phrase = noise(30)
+    rows = [(d, noise(30) + phrase + noise(30)) for d in range(400)] + [(d + 400, noise(20) + phrase + noise(12)) for d in range(20)]
+    rows += [(d + 1000, t) for d, t in rows[::7]]
+    docs = frame(spark, rows)
+    plain = docs.select("doc_id", F.lit(0).alias("row"), "text").toDF("doc", "row", "text")
+    splitters, hot = S._splitters(plain, 32)
+    assert hot
+    sent = plain.mapInArrow(S._send_runs(splitters, hot), S.OUT).where("piece is not null").collect()
+    sizes = {}
+    for r in sent:
+        sizes[r["range"]] = sizes.get(r["range"], 0) + len(S.read_piece(bytes(r["piece"]))["doc"])
+    assert max(sizes.values()) < 0.1 * sum(sizes.values())
+    assert sorted(tuple(r) for r in S.dedup_digests(docs).collect()) == brute(rows)
