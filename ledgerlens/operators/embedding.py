@@ -1,23 +1,23 @@
 """Embeddings of customers: principal axes, and a variational autoencoder with optional heads.
 
-The autoencoder is a small model of a customer matrix. It is trained with NumPy on the driver from a
-bounded sample of rows, and applied to all rows in Arrow batches.
+The autoencoder is a small model of a customer matrix. It is trained on all rows: tasks sum the gradients
+of theirs, and the driver takes the steps. It is applied to all rows in Arrow batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most rows that the autoencoder is trained on.
-TRAIN_ROWS = 50_000
+from ledgerlens.operators.graph import checkpointed
 
 
 def centred(vectors: DataFrame, key: str = "id", vector: str = "v") -> DataFrame:
@@ -164,30 +164,106 @@ def train_autoencoder(x: np.ndarray, latent: int = 16, hidden: Sequence[int] = (
             pairs = {h.name: _pairs(y[h.name], rng) for h in heads if h.ranking_weight}
             losses, grads = model.loss_and_gradients(x[rows], y, now, rng.standard_normal((len(rows), latent)), pairs)
             step += 1
-            for name, g in grads.items():
-                first[name] = 0.9 * first[name] + 0.1 * g
-                second[name] = 0.999 * second[name] + 0.001 * g * g
-                model.weights[name] = model.weights[name] - rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)
+            _adam(model, grads, first, second, step, rate)
             for name, value in losses.items():
                 sums[name] = sums.get(name, 0.0) + value * len(rows) / len(x)
         model.history.append({"epoch": epoch, "beta": now, **sums})
     return model
 
 
+def _adam(model: Autoencoder, grads: dict[str, np.ndarray], first: dict[str, np.ndarray], second: dict[str, np.ndarray], step: int, rate: float) -> None:
+    for name, g in grads.items():
+        first[name] = 0.9 * first[name] + 0.1 * g
+        second[name] = 0.999 * second[name] + 0.001 * g * g
+        model.weights[name] = model.weights[name] - rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)
+
+
 def _pairs(y: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """A positive and a negative column of each row, drawn; -1 where a row lacks one of them."""
-    draw = rng.random(y.shape)
+    return _pairs_by(y, rng.random(y.shape))
+
+
+def _pairs_by(y: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     good, bad = np.where(y > 0, draw, -1).argmax(axis=1), np.where(y > 0, -1, draw).argmax(axis=1)
     none = (y > 0).all(axis=1) | (y <= 0).all(axis=1)
     return np.where(none, -1, good), np.where(none, -1, bad)
 
 
-def sample_matrix(vectors: DataFrame, key: str = "id", vector: str = "v", limit: int = TRAIN_ROWS) -> np.ndarray:
-    """At most `limit` rows, chosen by a hash of the key."""
-    total = vectors.count()
-    rows = vectors if total <= limit else vectors.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(950_000 * limit / total)).limit(limit)
-    pdf = rows.select(key, vector).toPandas().sort_values(key)
-    return np.stack(pdf[vector].to_numpy()).astype(np.float64)
+def uniforms(hashes: np.ndarray, width: int, salt: int) -> np.ndarray:
+    """Numbers in (0, 1) by row hash, column and salt, the same however rows are spread."""
+    x = hashes.astype(np.int64).view(np.uint64)[:, None] + (np.arange(1, width + 1, dtype=np.uint64) + np.uint64(salt) * np.uint64(1_000_003)) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
+
+
+def normals(hashes: np.ndarray, width: int, salt: int) -> np.ndarray:
+    u = uniforms(hashes, 2 * width, salt)
+    return np.sqrt(-2 * np.log(u[:, :width])) * np.cos(2 * np.pi * u[:, width:])
+
+
+def train_on_rows(vectors: DataFrame, latent: int = 16, hidden: Sequence[int] = (128, 64), beta: float = 1.0, warm_up: int = 10, epochs: int = 50, batches: int = 12, rate: float = 1e-3, seed: int = 1, heads: Sequence[Head] = (), targets: Callable[[np.ndarray], dict[str, np.ndarray]] | None = None, key: str = "id", vector: str = "v") -> Autoencoder:
+    """Adam over all rows of a table; every epoch deals them into `batches` by hash, at any size of the table.
+
+    Each step sends the weights with the tasks and brings back sums of losses and gradients, which a small
+    groupBy adds. `targets` makes the heads' targets of a matrix of rows.
+    """
+    data = vectors.where(F.col(vector).isNotNull())
+    data = checkpointed(data.select(F.col(vector).cast("array<double>").alias("x"), F.xxhash64(key, F.lit(seed)).alias("h")))
+    head = data.first()
+    if head is None:
+        raise ValueError("no rows to train on")
+    model = Autoencoder((len(head["x"]), *hidden), latent, tuple(heads), seed)
+    first, second = ({k: np.zeros_like(v) for k, v in model.weights.items()} for _ in range(2))
+    names = list(model.weights)
+    kinds = ["reconstruction", "divergence", *(h.name for h in heads), "total"]
+    groups = max(1, int(np.sqrt(data.rdd.getNumPartitions())))
+    step = 0
+
+    def sums(now: float, salt: int):
+        def run(arrow):
+            total, n = None, 0
+            for b in arrow:
+                if not b.num_rows:
+                    continue
+                x = np.stack([np.asarray(v, dtype=np.float64) for v in b.column(0).to_pylist()])
+                h = b.column(1).to_numpy(zero_copy_only=False)
+                y = targets(x) if targets else {}
+                pairs = {a.name: _pairs_by(y[a.name], uniforms(h, y[a.name].shape[1], salt + 1)) for a in heads if a.ranking_weight}
+                losses, grads = model.loss_and_gradients(x, y, now, normals(h, latent, salt), pairs)
+                own = np.concatenate([[losses[k] for k in kinds], *(np.ravel(grads[k]) for k in names)]) * len(x)
+                total, n = own if total is None else total + own, n + len(x)
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "sums"])
+
+        return run
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "n": [pdf["n"].sum()], "sums": [sum(np.frombuffer(s) for s in pdf["sums"]).tobytes()]})
+
+    for epoch in range(epochs):
+        now = beta * min(1.0, (epoch + 1) / max(1, warm_up))
+        met, seen = np.zeros(len(kinds)), 0
+        for k in range(batches):
+            rows = data.where(F.pmod(F.xxhash64("h", F.lit(epoch)), F.lit(batches)) == k)
+            parts = rows.mapInArrow(sums(now, 2 * step), "n bigint, sums binary").withColumn("part", F.spark_partition_id())
+            got = parts.groupBy(F.pmod("part", F.lit(groups))).applyInPandas(add, "part int, n bigint, sums binary").collect()
+            if not got:
+                continue
+            n = sum(r["n"] for r in got)
+            total = sum(np.frombuffer(bytes(r["sums"])) for r in sorted(got, key=lambda r: r["part"]))
+            met, seen = met + total[: len(kinds)], seen + n
+            flat, at, grads = total[len(kinds) :] / n, 0, {}
+            for name in names:
+                shape = model.weights[name].shape
+                grads[name] = flat[at : at + int(np.prod(shape))].reshape(shape)
+                at += grads[name].size
+            step += 1
+            _adam(model, grads, first, second, step, rate)
+        model.history.append({"epoch": epoch, "beta": now, "rows": seen, **dict(zip(kinds, (met / max(1, seen)).tolist(), strict=True))})
+    return model
 
 
 def embed(vectors: DataFrame, model: Autoencoder, key: str = "id", vector: str = "v") -> DataFrame:

@@ -99,7 +99,7 @@ def _(spark, d):
 
 
 def fitted(v, **more):
-    return embedding.train_autoencoder(embedding.sample_matrix(v), latent=4, hidden=(16,), epochs=8, warm_up=4, **more)
+    return embedding.train_on_rows(v, latent=4, hidden=(16,), epochs=8, warm_up=4, **more)
 
 
 @query("ml_vae")
@@ -111,10 +111,10 @@ def _(spark, d):
 @query("ml_vae_aux")
 def _(spark, d):
     v = customer_vectors(spark, d)
-    x = embedding.sample_matrix(v)
-    shares, bought = x[:, :-2], (x[:, :-2] > 0).astype(float)
-    heads = (embedding.Head("shares", shares.shape[1], 0.5), embedding.Head("cross_sell", bought.shape[1], 0.5, binary=True, ranking_weight=0.2))
-    model = embedding.train_autoencoder(x, latent=4, hidden=(16,), epochs=8, warm_up=4, beta=0.1, heads=heads, targets={"shares": shares, "cross_sell": bought})
+    width = len(v.first()["v"]) - 2
+    heads = (embedding.Head("shares", width, 0.5), embedding.Head("cross_sell", width, 0.5, binary=True, ranking_weight=0.2))
+    targets = lambda x: {"shares": x[:, :-2], "cross_sell": (x[:, :-2] > 0).astype(float)}
+    model = embedding.train_on_rows(v, latent=4, hidden=(16,), epochs=8, warm_up=4, beta=0.1, heads=heads, targets=targets)
     return embedding.embed(v, model)
 
 

@@ -30,7 +30,7 @@ def pca(customer_features: DataFrame, n: int = 8):
 
 @stage("autoencoder", [A("customer_features", "matrix")], [A("embedding", "matrix"), A("model", "model")])
 def autoencoder(customer_features: DataFrame, **options):
-    model = embedding.train_autoencoder(embedding.sample_matrix(customer_features), **options)
+    model = embedding.train_on_rows(customer_features, **options)
     return {"embedding": embedding.embed(customer_features, model), "model": model}
 
 

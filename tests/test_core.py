@@ -160,6 +160,16 @@ def test_autoencoder_gradients():
         assert grads[name][at] == pytest.approx((values[0] - values[1]) / 2e-6, rel=1e-3, abs=1e-5), name
 
 
+def test_autoencoder_trains_on_all_rows(spark):
+    rows = spark.range(60_000).select("id", F.array((F.col("id") % 7).cast("double"), F.lit(1.0), (F.col("id") % 3).cast("double")).alias("v"))
+    model = embedding.train_on_rows(rows, 2, (4,), beta=0.01, epochs=2, batches=3, rate=5e-2)
+    again = embedding.train_on_rows(rows.repartition(3), 2, (4,), beta=0.01, epochs=2, batches=3, rate=5e-2)
+    assert [h["rows"] for h in model.history] == [60_000, 60_000]
+    assert model.history[1]["reconstruction"] < model.history[0]["reconstruction"]
+    for name, w in model.weights.items():
+        np.testing.assert_allclose(w, again.weights[name], rtol=1e-6, atol=1e-9)
+
+
 def test_autoencoder_learns_and_repeats():
     x = np.random.default_rng(1).standard_normal((200, 3)) @ np.random.default_rng(2).standard_normal((3, 8))
     a = embedding.train_autoencoder(x, 3, (16,), beta=0.01, epochs=20, rate=5e-3)
