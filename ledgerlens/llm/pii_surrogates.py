@@ -9,7 +9,8 @@ are entities of their own, so "Mr. John Smith" and "Mr. Smith" still are one per
 
 All entities of the table are then checked together: of those that share a surrogate, or whose
 surrogate is an entity of the table itself, all but one take the next attempt of the digest, until none
-is left. So equal entities stay equal everywhere, and different ones stay different.
+is left. So equal entities stay equal everywhere, and different ones stay different. Numbers whose format
+is used up get more digits. A phone that begins with + has seven digits at least.
 
 Defined cases: a null text stays null; texts without entities are unchanged; rows that repeat an id or
 a text are treated alike; an empty table gives an empty result; other columns are kept. Matches don't
@@ -30,13 +31,15 @@ _TITLES_M = "Mr|Herr|Monsieur|Señor|Sr|Don|г-н|господин"
 _TITLES_F = "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Doña|г-жа|госпожа"
 _TITLES_N = "Dr|Prof|Mx"
 _TITLE_M, _TITLE_F, _TITLE_N = (f"(?:{t}|{t.upper()})" for t in (_TITLES_M, _TITLES_F, _TITLES_N))
+# Java takes no repeated group in a look-behind.
+_SIX_DIGITS = "[0-9][ .()/-]{0,2}" * 6
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ipv4": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z])|(?<![0-9A-Za-z])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}(?:[ .()/-]{0,2}[0-9]{1,4}){2,6}|\([0-9]{3}\)[ -]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
+    "phone": rf"(?<![0-9A-Za-z+])(?:\+[0-9]{{1,3}}(?:[ .()/-]{{0,2}}[0-9]{{1,4}}){{2,6}}(?<={_SIX_DIGITS}[0-9])|\([0-9]{{3}}\)[ -]?[0-9]{{3}}[ .-][0-9]{{4}}|[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}})(?![0-9])",
     "name": rf"(?<![\p{{L}}])(?:{_TITLE_M}|{_TITLE_F}|{_TITLE_N})\.?\x20\p{{Lu}}[\p{{L}}'-]+(?:\x20\p{{Lu}}[\p{{L}}'-]+){{0,2}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -53,8 +56,8 @@ GIVEN = {
     ("cyrillic", "n"): "Саша Женя Валя Шура".split(),
 }
 SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ka ke ko la le lo ma me mo na ne no ra re ro sa se ta te to va".split(), "cyrillic": "ба бо ва ве го да де зо ка ко ла ле ма мо на не ра ро са те то".split()}
-#: Attempts after which a kind's surrogates count as used up.
-MOST_ATTEMPTS = 64
+#: Attempts after which surrogates of one format count as used up, and get longer with each attempt.
+SAME_FORMAT = 8
 
 
 def _byte(digest: Column, i: Column | int) -> Column:
@@ -115,8 +118,10 @@ def surrogate_of(kind: Column, canonical: Column, attempt: Column, secret: str)
         first = F.split(canonical, "[.]")[0].cast("int")
         private = (first == 10) | canonical.rlike(r"^192\.168\.|^172\.(1[6-9]|2[0-9]|3[01])\.")
         octet = lambda i: (_byte(h, i) % 254 + 1).cast("string")
-        ipv4 = F.concat_ws(".", F.when(private, F.lit("10")).otherwise((_byte(h, 0) % 110 + 11).cast("string")), octet(1), octet(2), octet(3))
-        ssn = F.concat(F.lit("9"), _like(F.substring(canonical, 2, 8), h))
+        # Where private addresses are used up, reserved ones follow.
+        ipv4 = F.concat_ws(".", F.when(private & (attempt > SAME_FORMAT), (_byte(h, 0) % 15 + 240).cast("string")).when(private, F.lit("10")).otherwise((_byte(h, 0) % 110 + 11).cast("string")), octet(1), octet(2), octet(3))
+        wider = F.when(attempt > SAME_FORMAT, _like(F.repeat(F.lit("0"), attempt - SAME_FORMAT), h, 10)).otherwise("")
+        ssn = F.concat(F.lit("9"), _like(F.substring(canonical, 2, 8), h), wider)
         body = F.concat(F.substring(canonical, 1, 1), _like(canonical.substr(F.lit(2), F.length(canonical) - 2), h))
         check = ((10 - luhn_rest(F.concat(body, F.lit("0")))) % 10).cast("string")
         card = F.when(luhn_rest(canonical) == 0, F.concat(body, check)).otherwise(F.concat(body, (_byte(h, 31) % 10).cast("string")))
@@ -124,7 +129,7 @@ def surrogate_of(kind: Column, canonical: Column, attempt: Column, secret: str)
         new = _like(bban, h)
         iban = F.concat(country, F.lpad((98 - iban_rest(country, new, F.lit("00"))).cast("string"), 2, "0"), new)
         rest = F.substring_index(canonical, ":", -1)
-        phone = F.concat(F.substring_index(canonical, ":", 1), F.lit(":"), (_byte(h, 30) % 8 + 2).cast("string"), _like(rest.substr(F.lit(2), F.length(rest)), h))
+        phone = F.concat(F.substring_index(canonical, ":", 1), F.lit(":"), (_byte(h, 30) % 8 + 2).cast("string"), _like(rest.substr(F.lit(2), F.length(rest)), h), wider)
         cyrillic = canonical.rlike(r"\p{IsCyrillic}")
         syllables = lambda n: F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: F.when(cyrillic, _pick(SYLLABLES["cyrillic"], _byte(h, i))).otherwise(_pick(SYLLABLES["latin"], _byte(h, i)))), "")
         surname = F.concat(syllables(F.least(attempt, F.lit(8)) + 2), F.when(cyrillic, "в").otherwise("n"))
@@ -173,7 +178,8 @@ def dressed(kind: Column, surface: Column, surrogate: Column) -> Column:
         """The characters of `new` in the places of letters and digits."""
         start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
         step = lambda s, c: F.when(c.rlike("[0-9A-Za-z]"), F.struct(F.concat(s["out"], new.substr(s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["at"].alias("at")))
-        return F.aggregate(_chars(slots), start, step, lambda s: s["out"])
+        # What has no place follows behind.
+        return F.aggregate(_chars(slots), start, step, lambda s: F.concat(s["out"], new.substr(s["at"], F.length(new))))
 
     upper, initial = surface == F.upper(surface), F.substring(surface, 1, 1) == F.upper(F.substring(surface, 1, 1))
     cased = F.when(upper & (F.length(surface) > 1), F.upper(surrogate)).when(initial, F.concat(F.upper(F.substring(surrogate, 1, 1)), surrogate.substr(F.lit(2), F.length(surrogate)))).otherwise(surrogate)
@@ -187,7 +193,7 @@ def assign_surrogates(entities: DataFrame, secret: str) -> DataFrame:
     """Distinct (kind, canonical) to (kind, canonical, surrogate): different ones get different surrogates, none of which is an entity."""
     known = entities.select(F.col("kind").alias("k"), F.col("canonical").alias("c"))
     table = entities.withColumn("attempt", F.lit(0))
-    for _ in range(MOST_ATTEMPTS):
+    while True:
         table = table.withColumn("surrogate", surrogate_of(F.col("kind"), F.col("canonical"), F.col("attempt"), secret))
         table = table.join(known, (F.col("kind") == F.col("k")) & (F.col("surrogate") == F.col("c")), "left").withColumn("taken", F.col("c").isNotNull()).drop("k", "c")
         order = Window.partitionBy("kind", "surrogate").orderBy("attempt", "canonical")
@@ -195,7 +201,6 @@ def assign_surrogates(entities: DataFrame, secret: str) -> DataFrame:
         if table.where("again").isEmpty():
             return table.select("kind", "canonical", "surrogate")
         table = table.select("kind", "canonical", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
-    raise ValueError(f"no distinct surrogates after {MOST_ATTEMPTS} attempts")
 
 
 def replace_entities(docs: DataFrame, secret: str = "surrogate-key-1", key: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:

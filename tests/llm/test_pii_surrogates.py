@@ -87,5 +87,19 @@ def test_distinct_under_collisions(spark):
     assert not pairs & {(r["kind"], r["canonical"]) for r in got}
 
 
+def test_used_up_formats_get_longer(spark):
+    entities = spark.createDataFrame([("phone", f"1:{n}") for n in range(100)] + [("phone", f"7:{n:02d}") for n in range(100)], "kind string, canonical string").distinct()
+    got = P.assign_surrogates(entities, "k").collect()
+    assert len({r["surrogate"] for r in got}) == len(got) == entities.count()
+    assert not {r["surrogate"] for r in got} & {r["canonical"] for r in got}
+
+
+def test_signed_numbers_are_no_phones(spark):
+    rows = [(k, f"gain of +{k} and (+25 000) or +1 2 3", 0) for k in range(100, 200)] + [(1, "call +1 2 3 4 5 6 77777 or +385 1 234 or +16565556669", 0)]
+    out = {r["doc_id"]: r for r in P.replace_entities(spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint")).collect()}
+    assert all(out[k]["text"] == t and out[k]["n_entities"] == 0 for k, t, _ in rows[:-1])
+    assert out[1]["kinds"] == "phone,phone" and out[1]["text"].startswith("call +1 2 3 4 5 6 77777 or +385 ")
+
+
 def test_empty_table(spark):
     assert P.replace_entities(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
