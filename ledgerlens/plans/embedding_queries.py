@@ -153,14 +153,14 @@ CHAIN = {
     "stage1": {"use": "prepare", "params": {"price": None, "price_limit": None}},
     "stage2": {"use": "group_share_features"},
     "stage3": {"use": "pca", "params": {"n": 6}},
-    "stage4": {"use": "similarity_graph", "params": {"neighbours": 5, "item": "grp"}},
-    "stage5": {"use": "katz", "params": {"beta": 0.1, "max_iter": 1, "k": 3, "item": "grp"}},
+    "stage4": {"use": "similarity_graph", "params": {"neighbours": 5, "item": "item"}},
+    "stage5": {"use": "katz", "params": {"beta": 0.1, "max_iter": 1, "k": 3, "item": "item"}},
 }
 
 
 @query("pipeline_recommendations")
 def _(spark, d):
-    """The whole chain, with groups as items."""
+    """The whole chain."""
     return stages.Pipeline(CHAIN).run(transactions=transactions(spark, d))["recommendations"]
 
 

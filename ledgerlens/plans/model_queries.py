@@ -438,6 +438,10 @@ def item_columns(edges):
     return edges.where(F.col("j").startswith("item:")).select("j").distinct()
 
 
+def customer_rows(edges):
+    return edges.where(F.col("i").startswith("customer:")).select("i").distinct()
+
+
 def bipartite(spark, d, item="grp"):
     return graph.combined(spark.createDataFrame([], "i bigint, j bigint, v double"), graph.incidence(small(spark, d), "customer_id", item))
 
@@ -496,11 +500,34 @@ def _(spark, d):
 
 @query("katz_inverse_column", None)
 def _(spark, d):
-    edges = graph.checkpointed(bipartite(spark, d))
+    edges = graph.checkpointed(bipartite(spark, d, "item"))
     start = edges.where(F.col("i").startswith("customer:")).groupBy().agg(F.min("i").alias("i")).withColumn("v", F.lit(1.0))
     return ranking.katz_column(edges, start, 0.001, 4)
 
 
+# The same over items, and with all blocks.
+KATZ_ITEMS = KATZ.replace("grp", "item")
+KATZ_WHOLE = KATZ_ITEMS.replace(" WHERE starts_with(j, 'item:')", "")
+
+
+@query("katz_whole", f"WITH {KATZ_WHOLE} SELECT i, j, round(v + 1e-9, 6) AS v FROM k")
+def _(spark, d):
+    return rounded(ranking.katz(bipartite(spark, d, "item"), 0.01, max_iter=2))
+
+
+@query("katz_items_scores", f"WITH {KATZ_ITEMS} SELECT split_part(i, ':', 2) AS customer_id, split_part(j, ':', 2) AS item, round(v + 1e-9, 6) AS score FROM k WHERE starts_with(i, 'customer:') AND starts_with(j, 'item:')")
+def _(spark, d):
+    edges = bipartite(spark, d, "item")
+    return rounded(ranking.item_scores(ranking.katz(edges, 0.01, max_iter=2, rows=customer_rows(edges))))
+
+
+@query("katz_items_recommend", f"WITH {KATZ_REC.replace(KATZ, KATZ_ITEMS)} SELECT split_part(i, ':', 2) AS customer_id, rank, split_part(j, ':', 2) AS item, round(score + 1e-9, 6) AS score FROM q WHERE rank <= 3")
+def _(spark, d):
+    edges = bipartite(spark, d, "item")
+    scores = ranking.item_scores(ranking.katz(edges, 0.01, max_iter=2, rows=customer_rows(edges)))
+    return rounded(ranking.recommend(scores, small(spark, d).select(F.col("customer_id").cast("string").alias("customer_id"), F.col("item").cast("string").alias("item")), 3))
+
+
 @query("metric_tp_specificity", "WITH c AS (SELECT DISTINCT customer_id, grp FROM tx), r AS (SELECT DISTINCT customer_id, grp FROM tx WHERE qty > 40), n AS (SELECT count(DISTINCT grp) AS n FROM c), x AS (SELECT c.customer_id, count(*) AS actual, count(r.grp) AS hit FROM c LEFT JOIN r ON r.customer_id = c.customer_id AND r.grp = c.grp GROUP BY 1), y AS (SELECT customer_id, count(*) AS told FROM r GROUP BY 1) SELECT x.customer_id, x.hit, round(1 - (coalesce(told, 0) - hit)::DOUBLE / nullif(n.n - actual, 0) + 1e-9, 6) AS specificity FROM x LEFT JOIN y USING (customer_id), n")
 def _(spark, d):
     tx = transactions(spark, d)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerlens.operators import clustering, embedding, evaluation, features, graph, impute, prep, ranking
 from ledgerlens.plans import pipeline, stages  # noqa: F401
 from ledgerlens.sources import files, service
+from ledgerlens.sources.transactions import transactions
 
 
 def table(spark, rows, schema):
@@ -142,6 +143,17 @@ def test_correlation_of_constants_is_null(spark):
     assert df.agg(features.safe_correlation("x", "y").alias("r")).first()["r"] is None
 
 
+def test_item_katz_ranks_items(spark):
+    from ledgerlens.catalog import queries
+
+    d = "/root/testdata/sf0.001"
+    ranked = {r["item"] for r in queries()["katz_items_recommend"](spark, d).select("item").distinct().collect()}
+    items = {str(r[0]) for r in transactions(spark, d).select("item").distinct().collect()}
+    assert ranked <= items and len(ranked) > 25
+    kinds = queries()["katz_whole"](spark, d).select(F.substring_index("i", ":", 1).alias("i"), F.substring_index("j", ":", 1).alias("j")).distinct()
+    assert {tuple(r) for r in kinds.collect()} == {(a, b) for a in ("customer", "item") for b in ("customer", "item")}
+
+
 def test_autoencoder_gradients():
     rng = np.random.default_rng(0)
     x, noise = rng.standard_normal((6, 5)), rng.standard_normal((6, 2))
