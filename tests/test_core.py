@@ -154,6 +154,26 @@ def test_item_katz_ranks_items(spark):
     assert {tuple(r) for r in kinds.collect()} == {(a, b) for a in ("customer", "item") for b in ("customer", "item")}
 
 
+@pytest.mark.parametrize(("tail", "name"), [("Šimić".encode("cp1250"), "Šimić"), (b"a\x81\xe9", "a\x81é"), ("Šimić".encode(), "Šimić")])
+def test_late_bytes_tell_the_encoding(spark, tmp_path, tail, name):
+    path = tmp_path / "late.csv"
+    path.write_bytes(b"id,name\n" + b"1,plain\n" * 20_000 + b"2," + tail + b"\n")
+    assert [r["name"] for r in files.read_csv(spark, str(path)).where("id = '2'").collect()] == [name]
+
+
+def test_communities_are_numbered_over_splits(spark, tmp_path):
+    path = tmp_path / "long.txt"
+    path.write_text("".join(f"{k} {k + 1}\n" for k in range(5000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        rows = files.read_communities(spark, str(path))
+        assert rows.rdd.getNumPartitions() > 1
+        assert sorted((r["community"], r["member"]) for r in rows.collect()) == sorted((k, m) for k in range(5000) for m in (k, k + 1))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_autoencoder_gradients():
     rng = np.random.default_rng(0)
     x, noise = rng.standard_normal((6, 5)), rng.standard_normal((6, 2))
