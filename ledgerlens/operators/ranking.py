@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,32 +75,86 @@ def recommend(scores: DataFrame, seen: DataFrame, k: int, customer: str = "custo
     return fresh.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select(customer, "rank", item, "score")
 
 
-def group_share_scores(df: DataFrame, customer: str = "customer_id", item: str = "item", group: str = "grp") -> DataFrame:
-    """Score of each unseen item in a customer's groups: the group's share of the customer's rows, dealt out by the item's rows among the group's unseen items."""
-    lines = df.where(F.col(customer).isNotNull() & F.col(item).isNotNull() & F.col(group).isNotNull())
-    mine = lines.groupBy(customer, group).agg(F.count(F.lit(1)).alias("n"))
-    mine = mine.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(customer))).select(customer, group, "share")
-    popular = lines.groupBy(group, item).agg(F.count(F.lit(1)).alias("count"))
-    seen = lines.select(customer, item).distinct()
-    fresh = mine.join(popular, group).join(seen, [customer, item], "left_anti")
-    dealt = F.col("share") * F.col("count") / F.sum("count").over(Window.partitionBy(customer, group))
-    return fresh.withColumn("part", dealt).groupBy(customer, item).agg(F.sum("part").alias("score"))
+def _seen(lines: DataFrame, customer: str, item: str) -> DataFrame:
+    return lines.select(customer, item).distinct()
+
+
+def _head(counts: DataFrame, by: Sequence[str], most: int, item: str) -> DataFrame:
+    """The first `most` items of each group by count, numbered; rows beyond them leave before the shuffle."""
+    order = Window.partitionBy(*by).orderBy(F.desc("count"), item)
+    return counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
+
+
+def _most(bounds: DataFrame) -> int:
+    return bounds.agg(F.max("bound")).first()[0] or 0
+
+
+def _split_items(mine: DataFrame, popular: DataFrame, best: DataFrame, seen: DataFrame, k: int, customer: str, item: str, group: str) -> DataFrame:
+    """(customer, item, score) of the unseen items in several groups that can be among the k best.
+
+    Of an item's parts one has at least the mean, so an item that beats the k-th best of `best` has a part of
+    at least that score by the number of its groups; only these are met, and then looked up in full.
+    """
+    several = popular.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy(item))).where("m > 1")
+    best = best.groupBy(customer, item).agg(F.max("part").alias("part"))
+    floor = best.withColumn("r", F.row_number().over(Window.partitionBy(customer).orderBy(F.desc("part")))).where(F.col("r") == k).select(customer, F.col("part").alias("floor"))
+    asked = mine.join(floor, customer, "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+    part = F.col("share") * F.col("count") / F.col("unseen")
+    met = asked.join(several, group).where(part * F.col("m") >= F.col("floor") * (1 - 1e-9) - 1e-11).select(customer, item).distinct().join(seen, [customer, item], "left_anti")
+    return met.join(several, item).join(mine, [customer, group]).groupBy(customer, item).agg(F.sum(part).alias("score"))
 
 
 def group_share_recommend(df: DataFrame, k: int, fallback: bool = True, customer: str = "customer_id", item: str = "item", group: str = "grp", places: int = 12) -> DataFrame:
-    """The k best items by group share. Customers with fewer than k get the other unseen items by their rows, at a millionth of the best score."""
-    scores = group_share_scores(df, customer, item, group)
-    order = lambda: Window.partitionBy(customer).orderBy(F.desc(F.round("score", places)), item)
-    if fallback:
-        lines = df.where(F.col(customer).isNotNull() & F.col(item).isNotNull() & F.col(group).isNotNull())
-        every = lines.select(customer).distinct().join(scores.groupBy(customer).agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best")), customer, "left")
-        short = every.where(F.coalesce("n", F.lit(0)) < k).select(customer, F.coalesce(F.col("best") * 1e-6, F.lit(1e-12)).alias("scale"))
-        popular = lines.groupBy(item).agg(F.count(F.lit(1)).alias("count"))
-        known = lines.select(customer, item).distinct()
-        unseen = short.crossJoin(F.broadcast(popular)).join(known, [customer, item], "left_anti")
-        unseen = unseen.withColumn("all", F.sum("count").over(Window.partitionBy(customer))).join(scores.select(customer, item), [customer, item], "left_anti")
-        scores = scores.union(unseen.select(customer, item, (F.col("scale") * F.col("count") / F.col("all")).alias("score")))
-    return scores.withColumn("rank", F.row_number().over(order()).cast("long")).where(F.col("rank") <= k).select(customer, "rank", item, "score")
+    """The k best unseen items by group share. Customers with fewer than k get the other unseen items by their rows, at a millionth of the best score.
+
+    An item's score is the group's share of the customer's rows, dealt out by the item's rows among the
+    group's unseen items. In a group all customers share one order of items, so only the first k and as many
+    as the customer has seen there can be in a list: rows grow with customers times their groups times k, not
+    with customers times items.
+    """
+    lines = df.where(F.col(customer).isNotNull() & F.col(item).isNotNull() & F.col(group).isNotNull()).select(customer, item, group)
+    counts = checkpointed(lines.groupBy(customer, item, group).agg(F.count(F.lit(1)).alias("n")))
+    seen = _seen(counts, customer, item)
+    mine = counts.groupBy(customer, group).agg(F.sum("n").alias("n"))
+    mine = mine.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(customer))).select(customer, group, "share")
+    popular = counts.groupBy(group, item).agg(F.sum("n").alias("count"))
+    known = seen.join(popular, item).groupBy(customer, group).agg(F.sum("count").alias("known"), F.count(F.lit(1)).alias("bound"))
+    totals = popular.groupBy(group).agg(F.sum("count").alias("all"), F.count(F.lit(1)).alias("items"))
+    mine = mine.join(known, [customer, group], "left").join(totals, group)
+    # A customer has rows in each of its groups, so `known` is never missing.
+    mine = mine.select(customer, group, "share", (F.col("all") - F.col("known")).alias("unseen"), F.least(F.col("bound") + k, "items").alias("bound")).where("unseen > 0")
+    mine = checkpointed(mine)
+    places_of = mine.select(customer, group, "share", "unseen", F.explode(F.sequence(F.lit(1), F.col("bound").cast("int"))).alias("r"))
+    parts = places_of.join(_head(popular, [group], _most(mine), item), [group, "r"]).join(seen, [customer, item], "left_anti")
+    scores = parts.select(customer, item, (F.col("share") * F.col("count") / F.col("unseen")).alias("part"))
+    split = popular.groupBy(item).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(item)
+    if not split.isEmpty():
+        whole = _split_items(mine, popular, scores, seen, k, customer, item, group)
+        scores = scores.join(split, item, "left_anti").select(customer, item, F.col("part").alias("score")).union(whole)
+    else:
+        scores = scores.withColumnRenamed("part", "score")
+    order = Window.partitionBy(customer).orderBy(F.desc(F.round("score", places)), item)
+    ranked = scores.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select(customer, "rank", item, "score")
+    if not fallback:
+        return ranked
+    ranked = checkpointed(ranked)
+    had = ranked.groupBy(customer).agg(F.count(F.lit(1)).alias("had"), F.max("score").alias("best"))
+    short = seen.select(customer).distinct().join(had, customer, "left").withColumn("had", F.coalesce("had", F.lit(0))).where(F.col("had") < k)
+    items = popular.groupBy(item).agg(F.sum("count").alias("count"))
+    known = seen.join(short.select(customer), customer, "left_semi").join(items, item).groupBy(customer).agg(F.sum("count").alias("known"), F.count(F.lit(1)).alias("n"))
+    all_rows, all_items = items.agg(F.sum("count"), F.count(F.lit(1))).first()
+    # The lists of these customers hold all scored items, which are known as well.
+    filled = short.join(known, customer).select(customer, F.coalesce(F.col("best") * 1e-6, F.lit(1e-12)).alias("scale"), (F.lit(all_rows or 0) - F.col("known")).alias("all"), F.least(F.col("n") + k, F.lit(all_items)).alias("bound"))
+    filled = checkpointed(filled.where("all > 0"))
+    most = _most(filled)
+    if not most:
+        return ranked
+    more = filled.withColumn("r", F.explode(F.sequence(F.lit(1), F.col("bound").cast("int")))).join(_head(items, [], most, item), "r")
+    more = more.join(seen, [customer, item], "left_anti").join(ranked.select(customer, item), [customer, item], "left_anti").withColumn("score", F.col("scale") * F.col("count") / F.col("all"))
+    # Equal scores after rounding: items of own groups come first, the others by their rows.
+    both = ranked.select(customer, item, "score", F.lit(None).cast("long").alias("count")).union(more.select(customer, item, "score", "count"))
+    order = Window.partitionBy(customer).orderBy(F.desc(F.round("score", places)), F.desc_nulls_first("count"), item)
+    return both.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select(customer, "rank", item, "score")
 
 
 def pair_rules(df: DataFrame, least: int, customer: str = "customer_id", item: str = "item") -> DataFrame:

@@ -155,6 +155,23 @@ def _(spark, d):
     return rounded(ranking.group_share_recommend(transactions(spark, d), 10), 8)
 
 
+FALLBACK = f"""WITH x AS (SELECT customer_id, item, family AS grp FROM tx), {BASE.format(t='x', item='item').strip()},
+rec0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY round(score, 12) DESC, item) AS r0 FROM sc) WHERE r0 <= 120),
+c AS (SELECT u.customer_id, coalesce(max(score) * 1e-6::DOUBLE, 1e-12::DOUBLE) AS scale FROM (SELECT DISTINCT customer_id FROM x) u LEFT JOIN rec0 USING (customer_id) GROUP BY 1 HAVING count(score) < 120),
+every AS (SELECT item, count(*) AS n FROM x GROUP BY 1),
+ub AS (SELECT c.customer_id, c.scale, e.item, e.n, sum(e.n) OVER (PARTITION BY c.customer_id) AS total FROM c CROSS JOIN every e ANTI JOIN seen s ON s.customer_id = c.customer_id AND s.item = e.item),
+more AS (SELECT customer_id, item, scale * n / total AS score, n FROM ub ANTI JOIN sc ON sc.customer_id = ub.customer_id AND sc.item = ub.item),
+both_ AS (SELECT customer_id, item, score, NULL::BIGINT AS n FROM rec0 UNION ALL SELECT customer_id, item, score, n::BIGINT FROM more)
+SELECT * FROM (SELECT customer_id, row_number() OVER (PARTITION BY customer_id ORDER BY round(score, 12) DESC, n DESC NULLS FIRST, item) AS rank, item, round(score * 1e6 + 1e-7, 6) AS score FROM both_) WHERE rank <= 120"""
+
+
+@query("baseline_group_share_fallback", FALLBACK)
+def _(spark, d):
+    """Lists so long that customers of few groups need the items that are popular with all."""
+    tx = transactions(spark, d).select("customer_id", "item", F.col("family").alias("grp"))
+    return ranking.group_share_recommend(tx, 120).withColumn("score", F.round(F.col("score") * 1e6 + 1e-7, 6))
+
+
 @query("topk_per_customer", f"WITH {BASE.format(t='tx', item='item').strip()}, k AS (SELECT customer_id, item, row_number() OVER (PARTITION BY customer_id ORDER BY round(score, 12) DESC, item) AS rank FROM sc) SELECT * FROM k WHERE rank <= 3")
 def _(spark, d):
     return ranking.group_share_recommend(transactions(spark, d), 3, fallback=False).select("customer_id", "item", "rank")
@@ -167,9 +184,7 @@ def _(spark, d):
 
 @query("topk_export", f"WITH {BASE.format(t='tx', item='item').strip()}, k AS (SELECT customer_id, item, score, row_number() OVER (PARTITION BY customer_id ORDER BY round(score, 12) DESC, item) AS r FROM sc WHERE score > 0) SELECT customer_id, item, round(score + 1e-9, 8) AS score FROM k WHERE r <= 20")
 def _(spark, d):
-    scores = ranking.group_share_scores(transactions(spark, d)).where("score > 0")
-    order = Window.partitionBy("customer_id").orderBy(F.desc(F.round("score", 12)), "item")
-    return rounded(scores.withColumn("r", F.row_number().over(order)).where("r <= 20").select("customer_id", "item", "score"), 8)
+    return rounded(ranking.group_share_recommend(transactions(spark, d), 20, fallback=False).select("customer_id", "item", "score"), 8)
 
 
 @query("sink_wide_scores", f"WITH {BASE.format(t='tx', item='item').strip()}, {TOP} SELECT customer_id, count(*) AS n_scores, min(item) AS first_item, round(sum(score) + 1e-9, 7) AS total FROM rec GROUP BY 1")

@@ -1,3 +1,4 @@
+import random
 """Toy cases with values worked out by hand, invariants, and the chain as a pipeline."""
 
 import math
@@ -88,6 +89,45 @@ def test_group_share_popularity(spark):
     assert [i for i, _ in sorted(got[3].items(), key=lambda x: x[1])] == ["c", "a"]
 
 
+def plain_group_share(rows, k):
+    """Every unseen item scored in full, as the definition says."""
+    shares, seen, popular, total = {}, {}, {}, {}
+    for c, i, g in rows:
+        shares.setdefault(c, {}).setdefault(g, []).append(i)
+        seen.setdefault(c, set()).add(i)
+        popular.setdefault(g, {}).setdefault(i, []).append(c)
+        total[i] = total.get(i, 0) + 1
+    out = {}
+    for c, groups in shares.items():
+        n, scores = sum(map(len, groups.values())), {}
+        for g, own in groups.items():
+            left = {i: len(x) for i, x in popular[g].items() if i not in seen[c]}
+            for i, x in left.items():
+                scores[i] = scores.get(i, 0) + len(own) / n * x / sum(left.values())
+        ranked = [(-round(s, 12), -10**9, i, s) for i, s in scores.items()]
+        if len(scores) < k:
+            rest = sum(x for i, x in total.items() if i not in seen[c])
+            scale = max(scores.values()) * 1e-6 if scores else 1e-12
+            ranked += [(-round(scale * x / rest, 12), -x, i, scale * x / rest) for i, x in total.items() if i not in seen[c] and i not in scores]
+        out[c] = [(i, s) for _, _, i, s in sorted(ranked)[:k]]
+    return out
+
+
+@pytest.mark.parametrize("groups_of_item", [1, 3])
+def test_group_share_equals_scoring_every_item(spark, groups_of_item):
+    draw = random.Random(groups_of_item)
+    rows = []
+    for _ in range(700):
+        item = min(int(draw.expovariate(0.05)), 79)
+        rows.append((min(int(draw.expovariate(0.2)), 30), f"i{item:02d}", f"g{(item + draw.randrange(groups_of_item)) % 6}"))
+    rows.append((99, "i00", "lonely"))
+    got = {}
+    for r in ranking.group_share_recommend(table(spark, rows, "customer_id int, item string, grp string"), 9).orderBy("customer_id", "rank").collect():
+        got.setdefault(r["customer_id"], []).append((r["item"], pytest.approx(r["score"], rel=1e-9)))
+    want = {c: x for c, x in plain_group_share(rows, 9).items() if x}
+    assert got == want
+
+
 def test_novel_tail(spark):
     rows = [(u, i, n) for u, items in (("u1", "ababc"), ("u2", "abcaa"), ("u3", "a"), ("u4", "ab")) for n, i in enumerate(items)]
     df = table(spark, rows, "customer_id string, item string, ts int")
