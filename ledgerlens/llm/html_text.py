@@ -1,20 +1,26 @@
 """Main text of web pages by composite text density.
 
-A page is read into a tree that closes what authors leave open. Parts that are never article text
-(menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) are cut
-off by their tags and by the words of their class, id and role. For every node that is left, the
-characters for each tag are weighed by how little of them are links; the node with the largest sum of
-its children's densities is the main part, and the smallest density on the way from it up to the body
-is the threshold for further parts. Where the main part lies in an article or main element, all of
-that element is taken, so headings beside the paragraphs stay.
+A page is read into a tree that closes what authors leave open. Menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles and reader comments are told by their tags and by the words of their class, id
+and role, and taken out. Which of the rest is the article is decided by density alone, whatever the elements
+are called: for every node, the characters for each tag are weighed by how little of them are links, and the
+node with the largest sum of its children's densities is the densest part. Elements that only format text
+(`INLINE`) and line breaks count as text of the node around them.
+
+The path from the body to the densest part gives the thresholds. The outermost node on it, below the body,
+that is no thinner than the body is taken whole, so short headings and last lines stay; in it, and beside it,
+the lowest density on the path decides: parts beside it that reach this are taken too, by the densest node in
+them, and parts inside that don't and are half links or more are left out.
 
 Defined cases: null, empty or tag-less html gives its plain text, null and empty the empty string;
 a tie in the sums goes to the earlier node; repeated rows are read each on their own; an empty table
-gives an empty result; other columns are ignored. Text is never capped.
+gives an empty result; other columns are ignored. Text is never capped, and work grows linearly with the
+page, nested as it may be.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import re
@@ -42,6 +48,8 @@ CUT_WORDS = frozenset(
 )
 ARTICLE_WORDS = frozenset("article main content post entry story articlebody".split())
 CONTAINERS = frozenset(("article", "main"))
+#: Elements that format text and are no nodes of their own for the densities.
+INLINE = frozenset("b i u s em strong small big sub sup span font mark code kbd samp var cite q abbr dfn time br wbr tt ins del bdo bdi".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>", re.S)
 _MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -73,6 +81,8 @@ class Page:
         self.tags, self.parents, self.clutter = ["#"], [-1], [False]
         self.runs: list[tuple[int, str | None]] = []  # a None text is the border of a block
         self.stack = [0]
+        self.depths: dict[str, list[int]] = {}  # where each tag is open in the stack, outermost first
+        self.block_depths: list[int] = []
         at = 0
         while True:
             found = _TOKEN.search(source, at)
@@ -104,11 +114,28 @@ class Page:
         if tag in BLOCKS:
             self.runs.append((self.stack[-1], None))
 
+    def _push(self, node: int) -> None:
+        tag = self.tags[node]
+        self.depths.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCKS:
+            self.block_depths.append(len(self.stack))
+        self.stack.append(node)
+
     def _pop_to(self, depth: int) -> None:
         for node in self.stack[depth:]:
             self._border(self.tags[node])
+        for node in reversed(self.stack[depth:]):
+            tag = self.tags[node]
+            self.depths[tag].pop()
+            if tag in BLOCKS:
+                self.block_depths.pop()
         del self.stack[depth:]
 
+    def _nearest(self, tag: str) -> int:
+        """Depth of the innermost open element of a tag, 0 where none is."""
+        open_at = self.depths.get(tag)
+        return open_at[-1] if open_at else 0
+
     def _open(self, tag: str, attributes: str) -> None:
         if tag in BLOCKS:  # a block ends the open paragraph
             self._end_nearest({"p"}, {"table", "td", "th", "button", "object", "caption"})
@@ -121,50 +148,47 @@ class Page:
         self.parents.append(self.stack[-1])
         self.clutter.append(is_clutter(tag, attributes))
         if tag not in VOID and not attributes.endswith("/"):
-            self.stack.append(len(self.tags) - 1)
+            self._push(len(self.tags) - 1)
         elif tag not in VOID:
             self._border(tag)
 
     def _end_nearest(self, tags: set[str], scope: set[str]) -> None:
         """Close the outermost of `tags` that is open inside the nearest element of `scope`."""
-        cut = 0
-        for depth in range(len(self.stack) - 1, 0, -1):
-            tag = self.tags[self.stack[depth]]
-            if tag in tags:
-                cut = depth
-            elif tag in scope:
-                break
-        if cut:
+        border = max(map(self._nearest, scope))
+        cut = len(self.stack)
+        for tag in tags:
+            open_at = self.depths.get(tag)
+            if open_at and open_at[-1] > border:
+                cut = min(cut, open_at[bisect.bisect_right(open_at, border)])
+        if cut < len(self.stack):
             self._pop_to(cut)
 
     def _close(self, tag: str) -> None:
-        for depth in range(len(self.stack) - 1, 0, -1):
-            if self.tags[self.stack[depth]] == tag:
-                self._pop_to(depth)
-                return
-            if tag not in BLOCKS and self.tags[self.stack[depth]] in BLOCKS:
-                return  # an inline end does not close blocks
+        depth = self._nearest(tag)
+        # An inline end does not close blocks.
+        if depth and (tag in BLOCKS or not self.block_depths or depth > self.block_depths[-1]):
+            self._pop_to(depth)
 
     def main_text(self) -> str:
         n = len(self.tags)
-        cut = list(self.clutter)
-        for node in range(1, n):
-            cut[node] = cut[node] or cut[self.parents[node]]
+        cut, nodes = list(self.clutter), [tag not in INLINE for tag in self.tags]
+        for k in range(1, n):
+            cut[k] = cut[k] or cut[self.parents[k]]
         chars, tags, link_chars, link_tags, in_link = [0] * n, [0] * n, [0] * n, [0] * n, [False] * n
-        for node in range(1, n):
-            in_link[node] = self.tags[node] == "a" or in_link[self.parents[node]]
-        for node, text in self.runs:
-            if text and not cut[node]:
+        for k in range(1, n):
+            in_link[k] = self.tags[k] == "a" or in_link[self.parents[k]]
+        for k, text in self.runs:
+            if text and not cut[k]:
                 size = len("".join(text.split()))
-                chars[node] += size
-                link_chars[node] += size * in_link[node]
-        for node in range(n - 1, 0, -1):
-            if not cut[node]:
-                up = self.parents[node]
-                chars[up] += chars[node]
-                link_chars[up] += link_chars[node]
-                tags[up] += tags[node] + 1
-                link_tags[up] += link_tags[node] + (self.tags[node] == "a")
+                chars[k] += size
+                link_chars[k] += size * in_link[k]
+        for k in range(n - 1, 0, -1):
+            if not cut[k]:
+                up = self.parents[k]
+                chars[up] += chars[k]
+                link_chars[up] += link_chars[k]
+                tags[up] += tags[k] + nodes[k]
+                link_tags[up] += link_tags[k] + (self.tags[k] == "a")
         body = next((k for k in range(n) if self.tags[k] == "body"), 0)
         body = body if chars[body] == chars[0] else 0
         share = link_chars[body] / max(1, chars[body])
@@ -176,49 +200,44 @@ class Page:
             base = math.log(c / max(1, c - link_chars[k]) * link_chars[k] + share * c + math.e)
             return c / t * math.log(c / lc * t / lt + 1) / max(0.1, math.log(base + 0.1))
 
-        densities = [0.0 if cut[k] else density(k) for k in range(n)]
-        sums = [0.0] * n
+        densities = [density(k) if nodes[k] and not cut[k] else 0.0 for k in range(n)]
+        sums, owner = [0.0] * n, list(range(n))  # the node that holds each element's text
         for k in range(1, n):
-            sums[self.parents[k]] += densities[k]
-        # The sum of a node that has text but no elements is its own density.
+            up = owner[self.parents[k]]
+            if nodes[k]:
+                sums[up] += densities[k]
+            else:
+                owner[k] = up
+        # The sum of a node that has text but no nodes below is its own density.
         sums = [s or d for s, d in zip(sums, densities, strict=True)]
-        within = [k >= body and not cut[k] for k in range(n)]
-        best = max((k for k in range(body, n) if within[k]), key=lambda k: (sums[k], -k), default=body)
-        threshold, k = densities[best], best
-        while k > body:
-            k = self.parents[k]
-            threshold = min(threshold, densities[k])
-        chosen = [False] * n
-        chosen[self._container(best, body)] = True
+        best = max((k for k in range(body, n) if nodes[k] and not cut[k]), key=lambda k: (sums[k], -k), default=body)
+        path = [best]
+        while path[-1] > body:
+            path.append(self.parents[path[-1]])
+        path = [k for k in path if nodes[k]]
+        threshold = min(densities[k] for k in path)
+        top = next((k for k in reversed(path[:-1]) if densities[k] >= densities[path[-1]]), best)
+        return self._joined(self._kept(top, set(path), body, threshold, densities, sums, [2 * l >= c for l, c in zip(link_chars, chars, strict=True)], nodes, cut))
+
+    def _kept(self, top: int, path: set[int], body: int, threshold: float, densities: list[float], sums: list[float], linked: list[bool], nodes: list[bool], cut: list[bool]) -> list[bool]:
+        """Which elements' text stays: `top`, and the densest nodes of dense parts beside the path; without thin parts made of links."""
+        n = len(self.tags)
         most = list(sums)  # the largest sum in each subtree
         for k in range(n - 1, 0, -1):
             most[self.parents[k]] = max(most[self.parents[k]], most[k])
-        open_path = [False] * n
-        open_path[body] = True
+        kept, dense = [False] * n, [False] * n
         for k in range(body, n):
             up = self.parents[k]
-            if k != body and chosen[up]:
-                chosen[k] = True
-            if cut[k] or chosen[k] or not (k == body or open_path[up]):
+            if cut[k]:
+                continue
+            if k == top or k != body and kept[up]:
+                thin = nodes[k] and k != top and k not in path and self.tags[k] in BLOCKS and densities[k] < threshold and linked[k]
+                kept[k] = not thin
                 continue
-            open_path[k] = densities[k] >= threshold > 0
-            if open_path[k] and k != body and sums[k] >= most[k] and not self._holds(k, best):
-                chosen[k] = True
-        return self._joined([chosen[k] and not cut[k] for k in range(n)])
-
-    def _holds(self, node: int, other: int) -> bool:
-        while other > node:
-            other = self.parents[other]
-        return other == node
-
-    def _container(self, node: int, body: int) -> int:
-        """The outermost article or main element around the node, else the node."""
-        out, k = node, node
-        while k > body:
-            if self.tags[k] in CONTAINERS:
-                out = k
-            k = self.parents[k]
-        return out
+            dense[k] = k == body or dense[up] and densities[k] >= threshold > 0
+            if dense[k] and k not in path and sums[k] >= most[k]:
+                kept[k] = True
+        return kept
 
     def _joined(self, keep: list[bool]) -> str:
         blocks, own = [], []

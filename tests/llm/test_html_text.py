@@ -1,7 +1,9 @@
 """Main text of pages with known article text."""
 
 import html
+import math
 import random
+import time
 
 import pytest
 
@@ -51,6 +53,9 @@ def test_generated_pages():
     for _ in range(200):
         page, text = make_page(rng)
         assert H.main_text(page) == text
+        # The name of the element decides nothing.
+        assert H.main_text(page.replace("article>", "div>")) == text
+        assert H.main_text(page.replace("<article>", "<section class=q><div>").replace("</article>", "</div></section>")) == text
 
 
 def test_density_finds_the_main_part_without_article():
@@ -62,6 +67,89 @@ def test_density_finds_the_main_part_without_article():
     assert H.main_text(page) == "\n".join(long)
 
 
+def grow(rng, depth=0):
+    """A random tree of (tag, children); a child is a text or a tree."""
+    kind = rng.choice(["p", "p", "links", "div", "div", "section", "ul", "h2"]) if depth < 4 else rng.choice(["p", "links", "h2"])
+    words = lambda n: " ".join(f"w{rng.randrange(99)}" for _ in range(n))
+    if kind in ("p", "h2"):
+        return kind, [words(rng.randint(1, 60 if kind == "p" else 6))] + ([("a", [words(2)])] if rng.random() < 0.2 else [])
+    if kind == "links":
+        return "div", [("a", [words(rng.randint(1, 3))]) for _ in range(rng.randint(1, 8))]
+    if kind == "ul":
+        return "ul", [("li", [words(rng.randint(1, 20))]) for _ in range(rng.randint(1, 5))]
+    return kind, [grow(rng, depth + 1) for _ in range(rng.randint(1, 4))]
+
+
+def render(tree):
+    return tree if isinstance(tree, str) else f"<{tree[0]}>{''.join(map(render, tree[1]))}</{tree[0]}>"
+
+
+def plain_density(body):
+    """The densest part and the parts beside it, by recursion over the tree, as the definitions say."""
+    size = lambda t: len("".join(t.split())) if isinstance(t, str) else sum(map(size, t[1]))
+    linked = lambda t: 0 if isinstance(t, str) else size(t) if t[0] == "a" else sum(map(linked, t[1]))
+    count = lambda t, tag=None: 0 if isinstance(t, str) else sum(count(x, tag) + (not isinstance(x, str) and tag in (None, x[0])) for x in t[1])
+    share = linked(body) / max(1, size(body))
+
+    def density(t):
+        c, lc = size(t), linked(t)
+        if not c:
+            return 0.0
+        base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
+        tags = max(1, count(t))
+        return c / tags * math.log(c / max(1, lc) * tags / max(1, count(t, "a")) + 1) / max(0.1, math.log(base + 0.1))
+
+    inner = lambda t: [x for x in t[1] if not isinstance(x, str)]
+    total = lambda t: sum(map(density, inner(t))) or density(t)
+    below = lambda t: [t, *(y for x in inner(t) for y in below(x))]
+    best = max(below(body), key=total)  # the first of equals
+    path = [t for t in below(body) if any(x is best for x in below(t))]  # from the body down
+    threshold = min(map(density, path))
+    top = next((t for t in path[1:] if density(t) >= density(body)), best)
+    on_path = lambda t: any(x is t for x in path)
+    blocks, line = [], []
+
+    def end():
+        blocks.append("".join(line))
+        line.clear()
+
+    def visit(t, kept, dense):
+        if isinstance(t, str):
+            if kept:
+                line.append(t)
+            return
+        if t is top:
+            kept = True
+        elif kept:
+            kept, dense = on_path(t) or t[0] == "a" or density(t) >= threshold or 2 * linked(t) < size(t), False
+        else:
+            dense = t is body or dense and density(t) >= threshold > 0
+            kept = dense and not on_path(t) and total(t) >= max(map(total, below(t)))
+        if t[0] != "a":
+            end()
+        for x in t[1]:
+            visit(x, kept, dense)
+        if t[0] != "a":
+            end()
+
+    visit(body, False, False)
+    return "\n".join(b for b in (" ".join(x.split()) for x in blocks) if b)
+
+
+def test_equals_plain_density():
+    rng = random.Random(9)
+    for _ in range(400):
+        body = ("body", [grow(rng) for _ in range(rng.randint(1, 5))])
+        assert H.main_text(render(body)) == plain_density(body)
+
+
+def test_nested_blocks_take_linear_time():
+    start = time.process_time()
+    assert H.main_text("<div>" * 20_000 + "<p>deep text" + "</div>" * 20_000) == "deep text"
+    assert H.main_text("<b>" * 20_000 + "x" + "</i>" * 20_000) == "x"
+    assert time.process_time() - start < 3
+
+
 def test_deep_and_long():
     assert H.main_text("<div>" * 5000 + "deep text" + "</div>" * 5000) == "deep text"
     assert len(H.main_text("<p>" + "word " * 300_000)) == 5 * 300_000 - 1
