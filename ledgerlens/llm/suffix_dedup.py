@@ -8,7 +8,9 @@ bytes before it.
 
 1. Every task sorts the records of some megabytes of documents into a run, front-codes it (each suffix
    as the length it shares with the one before, and the rest), cuts it at splitters that were sampled
-   from the table, and sends the pieces. Beginnings too frequent for one range are taken apart: each of
+   from the table, and sends the pieces. With more than `FANOUT` ranges the exchange has two levels: pieces
+   go to about the root of that number of wide ranges first, where as many runs are merged into a longer one
+   that is cut again, so that pieces don't grow with the square of the table. Beginnings too frequent for one range are taken apart: each of
    their windows is a record of its own, dealt over all ranges by a hash of the window. Of equal records
    only those of the smallest id are sent; the others are repeats already.
 2. Every task merges the pieces of its range with a loser tree that knows for each head how much it
@@ -28,18 +30,21 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
+import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import packed_texts, text_slices
+from ledgerlens.llm.common import checkpointed, packed_texts, spare_names, text_slices
 
 #: A seed has 8 to 16 bytes.
 WINDOW, SEED = 50, 12
@@ -47,8 +52,11 @@ WINDOW, SEED = 50, 12
 BEFORE = WINDOW - SEED
 #: Bytes of text in a run, in a range, and in one step of the search for anchors.
 RUN_BYTES, RANGE_BYTES, STEP_BYTES = 6_000_000, 6_000_000, 1_000_000
-#: Documents that the splitters are sampled from, most sampled suffixes, and sampled suffixes below which no beginning is hot.
-SPLITTER_DOCS, SPLITTER_ROWS, HOT_ROWS = 4_000, 500_000, 24
+#: The splitters are sampled from this share of the documents, or from so many where that is more; sampled suffixes
+#: for each range; and sampled suffixes below which no beginning is hot.
+SPLITTER_SHARE, SPLITTER_DOCS, SPLITTER_ROWS, HOT_ROWS = 0.005, 4_000, 2_048, 24
+#: Ranges beyond which the exchange has two levels.
+FANOUT = 8_192
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -270,57 +278,82 @@ def joined(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.column_stack([start[firsts], end[np.append(firsts[1:], len(start)) - 1]])
 
 
-OUT = "range int, piece binary, doc bigint, row int, spans binary"
-NAMES = ["range", "piece", "doc", "row", "spans"]
-KINDS = [pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+OUT = "range int, part int, piece binary, doc bigint, row int, spans binary"
+NAMES = ["range", "part", "piece", "doc", "row", "spans"]
+KINDS = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+Record = tuple[bytes, bytes, int, int, int]
 
 
-def _send_runs(splitters: list[bytes], hot: frozenset[bytes]):
-    """For mapInArrow over (doc, row, text): pieces for the ranges, and spans that the run itself shows, which go to some range too.
+@dataclass(frozen=True)
+class Ranges:
+    """Where sorted records are cut, and the beginnings that are in no range; `width` ranges together make a wide one."""
 
-    Windows at hot beginnings are dealt one by one over all ranges, by a hash of the window.
-    """
-    ranges = len(splitters) + 1
+    splitters: tuple[bytes, ...]
+    hot: frozenset[bytes]
+    width: int = 1
 
-    def send(batch):
-        rows = []
-        for r in records(batch):
-            rows.extend(single_windows(r) if r[0][:SEED] in hot else (r,))
-        rows.sort()
-        kept, local, k = [], [], 0
-        while k < len(rows):
-            end = k + 1
-            while end < len(rows) and rows[end][0] == rows[k][0] and rows[end][1] == rows[k][1]:
-                end += 1
-            smallest = rows[k][2]  # equal records are sorted by document
-            for r in rows[k:end]:
-                (kept if r[2] == smallest else local).append(r)
-            k = end
-        if local:
-            place = np.array([r[4] for r in local], dtype=np.int64)
-            start, stop = place - [len(r[1]) for r in local], place + [len(r[0]) for r in local]
-            for doc, row, spans in _span_rows(np.array([r[2] for r in local]), np.array([r[3] for r in local]), start, stop):
-                yield doc % ranges, None, doc, row, spans
-        dealt: dict[int, list] = {}
-        if hot:
+    @property
+    def number(self) -> int:
+        return len(self.splitters) + 1
+
+    def cut(self, rows: list[Record], wide: bool) -> Iterator[tuple[int, list[Record]]]:
+        """The rows of each range, or of each wide one. Windows at hot beginnings are dealt by a hash of the window."""
+        width = self.width if wide else 1
+        splitters = self.splitters[width - 1 :: width]
+        dealt: dict[int, list[Record]] = {}
+        if self.hot:
             cold = []
-            for r in kept:
-                if r[0][:SEED] in hot:
-                    dealt.setdefault(zlib.crc32(r[1][::-1] + r[0]) % ranges, []).append(r)
+            for r in rows:
+                if r[0][:SEED] in self.hot:
+                    dealt.setdefault(zlib.crc32(r[1][::-1] + r[0]) % self.number // width, []).append(r)
                 else:
                     cold.append(r)
-            kept = cold
-        suffixes = [r[0] for r in kept]
-        cuts = [0, *(bisect.bisect_left(suffixes, s) for s in splitters), len(kept)]
-        for k in range(ranges):
-            own = kept[cuts[k] : cuts[k + 1]]
+            rows = cold
+        suffixes = [r[0] for r in rows]
+        cuts = [0, *(bisect.bisect_left(suffixes, s) for s in splitters), len(rows)]
+        for k, (start, end) in enumerate(itertools.pairwise(cuts)):
+            own = rows[start:end]
             if k in dealt:
                 own = sorted(own + dealt.pop(k))
             if own:
-                yield k, write_piece(own), 0, 0, None
+                yield k, own
+
+
+def _first_of_equals(rows: list[Record]) -> tuple[list[Record], list[tuple[int, int, bytes]]]:
+    """Of sorted records those of the smallest id among equal ones, and the spans of the others, which are repeats."""
+    kept, local, k = [], [], 0
+    while k < len(rows):
+        end = k + 1
+        while end < len(rows) and rows[end][0] == rows[k][0] and rows[end][1] == rows[k][1]:
+            end += 1
+        smallest = rows[k][2]  # equal records are sorted by document
+        for r in rows[k:end]:
+            (kept if r[2] == smallest else local).append(r)
+        k = end
+    if not local:
+        return kept, []
+    place = np.array([r[4] for r in local], dtype=np.int64)
+    start, stop = place - [len(r[1]) for r in local], place + [len(r[0]) for r in local]
+    return kept, list(_span_rows(np.array([r[2] for r in local]), np.array([r[3] for r in local]), start, stop))
+
+
+def _send_runs(ranges: Ranges, parts: int):
+    """For mapInArrow over (doc, row, text): pieces for the (wide) ranges, and spans that the run itself shows, which go to some range too."""
+    targets = -(-ranges.number // ranges.width)
+
+    def send(batch, part):
+        rows = []
+        for r in records(batch):
+            rows.extend(single_windows(r) if r[0][:SEED] in ranges.hot else (r,))
+        rows.sort()
+        kept, spans = _first_of_equals(rows)
+        for doc, row, own in spans:
+            yield doc % targets, part, None, doc, row, own
+        for k, own in ranges.cut(kept, wide=True):
+            yield k, part, write_piece(own), 0, 0, None
 
     def run(batches):
-        held, size = [], 0
+        held, size, runs = [], 0, TaskContext.get().partitionId()
         for batch in text_slices(batches, limit=STEP_BYTES):
             for doc, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
@@ -328,10 +361,10 @@ def _send_runs(splitters: list[bytes], hot: frozenset[bytes]):
                     held.append((doc, row, raw))
                     size += len(raw)
             if size >= RUN_BYTES:
-                yield from _batches(send(held))
-                held, size = [], 0
+                yield from _batches(send(held, runs % parts))
+                held, size, runs = [], 0, runs + 1
         if held:
-            yield from _batches(send(held))
+            yield from _batches(send(held, runs % parts))
 
     return run
 
@@ -340,7 +373,7 @@ def _batches(rows, most: int = 4_000_000):
     held, size = [], 0
     for r in rows:
         held.append(r)
-        size += len(r[1] or b"") + len(r[4] or b"")
+        size += len(r[2] or b"") + len(r[5] or b"")
         if size > most:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), KINDS, strict=True)], names=NAMES)
             held, size = [], 0
@@ -368,38 +401,72 @@ def _merge_range(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([ready, pd.DataFrame(found, columns=["doc", "row", "spans"])]).astype({"doc": "int64", "row": "int32"})
 
 
-def _splitters(docs: DataFrame, ranges: int) -> tuple[list[bytes], frozenset[bytes]]:
-    """Where the table is cut into even ranges, and the hot beginnings, from a sample of documents of bounded size.
+def _join_runs(ranges: Ranges):
+    """For groups of pieces of one wide range: merged into one run, which is cut at the ranges in it."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pieces = [read_piece(p) for p in pdf["piece"] if p is not None]
+        out = [(int(d) % ranges.number, 0, None, d, r, s) for d, r, s in pdf[pdf["piece"].isna()][["doc", "row", "spans"]].itertuples(index=False)]
+        if pieces:
+            order, _ = merge_runs([p["suffixes"] for p in pieces], [p["shared"] for p in pieces])
+            heads = [zip(p["suffixes"], p["befores"], p["doc"].tolist(), p["row"].tolist(), p["place"].tolist(), strict=True) for p in pieces]
+            merged = [next(heads[k]) for k in order]
+            rows = [r for _, same in itertools.groupby(merged, key=lambda r: r[0]) for r in sorted(same)]
+            kept, spans = _first_of_equals(rows)
+            out += [(doc % ranges.number, 0, None, doc, row, own) for doc, row, own in spans]
+            out += [(k, 0, write_piece(own), 0, 0, None) for k, own in ranges.cut(kept, wide=False)]
+        return pd.DataFrame(out, columns=NAMES).astype({"range": "int32", "part": "int32", "doc": "int64", "row": "int32"})
+
+    return run
+
+
+def _ranges(docs: DataFrame, size: int, number: int) -> Ranges:
+    """Where the table is cut into even ranges, and the hot beginnings, from a sample of documents that grows with the table.
 
     Equal windows share at least `SEED` bytes from their anchor, so ranges are cut between such beginnings.
-    A beginning with more than two ranges' worth of records is hot: it is in no range.
+    A beginning with more than two ranges' worth of records is hot: it is in no range. The sample stays in
+    Spark, whose own range partitioning cuts it; the driver gets one splitter for each range and the hot
+    beginnings, which are fewer than half as many.
     """
-    total = docs.count()
-    share = min(1.0, SPLITTER_DOCS / max(1, total))
-    sample = docs.where(F.pmod(F.xxhash64("doc"), F.lit(1_000_000)) < int(1_000_000 * share)).limit(2 * SPLITTER_DOCS)
+    share = min(1.0, max(SPLITTER_DOCS / max(1, docs.count()), SPLITTER_SHARE))
+    sample = docs.where(F.col("doc").isNotNull() & (F.pmod(F.xxhash64("doc"), F.lit(1_000_000)) < int(1_000_000 * share)))
+    step = max(1, int(size * share / 20 / (SPLITTER_ROWS * number)))
 
-    def run(batches):
+    def begin(batches):
         for batch in text_slices(batches, limit=STEP_BYTES):
             rows = records([(0, 0, (t or "").encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array([r[0][:SEED] for r in rows[::2]], pa.binary())], names=["suffix"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0][:SEED] for r in rows[::step]], pa.binary())], names=["suffix"])
+
+    found = checkpointed(sample.mapInArrow(begin, "suffix binary"))
+    most = max(HOT_ROWS, 2 * found.count() / number)
+    hot = frozenset(bytes(r[0]) for r in found.groupBy("suffix").count().where(F.col("count") > most).select("suffix").collect())
 
-    found = sample.mapInArrow(run, "suffix binary").where("length(suffix) > 0")
-    return ranges_of([bytes(r[0]) for r in found.limit(SPLITTER_ROWS).collect()], ranges)
+    def least(batches):
+        first = None
+        for batch in batches:
+            own = [s for s in batch.column(0).to_pylist() if s not in hot]
+            first = min([first, *own] if first is not None else own, default=None)
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([first], pa.binary())], names=["suffix"])
 
+    def cold(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([s for s in batch.column(0).to_pylist() if s not in hot], pa.binary())], names=["suffix"])
 
-def ranges_of(sample: list[bytes], ranges: int) -> tuple[list[bytes], frozenset[bytes]]:
-    """Splitters and hot beginnings of sampled beginnings."""
-    most = max(HOT_ROWS, 2 * len(sample) / ranges)
-    hot = frozenset(s for s, n in Counter(sample).items() if n > most)
-    rows = sorted(s for s in sample if s not in hot)
-    return (sorted({rows[len(rows) * k // ranges] for k in range(1, ranges)}) if rows else []), hot
+    firsts = sorted(bytes(r[0]) for r in found.mapInArrow(cold, "suffix binary").repartitionByRange(number, "suffix").mapInArrow(least, "suffix binary").collect())
+    splitters = tuple(firsts[1:])
+    return Ranges(splitters, hot, 1 if len(splitters) < FANOUT else math.isqrt(len(splitters)) + 1)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc, row, spans) of documents (doc, row, text): lists of start and end bytes, as packed integers, that are repeats."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(32, -(-size // RANGE_BYTES))
-    sent = docs.mapInArrow(_send_runs(*_splitters(docs, ranges)), OUT)
+    ranges = _ranges(docs, size, max(32, -(-size // RANGE_BYTES)))
+    # A group of the first level holds as many runs as there are wide ranges, so about the text of one run.
+    parts = 1 if ranges.width == 1 else max(1, -(-size // (RUN_BYTES * ranges.width)))
+    sent = docs.mapInArrow(_send_runs(ranges, parts), OUT)
+    if ranges.width > 1:
+        sent = sent.groupBy("range", "part").applyInPandas(_join_runs(ranges), OUT)
     return sent.groupBy("range").applyInPandas(_merge_range, "doc bigint, row int, spans binary")
 
 
@@ -450,10 +517,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     Characters that lose a part of their bytes are dropped. A null text stays null.
     """
-    rows = docs.withColumn("__row", _row_number(docs, key, text))
-    spans = repeated_spans(rows.select(F.col(key).alias("doc"), F.col("__row").alias("row"), F.col(text).alias("text")))
-    spans = spans.groupBy(F.col("doc").alias("__doc"), F.col("row").alias("__of")).agg(F.collect_list("spans").alias("__spans"))
-    met = packed_texts(rows, text).join(spans, (F.col(key) == F.col("__doc")) & (F.col("__row") == F.col("__of")), "left").select(*docs.columns, "__spans")
+    number, doc, of, cuts = spare_names(docs, "row", "doc", "of", "spans")
+    rows = docs.withColumn(number, _row_number(docs, key, text))
+    spans = repeated_spans(rows.select(F.col(key).alias("doc"), F.col(number).alias("row"), F.col(text).alias("text")))
+    spans = spans.groupBy(F.col("doc").alias(doc), F.col("row").alias(of)).agg(F.collect_list("spans").alias(cuts))
+    met = packed_texts(rows, text).join(spans, (F.col(key) == F.col(doc)) & (F.col(number) == F.col(of)), "left").select(*docs.columns, cuts)
     at_text = docs.columns.index(text)
     at_length = docs.columns.index(length) if length in docs.columns else None
 

@@ -57,6 +57,16 @@ def test_equals_brute_force(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_two_levels_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(S, "RUN_BYTES", 2000)
+    monkeypatch.setattr(S, "FANOUT", 4)
+    rows = corpus(3, 160)
+    ranges = S._ranges(frame(spark, rows).select(F.col("doc_id").alias("doc"), F.lit(0).alias("row"), "text"), 10**6, 40)
+    assert ranges.width > 1
+    got = sorted(tuple(r) for r in S.dedup_digests(frame(spark, rows)).collect())
+    assert got == brute(rows)
+
+
 def test_repeated_ids(spark):
     passage = "some passage that is long enough to be seen as a repeat, with more words. "
     rows = [(1, passage), (1, passage), (1, "x" + passage), (2, passage + "tail"), (3, "head" + passage)]
@@ -114,9 +124,9 @@ def test_hot_beginnings_are_spread(spark, monkeypatch):
     rows += [(d + 1000, t) for d, t in rows[::7]]
     docs = frame(spark, rows)
     plain = docs.select("doc_id", F.lit(0).alias("row"), "text").toDF("doc", "row", "text")
-    splitters, hot = S._splitters(plain, 32)
-    assert hot
-    sent = plain.mapInArrow(S._send_runs(splitters, hot), S.OUT).where("piece is not null").collect()
+    ranges = S._ranges(plain, 40_000, 32)
+    assert ranges.hot
+    sent = plain.mapInArrow(S._send_runs(ranges, 1), S.OUT).where("piece is not null").collect()
     sizes = {}
     for r in sent:
         sizes[r["range"]] = sizes.get(r["range"], 0) + len(S.read_piece(bytes(r["piece"]))["doc"])
