@@ -33,7 +33,7 @@ import hashlib
 import itertools
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -104,12 +104,15 @@ def records(batch: list[tuple[int, int, bytes]]) -> list[tuple[bytes, bytes, int
             end += 1
         texts = [t for _, _, t in batch[start:end]]
         raw = b"".join(texts)
+        back, n = raw[::-1], len(raw)
         at, first, last = anchors(texts)
         borders = np.cumsum([0, *map(len, texts)])
         owner = np.searchsorted(borders, first, side="right") - 1
-        for p, s, e, k in zip(at.tolist(), first.tolist(), last.tolist(), owner.tolist(), strict=True):
-            doc, row, _ = batch[start + k]
-            out.append((raw[p : e + WINDOW], raw[s:p][::-1], doc, row, p - int(borders[k])))
+        place = (at - borders[owner]).tolist()
+        docs, rows, owner = [d for d, _, _ in batch[start:end]], [r for _, r, _ in batch[start:end]], owner.tolist()
+        suffixes = [raw[p:e] for p, e in zip(at.tolist(), (last + WINDOW).tolist(), strict=True)]
+        befores = [back[p:s] for p, s in zip((n - at).tolist(), (n - first).tolist(), strict=True)]
+        out += zip(suffixes, befores, [docs[k] for k in owner], [rows[k] for k in owner], place, strict=True)
         start = end
     return out
 
@@ -121,7 +124,7 @@ def single_windows(record: tuple[bytes, bytes, int, int, int]) -> Iterator[tuple
         yield suffix[: WINDOW - x], before[:x], doc, row, place
 
 
-def _matrix(strings: list[bytes], width: int) -> np.ndarray:
+def _matrix(strings: Sequence[bytes], width: int) -> np.ndarray:
     return np.frombuffer(b"".join([s.ljust(width, b"\0") for s in strings]), dtype=np.uint8).reshape(-1, width)
 
 
@@ -136,13 +139,14 @@ def shared_lengths(matrix: np.ndarray) -> np.ndarray:
 
 def write_piece(rows: list[tuple[bytes, bytes, int, int, int]]) -> bytes:
     """A sorted piece, front-coded."""
-    lengths = np.array([len(r[0]) for r in rows], dtype=np.int64)
-    shared = shared_lengths(_matrix([r[0] for r in rows], WINDOW))
+    suffixes, befores, doc, row, place = zip(*rows, strict=True)
+    lengths = np.fromiter(map(len, suffixes), dtype=np.int64, count=len(rows))
+    shared = shared_lengths(_matrix(suffixes, WINDOW))
     shared[1:] = np.minimum(shared[1:], np.minimum(lengths[1:], lengths[:-1]))
-    tails = b"".join([r[0][c:] for r, c in zip(rows, shared.tolist(), strict=True)])
-    befores = b"".join([r[1] for r in rows])
-    docs, at = np.unique(np.array([r[2] for r in rows], dtype=np.int64), return_inverse=True)
-    parts = [shared.astype(np.uint8).tobytes(), lengths.astype(np.uint8).tobytes(), np.array([len(r[1]) for r in rows], dtype=np.uint8).tobytes(), at.astype("<u4").tobytes(), np.array([r[3] for r in rows], dtype="<u4").tobytes(), np.array([r[4] for r in rows], dtype="<u4").tobytes(), docs.astype("<i8").tobytes(), tails, befores]
+    tails = b"".join([s[c:] for s, c in zip(suffixes, shared.tolist(), strict=True)])
+    docs, at = np.unique(np.array(doc, dtype=np.int64), return_inverse=True)
+    before = np.fromiter(map(len, befores), dtype=np.uint8, count=len(rows))
+    parts = [shared.astype(np.uint8).tobytes(), lengths.astype(np.uint8).tobytes(), before.tobytes(), at.astype("<u4").tobytes(), np.array(row, dtype="<u4").tobytes(), np.array(place, dtype="<u4").tobytes(), docs.astype("<i8").tobytes(), tails, b"".join(befores)]
     head = np.array([len(rows), *map(len, parts)], dtype="<u4").tobytes()
     return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
 
@@ -296,23 +300,26 @@ class Ranges:
     def number(self) -> int:
         return len(self.splitters) + 1
 
-    def cut(self, rows: list[Record], wide: bool) -> Iterator[tuple[int, list[Record]]]:
+    def split(self, rows: list[Record]) -> tuple[list[Record], list[Record]]:
+        """Sorted records without hot beginnings, and those with one."""
+        cold, hot, at = [], [], 0
+        for first in sorted(self.hot):  # no byte of UTF-8 is 255
+            start, end = bisect.bisect_left(rows, (first,)), bisect.bisect_left(rows, (first[:-1] + bytes([first[-1] + 1]),))
+            cold += rows[at:start]
+            hot += rows[start:end]
+            at = end
+        return (cold + rows[at:] if at else rows), hot
+
+    def cut(self, cold: list[Record], hot: list[Record], wide: bool) -> Iterator[tuple[int, list[Record]]]:
         """The rows of each range, or of each wide one. Windows at hot beginnings are dealt by a hash of the window."""
         width = self.width if wide else 1
         splitters = self.splitters[width - 1 :: width]
         dealt: dict[int, list[Record]] = {}
-        if self.hot:
-            cold = []
-            for r in rows:
-                if r[0][:SEED] in self.hot:
-                    dealt.setdefault(zlib.crc32(r[1][::-1] + r[0]) % self.number // width, []).append(r)
-                else:
-                    cold.append(r)
-            rows = cold
-        suffixes = [r[0] for r in rows]
-        cuts = [0, *(bisect.bisect_left(suffixes, s) for s in splitters), len(rows)]
+        for r in hot:
+            dealt.setdefault(zlib.crc32(r[1][::-1] + r[0]) % self.number // width, []).append(r)
+        cuts = [0, *(bisect.bisect_left(cold, (s,)) for s in splitters), len(cold)]
         for k, (start, end) in enumerate(itertools.pairwise(cuts)):
-            own = rows[start:end]
+            own = cold[start:end]
             if k in dealt:
                 own = sorted(own + dealt.pop(k))
             if own:
@@ -321,15 +328,17 @@ class Ranges:
 
 def _first_of_equals(rows: list[Record]) -> tuple[list[Record], list[tuple[int, int, bytes]]]:
     """Of sorted records those of the smallest id among equal ones, and the spans of the others, which are repeats."""
-    kept, local, k = [], [], 0
-    while k < len(rows):
-        end = k + 1
-        while end < len(rows) and rows[end][0] == rows[k][0] and rows[end][1] == rows[k][1]:
-            end += 1
-        smallest = rows[k][2]  # equal records are sorted by document
-        for r in rows[k:end]:
-            (kept if r[2] == smallest else local).append(r)
-        k = end
+    same = [k for k, (a, b) in enumerate(itertools.pairwise(rows)) if a[0] == b[0] and a[1] == b[1]]
+    if not same:
+        return rows, []
+    kept, local, at, smallest = [], [], 0, None
+    for k in same:
+        if k >= at:  # equal records are sorted by document, so the first of them has the smallest id
+            kept += rows[at : k + 1]
+            smallest = rows[k][2]
+        (kept if rows[k + 1][2] == smallest else local).append(rows[k + 1])
+        at = k + 2
+    kept += rows[at:]
     if not local:
         return kept, []
     place = np.array([r[4] for r in local], dtype=np.int64)
@@ -342,14 +351,12 @@ def _send_runs(ranges: Ranges, parts: int):
     targets = -(-ranges.number // ranges.width)
 
     def send(batch, part):
-        rows = []
-        for r in records(batch):
-            rows.extend(single_windows(r) if r[0][:SEED] in ranges.hot else (r,))
-        rows.sort()
-        kept, spans = _first_of_equals(rows)
-        for doc, row, own in spans:
+        cold, hot = ranges.split(sorted(records(batch)))
+        cold, spans = _first_of_equals(cold)
+        hot, more = _first_of_equals(sorted(w for r in hot for w in single_windows(r)))
+        for doc, row, own in spans + more:
             yield doc % targets, part, None, doc, row, own
-        for k, own in ranges.cut(kept, wide=True):
+        for k, own in ranges.cut(cold, hot, wide=True):
             yield k, part, write_piece(own), 0, 0, None
 
     def run(batches):
@@ -414,7 +421,7 @@ def _join_runs(ranges: Ranges):
             rows = [r for _, same in itertools.groupby(merged, key=lambda r: r[0]) for r in sorted(same)]
             kept, spans = _first_of_equals(rows)
             out += [(doc % ranges.number, 0, None, doc, row, own) for doc, row, own in spans]
-            out += [(k, 0, write_piece(own), 0, 0, None) for k, own in ranges.cut(kept, wide=False)]
+            out += [(k, 0, write_piece(own), 0, 0, None) for k, own in ranges.cut(*ranges.split(kept), wide=False)]
         return pd.DataFrame(out, columns=NAMES).astype({"range": "int32", "part": "int32", "doc": "int64", "row": "int32"})
 
     return run
