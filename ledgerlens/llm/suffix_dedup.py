@@ -58,6 +58,9 @@ SPLITTER_SHARE, SPLITTER_DOCS, SPLITTER_ROWS, HOT_ROWS = 0.005, 4_000, 2_048, 24
 #: Ranges beyond which the exchange has two levels.
 FANOUT = 8_192
 
+#: Suffix, bytes before it backwards, document, row, place in the document.
+Record = tuple[bytes, bytes, int, int, int]
+
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For texts put end to end: places of anchors, and the first and last window start that chose each."""
@@ -124,8 +127,11 @@ def single_windows(record: tuple[bytes, bytes, int, int, int]) -> Iterator[tuple
         yield suffix[: WINDOW - x], before[:x], doc, row, place
 
 
-def _matrix(strings: Sequence[bytes], width: int) -> np.ndarray:
-    return np.frombuffer(b"".join([s.ljust(width, b"\0") for s in strings]), dtype=np.uint8).reshape(-1, width)
+def _matrix(joined: bytes, lengths: np.ndarray, width: int) -> np.ndarray:
+    """Strings put end to end as rows of bytes, filled up with zeros."""
+    out = np.zeros((len(lengths), width), dtype=np.uint8)
+    out[np.arange(width) < lengths[:, None]] = np.frombuffer(joined, dtype=np.uint8)
+    return out
 
 
 def shared_lengths(matrix: np.ndarray) -> np.ndarray:
@@ -141,7 +147,7 @@ def write_piece(rows: list[tuple[bytes, bytes, int, int, int]]) -> bytes:
     """A sorted piece, front-coded."""
     suffixes, befores, doc, row, place = zip(*rows, strict=True)
     lengths = np.fromiter(map(len, suffixes), dtype=np.int64, count=len(rows))
-    shared = shared_lengths(_matrix(suffixes, WINDOW))
+    shared = shared_lengths(_matrix(b"".join(suffixes), lengths, WINDOW))
     shared[1:] = np.minimum(shared[1:], np.minimum(lengths[1:], lengths[:-1]))
     tails = b"".join([s[c:] for s, c in zip(suffixes, shared.tolist(), strict=True)])
     docs, at = np.unique(np.array(doc, dtype=np.int64), return_inverse=True)
@@ -165,9 +171,14 @@ def read_piece(data: bytes) -> dict:
         at += n - c
         suffixes.append(last)
     docs = np.frombuffer(parts[6], dtype="<i8")
-    starts = np.concatenate([[0], np.cumsum(before)]).tolist()
-    befores = [parts[8][s:e] for s, e in zip(starts, starts[1:], strict=False)]
-    return {"suffixes": suffixes, "shared": shared.tolist(), "lengths": lengths, "before": before, "befores": befores, "doc": docs[np.frombuffer(parts[3], dtype="<u4")], "row": np.frombuffer(parts[4], dtype="<u4").astype(np.int64), "place": np.frombuffer(parts[5], dtype="<u4").astype(np.int64)}
+    return {"suffixes": suffixes, "shared": shared.tolist(), "lengths": lengths, "before": before, "befores": parts[8], "doc": docs[np.frombuffer(parts[3], dtype="<u4")], "row": np.frombuffer(parts[4], dtype="<u4").astype(np.int64), "place": np.frombuffer(parts[5], dtype="<u4").astype(np.int64)}
+
+
+def records_of(piece: dict) -> Iterator[Record]:
+    """The records of a piece that was read."""
+    ends = itertools.accumulate(piece["before"].tolist(), initial=0)
+    befores = [piece["befores"][s:e] for s, e in itertools.pairwise(ends)]
+    return zip(piece["suffixes"], befores, piece["doc"].tolist(), piece["row"].tolist(), piece["place"].tolist(), strict=True)
 
 
 def merge_runs(suffixes: list[list[bytes]], shared: list[list[int]]) -> tuple[list[int], list[int]]:
@@ -236,6 +247,13 @@ def repeated_windows(shared: np.ndarray, lengths: np.ndarray, before: np.ndarray
     most, least = np.full(n, -1), np.full(n, -1)
     new = shared < SEED
     new[:1] = True
+    # Only beginnings that several documents have can hold repeats.
+    starts = np.flatnonzero(new)
+    several = np.repeat(np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts), np.diff(np.append(starts, n))) if n else new
+    if not several.all():
+        if several.any():
+            most[several], least[several] = repeated_windows(*(x[several] for x in (shared, lengths, before, befores, doc)))
+        return most, least
     group = np.cumsum(new)
     columns = np.zeros((n, -(-BEFORE // 8) * 8), dtype=np.uint8)
     columns[:, :BEFORE] = befores
@@ -285,7 +303,6 @@ def joined(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 OUT = "range int, part int, piece binary, doc bigint, row int, spans binary"
 NAMES = ["range", "part", "piece", "doc", "row", "spans"]
 KINDS = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
-Record = tuple[bytes, bytes, int, int, int]
 
 
 @dataclass(frozen=True)
@@ -401,7 +418,7 @@ def _merge_range(pdf: pd.DataFrame) -> pd.DataFrame:
         for k in range(len(pieces)):
             order[runs == k] = np.arange(base[k], base[k + 1])
         whole = {c: np.concatenate([p[c] for p in pieces])[order] for c in ("lengths", "before", "doc", "row", "place")}
-        befores = _matrix([b for p in pieces for b in p["befores"]], BEFORE)[order]
+        befores = np.concatenate([_matrix(p["befores"], p["before"], BEFORE) for p in pieces])[order]
         most, least = repeated_windows(np.array(shared), whole["lengths"], whole["before"], befores, whole["doc"])
         hit = np.flatnonzero(most >= 0)
         found = list(_span_rows(whole["doc"][hit], whole["row"][hit], whole["place"][hit] - most[hit], whole["place"][hit] - least[hit] + WINDOW))
@@ -416,7 +433,7 @@ def _join_runs(ranges: Ranges):
         out = [(int(d) % ranges.number, 0, None, d, r, s) for d, r, s in pdf[pdf["piece"].isna()][["doc", "row", "spans"]].itertuples(index=False)]
         if pieces:
             order, _ = merge_runs([p["suffixes"] for p in pieces], [p["shared"] for p in pieces])
-            heads = [zip(p["suffixes"], p["befores"], p["doc"].tolist(), p["row"].tolist(), p["place"].tolist(), strict=True) for p in pieces]
+            heads = [records_of(p) for p in pieces]
             merged = [next(heads[k]) for k in order]
             rows = [r for _, same in itertools.groupby(merged, key=lambda r: r[0]) for r in sorted(same)]
             kept, spans = _first_of_equals(rows)

@@ -111,7 +111,7 @@ def test_merge(runs):
 def test_pieces_round_trip():
     rows = sorted(S.records([(5, 0, ("word " * 40 + "é" * 30).encode()), (2, 1, ("other words " * 30).encode())]))
     piece = S.read_piece(S.write_piece(rows))
-    back = list(zip(piece["suffixes"], piece["befores"], piece["doc"].tolist(), piece["row"].tolist(), piece["place"].tolist(), strict=True))
+    back = list(S.records_of(piece))
     assert back == rows
 
 
