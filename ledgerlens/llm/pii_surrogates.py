@@ -2,33 +2,40 @@
 
 Entities are e-mail and IPv4 addresses, phone, card, social security and bank account numbers, and names
 behind a title. An entity is brought to a canonical form, so that the same number in another spelling is
-the same entity, and gets a surrogate from a keyed digest of it: digits stay digits, letters stay letters
-of their script, card and account numbers keep valid check digits, phones keep their country code, names
-keep the gender of their title, and the surface keeps its punctuation and case. Given names and surnames
-are entities of their own, so "Mr. John Smith" and "Mr. Smith" still are one person.
+the same entity (a North American number with and without +1 too), and gets a surrogate from a keyed digest
+of it: digits stay digits, letters stay letters of their script, card and account numbers keep valid check
+digits, phones keep their country code, and the surface keeps its punctuation and case.
+
+Given names and surnames are entities of their own, whatever the title, so "Mr. John Smith", "Dr. John Smith"
+and "Mr. Smith" still are one person. A given name's gender is that of most of its titles in the table. In a
+text that has a full name behind a title, the full name without one is replaced too. Latin, Cyrillic, Greek,
+Arabic and Han names get names of their script; those of other scripts are spelled anew with their own letters.
+Hyphens and apostrophes stay where they are.
 
 All entities of the table are then checked together: of those that share a surrogate, or whose
 surrogate is an entity of the table itself, all but one take the next attempt of the digest, until none
 is left. So equal entities stay equal everywhere, and different ones stay different. Numbers whose format
 is used up get more digits. A phone that begins with + has seven digits at least.
 
-Defined cases: a null text stays null; texts without entities are unchanged; rows that repeat an id or
-a text are treated alike; an empty table gives an empty result; other columns are kept. Matches don't
-overlap; the leftmost counts, and at one place the kind listed first.
+Texts are cut at their entities once; only texts with a sign of an entity are, and only these are held in a
+checkpoint. Defined cases: a null text stays null; texts without entities are unchanged; rows that repeat an id
+or a text are treated alike; an empty table gives an empty result; other columns are kept, and where they have
+the names of new ones, these get longer names. Matches don't overlap; the leftmost counts, and at one place the
+kind listed first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import checkpointed
+from ledgerlens.llm.common import checkpointed, spare_names
 from ledgerlens.llm.secret_scan import let
 
 # Patterns by kind.
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-_TITLES_M = "Mr|Herr|Monsieur|Señor|Sr|Don|г-н|господин"
-_TITLES_F = "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Doña|г-жа|госпожа"
+_TITLES_M = "Mr|Herr|Monsieur|Señor|Sr|Don|г-н|господин|Κος|Κύριος|κύριος|السيد"
+_TITLES_F = "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Doña|г-жа|госпожа|Κα|Κυρία|κυρία|السيدة"
 _TITLES_N = "Dr|Prof|Mx"
 _TITLE_M, _TITLE_F, _TITLE_N = (f"(?:{t}|{t.upper()})" for t in (_TITLES_M, _TITLES_F, _TITLES_N))
 # Java takes no repeated group in a look-behind.
@@ -40,11 +47,15 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z])|(?<![0-9A-Za-z])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9A-Za-z])",
     "phone": rf"(?<![0-9A-Za-z+])(?:\+[0-9]{{1,3}}(?:[ .()/-]{{0,2}}[0-9]{{1,4}}){{2,6}}(?<={_SIX_DIGITS}[0-9])|\([0-9]{{3}}\)[ -]?[0-9]{{3}}[ .-][0-9]{{4}}|[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}})(?![0-9])",
-    "name": rf"(?<![\p{{L}}])(?:{_TITLE_M}|{_TITLE_F}|{_TITLE_N})\.?\x20\p{{Lu}}[\p{{L}}'-]+(?:\x20\p{{Lu}}[\p{{L}}'-]+){{0,2}}",
+    "name": rf"(?<![\p{{L}}])(?:{_TITLE_M}|{_TITLE_F}|{_TITLE_N})\.?\x20(?:\p{{Lu}}[\p{{L}}\p{{M}}'’-]+(?:\x20\p{{Lu}}[\p{{L}}\p{{M}}'’-]+){{0,2}}|\p{{Lo}}[\p{{L}}\p{{M}}]*(?:\x20\p{{Lo}}[\p{{L}}\p{{M}}]*)?)",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# All kinds, so put that most places within a word fail at the first look.
+_AT_START, _AT_DIGIT, _INSIDE = (["email", "iban"], ["ipv4", "ssn", "card"], ["ipv4", "ssn"])
+_either = lambda kinds: "|".join(f"(?:{PATTERNS[k]})" for k in kinds)
+ANY = rf"(?<![0-9A-Za-z])(?:{_either(_AT_START)}|(?=[0-9])(?:{_either(_AT_DIGIT)})|{_either(['phone', 'name'])})|(?<=[A-Za-z])(?=[0-9])(?:{_either(_INSIDE)})"
 #: Texts without one of these hold no entity; it is tried first because it is quick.
-HINT = r"@|[0-9]{3}|[0-9]\.[0-9]|\+[0-9]|(?:" + "|".join([_TITLE_M, _TITLE_F, _TITLE_N]) + r")\.?\x20\p{Lu}"
+HINT = r"@|[0-9]{3}|[0-9]\.[0-9]|\+[0-9]|(?<![\p{L}])(?:" + "|".join([_TITLE_M, _TITLE_F, _TITLE_N]) + r")\.?\x20[\p{Lu}\p{Lo}]"
+TITLE = rf"^(?:{_TITLE_M}|{_TITLE_F}|{_TITLE_N})\.?\x20"
 COUNTRY = r"^\+(1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 # Given names by script and gender, and syllables of surnames by script.
 GIVEN = {
@@ -54,8 +65,27 @@ GIVEN = {
     ("cyrillic", "m"): "Антон Борис Виктор Глеб Денис Егор Иван Кирилл".split(),
     ("cyrillic", "f"): "Анна Вера Дарья Елена Ирина Мария Нина Ольга".split(),
     ("cyrillic", "n"): "Саша Женя Валя Шура".split(),
+    ("greek", "m"): "Ανδρέας Γιώργος Δημήτρης Κώστας Νίκος Πέτρος Σπύρος Τάσος".split(),
+    ("greek", "f"): "Άννα Ελένη Ιωάννα Κατερίνα Μαρία Νίκη Σοφία Χριστίνα".split(),
+    ("greek", "n"): "Άλεξ Κάρολ Νικόλ Ρόμπιν".split(),
+    ("arabic", "m"): "أحمد خالد سامي عمر كريم ماجد نبيل ياسر".split(),
+    ("arabic", "f"): "أمينة خديجة سلمى عائشة فاطمة ليلى مريم هدى".split(),
+    ("arabic", "n"): "نور رضا صباح وسام".split(),
+    ("han", "m"): "伟 强 军 勇 杰 涛 明 磊".split(),
+    ("han", "f"): "芳 娜 敏 静 丽 艳 娟 霞".split(),
+    ("han", "n"): "文 平 华 宁".split(),
+}
+SYLLABLES = {
+    "latin": "ba be bo da de do fa fe ga go ka ke ko la le lo ma me mo na ne no ra re ro sa se ta te to va".split(),
+    "cyrillic": "ба бо ва ве го да де зо ка ко ла ле ма мо на не ра ро са те то".split(),
+    "greek": "βα βο γα δε θα κα κο λα λε μα μο να νε πα ρα ρο σα τε".split(),
+    "arabic": "با دا را سا شا فا كا لا ما نا ها يا بو دو رو سو".split(),
+    "han": "安 白 曹 陈 邓 丁 方 高 郭 何 江 林 罗 马 孟 潘 任 宋 田 许".split(),
 }
-SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ka ke ko la le lo ma me mo na ne no ra re ro sa se ta te to va".split(), "cyrillic": "ба бо ва ве го да де зо ка ко ла ле ма мо на не ра ро са те то".split()}
+#: Ends of surnames, and of women's given names that are lengthened.
+ENDS = {"latin": ("n", "na"), "cyrillic": ("в", "на"), "greek": ("ς", "να"), "arabic": ("ي", "ة"), "han": ("", "")}
+SCRIPTS = {script: rf"\p{{Is{script.capitalize()}}}" for script in SYLLABLES}
+_JOINTS = "[-'’]"
 #: Attempts after which surrogates of one format count as used up, and get longer with each attempt.
 SAME_FORMAT = 8
 
@@ -104,7 +134,38 @@ def _pick(names: list[str], n: Column) -> Column:
     return F.get(F.array(*map(F.lit, names)), n % len(names))
 
 
-def surrogate_of(kind: Column, canonical: Column, attempt: Column, secret: str) -> Column:
+def _joined(segments: Column, joints: Column) -> Column:
+    return F.array_join(F.flatten(F.zip_with(segments, joints, lambda a, b: F.array(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))), "")
+
+
+def _name(kind: Column, canonical: Column, gender: Column, attempt: Column, h: Column) -> Column:
+    """A name of the same script, segment by segment between hyphens and apostrophes."""
+    most = F.least(attempt, F.lit(8))
+
+    def spelled(script: str, n: Column, shift: Column) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: _pick(SYLLABLES[script], _byte(h, i + shift))), "")
+
+    def segment(value: Column, place: Column) -> Column:
+        shift = place * 5
+        letters = _chars(value)
+        own = F.array_join(F.transform(F.sequence(F.lit(0), F.length(value) - 1 + most), lambda i: F.get(letters, _byte(h, i + shift) % F.size(letters))), "")
+        out = F.when(F.length(value) == 0, "")
+        for script, pattern in SCRIPTS.items():
+            end, woman = ENDS[script]
+            given = _pick([n.lower() for n in GIVEN[script, "n"]], _byte(h, shift))
+            for g in ("m", "f"):
+                given = F.when(gender == g, _pick([n.lower() for n in GIVEN[script, g]], _byte(h, shift))).otherwise(given)
+            given = F.concat(given, F.when(attempt > 0, F.concat(spelled(script, most, shift), F.when(gender == "f", woman).otherwise(""))).otherwise(""))
+            surname = F.concat(spelled(script, most + (0 if script == "han" else 2), shift), F.lit(end))
+            # An initial as in O'Neil stays one letter, until there are too few.
+            short = (F.length(value) == 1) & (F.lit(script) != "han") & (F.length(canonical) > 1)
+            out = out.when(value.rlike(pattern), F.when(short, F.substring(surname, 1, 1)).when(kind == "surname", surname).otherwise(given))
+        return out.otherwise(own)
+
+    return _joined(F.transform(F.split(canonical, _JOINTS, -1), segment), F.regexp_extract_all(canonical, F.lit(_JOINTS), F.lit(0)))
+
+
+def surrogate_of(kind: Column, canonical: Column, gender: Column, attempt: Column, secret: str) -> Column:
     """The surrogate of a canonical form at an attempt."""
     digest = lambda *more: F.sha2(F.concat_ws("|", F.lit(secret), kind, *more).cast("binary"), 256)
 
@@ -130,25 +191,18 @@ def surrogate_of(kind: Column, canonical: Column, attempt: Column, secret: str)
         iban = F.concat(country, F.lpad((98 - iban_rest(country, new, F.lit("00"))).cast("string"), 2, "0"), new)
         rest = F.substring_index(canonical, ":", -1)
         phone = F.concat(F.substring_index(canonical, ":", 1), F.lit(":"), (_byte(h, 30) % 8 + 2).cast("string"), _like(rest.substr(F.lit(2), F.length(rest)), h), wider)
-        cyrillic = canonical.rlike(r"\p{IsCyrillic}")
-        syllables = lambda n: F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: F.when(cyrillic, _pick(SYLLABLES["cyrillic"], _byte(h, i))).otherwise(_pick(SYLLABLES["latin"], _byte(h, i)))), "")
-        surname = F.concat(syllables(F.least(attempt, F.lit(8)) + 2), F.when(cyrillic, "в").otherwise("n"))
-        given = F.lit(None).cast("string")
-        for (script, gender), names in GIVEN.items():
-            fits = (kind == f"given_{gender}") & (cyrillic if script == "cyrillic" else ~cyrillic)
-            given = F.when(fits, F.lower(_pick(names, _byte(h, 0)))).otherwise(given)
-        given = F.concat(given, F.when(attempt > 0, F.concat(syllables(F.least(attempt, F.lit(8))), F.when(kind == "given_f", F.when(cyrillic, "на").otherwise("na")).otherwise(""))).otherwise(""))
         out = F.when(kind == "email", email)
-        for name, value in (("ipv4", ipv4), ("ssn", ssn), ("card", card), ("iban", iban), ("phone", phone), ("surname", surname)):
+        for name, value in (("ipv4", ipv4), ("ssn", ssn), ("card", card), ("iban", iban), ("phone", phone)):
             out = out.when(kind == name, value)
-        return out.otherwise(given)
+        return out.otherwise(_name(kind, canonical, gender, attempt, h))
 
     return let(digest(canonical, attempt.cast("string")), of)
 
 
 def kind_of(value: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for kind, pattern in reversed(PATTERNS.items()):
+    """The kind of a match; names that have no title are names too."""
+    out = F.lit("name")
+    for kind, pattern in reversed([x for x in PATTERNS.items() if x[0] != "name"]):
         out = F.when(value.rlike(f"^(?:{pattern})$"), F.lit(kind)).otherwise(out)
     return out
 
@@ -156,18 +210,24 @@ def kind_of(value: Column) -> Column:
 def parts_of(kind: Column, value: Column) -> Column:
     """(kind, canonical, lead, surface) of what is replaced in a match: one part, or each name behind the title."""
     digits = F.regexp_replace(value, "[^0-9]", "")
-    country = F.coalesce(F.regexp_extract(value, COUNTRY, 1), F.lit(""))
+    # A number without + is a North American one, by its pattern.
+    signed = value.startswith("+")
+    country = F.when(signed, F.coalesce(F.regexp_extract(value, COUNTRY, 1), F.lit(""))).otherwise("1")
     canonical = (
         F.when(kind.isin("email", "ipv4"), F.lower(value))
         .when(kind == "iban", F.regexp_replace(value, " ", ""))
-        .when(kind == "phone", F.concat(country, F.lit(":"), digits.substr(F.length(country) + 1, F.length(digits))))
+        .when(kind == "phone", F.concat(country, F.lit(":"), F.when(signed, digits.substr(F.length(country) + 1, F.length(digits))).otherwise(digits)))
         .otherwise(digits)
     )
-    plain = F.array(F.struct(kind.alias("kind"), canonical.alias("canonical"), F.lit("").alias("lead"), value.alias("surface")))
-    title = F.regexp_extract(value, rf"^({_TITLE_M}|{_TITLE_F}|{_TITLE_N})\.?\x20", 0)
-    gender = F.when(title.rlike(rf"^{_TITLE_M}[. ]"), "m").when(title.rlike(rf"^{_TITLE_F}[. ]"), "f").otherwise("n")
+    plain = F.array(F.struct(kind.alias("kind"), canonical.alias("canonical"), F.lit("").alias("gender"), F.lit("").alias("lead"), value.alias("surface")))
+    title = F.regexp_extract(value, TITLE, 0)
+    gender = F.when(title.rlike(rf"^{_TITLE_M}[. ]"), "m").when(title.rlike(rf"^{_TITLE_F}[. ]"), "f").otherwise("")
     names = F.split(value.substr(F.length(title) + 1, F.length(value)), " ")
-    part = lambda n, i: F.struct(F.when(i == F.size(names) - 1, F.lit("surname")).otherwise(F.concat(F.lit("given_"), gender)).alias("kind"), F.lower(n).alias("canonical"), F.when(i == 0, title).otherwise(F.lit(" ")).alias("lead"), n.alias("surface"))
+
+    def part(n: Column, i: Column) -> Column:
+        last = i == F.size(names) - 1
+        return F.struct(F.when(last, "surname").otherwise("given").alias("kind"), F.replace(F.lower(n), F.lit("’"), F.lit("'")).alias("canonical"), F.when(last, "").otherwise(gender).alias("gender"), F.when(i == 0, title).otherwise(F.lit(" ")).alias("lead"), n.alias("surface"))
+
     return F.when(kind == "name", F.transform(names, part)).otherwise(plain)
 
 
@@ -181,54 +241,74 @@ def dressed(kind: Column, surface: Column, surrogate: Column) -> Column:
         # What has no place follows behind.
         return F.aggregate(_chars(slots), start, step, lambda s: F.concat(s["out"], new.substr(s["at"], F.length(new))))
 
-    upper, initial = surface == F.upper(surface), F.substring(surface, 1, 1) == F.upper(F.substring(surface, 1, 1))
-    cased = F.when(upper & (F.length(surface) > 1), F.upper(surrogate)).when(initial, F.concat(F.upper(F.substring(surrogate, 1, 1)), surrogate.substr(F.lit(2), F.length(surrogate)))).otherwise(surrogate)
+    def cased(new: Column, old: Column) -> Column:
+        first = F.concat(F.upper(F.substring(new, 1, 1)), new.substr(F.lit(2), F.length(new)))
+        return F.when((old == F.upper(old)) & (F.length(old) > 1), F.upper(new)).when(F.substring(old, 1, 1) == F.upper(F.substring(old, 1, 1)), first).otherwise(new)
+
+    name = _joined(F.zip_with(F.split(surrogate, _JOINTS, -1), F.split(surface, _JOINTS, -1), cased), F.regexp_extract_all(surface, F.lit(_JOINTS), F.lit(0)))
     # An e-mail address keeps upper case only where all of it has it.
     email = F.when(surface == F.upper(surface), F.upper(surrogate)).otherwise(surrogate)
-    number = F.regexp_replace(surrogate, ":", "")
-    return F.when(kind == "email", email).when(kind == "ipv4", surrogate).when(kind.isin("ssn", "card", "iban", "phone"), lay(surface, number)).otherwise(cased)
+    number = F.when((kind == "phone") & ~surface.startswith("+"), F.substring_index(surrogate, ":", -1)).otherwise(F.regexp_replace(surrogate, ":", ""))
+    return F.when(kind == "email", email).when(kind == "ipv4", surrogate).when(kind.isin("ssn", "card", "iban", "phone"), lay(surface, number)).otherwise(name)
 
 
 def assign_surrogates(entities: DataFrame, secret: str) -> DataFrame:
-    """Distinct (kind, canonical) to (kind, canonical, surrogate): different ones get different surrogates, none of which is an entity."""
+    """Distinct (kind, canonical, gender) to (kind, canonical, surrogate): different ones get different surrogates, none of which is an entity.
+
+    Those that share a surrogate are only counted out by a minimum, which is taken before the shuffle too.
+    """
     known = entities.select(F.col("kind").alias("k"), F.col("canonical").alias("c"))
     table = entities.withColumn("attempt", F.lit(0))
     while True:
-        table = table.withColumn("surrogate", surrogate_of(F.col("kind"), F.col("canonical"), F.col("attempt"), secret))
+        table = table.withColumn("surrogate", surrogate_of(F.col("kind"), F.col("canonical"), F.col("gender"), F.col("attempt"), secret))
         table = table.join(known, (F.col("kind") == F.col("k")) & (F.col("surrogate") == F.col("c")), "left").withColumn("taken", F.col("c").isNotNull()).drop("k", "c")
-        order = Window.partitionBy("kind", "surrogate").orderBy("attempt", "canonical")
-        table = checkpointed(table.withColumn("again", F.col("taken") | (F.row_number().over(order) > 1)).drop("taken"))
+        table = checkpointed(table)
+        first = table.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "canonical"))["canonical"].alias("first"))
+        table = checkpointed(table.join(first, ["kind", "surrogate"]).withColumn("again", F.col("taken") | (F.col("canonical") != F.col("first"))).drop("taken", "first"))
         if table.where("again").isEmpty():
             return table.select("kind", "canonical", "surrogate")
-        table = table.select("kind", "canonical", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
+        table = table.select("kind", "canonical", "gender", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
+
+
+#: Parts of a text are marked off by this; a first half that a text has itself is told apart by another second half.
+MARK, HALF, ESCAPED = "\x01\x03", "\x01", "\x01\x02"
+
+
+def cut_at_entities(text: Column) -> Column:
+    """Pieces of a text, of which every second one is an entity; full names behind titles are also found without one."""
+    cut = lambda value, pattern: F.split(F.regexp_replace(value, pattern, F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+
+    def again(parts: Column) -> Column:
+        titled = F.transform(F.filter(parts, lambda p, i: (i % 2 == 1) & p.rlike(TITLE)), lambda p: F.regexp_replace(p, TITLE, ""))
+        full = F.reverse(F.array_sort(F.transform(F.array_distinct(F.filter(titled, lambda n: n.contains(" "))), lambda n: F.struct(F.length(n).alias("n"), n.alias("name")))))
+        either = F.array_join(F.transform(full, lambda x: F.concat(F.lit("\\Q"), x["name"], F.lit("\\E"))), "|")
+        bare = F.concat(F.lit(r"(?<![\p{L}])(?:"), either, F.lit(r")(?![\p{L}'’-])"))
+        return F.when(F.size(full) > 0, F.flatten(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.array(p)).otherwise(cut(p, bare))))).otherwise(parts)
+
+    return let(cut(F.replace(text, F.lit(HALF), F.lit(ESCAPED)), F.lit(ANY)), again)
 
 
-def replace_entities(docs: DataFrame, secret: str = "surrogate-key-1", key: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
+def replace_entities(docs: DataFrame, secret: str = "surrogate-key-1", text: str = "text", length: str = "n_chars") -> DataFrame:
     """All rows and columns with surrogates in the text, the length renewed where there is such a column, and n_entities and kinds."""
-    has = F.coalesce(F.col(text).rlike(HINT) & F.col(text).rlike(ANY), F.lit(False))
-    marked = docs.withColumn("__has", has)
-    some = marked.where("__has").withColumns({"__key": F.col(key), "__hash": F.xxhash64(text)})
-    matches = F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))
-    found = some.select("__key", "__hash", F.posexplode(matches).alias("i", "value"))
-    found = found.withColumn("whole", kind_of(F.col("value"))).where("whole is not null").withColumn("parts", parts_of(F.col("whole"), F.col("value")))
-    found = checkpointed(found.select("__key", "__hash", "i", F.col("whole"), F.posexplode("parts").alias("j", "part")).select("__key", "__hash", "i", "whole", "j", "part.*"))
-    table = assign_surrogates(found.select("kind", "canonical").distinct(), secret)
-    shown = found.join(table, ["kind", "canonical"]).select("__key", "__hash", "i", "whole", "j", F.concat("lead", dressed(F.col("kind"), F.col("surface"), F.col("surrogate"))).alias("piece"))
-    once = shown.groupBy("__key", "__hash", "i", "j").agg(F.min("whole").alias("whole"), F.min("piece").alias("piece"))
-    whole = once.groupBy("__key", "__hash", "i").agg(F.min("whole").alias("kind"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", "piece"))), lambda x: x["piece"]), "").alias("shown"))
-    by_doc = whole.groupBy(F.col("__key").alias("__k"), F.col("__hash").alias("__h")).agg(F.array_sort(F.collect_list(F.struct("i", "shown", "kind"))).alias("__new"))
-    met = some.join(by_doc, F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__hash") == F.col("__h")))
-    between = F.split(F.col(text), ANY, -1)
-    rebuilt = F.array_join(F.flatten(F.zip_with(between, F.col("__new"), lambda p, x: F.array(p, F.coalesce(x["shown"], F.lit(""))))), "")
-    columns = [c for c in docs.columns if c not in ("n_entities", "kinds")]
-
-    def result(rows: DataFrame, new: Column, count: Column, kinds: Column) -> DataFrame:
-        out = rows.withColumns({"__text": new, "n_entities": count, "kinds": kinds})
-        shape = {text: F.col("__text")}
-        if length in columns:
-            shape[length] = F.when(F.col("n_entities") > 0, F.length("__text").cast(dict(docs.dtypes)[length])).otherwise(F.col(length))
-        return out.select(*[shape.get(c, F.col(c)).alias(c) for c in columns], "n_entities", "kinds")
-
-    changed = result(met, rebuilt, F.size("__new"), F.array_join(F.transform("__new", lambda x: x["kind"]), ","))
-    same = result(marked.where("not __has"), F.col(text), F.lit(0), F.lit(""))
+    count, kinds, row, parts, to, new = spare_names(docs, "n_entities", "kinds", "row", "parts", "to", "new")
+    hinted = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
+    held = checkpointed(docs.where(hinted).withColumns({row: F.monotonically_increasing_id(), parts: cut_at_entities(F.col(text))}))
+    matches = held.where(F.size(parts) > 1).select(F.col(row).alias("row"), F.posexplode(F.filter(parts, lambda p, i: i % 2 == 1)).alias("i", "value"))
+    found = matches.withColumn("whole", kind_of(F.col("value"))).select("row", "i", "whole", F.posexplode(parts_of(F.col("whole"), F.col("value"))).alias("j", "part")).select("row", "i", "whole", "j", "part.*")
+    men, women = F.count_if(F.col("gender") == "m"), F.count_if(F.col("gender") == "f")
+    entities = found.groupBy("kind", "canonical").agg(F.when(men > women, "m").when(women > men, "f").otherwise("n").alias("gender"))
+    table = assign_surrogates(checkpointed(entities), secret)
+    shown = found.join(table, ["kind", "canonical"]).select("row", "i", "whole", "j", F.concat("lead", dressed(F.col("kind"), F.col("surface"), F.col("surrogate"))).alias("piece"))
+    ordered = lambda place, value: F.transform(F.array_sort(F.collect_list(F.struct(place, value))), lambda x: x[value])
+    whole = shown.groupBy("row", "i").agg(F.min("whole").alias("kind"), F.array_join(ordered("j", "piece"), "").alias("shown"))
+    by_row = whole.groupBy(F.col("row").alias(to)).agg(F.array_sort(F.collect_list(F.struct("i", "shown", "kind"))).alias(new))
+    met = held.join(by_row, F.col(row) == F.col(to), "left")
+    piece = lambda p, i: F.when(i % 2 == 1, F.get(F.col(new), ((i - 1) / 2).cast("int"))["shown"]).otherwise(F.replace(p, F.lit(ESCAPED), F.lit(HALF)))
+    rebuilt = F.when(F.col(new).isNotNull(), F.array_join(F.transform(parts, piece), "")).otherwise(F.col(text))
+    shape = {text: rebuilt}
+    if length in docs.columns:
+        shape[length] = F.when(F.col(new).isNotNull(), F.length(rebuilt).cast(dict(docs.dtypes)[length])).otherwise(F.col(length))
+    listed = F.array_join(F.transform(F.coalesce(F.col(new), F.array().cast("array<struct<i:int,shown:string,kind:string>>")), lambda x: x["kind"]), ",")
+    changed = met.select(*[shape.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns], F.when(F.col(new).isNotNull(), F.size(new)).otherwise(0).alias(count), listed.alias(kinds))
+    same = docs.where(~hinted).select("*", F.lit(0).alias(count), F.lit("").alias(kinds))
     return changed.union(same)

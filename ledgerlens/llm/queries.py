@@ -20,7 +20,8 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_surrogates.replace_entities(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars", "n_entities", "kinds")
+    secret = spark.conf.get("spark.ledgerlens.surrogateKey", "surrogate-key-1")
+    return pii_surrogates.replace_entities(table(spark, sf_dir, "documents"), secret).select("doc_id", "text", "n_chars", "n_entities", "kinds")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

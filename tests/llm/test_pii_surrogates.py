@@ -1,8 +1,10 @@
 """Surrogates keep kind, format, gender and script, stay distinct, and stay the same for the same entity."""
 
+import random
 import re
 
 import pytest
+import regex
 
 from ledgerlens.llm import pii_surrogates as P
 
@@ -80,7 +82,7 @@ def test_account_number_is_valid(rows):
 
 
 def test_distinct_under_collisions(spark):
-    entities = spark.createDataFrame([("given_m", f"name{k}") for k in range(400)] + [("email", f"{c}@x.com") for c in "abcdefghijklmnopqrstuvwxyz"] + [("surname", "baben")], "kind string, canonical string")
+    entities = spark.createDataFrame([("given", f"name{k}", "m") for k in range(400)] + [("email", f"{c}@x.com", "n") for c in "abcdefghijklmnopqrstuvwxyz"] + [("surname", "baben", "n")], "kind string, canonical string, gender string")
     got = P.assign_surrogates(entities, "k").collect()
     pairs = {(r["kind"], r["surrogate"]) for r in got}
     assert len(got) == 427 == len(pairs)
@@ -88,7 +90,7 @@ def test_distinct_under_collisions(spark):
 
 
 def test_used_up_formats_get_longer(spark):
-    entities = spark.createDataFrame([("phone", f"1:{n}") for n in range(100)] + [("phone", f"7:{n:02d}") for n in range(100)], "kind string, canonical string").distinct()
+    entities = spark.createDataFrame([("phone", f"1:{n}", "n") for n in range(100)] + [("phone", f"7:{n:02d}", "n") for n in range(100)], "kind string, canonical string, gender string").distinct()
     got = P.assign_surrogates(entities, "k").collect()
     assert len({r["surrogate"] for r in got}) == len(got) == entities.count()
     assert not {r["surrogate"] for r in got} & {r["canonical"] for r in got}
@@ -101,5 +103,88 @@ def test_signed_numbers_are_no_phones(spark):
     assert out[1]["kinds"] == "phone,phone" and out[1]["text"].startswith("call +1 2 3 4 5 6 77777 or +385 ")
 
 
+PEOPLE = {
+    1: "Mr. John Smith saw Dr. John Smith. John Smith left; Johnson Smithson and John Smithers stayed.",
+    2: "Dr. John Smith and Mrs. John Smith, Mr. John Smith",
+    3: "Mr. Γιάννης Παπαδόπουλος and Dr. 王伟 and Dr. محمد علي and г-н Иван Петров and Dr. משה",
+    4: "Mr. Jean-Luc O'Neil met Mr. JEAN-LUC O'NEIL and Mr. Jean-Luc O’Neil",
+    5: "call 212-555-1234 or +1 212 555 1234 or (212) 555-1234",
+    6: "marks \x01\x03 and \x01\x02 stay, a@b.org goes \x01",
+}
+
+
+@pytest.fixture(scope="module")
+def people(spark):
+    docs = spark.createDataFrame([(i, t, 7, "x", "y", len(t)) for i, t in PEOPLE.items()], "doc_id bigint, text string, n_entities int, parts string, Row string, n_chars bigint")
+    return {r["doc_id"]: r for r in P.replace_entities(docs).collect()}
+
+
+def test_one_person_under_all_titles(people):
+    text = people[1]["text"]
+    name = re.match(r"Mr\. (\w+ \w+) saw", text)[1]
+    assert text == f"Mr. {name} saw Dr. {name}. {name} left; Johnson Smithson and John Smithers stayed."
+    assert name.split()[0] in P.GIVEN["latin", "m"]  # two Mr. against one Mrs. in the table
+    assert people[2]["text"] == f"Dr. {name} and Mrs. {name}, Mr. {name}"
+    assert people[1]["kinds"] == "name,name,name"
+
+
+def test_names_keep_their_script_and_joints(people):
+    greek, han, arabic, cyrillic, hebrew = re.fullmatch(r"Mr\. (.+) and Dr\. (.+) and Dr\. (.+) and г-н (.+) and Dr\. (.+)", people[3]["text"]).groups()
+    for name, low, high, old in ((greek, 0x370, 0x3FF, "Γιάννης Παπαδόπουλος"), (han, 0x4E00, 0x9FFF, "王伟"), (arabic, 0x600, 0x6FF, "محمد علي"), (cyrillic, 0x400, 0x4FF, "Иван Петров"), (hebrew, 0x590, 0x5FF, "משה")):
+        assert name != old
+        assert all(low <= ord(c) <= high for c in name.replace(" ", ""))
+        assert name.count(" ") == old.count(" ")
+    first, upper, curly = re.fullmatch(r"Mr\. (.+) met Mr\. (.+) and Mr\. (.+)", people[4]["text"]).groups()
+    assert re.fullmatch(r"[A-Z]\w+-[A-Z]\w+ [A-Z]'[A-Z]\w+", first)
+    assert upper == first.upper()
+    assert curly == first.replace("'", "’")
+
+
+def test_one_number_in_all_formats(people):
+    plain, signed, bracketed = re.fullmatch(r"call (.+) or (.+) or (.+)", people[5]["text"]).groups()
+    assert re.fullmatch(r"\d{3}-\d{3}-\d{4}", plain) and plain != "212-555-1234"
+    assert signed == "+1 " + plain.replace("-", " ")
+    assert bracketed == f"({plain[:3]}) {plain[4:]}"
+
+
+def test_clashing_names_and_marks(people):
+    row = people[6].asDict()
+    assert list(row) == ["doc_id", "text", "n_entities", "parts", "Row", "n_chars", "n_entities_", "kinds"]
+    assert (row["n_entities"], row["parts"], row["Row"], row["n_entities_"]) == (7, "x", "y", 1)
+    assert re.fullmatch("marks \x01\x03 and \x01\x02 stay, .@.*[.]example[.]org goes \x01", row["text"])
+    assert row["n_chars"] == len(row["text"])
+
+
+def test_equals_plain_replacement(spark):
+    """Every text again with Python's expressions: what lies between entities stays, and entities map one to one."""
+    rng = random.Random(5)
+    made = [
+        lambda: f"{rng.choice('abc')}{rng.randrange(9)}@mail{rng.randrange(3)}.com",
+        lambda: f"{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}",
+        lambda: f"{rng.randrange(100, 1000)}-{rng.randrange(10, 100)}-{rng.randrange(1000, 10000)}",
+        lambda: f"+1 {rng.randrange(200, 210)} 555 {rng.randrange(1000, 1010)}",
+        lambda: f"Mr. {rng.choice(['Adam', 'Zed'])} {rng.choice(['Smith', 'Jones', 'Lee'])}",
+        lambda: f"v{rng.randrange(30)}", lambda: rng.choice(["word", "Word", "12 345", "a-b"]),
+    ]
+    texts = [", ".join(rng.choice(made)() for _ in range(rng.randrange(12))) for _ in range(150)]
+    got = {r["doc_id"]: r for r in P.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    entity = regex.compile("|".join(f"(?:{p})" for p in P.PATTERNS.values()))
+    there, back = {}, {}
+    for i, text in enumerate(texts):
+        old, new = text.split(", "), got[i]["text"].split(", ")
+        assert len(old) == len(new)
+        assert got[i]["n_entities"] == sum(bool(entity.fullmatch(x)) for x in old)
+        for a, b in zip(old, new, strict=True):
+            assert (a == b) != bool(entity.fullmatch(a))
+            for x, y in zip(a.split(), b.split(), strict=True) if a.startswith("Mr.") else [(a, b)]:
+                assert there.setdefault(x, y) == y
+                assert back.setdefault(y, x) == x
+
+
+def test_no_python_in_the_plan(spark):
+    out = P.replace_entities(spark.createDataFrame([(1, "a@b.com")], "doc_id bigint, text string"))
+    assert "Python" not in out._jdf.queryExecution().toString()
+
+
 def test_empty_table(spark):
     assert P.replace_entities(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
