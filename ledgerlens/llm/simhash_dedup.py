@@ -9,11 +9,14 @@ distance is then checked.
 
 Documents with equal fingerprints are one node from the start. A key's fingerprints are compared where
 they meet; only a spanning forest of the links that a task finds leaves it. Keys that more than
-`BLOCK` fingerprints share are compared in pairs of blocks, each in a task of its own.
+`BLOCK` fingerprints share are told by a count before, and dealt in pairs of blocks, so that no task ever gets
+all of such a key.
 
 Defined cases: a null or empty text has no words and the fingerprint zero, which links like any other;
 rows that repeat a doc_id each get a row; an empty table gives an empty result; ties do not arise, as
-the smallest doc_id names a component; other columns are ignored.
+the smallest doc_id names a component, and null names one only where all its ids are null; other columns are
+ignored. `keep_first` leaves one row of each component: of rows that share the smallest id that with the
+smallest hash of its text, and one of equal rows.
 """
 
 from __future__ import annotations
@@ -24,10 +27,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import checkpointed, packed_texts, text_slices, unpacked_texts
+from ledgerlens.llm.common import checkpointed, packed_texts, spare_names, text_slices, unpacked_texts
 from ledgerlens.llm.components import connected_components
 
 SEED, MOST_BITS = 42, 4
@@ -57,14 +60,14 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and fp, the fingerprint as a signed 64-bit integer."""
+    """key, fp (the fingerprint as a signed 64-bit integer) and hash, the XXH64 of the text."""
 
     def run(batches):
         for batch in text_slices(batches):
             found = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[key, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), batch.column(2)], names=[key, "fp", "hash"])
 
-    return docs.select(key, F.col(text).alias("text")).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, fp bigint")
+    return docs.select(key, F.col(text).alias("text"), F.xxhash64(text).alias("hash")).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, fp bigint, hash bigint")
 
 
 @functools.lru_cache(maxsize=1)
@@ -186,59 +189,40 @@ def _links(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return forest(a[a != b], b[a != b])
 
 
-def _link_rows(split: bool):
-    """For mapInArrow over rows (key, fp) sorted by key within the partition: links (key null, a, b), and for keys of too many rows (key with block numbers, fp, fp)."""
-
-    def out(cell, a, b):
-        return pa.RecordBatch.from_arrays([pa.array(cell, pa.string()) if cell is not None else pa.nulls(len(a), pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["cell", "a", "b"])
-
-    def cells(key: int, fps: np.ndarray):
-        fps = np.unique(fps)
-        blocks = -(-len(fps) // BLOCK)
-        for k in range(blocks):
-            own = fps[k * BLOCK : (k + 1) * BLOCK]
-            for other in range(blocks):
-                yield out([f"{key}:{min(k, other)}:{max(k, other)}"] * len(own), own, own)
-
-    def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def done(keys, fps):
-            nonlocal a, b
-            if split:
-                border = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
-                big = np.flatnonzero(np.diff(border) > BLOCK)
-                drop = np.zeros(len(keys), dtype=bool)
-                for k in big.tolist():
-                    yield from cells(int(keys[border[k]]), fps[border[k] : border[k + 1]])
-                    drop[border[k] : border[k + 1]] = True
-                keys, fps = keys[~drop], fps[~drop]
-            if len(keys):
-                more = _links(keys, fps)
-                a, b = forest(np.concatenate([a, more[0]]), np.concatenate([b, more[1]]))
-            if len(a) > 1 << 20:  # what a task holds is bounded; the components are joined later
-                yield out(None, a, b)
-                a, b = a[:0], b[:0]
-
-        for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            fps = batch.column(1).to_numpy(zero_copy_only=False)
-            if not len(keys):
-                continue
-            held.append((keys, fps))
-            if keys[0] == keys[-1] and held[0][0][0] == keys[0]:
-                continue  # the key may go on
-            keys, fps = (np.concatenate(x) for x in zip(*held, strict=True))
-            last = len(keys) - int(np.argmax(keys[::-1] != keys[-1])) if keys[0] != keys[-1] else 0
-            held = [(keys[last:], fps[last:])]
-            yield from done(keys[:last], fps[:last])
-        if held:
-            yield from done(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        if len(a):
-            yield out(None, a, b)
-
-    return run
+def _link_rows(batches):
+    """For mapInArrow over rows (key, fp) sorted by key within the partition: links (a, b)."""
+
+    def out(a, b):
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(keys, fps):
+        nonlocal a, b
+        more = _links(keys, fps)
+        a, b = forest(np.concatenate([a, more[0]]), np.concatenate([b, more[1]]))
+
+    for batch in batches:
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        fps = batch.column(1).to_numpy(zero_copy_only=False)
+        if not len(keys):
+            continue
+        held.append((keys, fps))
+        if keys[0] == keys[-1] and held[0][0][0] == keys[0]:
+            continue  # the key may go on
+        keys, fps = (np.concatenate(x) for x in zip(*held, strict=True))
+        last = len(keys) - int(np.argmax(keys[::-1] != keys[-1])) if keys[0] != keys[-1] else 0
+        held = [(keys[last:], fps[last:])]
+        if last:
+            add(keys[:last], fps[:last])
+        if len(a) > 1 << 20:  # what a task holds is bounded; the components are joined later
+            yield out(a, b)
+            a, b = a[:0], b[:0]
+    if held:
+        add(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    if len(a):
+        yield out(a, b)
 
 
 def fingerprint_links(fps: DataFrame) -> DataFrame:
@@ -251,24 +235,48 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
                 keys, rows = golay_keys(own)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own[rows])], names=["key", "fp"])
 
-    keys = fps.select("fp").mapInArrow(emit, "key bigint, fp bigint").repartition("key").sortWithinPartitions("key")
-    found = checkpointed(keys.mapInArrow(_link_rows(True), "cell string, a bigint, b bigint"))
-    cells = found.where("cell is not null").select(F.xxhash64("cell").alias("key"), F.col("a").alias("fp")).repartition("key").sortWithinPartitions("key")
-    return found.where("cell is null").select("a", "b").union(cells.mapInArrow(_link_rows(False), "cell string, a bigint, b bigint").select("a", "b"))
+    rows = fps.select("fp").mapInArrow(emit, "key bigint, fp bigint")
+    large = checkpointed(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK))
+    if not large.isEmpty():
+        blocks = F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
+        dealt = rows.join(large, "key", "left").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cell = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+        rows = dealt.select(F.when(F.col("blocks") > 1, cell).otherwise(F.col("key")).alias("key"), "fp")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_link_rows, "a bigint, b bigint")
+
+
+#: Parts into which the fingerprints of one component are dealt when they are told its name.
+SALTS = 8
+
+
+def _members(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
+    """key, fp, hash and best, the first (id missing, id, hash) of the component, of every row."""
+    own = checkpointed(fingerprints(docs, width, key, text))
+    place = F.struct(F.col(key).isNull().alias("missing"), F.col(key).alias("id"), F.col("hash"))
+    first = own.groupBy("fp").agg(F.min(place).alias("first"))
+    roots = checkpointed(connected_components(fingerprint_links(first)))
+    linked = first.join(roots.withColumnRenamed("node", "fp"), "fp")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    least = linked.groupBy("root").agg(F.min("first").alias("best")).withColumn("salt", salts)
+    named = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(least, ["root", "salt"]).select("fp", "best")
+    alone = first.join(roots.select(F.col("node").alias("fp")), "fp", "left_anti").select("fp", F.col("first").alias("best"))
+    return own.join(named.union(alone), "fp").withColumn("place", place)
 
 
 def near_duplicate_groups(docs: DataFrame, width: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, fp and component_id of every document."""
-    own = checkpointed(fingerprints(docs, width, key, text))
-    first = own.groupBy("fp").agg(F.min(key).alias("first"))
-    roots = connected_components(fingerprint_links(first))
-    joined = first.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = joined.join(least, "root").select("fp", "component_id")
-    return own.join(of_fp, "fp").select(key, "fp", "component_id")
+    return _members(docs, width, key, text).select(key, "fp", F.col("best.id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, width: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that give their component its name, with all their columns."""
-    stay = near_duplicate_groups(docs, width, key, text).where(F.col(key) == F.col("component_id")).select(key).distinct()
-    return unpacked_texts(packed_texts(docs, text).join(stay, key, "left_semi").select(docs.columns), text)
+    """One document of each component, with all its columns: that which gives it its name."""
+    hash_name, to, of, place = spare_names(docs, "hash", "to", "of", "place")
+    members = _members(docs, width, key, text)
+    stay = checkpointed(members.where(F.col("place").eqNullSafe(F.col("best"))).groupBy(F.col(key).alias(to), F.col("hash").alias(of)).agg(F.count(F.lit(1)).alias("n")))
+    rows = docs.withColumn(hash_name, F.xxhash64(text))
+    met = packed_texts(rows, text).join(stay, F.col(key).eqNullSafe(F.col(to)) & (F.col(hash_name) == F.col(of)), "left_semi")
+    if not stay.where("n > 1").isEmpty():
+        order = Window.partitionBy(key, hash_name).orderBy(*[c for c in docs.columns if c not in (key, text)] or [hash_name])
+        met = met.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)
+    return unpacked_texts(met.select(docs.columns), text)

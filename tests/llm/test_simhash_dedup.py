@@ -5,6 +5,7 @@ import random
 import numpy as np
 import xxhash
 
+from ledgerlens.llm import components as C
 from ledgerlens.llm import simhash_dedup as S
 
 
@@ -100,3 +101,31 @@ def test_empty_table_and_repeated_rows(spark):
     assert S.near_duplicate_groups(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     twice = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e")], "doc_id bigint, text string")
     assert [r["component_id"] for r in S.near_duplicate_groups(twice).collect()] == [1, 1]
+
+
+def test_null_and_repeated_ids_keep_one_row_of_each_group(spark):
+    same, other, near = "a b c d e f", "quite another text with many words in it", " ".join(f"w{k}" for k in range(400))
+    rows = [(None, same, "p"), (5, same, "q"), (5, same, "r"), (None, other, "s"), (7, near, "t"), (7, "unlike the rest of all texts here", "u"), (9, near + " end", "v"), (9, "this one stands alone in the table", "w"), (None, None, "x"), (None, "", "y")]
+    kept = sorted(r["tag"] for r in S.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string, tag string")).collect())
+    assert len(kept) == 6
+    assert set(kept) >= {"s", "t", "u", "w"}
+    assert len(set(kept) & {"q", "r"}) == len(set(kept) & {"x", "y"}) == 1
+    assert "p" not in kept and "v" not in kept
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(C, "HUB_EDGES", 4)
+    rng = random.Random(6)
+    edges = [(rng.choice([100, 200, 300]), rng.randrange(400)) for _ in range(250)] + [(k, k + 1) for k in range(500, 560)] + [(300, 520)]
+    parent = {n: n for e in edges for n in e}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in edges:
+        low, high = sorted((top(a), top(b)))
+        parent[high] = low
+    got = {r["node"]: r["root"] for r in C.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {n: top(n) for e in edges if e[0] != e[1] for n in e}
