@@ -13,7 +13,7 @@ from ledgerlens.llm import packing, quality_rules, secret_scan, simhash_dedup, s
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the band of their language."""
-    return quality_rules.keep_good(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return quality_rules.keep_good(docs, public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

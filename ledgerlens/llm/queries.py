@@ -25,7 +25,7 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.measure_quality(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return quality_rules.measure_quality(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
 def op5_hamming_index(spark: SparkSession, sf_dir: str) -> DataFrame:

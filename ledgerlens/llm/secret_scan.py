@@ -21,6 +21,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.common import spare_names
+
 KINDS = ("assign", "access", "hex", "entropy")
 # The base patterns. Access keys and hexadecimal runs have their least length in the
 # pattern, as a shorter run holds no longer one; assignments are dropped after the match.
@@ -140,8 +142,9 @@ def redact_secrets(docs: DataFrame, mask: str = "[SECRET]", text: str = "text",
 
         return F.aggregate(spans, start, add, lambda state: F.concat(state["out"], value.substr(state["at"] + 1, F.length(value))))
 
-    clean = F.when(F.size("__spans") > 0, cut(F.col(text), F.col("__spans"))).otherwise(F.col(text))
-    out = docs.withColumn("__spans", secret_spans(F.coalesce(F.col(text), F.lit("")))).withColumn(text, clean)
+    (spans,) = spare_names(docs, "spans")
+    clean = F.when(F.size(spans) > 0, cut(F.col(text), F.col(spans))).otherwise(F.col(text))
+    out = docs.withColumn(spans, secret_spans(F.coalesce(F.col(text), F.lit("")))).withColumn(text, clean)
     if length in docs.columns:
-        out = out.withColumn(length, F.when(F.size("__spans") > 0, F.length(text).cast(dict(docs.dtypes)[length])).otherwise(F.col(length)))
+        out = out.withColumn(length, F.when(F.size(spans) > 0, F.length(text).cast(dict(docs.dtypes)[length])).otherwise(F.col(length)))
     return out.select(docs.columns)

@@ -11,7 +11,7 @@ Learning takes at most `TRAIN_LIMIT` labelled rows, chosen by a hash of the key;
 document.
 
 Defined cases: a null or empty text has no hits and scores like any text without hits; rows whose label
-is null are not learnt from; a document labelled twice counts as toxic if one label says so; without
+is null or neither 0 nor 1 are not learnt from; a document labelled twice counts as toxic if one label says so; without
 any labelled row of both kinds the starting list and a fixed curve are used; repeated rows score alike;
 an empty table gives an empty result; only doc_id and text are read for a score.
 """
@@ -33,8 +33,6 @@ from ledgerlens.llm.common import bounded_sample, text_slices
 
 #: Most labelled rows that are learnt from.
 TRAIN_LIMIT = 30_000
-#: Most lexicon entries.
-LEXICON_LIMIT = 5_000
 #: Beginnings of words that may become entries, in letters.
 PREFIXES = range(3, 9)
 
@@ -127,7 +125,7 @@ def _entry_counts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts[toxic].update(_entries_of(text or ""))
-                if len(counts[0]) > 500_000:
+                if len(counts[0]) + len(counts[1]) > 500_000:
                     yield out()
         yield out()
 
@@ -143,7 +141,7 @@ def learn_entries(rows: DataFrame, toxic_rows: int, clean_rows: int) -> list[tup
     surprise = n * (share * F.log(share / base) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0))
     odds = F.log((F.col("toxic") + 0.5) / (toxic_rows + 1.0)) - F.log((F.col("clean") + 0.5) / (clean_rows + 1.0))
     found = _entry_counts(rows).where((F.col("toxic") >= 3) & (share >= 0.8)).withColumns({"surprise": surprise, "odds": odds}).where("surprise > 13")
-    top = found.orderBy(F.desc("surprise"), "entry").limit(LEXICON_LIMIT).collect()
+    top = found.collect()  # of at most `TRAIN_LIMIT` documents
     chosen: dict[str, float] = {}
     begun: dict[str, tuple[int, int]] = {}  # every beginning of a chosen entry, with the entry's counts
     for r in sorted(top, key=lambda r: (-r["surprise"], -len(r["entry"]), r["entry"])):
@@ -171,7 +169,7 @@ def fit_curve(features: np.ndarray, toxic: np.ndarray, penalty: float = 0.01) ->
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None, limit: int = TRAIN_LIMIT, key: str = "doc_id", text: str = "text") -> ToxicityModel:
     """Learn from at most `limit` labelled rows for which `train`, a condition on the key, holds."""
-    rows = labels.where("toxic is not null").groupBy(key).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    rows = labels.where(F.col("toxic").isin(0, 1)).groupBy(key).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     if train is not None:
         rows = rows.where(train)
     # The sample has at most `limit` rows, which bounds what is broadcast and what reaches the driver.

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,3 +58,36 @@ def test_without_labels(spark):
     model = T.fit_toxicity(docs, spark.createDataFrame([], "doc_id bigint, quality int, toxic int"))
     scores = {r["doc_id"]: r["score"] for r in T.score_toxicity(docs, model).collect()}
     assert scores[1] >= 0.7 > scores[2]
+
+
+def plain_features(model, text):
+    """Hits by plain search of every entry, and by the definitions."""
+    folded = T.fold(text or "")
+    places = lambda entry: [k for k in range(len(folded)) if folded.startswith(entry, k)]
+    blocked = [(k, k + len(T.fold(p))) for p in model.exceptions for k in places(T.fold(p))]
+    best = {}
+    for entry, weight in model.entries:
+        for k in places(entry):
+            if not any(s <= k and k + len(entry) <= e for s, e in blocked):
+                best[k] = max(best.get(k, 0.0), weight)
+    total = sum(best.values())
+    return float(np.log1p(total)), float(np.log1p(100 * total / max(1, folded.count(" ") - 1)))
+
+
+def test_matching_equals_plain_search():
+    rng = random.Random(8)
+    entries = {f" {w} ": 4.0 for w in T.INSULTS} | {" clo": 1.5, " clow": 2.5, " sto": 0.5, " st": 0.25, " trash": 3.0, " can ": 1.0}
+    model = T.ToxicityModel(tuple(sorted(entries.items())))
+    words = ["trash", "can", "cl0wn", "clоwn", "circus", "stop", "st0p", "idiot", "1diot!", "pathetic", "fallacy", "ok", "idiots", "..", "pond", "scum"]
+    for _ in range(300):
+        text = rng.choice([" ", ", ", "  "]).join(rng.choice(words) for _ in range(rng.randrange(25)))
+        assert model.features(text) == pytest.approx(plain_features(model, text))
+    assert model.features(None) == plain_features(model, "")
+
+
+def test_labels_outside_zero_and_one_are_ignored(spark):
+    rows, labels = corpus()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic string, score double")
+    odd = [(5000 + k, 0, v) for k, v in enumerate([2, -1, 7])] + [(k, 0, 2) for k in range(900, 905)]
+    known = lambda more: spark.createDataFrame(labels + more, "doc_id bigint, quality int, toxic int")
+    assert T.fit_toxicity(docs, known(odd)) == T.fit_toxicity(docs, known([]))
