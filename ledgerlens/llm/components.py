@@ -14,7 +14,7 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 
 
 #: Edges of a node that make it a hub, if they are not less than this share of all, which bounds the hubs to its double.
-HUB_EDGES, HUB_SHARE = 1_000, 5_000
+HUB_EDGES, HUB_SHARE = 100, 5_000
 
 
 def _told(rows: DataFrame, least: DataFrame, bound: int) -> DataFrame:
