@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.graph import checkpointed
+from ledgerlens.operators.lineage import checkpointed
+from ledgerlens.operators.pairwise import distances, each_against_all
 
 
 def scaled_vectors(vectors: DataFrame, key: str = "id", vector: str = "v") -> DataFrame:
@@ -101,15 +104,17 @@ def distance_to_center(vectors: DataFrame, labels: DataFrame, key: str = "id", v
 
 
 def silhouette(vectors: DataFrame, labels: DataFrame, key: str = "id", vector: str = "v") -> DataFrame:
-    """One row: mean silhouette with Euclidean distances, over all pairs; 0 for clusters of one.
+    """One row: mean silhouette with Euclidean distances, over all pairs, which meet in blocks; 0 for clusters of one."""
+    rows = vectors.join(labels, key).select(F.col(key).cast("string").alias("id"), F.col("cluster").cast("long").alias("tag"), F.transform(vector, lambda x: x.cast("double")).alias("vector"))
 
-    For customers' latent vectors, whose number is small; one side is broadcast after its rows are counted.
-    """
-    rows = vectors.join(labels, key).select(F.col(key).alias("i"), "cluster", F.col(vector).alias("a"))
-    other = rows.select(F.col("i").alias("j"), F.col("cluster").alias("c"), F.col("a").alias("b"))
-    other = F.broadcast(other) if rows.count() <= 200_000 else other
-    d = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x.cast("double")))
-    sums = rows.crossJoin(other).where("i <> j").withColumn("d", d).groupBy("i", "cluster", "c").agg(F.avg("d").alias("m"))
+    def add(i, tag, v, block):
+        d = distances(v, block["vectors"])
+        other = block["ids"] != i
+        clusters, at = np.unique(block["tags"][other], return_inverse=True)
+        return list(zip([i] * len(clusters), [tag] * len(clusters), clusters, np.bincount(at, d[other], len(clusters)), np.bincount(at, minlength=len(clusters)), strict=True))
+
+    schema = pa.schema([("i", pa.string()), ("cluster", pa.int64()), ("c", pa.int64()), ("sum", pa.float64()), ("n", pa.int64())])
+    sums = each_against_all(rows, add, schema, "i string, cluster bigint, c bigint, sum double, n bigint").groupBy("i", "cluster", "c").agg((F.sum("sum") / F.sum("n")).alias("m"))
     own = F.max(F.when(F.col("c") == F.col("cluster"), F.col("m")))
     near = F.min(F.when(F.col("c") != F.col("cluster"), F.col("m")))
     s = sums.groupBy("i").agg(own.alias("own"), near.alias("near")).select(F.when(F.col("own").isNull(), 0.0).otherwise(F.try_divide(F.col("near") - F.col("own"), F.greatest("near", "own"))).alias("s"))

@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iterated table in the folder of spark.checkpoint.dir; a temporary one where it is unset."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+from ledgerlens.operators.lineage import checkpointed
+from ledgerlens.operators.pairwise import distances, each_against_all
 
 
 def node(kind: str, name: str | Column) -> Column:
@@ -68,35 +64,32 @@ def prune_rows(edges: DataFrame, most: int, places: int | None = None) -> DataFr
     return edges.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc(value), "j"))).where(F.col("r") <= most).drop("r")
 
 
-def distance(a: str | Column, b: str | Column, metric: str = "euclidean") -> Column:
-    """Distance of two arrays."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, t: s + t)
-    if metric == "cosine":
-        return 1 - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-    parts = F.zip_with(a, b, lambda p, q: (p.cast("double") - q.cast("double")) * (p.cast("double") - q.cast("double")))
-    return F.sqrt(F.aggregate(parts, F.lit(0.0), lambda s, t: s + t))
-
-
-#: Vectors that are sent to every task to be compared with all others.
-KNN_BROADCAST_ROWS = 200_000
-
-
 def nearest(vectors: DataFrame, k: int, metric: str = "euclidean", include_self: bool = True, key: str = "id", vector: str = "v", places: int = 9, drop_first: bool = False) -> DataFrame:
     """(i, j, d, rank): k nearest of each vector; with itself in front if `include_self`.
 
-    `drop_first` takes the first k with itself and drops the first, so k - 1 are left. The tables are
-    customers, whose number is checked before one side is broadcast; with more, rows meet by a shuffle.
+    `drop_first` takes the first k with itself and drops the first, so k - 1 are left. Vectors meet in blocks,
+    each of which keeps the best of its own. Rows without a vector take no part; an undefined distance comes last.
     """
-    a = vectors.select(F.col(key).alias("i"), F.col(vector).alias("a"))
-    b = vectors.select(F.col(key).alias("j"), F.col(vector).alias("b"))
-    b = F.broadcast(b) if vectors.count() <= KNN_BROADCAST_ROWS else b
-    pairs = a.crossJoin(b).withColumn("d", F.round(distance("a", "b", metric), places))
-    itself = F.when(F.col("i") == F.col("j"), 0).otherwise(1)
-    order = Window.partitionBy("i").orderBy(itself, "d", "j") if include_self or drop_first else Window.partitionBy("i").orderBy("d", "j")
-    if not include_self and not drop_first:
-        pairs = pairs.where("i <> j")
     most = k + 1 if include_self else k
-    out = pairs.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most).select("i", "j", "d", "rank")
+    with_self = include_self or drop_first
+    kind = dict(vectors.dtypes)[key]
+    numbers = kind in ("tinyint", "smallint", "int", "bigint")
+    rows = vectors.where(F.col(vector).isNotNull()).select((F.col(key).cast("long") if numbers else F.col(key).cast("string")).alias("id"), F.lit(0).alias("tag"), F.transform(vector, lambda x: x.cast("double")).alias("vector"))
+
+    def best(i, _, v, block):
+        d = np.round(distances(v, block["vectors"], metric), places)
+        ids = block["ids"]
+        itself = ids == i
+        order = np.lexsort((ids, d, ~itself))
+        order = order if with_self else order[~itself[order]]
+        return [(i, ids[n], d[n]) for n in order[:most]]
+
+    id_type = pa.int64() if numbers else pa.string()
+    found = each_against_all(rows, best, pa.schema([("i", id_type), ("j", id_type), ("d", pa.float64())]), "i bigint, j bigint, d double" if numbers else "i string, j string, d double")
+    itself = F.when(F.col("i") == F.col("j"), 0).otherwise(1)
+    order = Window.partitionBy("i").orderBy(itself, "d", "j") if with_self else Window.partitionBy("i").orderBy("d", "j")
+    out = found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most)
+    out = out.select(F.col("i").cast(kind).alias("i"), F.col("j").cast(kind).alias("j"), F.nanvl("d", F.lit(None).cast("double")).alias("d"), "rank")
     return out.where("i <> j") if drop_first else out
 
 
@@ -185,18 +178,23 @@ def degree_stats(edges: DataFrame, bounds: Sequence[int] = (15, 30, 50)) -> Data
     return degree.agg(F.avg("d").alias("mean_degree"), *[F.count_if(F.col("d") > b).alias(f"over_{b}") for b in bounds])
 
 
-def random_symmetric(spark, n: int, share: float, seed: int = 1) -> DataFrame:
-    """A symmetric 0/1 graph on n nodes; whether a pair is joined is drawn from a hash of it."""
-    a, b = spark.range(n).withColumnRenamed("id", "i"), spark.range(n).withColumnRenamed("id", "j")
-    drawn = F.pmod(F.xxhash64("i", "j", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
-    upper = a.join(b, F.col("i") < F.col("j")).where(drawn).withColumn("v", F.lit(1.0))
+def draw(*parts: str | Column | int) -> Column:
+    """A number from 0 to below 1 that any engine can repeat: the first 13 digits of the MD5 of the parts joined by colons."""
+    text = F.concat_ws(":", *[(F.col(p) if isinstance(p, str) else p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(16**13)
+
+
+def random_symmetric(nodes: DataFrame, share: float, seed: int = 1, key: str = "id") -> DataFrame:
+    """A symmetric 0/1 graph on the nodes, a table of few: whether a pair is joined is drawn from a hash of it, so all pairs are looked at."""
+    a, b = nodes.select(F.col(key).alias("i")), nodes.select(F.col(key).alias("j"))
+    upper = a.join(b, F.col("i") < F.col("j")).where(draw("i", "j", seed) < share).withColumn("v", F.lit(1.0))
     return upper.union(transpose(upper))
 
 
 def mask_edges(edges: DataFrame, rows: DataFrame, share: float, most: int, least_column: int = 0, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(edges left, edges removed): of each chosen row (i) min(most, max(1, share of its edges)) edges go, both ways, drawn by hash."""
+    """(edges left, edges removed): of each chosen row (i) min(most, max(1, share of its edges)) edges go, both ways, drawn by MD5."""
     own = edges.join(rows, "i", "left_semi").where(F.col("j") >= least_column)
-    order = Window.partitionBy("i").orderBy(F.xxhash64("i", "j", F.lit(seed)), "j")
+    order = Window.partitionBy("i").orderBy(draw("i", "j", seed), "j")
     n = F.count(F.lit(1)).over(Window.partitionBy("i"))
     removed = own.withColumns({"r": F.row_number().over(order), "n": n}).where(F.col("r") <= F.least(F.lit(most), F.greatest(F.lit(1), F.floor(F.col("n") * share)))).select("i", "j")
     both = removed.union(removed.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct()

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.ordering import numbered
+
 
 def drop_missing_ids(df: DataFrame, customer: str = "customer_id", item: str = "item", need_customer: bool = True, need_item: bool = True) -> DataFrame:
     keep = F.lit(True)
@@ -39,12 +41,9 @@ def parse_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def item_index(df: DataFrame, order: Sequence[str], item: str = "item", index: str = "item_no") -> DataFrame:
-    """(item, number): 0, 1, ... by the first row of each item in the given order.
-
-    Numbers over all items need one sorted list; only distinct items reach it.
-    """
+    """(item, number): 0, 1, ... by the first row of each item in the given order."""
     first = df.where(F.col(item).isNotNull()).groupBy(item).agg(F.min(F.struct(*order)).alias("first"))
-    return first.select(item, (F.row_number().over(Window.orderBy("first", item)) - 1).cast("long").alias(index))
+    return numbered(first, "first", item).select(item, (F.col("number") - 1).cast("long").alias(index))
 
 
 def keep_item_index(df: DataFrame, index: str, item: str = "item") -> DataFrame:

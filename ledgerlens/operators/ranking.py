@@ -68,9 +68,10 @@ def recommend(scores: DataFrame, seen: DataFrame, k: int, customer: str = "custo
     fresh = scores.join(seen.select(customer, item).distinct(), [customer, item], "left_anti")
     order = Window.partitionBy(customer).orderBy(F.desc(F.round("score", places)), item)
     if items is not None:
-        customers = scores.select(customer).union(seen.select(customer)).distinct()
-        known = scores.select(customer, item).union(seen.select(customer, item)).distinct()
-        rest = customers.crossJoin(F.broadcast(items.select(item).distinct())).join(known, [customer, item], "left_anti").withColumn("score", F.lit(0.0))
+        known = checkpointed(scores.select(customer, item).union(seen.select(customer, item)).distinct())
+        bounds = known.groupBy(customer).agg((F.count(F.lit(1)) + k).cast("int").alias("bound"))
+        listed = items.select(item).distinct().withColumn("r", F.row_number().over(Window.orderBy(item))).where(F.col("r") <= _most(bounds))
+        rest = bounds.select(customer, F.explode(F.sequence(F.lit(1), F.col("bound"))).alias("r")).join(listed, "r").join(known, [customer, item], "left_anti").withColumn("score", F.lit(0.0))
         fresh = fresh.select(customer, item, "score").union(rest.select(customer, item, "score"))
     return fresh.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select(customer, "rank", item, "score")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlens.operators import clustering, embedding, evaluation, features, ranking
 from ledgerlens.plans import stages
 from ledgerlens.plans.feature_queries import rounded
+from ledgerlens.plans.model_queries import BASE
 from ledgerlens.plans.registry import query
 from ledgerlens.sources.transactions import tables, transactions
 from ledgerlens.streaming import ingest
@@ -129,7 +130,17 @@ def _(spark, d):
     return spark.createDataFrame(out, "cluster int, feature int, z double")
 
 
-@query("validation_run")
+def _validation_sql(seed: int) -> str:
+    return f"""(WITH u AS (SELECT customer_id FROM (SELECT DISTINCT customer_id FROM tx) ORDER BY md5(customer_id || ':{seed}'), customer_id LIMIT 200),
+c AS (SELECT customer_id, item, count(*) AS n, sum(count(*)) OVER (PARTITION BY customer_id) AS total FROM tx GROUP BY 1, 2),
+k AS (SELECT customer_id, item, row_number() OVER (PARTITION BY customer_id ORDER BY md5(customer_id || ':' || item || ':{seed}'), item) AS r, count(*) OVER (PARTITION BY customer_id) AS choices FROM c WHERE n < total),
+truth AS (SELECT customer_id, item FROM k WHERE r = 1 AND choices >= 2), tr AS (SELECT * FROM tx WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.customer_id = tx.customer_id AND t.item = tx.item)), {BASE.format(t='tr', item='item').strip()},
+rec AS (SELECT * FROM (SELECT customer_id, row_number() OVER (PARTITION BY customer_id ORDER BY round(score, 12) DESC, item) AS rank, item FROM sc) WHERE rank <= 50),
+hit AS (SELECT rec.rank FROM truth JOIN u USING (customer_id) LEFT JOIN rec ON rec.customer_id = truth.customer_id AND rec.item = truth.item)
+SELECT count(*) AS users, round(avg(CASE WHEN rank IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE) + 1e-9, 6) AS recall, round(avg(coalesce(1.0::DOUBLE / rank, 0)) + 1e-9, 6) AS mrr, round(avg(coalesce(1.0::DOUBLE / log2(rank + 1), 0)) + 1e-9, 6) AS ndcg, {seed} AS seed FROM hit)"""
+
+
+@query("validation_run", " UNION ALL ".join(map(_validation_sql, (1, 2, 3))))
 def _(spark, d):
     """Split, recommend and measure on three draws of users."""
     tx = transactions(spark, d)
@@ -140,13 +151,17 @@ def _(spark, d):
         truth = split.truth.join(users, "customer_id", "left_semi")
         one = evaluation.ranking_metrics(ranking.group_share_recommend(split.train, 50), truth, 50).withColumn("seed", F.lit(seed))
         out = one if out is None else out.union(one)
-    return out
+    return rounded(out)
 
 
-@query("agg_group_share_matrix")
+@query("agg_group_share_matrix", """
+WITH q AS (SELECT DISTINCT customer_id, grp, item FROM tx), n AS (SELECT customer_id, grp, count(*) AS n, sum(count(*)) OVER (PARTITION BY customer_id) AS total FROM q GROUP BY 1, 2),
+l AS (SELECT customer_id, grp, n / total::DOUBLE AS share FROM n WHERE total > 10)
+SELECT customer_id, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY grp) - 1 AS INTEGER) AS place, round(coalesce(share, 0) + 1e-9, 6) AS share FROM (SELECT DISTINCT customer_id FROM l) CROSS JOIN (SELECT DISTINCT grp FROM l) LEFT JOIN l USING (customer_id, grp)""")
 def _(spark, d):
     long = features.group_shares(transactions(spark, d), 10).select("customer_id", F.col("grp").alias("feature"), F.col("share").alias("value"))
-    return features.as_vectors(features.feature_matrix([], [long]))
+    vectors = features.as_vectors(features.feature_matrix([], [long]))
+    return rounded(vectors.select("customer_id", F.posexplode("features").alias("place", "share")))
 
 
 CHAIN = {

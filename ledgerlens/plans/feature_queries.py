@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import features as feats
 from ledgerlens.operators import prep
+from ledgerlens.operators.ordering import numbered
 from ledgerlens.plans.prep_queries import ROW, gaps
 from ledgerlens.plans.registry import ORDER_SQL, query
 from ledgerlens.sources.transactions import ORDER_KEY, tables, transactions
@@ -343,9 +344,7 @@ def _(spark, d):
 def _(spark, d):
     n = transactions(spark, d).groupBy("customer_id").agg(F.count("*").alias("n"))
     every = n.agg(F.count("*").alias("customers"), F.sum("n").alias("all_rows"))
-    # One ordered list of customers; a running sum over all of them has no partition key.
-    order = Window.orderBy(F.desc("n"), "customer_id")
-    k = n.withColumns({"rank": F.row_number().over(order).cast("long"), "run": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))}).crossJoin(F.broadcast(every))
+    k = numbered(n, F.desc("n"), F.col("customer_id"), number="rank", run="n").withColumn("rank", F.col("rank").cast("long")).crossJoin(F.broadcast(every))
     return rounded(k.select("customer_id", "rank", (F.col("rank") / F.col("customers")).alias("customer_share"), (F.col("run") / F.col("all_rows")).alias("row_share")))
 
 

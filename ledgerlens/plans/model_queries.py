@@ -433,13 +433,15 @@ def _(spark, d):
     return graph.heterogeneous(small(spark, d), HET, {"customer": "customer_id", "item": "item", "group": "grp", "family": "family"})
 
 
-@query("graph_random_symmetric", None)
+DRAW = "('0x' || substr(md5(i || ':' || j || ':1'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE"
+
+
+@query("graph_random_symmetric", f"WITH u AS (SELECT a.s_suppkey AS i, b.s_suppkey AS j FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey), d AS (SELECT * FROM u WHERE {DRAW} < 0.05) SELECT i, j, 1.0::DOUBLE AS v FROM d UNION ALL SELECT j, i, 1.0::DOUBLE FROM d", tx=False)
 def _(spark, d):
-    n = tables(spark, d, "supplier")[0].count()
-    return graph.random_symmetric(spark, n, 0.05)
+    return graph.random_symmetric(tables(spark, d, "supplier")[0], 0.05, key="s_suppkey")
 
 
-@query("graph_mask_edges", None)
+@query("graph_mask_edges", f"WITH e AS (SELECT DISTINCT customer_id AS i, item_idx AS j FROM tx), r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY {DRAW}, j) AS r, count(*) OVER (PARTITION BY i) AS n FROM e), gone AS (SELECT i, j FROM r WHERE r <= least(5, greatest(1, floor(n * 0.2::DOUBLE)))), both_ AS (SELECT i, j FROM gone UNION SELECT j, i FROM gone) SELECT e.i, e.j, 1.0::DOUBLE AS v FROM e WHERE NOT EXISTS (SELECT 1 FROM both_ b WHERE b.i = e.i AND b.j = e.j)")
 def _(spark, d):
     edges = graph.incidence(transactions(spark, d), "customer_id", "item_idx").select("i", "j", "v")
     return graph.mask_edges(edges, edges.select("i").distinct(), 0.2, 5)[0]
@@ -513,11 +515,14 @@ def _(spark, d):
     return rounded(ranking.katz(edges, 0.001, max_iter=1, columns=item_columns(edges)))
 
 
-@query("katz_inverse_column", None)
+NEUMANN = f"WITH {BIP.replace('grp', 'item')}, s0 AS (SELECT min(i) AS i, 1.0::DOUBLE AS v FROM a WHERE starts_with(i, 'customer:')), " + ", ".join(f"s{n} AS (SELECT a.i, 0.001::DOUBLE * sum(a.v * s.v) AS v FROM a JOIN s{n - 1} s ON a.j = s.i GROUP BY 1)" for n in (1, 2, 3, 4)) + " SELECT i, round(sum(v) * 1e6 + 1e-7, 4) AS v FROM (" + " UNION ALL ".join(f"SELECT * FROM s{n}" for n in range(5)) + ") GROUP BY 1"
+
+
+@query("katz_inverse_column", NEUMANN)
 def _(spark, d):
     edges = graph.checkpointed(bipartite(spark, d, "item"))
     start = edges.where(F.col("i").startswith("customer:")).groupBy().agg(F.min("i").alias("i")).withColumn("v", F.lit(1.0))
-    return ranking.katz_column(edges, start, 0.001, 4)
+    return ranking.katz_column(edges, start, 0.001, 4).select("i", F.round(F.col("v") * 1e6 + 1e-7, 4).alias("v"))
 
 
 # The same over items, and with all blocks.

@@ -263,6 +263,6 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.col("p_type").startswith("S").alias("starts"), F.col("p_name").contains("e").alias("has"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("head"))
 
 
-@query("fn_json", None)
+@query("fn_json", f"SELECT {ROW_SQL}, '{{\"customer_id\":' || customer_id || ',\"item\":\"' || item || '\",\"qty\":' || qty::VARCHAR || '}}' AS json FROM tx")
 def _(spark, d):
     return transactions(spark, d).select(*ROW, F.to_json(F.struct("customer_id", "item", "qty")).alias("json"))

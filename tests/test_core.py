@@ -306,7 +306,7 @@ def test_pipeline_contracts():
 
 
 def test_masked_edges(spark):
-    g = graph.random_symmetric(spark, 40, 0.3)
+    g = graph.random_symmetric(spark.range(40), 0.3)
     left, removed = graph.mask_edges(g, g.select("i").distinct().where("i < 5"), 0.2, 3)
     per_row = [r["count"] for r in removed.groupBy("i").count().collect()]
     assert per_row and max(per_row) <= 3
