@@ -155,14 +155,17 @@ def _(spark, d):
     return rounded(ranking.group_share_recommend(transactions(spark, d), 10), 8)
 
 
-FALLBACK = f"""WITH x AS (SELECT customer_id, item, family AS grp FROM tx), {BASE.format(t='x', item='item').strip()},
-rec0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY round(score, 12) DESC, item) AS r0 FROM sc) WHERE r0 <= 120),
-c AS (SELECT u.customer_id, coalesce(max(score) * 1e-6::DOUBLE, 1e-12::DOUBLE) AS scale FROM (SELECT DISTINCT customer_id FROM x) u LEFT JOIN rec0 USING (customer_id) GROUP BY 1 HAVING count(score) < 120),
-every AS (SELECT item, count(*) AS n FROM x GROUP BY 1),
+def ranked_sql(t: str, k: int) -> str:
+    """The k best of the scores in BASE over the table t, filled up with the items that are popular with all."""
+    return f"""c AS (SELECT u.customer_id, coalesce(max(score) * 1e-6::DOUBLE, 1e-12::DOUBLE) AS scale FROM (SELECT DISTINCT customer_id FROM {t}) u LEFT JOIN sc USING (customer_id) GROUP BY 1 HAVING count(score) < {k}),
+every AS (SELECT item, count(*) AS n FROM {t} GROUP BY 1),
 ub AS (SELECT c.customer_id, c.scale, e.item, e.n, sum(e.n) OVER (PARTITION BY c.customer_id) AS total FROM c CROSS JOIN every e ANTI JOIN seen s ON s.customer_id = c.customer_id AND s.item = e.item),
 more AS (SELECT customer_id, item, scale * n / total AS score, n FROM ub ANTI JOIN sc ON sc.customer_id = ub.customer_id AND sc.item = ub.item),
-both_ AS (SELECT customer_id, item, score, NULL::BIGINT AS n FROM rec0 UNION ALL SELECT customer_id, item, score, n::BIGINT FROM more)
-SELECT * FROM (SELECT customer_id, row_number() OVER (PARTITION BY customer_id ORDER BY round(score, 12) DESC, n DESC NULLS FIRST, item) AS rank, item, round(score * 1e6 + 1e-7, 6) AS score FROM both_) WHERE rank <= 120"""
+both_ AS (SELECT customer_id, item, score, NULL::BIGINT AS n FROM sc UNION ALL SELECT customer_id, item, score, n::BIGINT FROM more),
+rec AS (SELECT * FROM (SELECT customer_id, row_number() OVER (PARTITION BY customer_id ORDER BY round(score, 12) DESC, n DESC NULLS FIRST, item) AS rank, item, score FROM both_) WHERE rank <= {k})"""
+
+
+FALLBACK = f"WITH x AS (SELECT customer_id, item, family AS grp FROM tx), {BASE.format(t='x', item='item').strip()}, {ranked_sql('x', 120)} SELECT customer_id, rank, item, round(score * 1e6 + 1e-7, 6) AS score FROM rec"
 
 
 @query("baseline_group_share_fallback", FALLBACK)
@@ -268,7 +271,7 @@ def _(spark, d):
 # Evaluation of the baseline on brands of items: a split by the last new item, recommendations from what is left, and the metrics
 
 EVAL = f"""{NOVEL.format(i='item').strip()}, truth AS (SELECT e.customer_id, e.hidden AS item FROM e JOIN su USING (hidden) WHERE eligible AND support >= 1),
-{BASE.format(t='tr', item='item').strip()}, rec AS (SELECT * FROM (SELECT customer_id, row_number() OVER (PARTITION BY customer_id ORDER BY round(score, 12) DESC, item) AS rank, item FROM sc) WHERE rank <= 200),
+{BASE.format(t='tr', item='item').strip()}, {ranked_sql('tr', 200)},
 hit AS (SELECT truth.customer_id, truth.item, rec.rank FROM truth LEFT JOIN rec ON rec.customer_id = truth.customer_id AND rec.item = truth.item)"""
 
 
