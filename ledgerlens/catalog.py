@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlens.plans import embedding_queries, feature_queries, model_queries, prep_queries  # noqa: F401
+from ledgerlens.plans import embedding_queries, export_queries, feature_queries, model_queries, prep_queries  # noqa: F401
 from ledgerlens.plans.registry import ORACLES, QUERIES
 
 

@@ -175,3 +175,13 @@ def long_preprocessed(matrix: DataFrame, customer: str = "customer_id") -> DataF
     stats = matrix.groupBy("feature").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
     joined = matrix.join(F.broadcast(stats), "feature")
     return joined.select(customer, "feature", ((F.col("value") - F.col("m")) / F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))).alias("value"))
+
+
+def value_means(df: DataFrame, columns: Sequence[str], key: str = "customer_id") -> DataFrame:
+    """A row for each key: of every value of the columns the share of the key's rows that have it, as <column>__<value>.
+
+    The values become columns, so they are taken from the table first; rows without a value count for none.
+    """
+    values = df.agg(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in columns]).first()
+    flags = [F.avg(F.coalesce(F.col(c).cast("string") == v, F.lit(False)).cast("double")).alias(f"{c}__{v}") for c in columns for v in values[c]]
+    return df.groupBy(key).agg(*flags) if flags else df.select(key).distinct()

@@ -199,3 +199,12 @@ def mask_edges(edges: DataFrame, rows: DataFrame, share: float, most: int, least
     removed = own.withColumns({"r": F.row_number().over(order), "n": n}).where(F.col("r") <= F.least(F.lit(most), F.greatest(F.lit(1), F.floor(F.col("n") * share)))).select("i", "j")
     both = removed.union(removed.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
     return edges.join(both, ["i", "j"], "left_anti"), removed
+
+
+def labelled(edges: DataFrame, label: str = "i") -> DataFrame:
+    """A matrix of (i, j, v) as a frame with a row for each i and a column for each j, 0 where there is no entry.
+
+    The labels of j become the columns, so this is for matrices of few columns.
+    """
+    names = [str(r[0]) for r in edges.select("j").distinct().orderBy("j").collect()]
+    return edges.groupBy(F.col("i").alias(label)).pivot("j", names).agg(F.sum("v")).na.fill(0.0)

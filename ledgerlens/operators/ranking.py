@@ -105,8 +105,8 @@ def _split_items(mine: DataFrame, popular: DataFrame, best: DataFrame, seen: Dat
     return met.join(several, item).join(mine, [customer, group]).groupBy(customer, item).agg(F.sum(part).alias("score"))
 
 
-def group_share_recommend(df: DataFrame, k: int, fallback: bool = True, customer: str = "customer_id", item: str = "item", group: str = "grp", places: int = 12) -> DataFrame:
-    """The k best unseen items by group share. Customers with fewer than k get the other unseen items by their rows, at a millionth of the best score.
+def group_share_recommend(df: DataFrame, k: int, fallback: bool = True, customer: str = "customer_id", item: str = "item", group: str = "grp", places: int = 12, wanted: DataFrame | None = None) -> DataFrame:
+    """The k best unseen items by group share, of the `wanted` customers or of all. Customers with fewer than k get the other unseen items by their rows, at a millionth of the best score.
 
     An item's score is the group's share of the customer's rows, dealt out by the item's rows among the
     group's unseen items. In a group all customers share one order of items, so only the first k and as many
@@ -118,6 +118,10 @@ def group_share_recommend(df: DataFrame, k: int, fallback: bool = True, customer
     seen = _seen(counts, customer, item)
     mine = counts.groupBy(customer, group).agg(F.sum("n").alias("n"))
     mine = mine.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(customer))).select(customer, group, "share")
+    asked = counts.select(customer).distinct()
+    if wanted is not None:
+        asked = asked.join(wanted, customer, "left_semi")
+        mine = mine.join(wanted, customer, "left_semi")
     popular = counts.groupBy(group, item).agg(F.sum("n").alias("count"))
     known = seen.join(popular, item).groupBy(customer, group).agg(F.sum("count").alias("known"), F.count(F.lit(1)).alias("bound"))
     totals = popular.groupBy(group).agg(F.sum("count").alias("all"), F.count(F.lit(1)).alias("items"))
@@ -140,7 +144,7 @@ def group_share_recommend(df: DataFrame, k: int, fallback: bool = True, customer
         return ranked
     ranked = checkpointed(ranked)
     had = ranked.groupBy(customer).agg(F.count(F.lit(1)).alias("had"), F.max("score").alias("best"))
-    short = seen.select(customer).distinct().join(had, customer, "left").withColumn("had", F.coalesce("had", F.lit(0))).where(F.col("had") < k)
+    short = asked.join(had, customer, "left").withColumn("had", F.coalesce("had", F.lit(0))).where(F.col("had") < k)
     items = popular.groupBy(item).agg(F.sum("count").alias("count"))
     known = seen.join(short.select(customer), customer, "left_semi").join(items, item).groupBy(customer).agg(F.sum("count").alias("known"), F.count(F.lit(1)).alias("n"))
     all_rows, all_items = items.agg(F.sum("count"), F.count(F.lit(1))).first()

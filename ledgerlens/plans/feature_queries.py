@@ -91,7 +91,7 @@ def _(spark, d):
     return rounded(ten(spark, d), 5)
 
 
-@query("agg_10_features_onehot", "SELECT customer_id, grp, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY customer_id) + 1e-9, 6) AS mean_flag FROM gaps WHERE customer_id IS NOT NULL GROUP BY 1, 2")
+@query("agg_onehot_means", "SELECT customer_id, grp, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY customer_id) + 1e-9, 6) AS mean_flag FROM gaps WHERE customer_id IS NOT NULL GROUP BY 1, 2")
 def _(spark, d):
     counts = gaps(spark, d).where("customer_id is not null").groupBy("customer_id", "grp").agg(F.count("*").alias("n"))
     return rounded(counts.select("customer_id", "grp", (F.col("n") / F.sum("n").over(Window.partitionBy("customer_id"))).alias("mean_flag")))

@@ -190,14 +190,6 @@ def _(spark, d):
     return rounded(ranking.group_share_recommend(transactions(spark, d), 20, fallback=False).select("customer_id", "item", "score"), 8)
 
 
-@query("sink_wide_scores", f"WITH {BASE.format(t='tx', item='item').strip()}, {TOP} SELECT customer_id, count(*) AS n_scores, min(item) AS first_item, round(sum(score) + 1e-9, 7) AS total FROM rec GROUP BY 1")
-def _(spark, d):
-    rec = ranking.group_share_recommend(transactions(spark, d), 10)
-    packed = rec.groupBy("customer_id").agg(F.map_from_entries(F.collect_list(F.struct("item", "score"))).alias("scores"))
-    total = F.aggregate(F.map_values("scores"), F.lit(0.0), lambda a, x: a + x)
-    return packed.select("customer_id", F.size("scores").cast("long").alias("n_scores"), F.array_min(F.map_keys("scores")).alias("first_item"), F.round(total + 1e-9, 7).alias("total"))
-
-
 WIDE = "SELECT CAST(user_id AS VARCHAR) AS customer, event_type AS item, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS score, event_id FROM events"
 
 
@@ -218,14 +210,14 @@ l AS (SELECT customer_id, max(pos) AS pos, arg_max({{i}}, pos) AS hidden, any_va
 tr AS (SELECT h.* FROM h JOIN e USING (customer_id) WHERE NOT e.eligible OR h.pos < e.pos), su AS (SELECT {{i}} AS hidden, count(DISTINCT customer_id) AS support FROM tr GROUP BY 1)"""
 
 
-@query("win_first_occurrence", f"SELECT {ROW_SQL}, row_number() OVER (PARTITION BY customer_id, grp ORDER BY {ORDER_SQL}) = 1 AS is_new FROM tx")
+@query("win_first_occurrence", f"SELECT {ROW_SQL}, row_number() OVER (PARTITION BY customer_id, item ORDER BY {ORDER_SQL}) = 1 AS is_new FROM tx")
 def _(spark, d):
-    return evaluation.novelty(transactions(spark, d), item="grp").select(*ROW, "is_new")
+    return evaluation.novelty(transactions(spark, d)).select(*ROW, "is_new")
 
 
 @query("win_position", f"SELECT {ROW_SQL}, row_number() OVER (PARTITION BY customer_id ORDER BY {ORDER_SQL}) - 1 AS pos, count(*) OVER (PARTITION BY customer_id) AS length FROM tx")
 def _(spark, d):
-    return evaluation.novelty(transactions(spark, d), item="grp").select(*ROW, "pos", "length")
+    return evaluation.novelty(transactions(spark, d)).select(*ROW, "pos", "length")
 
 
 @query("win_last_row", f"SELECT customer_id, arg_max(item, ({ORDER_SQL})) AS item FROM tx GROUP BY 1")
@@ -238,29 +230,29 @@ def _(spark, d):
     return evaluation.last_purchase(transactions(spark, d)).train.select("customer_id", *ROW)
 
 
-@query("split_whole_item", "WITH c AS (SELECT customer_id, grp, count(*) AS n, sum(count(*)) OVER (PARTITION BY customer_id) AS total FROM tx GROUP BY 1, 2), k AS (SELECT customer_id, grp, row_number() OVER (PARTITION BY customer_id ORDER BY md5(customer_id || ':' || grp || ':1'), grp) AS r, count(*) OVER (PARTITION BY customer_id) AS choices FROM c WHERE n < total) SELECT customer_id, grp FROM k WHERE r = 1 AND choices >= 2")
+@query("split_whole_item", "WITH c AS (SELECT customer_id, item, count(*) AS n, sum(count(*)) OVER (PARTITION BY customer_id) AS total FROM tx GROUP BY 1, 2), k AS (SELECT customer_id, item, row_number() OVER (PARTITION BY customer_id ORDER BY md5(customer_id || ':' || item || ':1'), item) AS r, count(*) OVER (PARTITION BY customer_id) AS choices FROM c WHERE n < total) SELECT customer_id, item FROM k WHERE r = 1 AND choices >= 2")
 def _(spark, d):
-    return evaluation.whole_item(transactions(spark, d), item="grp").truth
+    return evaluation.whole_item(transactions(spark, d)).truth
 
 
-@query("split_novel_tail", f"WITH {NOVEL.format(i='grp').strip()} SELECT e.customer_id, e.hidden AS grp FROM e LEFT JOIN su USING (hidden) WHERE eligible AND coalesce(support, 0) >= 1100")
+@query("split_novel_tail", f"WITH {NOVEL.format(i='item').strip()} SELECT e.customer_id, e.hidden AS item FROM e LEFT JOIN su USING (hidden) WHERE eligible AND coalesce(support, 0) >= 25")
 def _(spark, d):
-    return evaluation.novel_tail(transactions(spark, d), 0.2, 1100, item="grp").truth
+    return evaluation.novel_tail(transactions(spark, d), 0.2, 25).truth
 
 
-@query("split_details", f"WITH {NOVEL.format(i='grp').strip()} SELECT count(*) AS users, count(*) FILTER (eligible) AS eligible, count(*) FILTER (eligible AND coalesce(support, 0) >= 1100) AS evaluated, CAST((SELECT count(*) FROM tr) AS BIGINT) AS rows_left FROM e LEFT JOIN su USING (hidden)")
+@query("split_details", f"WITH {NOVEL.format(i='item').strip()} SELECT count(*) AS users, count(*) FILTER (eligible) AS eligible, count(*) FILTER (eligible AND coalesce(support, 0) >= 25) AS evaluated, CAST((SELECT count(*) FROM tr) AS BIGINT) AS rows_left FROM e LEFT JOIN su USING (hidden)")
 def _(spark, d):
-    s = evaluation.novel_tail(transactions(spark, d), 0.2, 1100, item="grp")
+    s = evaluation.novel_tail(transactions(spark, d), 0.2, 25)
     counts = s.details.agg(F.count("*").alias("users"), F.count_if("eligible").alias("eligible"), F.count_if("evaluated").alias("evaluated"))
     return counts.crossJoin(s.train.agg(F.count("*").alias("rows_left")))
 
 
-@query("split_support_sweep", f"WITH {NOVEL.format(i='grp').strip()}, q AS (SELECT CAST(t.k AS BIGINT) AS least, e.hidden, coalesce(support, 0) >= t.k AS kept FROM e LEFT JOIN su USING (hidden), (VALUES (0), (500), (1000), (1100), (1200)) t(k) WHERE eligible) SELECT least, count(*) FILTER (kept) AS users_kept, count(*) FILTER (NOT kept) AS users_dropped, count(DISTINCT CASE WHEN kept THEN hidden END) AS items_kept FROM q GROUP BY 1")
+@query("split_support_sweep", f"WITH {NOVEL.format(i='item').strip()}, q AS (SELECT CAST(t.k AS BIGINT) AS least, e.hidden, coalesce(support, 0) >= t.k AS kept FROM e LEFT JOIN su USING (hidden), (VALUES (0), (1), (2), (3), (5), (10), (20), (30)) t(k) WHERE eligible) SELECT least, count(*) FILTER (kept) AS users_kept, count(*) FILTER (NOT kept) AS users_dropped, count(DISTINCT CASE WHEN kept THEN hidden END) AS items_kept FROM q GROUP BY 1")
 def _(spark, d):
-    s = evaluation.novel_tail(transactions(spark, d), 0.2, item="grp")
-    bounds = spark.createDataFrame([(k,) for k in (0, 500, 1000, 1100, 1200)], "least bigint")
+    s = evaluation.novel_tail(transactions(spark, d), 0.2)
+    bounds = spark.createDataFrame([(k,) for k in (0, 1, 2, 3, 5, 10, 20, 30)], "least bigint")
     rows = s.details.where("eligible").join(s.truth, "customer_id").crossJoin(F.broadcast(bounds)).withColumn("kept", F.coalesce("support", F.lit(0)) >= F.col("least"))
-    return rows.groupBy("least").agg(F.count_if("kept").alias("users_kept"), F.count_if(~F.col("kept")).alias("users_dropped"), F.count_distinct(F.when(F.col("kept"), F.col("grp"))).alias("items_kept"))
+    return rows.groupBy("least").agg(F.count_if("kept").alias("users_kept"), F.count_if(~F.col("kept")).alias("users_dropped"), F.count_distinct(F.when(F.col("kept"), F.col("item"))).alias("items_kept"))
 
 
 @query("sample_users", "SELECT customer_id FROM (SELECT DISTINCT customer_id FROM tx) ORDER BY md5(customer_id || ':1'), customer_id LIMIT 100")

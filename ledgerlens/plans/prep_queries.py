@@ -212,11 +212,6 @@ def _(spark, d):
     return out.select("column", "n_rows", "n_set", F.round(1 - F.col("n_set") / F.col("n_rows"), 4).alias("null_ratio"), "n_unique")
 
 
-@query("scan_plain_csv", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'O'", tx=False)
-def _(spark, d):
-    return spark.read.parquet(f"{d}/orders.parquet").where("o_orderstatus = 'O'").select("o_orderkey", "o_custkey", "o_totalprice")
-
-
 @query("fn_safe_numeric", "SELECT event_id, try_cast(CASE WHEN event_id % 3 = 0 THEN event_type ELSE CAST(event_id AS VARCHAR) END AS DOUBLE) AS number FROM events", tx=False)
 def _(spark, d):
     raw = F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(F.col("event_id").cast("string"))

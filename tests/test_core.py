@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import clustering, embedding, evaluation, features, graph, impute, prep, ranking
-from ledgerlens.plans import pipeline, stages  # noqa: F401
+from ledgerlens.plans import cohort_export, pipeline, stages  # noqa: F401
 from ledgerlens.sources import files, service
 from ledgerlens.sources.transactions import transactions
 
@@ -321,3 +321,44 @@ def test_labels_must_fit(spark):
         graph.aligned_labels(customers, good.where("customer_id <> 2"))
     with pytest.raises(ValueError, match="several"):
         graph.aligned_labels(customers, good.union(good))
+
+
+def test_wide_scores_come_back(spark, tmp_path):
+    rows = [("1", 'a "b", c', 0.5), ("1", "d", 1e-9), ("x, y", "d", 2.0), ("z", "d", 0.0)]
+    scores = table(spark, rows, "customer_id string, item string, score double")
+    files.write_wide_scores(scores, str(tmp_path / "w"), items=table(spark, [('a "b", c',), ("d",), ("never",)], "item string"))
+    found = sorted(tuple(r) for r in files.read_wide_scores(spark, str(tmp_path / "w")).collect())
+    assert found == sorted(rows[:3])
+    files.write_wide_scores(scores.limit(0), str(tmp_path / "none"))
+    assert files.read_wide_scores(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_artifacts_and_leaderboard_come_back(spark, tmp_path):
+    made = {"a": table(spark, [(1, "x"), (2, None)], "n int, s string"), "b": table(spark, [(1.5, [1, 2])], "v double, l array<int>"), "c": table(spark, [(3,)], "n int")}
+    files.write_artifacts(str(tmp_path), made, {"seed": 1}, spark, {"a": "csv", "b": "json"})
+    found = files.read_artifacts(str(tmp_path), ["a", "b", "c"], spark)
+    assert {n: sorted(map(str, f.collect())) for n, f in found.items()} == {n: sorted(map(str, f.collect())) for n, f in made.items()}
+    assert files.read_manifest(str(tmp_path), spark)["notes"] == {"seed": 1}
+    with pytest.raises(KeyError):
+        files.read_artifacts(str(tmp_path), ["lacking"], spark)
+    files.write_leaderboard(table(spark, [("b", 0.1, 0.2, 0.3), ("a", 0.1, 0.2, 0.3), ("c", 0.5, 0.2, 0.1)], "run_id string, ndcg double, recall double, mrr double"), str(tmp_path))
+    assert [r["run_id"] for r in spark.read.json(str(tmp_path / "results.jsonl")).collect()] == ["c", "a", "b"]
+
+
+def test_cohorts_export_each_customer_once(spark, tmp_path):
+    def bought(items, customer):
+        return [(customer, item, "g", n, n, n, n, 1, 1.0, 1.0) for n, item in enumerate(items)]
+
+    schema = "customer_id int, item string, grp string, order_date int, invoice_no int, line_no int, item_idx int, supplier int, qty double, price double"
+    small = table(spark, bought("aaaab", 1) + bought("aab", 2) + bought("b", 3), schema)
+    raw = table(spark, bought("aaaab", 1) + bought("aabc", 2) + bought("bd", 3) + bought("e", 4) + [(None, *bought("z", 0)[0][1:])], schema)
+    lists = cohort_export.write(str(tmp_path), [small, raw.where("customer_id < 3")], raw, support=1, k=2)
+    got = {(r["customer_id"], r["dataset"], r["rank"], r["item"]) for r in lists.collect()}
+    assert {(c, d) for c, d, _, _ in got if c in (3, 4)} == {(3, 3), (4, 3)}
+    # The first table evaluates 1 and 2, but has nothing new for them.
+    assert not any(c in (1, 2) for c, *_ in got)
+    assert {i for c, _, _, i in got if c == 4} == {"a", "b"}
+    notes = files.read_manifest(str(tmp_path), spark)["notes"]
+    assert (notes["items"], notes["cohort_customers"], notes["fallback_customers"]) == (6, 0, 2)
+    sizes = cohort_export.definitions(cohort_export.memberships([small, raw], support=1)).orderBy("dataset").collect()
+    assert sizes[0]["cohort_size"] == sizes[0]["evaluated"] == 2 and sizes[1]["cumulative"] == sum(r["cohort_size"] for r in sizes)
