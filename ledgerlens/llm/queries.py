@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import hamming_index, html_text, packing, pii_surrogates, quality_rules, secret_scan, sentencepiece_codec, simhash_dedup, suffix_dedup, toxicity
+from ledgerlens.llm import hamming_index, html_text, merkle_manifest, oracles, packing, pii_surrogates, product_codes, quality_rules, secret_scan, sentencepiece_codec, simhash_dedup, suffix_dedup, toxicity
 from ledgerlens.llm.common import table
 
 
@@ -56,9 +56,17 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.tampering_report(table(spark, sf_dir, "documents"))
+
+
+def op13_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_codes.code_digests(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op11_merkle_manifest": oracles.manifest_sql(), "op13_product_codes": oracles.product_codes_sql()}
