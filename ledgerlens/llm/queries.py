@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import hamming_index, html_text, merkle_manifest, oracles, packing, pii_surrogates, product_codes, quality_rules, secret_scan, sentencepiece_codec, simhash_dedup, suffix_dedup, toxicity
+from ledgerlens.llm import hamming_index, html_text, merkle_manifest, oracles, packing, pii_surrogates, product_codes, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, simhash_dedup, suffix_dedup, toxicity
 from ledgerlens.llm.common import table
 
 
@@ -60,6 +60,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.tampering_report(table(spark, sf_dir, "documents"))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = quality_classifier.fit_quality(docs, table(spark, sf_dir, "labels"), train=~held_out)
+    scored = quality_classifier.score_quality(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op13_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return product_codes.code_digests(table(spark, sf_dir, "embeddings"))
 

@@ -133,8 +133,8 @@ def test_stages(spark, docs, tmp_path):
 def test_registry():
     entry = pytest.importorskip("__spark_entry__")
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert [n.split("_")[0] for n in names if n.split("_")[0] in {f"op{k}" for k in range(1, 11)}] == sorted((f"op{k}" for k in range(1, 11)), key=lambda x: [n.split("_")[0] for n in names].index(x))
-    assert len(names) == 10
+    assert [n.split("_")[0] for n in names if n.split("_")[0] in {f"op{k}" for k in range(1, 14)}] == sorted((f"op{k}" for k in range(1, 14)), key=lambda x: [n.split("_")[0] for n in names].index(x))
+    assert len(names) == 13
     assert "pipeline" in entry.queries()
 
 
