@@ -120,15 +120,16 @@ def context_sums(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     """BUCKETS x DIMENSIONS: unit vectors of the words, zeros where a bucket has none."""
-    out = np.zeros((BUCKETS, DIMENSIONS))
-    found = context_sums(docs, text).orderBy("bucket").toPandas()  # BUCKETS rows at most
-    if not len(found):
-        return out.astype(np.float32)
-    sums = found.iloc[:, 2:].to_numpy(dtype=float)
-    sums -= found["n"].to_numpy(dtype=float)[:, None] * (sums.sum(axis=0) / found["n"].sum())
+    out = np.zeros((BUCKETS, DIMENSIONS), np.float32)
+    found = context_sums(docs, text).toArrow()  # BUCKETS rows at most, some 35 MB
+    if not found.num_rows:
+        return out
+    bucket, n = found.column("bucket").to_numpy(), found.column("n").to_numpy().astype(float)
+    sums = np.stack([found.column(f"d{i}").to_numpy() for i in range(DIMENSIONS)], axis=1).astype(float)
+    sums -= n[:, None] * (sums.sum(axis=0) / n.sum())
     norms = np.linalg.norm(sums, axis=1, keepdims=True)
-    out[found["bucket"].to_numpy()] = np.divide(sums, norms, out=np.zeros_like(sums), where=norms > 0)
-    return out.astype(np.float32)
+    out[bucket] = np.divide(sums, norms, out=np.zeros_like(sums), where=norms > 0)
+    return out
 
 
 def pooled(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -251,11 +252,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column | None = None,
     sample = F.broadcast(bounded_sample(rows, key, limit))  # at most `limit` rows
     known = docs.select(key, F.col(text).alias("text")).join(sample, key)
     held_back = (F.pmod(F.xxhash64(key, F.lit("temperature")), F.lit(4)) == 0).alias("held_back")
-    found = document_features(known, vectors, key, "good").groupBy(key, "good").agg(F.min("features").alias("features")).select(key, "good", "features", held_back).orderBy(key).collect()
-    if not found:
+    found = document_features(known, vectors, key, "good").groupBy(key, "good").agg(F.min("features").alias("features")).select("features", "good", held_back).orderBy(key).toArrow()
+    if not found.num_rows:
         return QualityModel(vectors, None, 0.5)
-    x, y = np.array([r["features"] for r in found]), np.array([r["good"] for r in found], dtype=float)
-    aside = np.array([r["held_back"] for r in found])
+    x = found.column("features").combine_chunks().values.to_numpy().reshape(found.num_rows, -1)
+    y, aside = found.column("good").to_numpy().astype(float), found.column("held_back").to_numpy()
     if len(set(y[~aside])) < 2:
         return QualityModel(vectors, None, float(y.mean()))
     network = fit_network(x[~aside], y[~aside])
