@@ -58,12 +58,6 @@ def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
 
 
-def prune_rows(edges: DataFrame, most: int, places: int | None = None) -> DataFrame:
-    """The `most` largest signed values of every row; ties by column."""
-    value = F.round("v", places) if places is not None else F.col("v")
-    return edges.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc(value), "j"))).where(F.col("r") <= most).drop("r")
-
-
 def nearest(vectors: DataFrame, k: int, metric: str = "euclidean", include_self: bool = True, key: str = "id", vector: str = "v", places: int = 9, drop_first: bool = False) -> DataFrame:
     """(i, j, d, rank): k nearest of each vector; with itself in front if `include_self`.
 

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.graph import checkpointed, multiply, prune_rows, scale, symmetric_normalise
+from ledgerlens.operators import sparse
+from ledgerlens.operators.graph import checkpointed, multiply, scale, symmetric_normalise
 
 
 def katz_steps(beta: float, max_iter: int = 100, tolerance: float = 1e-10) -> int:
@@ -25,33 +26,46 @@ def katz(edges: DataFrame, beta: float, max_iter: int = 100, tolerance: float =
     Without `most_per_row`, rows and columns stand alone, so only the rows (a table i) or the columns (a
     table j) asked for are carried through: X becomes X A, or Y becomes A Y. Few columns, such as the
     groups of a graph of customers and groups, keep every step as small as customers times columns. With
-    `most_per_row`, the rows of all nodes are pruned in every step and A is multiplied from the left,
-    which gives other numbers. Every step is checkpointed.
+    `most_per_row`, the rows of all nodes are pruned in every step and A is multiplied from the left in units
+    of equal work, which gives other numbers. Every step is checkpointed.
     """
     a = symmetric_normalise(edges) if normalise else edges
-    a = checkpointed(a)
-    current = a
-    if columns is not None and not most_per_row:
-        current = a.join(columns, "j", "left_semi").select("i", "j", "v")
-    elif rows is not None and not most_per_row:
-        current = a.join(rows, "i", "left_semi")
-    total, factor = current, 1.0
-    for _ in range(katz_steps(beta, max_iter, tolerance)):
-        current = multiply(a, current) if most_per_row or columns is not None else multiply(current, a)
-        if most_per_row:
-            current = prune_rows(current, most_per_row, places)
-        current = checkpointed(current)
-        factor *= beta
-        total = total.union(scale(current, factor)).groupBy("i", "j").agg(F.sum("v").alias("v"))
-        if most_per_row:
-            total = prune_rows(total, most_per_row, places)
-        total = checkpointed(total)
+    if most_per_row:
+        total = _pruned(a, beta, katz_steps(beta, max_iter, tolerance), most_per_row, places)
+    else:
+        a = checkpointed(a)
+        current = a
+        if columns is not None:
+            current = a.join(columns, "j", "left_semi").select("i", "j", "v")
+        elif rows is not None:
+            current = a.join(rows, "i", "left_semi")
+        total, factor = current, 1.0
+        for _ in range(katz_steps(beta, max_iter, tolerance)):
+            current = checkpointed(multiply(a, current) if columns is not None else multiply(current, a))
+            factor *= beta
+            total = checkpointed(total.union(scale(current, factor)).groupBy("i", "j").agg(F.sum("v").alias("v")))
     if include_self:
         nodes = edges.select("i").distinct()
         total = total.union(nodes.select("i", F.col("i").alias("j"), F.lit(1.0).alias("v"))).groupBy("i", "j").agg(F.sum("v").alias("v"))
+    if most_per_row and columns is not None:
+        total = total.join(columns, "j", "left_semi").select("i", "j", "v")
     return total.join(rows, "i", "left_semi") if rows is not None and (most_per_row or columns is not None) else total
 
 
+def _pruned(a: DataFrame, beta: float, steps: int, most: int, places: int | None) -> DataFrame:
+    a = checkpointed(a.groupBy("i", "j").agg(F.sum("v").alias("v")))
+    numbers = checkpointed(sparse.node_numbers(a))
+    numbered = checkpointed(sparse.with_numbers(a, numbers))
+    units = sparse.cut_units(numbered, most)
+    current = total = checkpointed(sparse.to_rows(numbered))
+    factor = 1.0
+    for _ in range(steps):
+        current = sparse.multiply_rows(units, current, most, places)
+        factor *= beta
+        total = checkpointed(sparse.add_rows(total, current, factor, most, places))
+    return sparse.with_names(sparse.to_edges(total), numbers)
+
+
 def item_scores(scores: DataFrame, customer: str = "customer", item: str = "item") -> DataFrame:
     """The customer-item block of a graph with kinds in its node keys: (customer_id, item, score)."""
     kind = lambda c, k: F.col(c).startswith(f"{k}:")

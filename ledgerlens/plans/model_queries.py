@@ -442,10 +442,6 @@ def _(spark, d):
     return graph.mask_edges(edges, edges.select("i").distinct(), 0.2, 5)[0]
 
 
-# Only the columns of items are carried, so no step is larger than customers times groups.
-KATZ = f"{BIP}, a1 AS (SELECT * FROM a WHERE starts_with(j, 'item:')), a2 AS (SELECT x.i, y.j, sum(x.v * y.v) AS v FROM a x JOIN a1 y ON x.j = y.i GROUP BY 1, 2), a3 AS (SELECT x.i, y.j, sum(x.v * y.v) AS v FROM a x JOIN a2 y ON x.j = y.i GROUP BY 1, 2), k AS (SELECT i, j, sum(v) AS v FROM (SELECT i, j, v FROM a1 UNION ALL SELECT i, j, 0.01 * v FROM a2 UNION ALL SELECT i, j, 0.0001 * v FROM a3) GROUP BY 1, 2)"
-
-
 def item_columns(edges):
     return edges.where(F.col("j").startswith("item:")).select("j").distinct()
 
@@ -458,44 +454,90 @@ def bipartite(spark, d, item="grp"):
     return graph.combined(spark.createDataFrame([], "i bigint, j bigint, v double"), graph.incidence(small(spark, d), "customer_id", item))
 
 
-@query("katz_truncated", f"WITH {KATZ} SELECT i, j, round(v + 1e-9, 6) AS v FROM k")
+# Katz over items at the settings of the reference: degree-normalised, beta 0.7, rows pruned in every step.
+BETA, STEPS, MOST = 0.7, 5, 250
+
+
+def pruned_katz_sql(beta, steps, most):
+    cut = lambda t: f"SELECT i, j, v FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(v, 9) DESC, j) AS r FROM ({t})) WHERE r <= {most}"
+    out = f"{BIP.replace('grp', 'item').replace('a AS', 'b AS')}, deg AS (SELECT i, sum(v) AS d FROM b GROUP BY 1), a AS MATERIALIZED (SELECT b.i, b.j, v / sqrt(x.d * y.d) AS v FROM b JOIN deg x ON x.i = b.i JOIN deg y ON y.i = b.j), c0 AS (SELECT * FROM a), k0 AS (SELECT * FROM a)"
+    for n in range(1, steps + 1):
+        out += f", c{n} AS MATERIALIZED ({cut(f'SELECT x.i, y.j, sum(x.v * y.v) AS v FROM a x JOIN c{n - 1} y ON x.j = y.i GROUP BY 1, 2')}), k{n} AS MATERIALIZED ({cut(f'SELECT i, j, sum(v) AS v FROM (SELECT * FROM k{n - 1} UNION ALL SELECT i, j, {beta**n!r}::DOUBLE * v FROM c{n}) GROUP BY 1, 2')})"
+    return f"{out}, k AS (SELECT * FROM k{steps})"
+
+
+def pruned_katz(spark, d):
+    return ranking.katz(bipartite(spark, d, "item"), BETA, max_iter=STEPS, normalise=True, most_per_row=MOST, places=9)
+
+
+PRUNED_KATZ = pruned_katz_sql(BETA, STEPS, MOST)
+
+
+@query("katz_truncated", f"WITH {PRUNED_KATZ} SELECT i, j, round(v + 1e-9, 6) AS v FROM k")
 def _(spark, d):
-    edges = bipartite(spark, d)
-    return rounded(ranking.katz(edges, 0.01, max_iter=2, columns=item_columns(edges)))
+    return rounded(pruned_katz(spark, d))
 
 
-@query("katz_item_scores", f"WITH {KATZ} SELECT split_part(i, ':', 2) AS customer_id, split_part(j, ':', 2) AS item, round(v + 1e-9, 6) AS score FROM k WHERE starts_with(i, 'customer:') AND starts_with(j, 'item:')")
+@query("katz_item_scores", f"WITH {PRUNED_KATZ} SELECT split_part(i, ':', 2) AS customer_id, split_part(j, ':', 2) AS item, round(v + 1e-9, 6) AS score FROM k WHERE starts_with(i, 'customer:') AND starts_with(j, 'item:')")
 def _(spark, d):
-    edges = bipartite(spark, d)
-    return rounded(ranking.item_scores(ranking.katz(edges, 0.01, max_iter=2, columns=item_columns(edges))))
+    return rounded(ranking.item_scores(pruned_katz(spark, d)))
 
 
-KATZ_REC = f"{KATZ}, q AS (SELECT i, j, v AS score, row_number() OVER (PARTITION BY i ORDER BY round(v, 6) DESC, j) AS rank FROM k WHERE starts_with(i, 'customer:') AND starts_with(j, 'item:') AND NOT EXISTS (SELECT 1 FROM e WHERE e.i = k.i AND e.j = k.j))"
+PRUNED_REC = f"{PRUNED_KATZ}, q AS (SELECT i, j, v AS score, row_number() OVER (PARTITION BY i ORDER BY round(v, 6) DESC, j) AS rank FROM k WHERE starts_with(i, 'customer:') AND starts_with(j, 'item:') AND NOT EXISTS (SELECT 1 FROM e WHERE e.i = k.i AND e.j = k.j))"
 
 
 def katz_recommended(spark, d, k):
-    tx = small(spark, d)
-    edges = bipartite(spark, d)
-    scores = ranking.item_scores(ranking.katz(edges, 0.01, max_iter=2, columns=item_columns(edges)))
-    return ranking.recommend(scores, tx.select(F.col("customer_id").cast("string").alias("customer_id"), F.col("grp").alias("item")), k)
+    seen = small(spark, d).select(F.col("customer_id").cast("string").alias("customer_id"), F.col("item").cast("string").alias("item"))
+    return ranking.recommend(ranking.item_scores(pruned_katz(spark, d)), seen, k)
 
 
-@query("katz_recommend", f"WITH {KATZ_REC} SELECT split_part(i, ':', 2) AS customer_id, rank, split_part(j, ':', 2) AS item, round(score + 1e-9, 6) AS score FROM q WHERE rank <= 3")
+@query("katz_recommend", f"WITH {PRUNED_REC} SELECT split_part(i, ':', 2) AS customer_id, rank, split_part(j, ':', 2) AS item, round(score + 1e-9, 6) AS score FROM q WHERE rank <= 10")
 def _(spark, d):
-    return rounded(katz_recommended(spark, d, 3))
+    return rounded(katz_recommended(spark, d, 10))
 
 
-@query("recommend_all", f"WITH {KATZ_REC} SELECT split_part(i, ':', 2) AS customer_id, array_to_string(list(split_part(j, ':', 2) ORDER BY rank), ',') AS items FROM q WHERE rank <= 5 GROUP BY 1")
+@query("recommend_all", f"WITH {PRUNED_REC} SELECT split_part(i, ':', 2) AS customer_id, array_to_string(list(split_part(j, ':', 2) ORDER BY rank), ',') AS items FROM q WHERE rank <= 5 GROUP BY 1")
 def _(spark, d):
     rec = katz_recommended(spark, d, 5)
     return rec.groupBy("customer_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda x: x["item"]), ",").alias("items"))
 
 
-@query("recommend_notebook", f"WITH {KATZ_REC} SELECT split_part(i, ':', 2) AS customer_id, split_part(j, ':', 2) AS item FROM q WHERE rank <= 4")
+@query("recommend_notebook", f"WITH {PRUNED_REC} SELECT split_part(i, ':', 2) AS customer_id, split_part(j, ':', 2) AS item FROM q WHERE rank <= 4")
 def _(spark, d):
     return katz_recommended(spark, d, 4).select("customer_id", "item")
 
 
+# Over product groups, unpruned. Only the columns of items are carried, so no step is larger than customers times groups.
+KATZ = f"{BIP}, a1 AS (SELECT * FROM a WHERE starts_with(j, 'item:')), a2 AS (SELECT x.i, y.j, sum(x.v * y.v) AS v FROM a x JOIN a1 y ON x.j = y.i GROUP BY 1, 2), a3 AS (SELECT x.i, y.j, sum(x.v * y.v) AS v FROM a x JOIN a2 y ON x.j = y.i GROUP BY 1, 2), k AS (SELECT i, j, sum(v) AS v FROM (SELECT i, j, v FROM a1 UNION ALL SELECT i, j, 0.01 * v FROM a2 UNION ALL SELECT i, j, 0.0001 * v FROM a3) GROUP BY 1, 2)"
+
+
+@query("katz_groups", f"WITH {KATZ} SELECT i, j, round(v + 1e-9, 6) AS v FROM k")
+def _(spark, d):
+    edges = bipartite(spark, d)
+    return rounded(ranking.katz(edges, 0.01, max_iter=2, columns=item_columns(edges)))
+
+
+@query("katz_groups_scores", f"WITH {KATZ} SELECT split_part(i, ':', 2) AS customer_id, split_part(j, ':', 2) AS item, round(v + 1e-9, 6) AS score FROM k WHERE starts_with(i, 'customer:') AND starts_with(j, 'item:')")
+def _(spark, d):
+    edges = bipartite(spark, d)
+    return rounded(ranking.item_scores(ranking.katz(edges, 0.01, max_iter=2, columns=item_columns(edges))))
+
+
+KATZ_REC = f"{KATZ}, q AS (SELECT i, j, v AS score, row_number() OVER (PARTITION BY i ORDER BY round(v, 6) DESC, j) AS rank FROM k WHERE starts_with(i, 'customer:') AND starts_with(j, 'item:') AND NOT EXISTS (SELECT 1 FROM e WHERE e.i = k.i AND e.j = k.j))"
+
+
+def katz_groups_recommended(spark, d, k):
+    tx = small(spark, d)
+    edges = bipartite(spark, d)
+    scores = ranking.item_scores(ranking.katz(edges, 0.01, max_iter=2, columns=item_columns(edges)))
+    return ranking.recommend(scores, tx.select(F.col("customer_id").cast("string").alias("customer_id"), F.col("grp").alias("item")), k)
+
+
+@query("katz_groups_recommend", f"WITH {KATZ_REC} SELECT split_part(i, ':', 2) AS customer_id, rank, split_part(j, ':', 2) AS item, round(score + 1e-9, 6) AS score FROM q WHERE rank <= 3")
+def _(spark, d):
+    return rounded(katz_groups_recommended(spark, d, 3))
+
+
 PRUNED = f"{BIP.replace('grp', 'item')}, p2 AS (SELECT x.i, y.j, sum(x.v * y.v) AS v FROM a x JOIN a y ON x.j = y.i GROUP BY 1, 2), c2 AS (SELECT i, j, v FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(v, 6) DESC, j) AS r FROM p2) WHERE r <= 10), s2 AS (SELECT i, j, sum(v) AS v FROM (SELECT * FROM a UNION ALL SELECT i, j, 0.5 * v FROM c2) GROUP BY 1, 2), k AS (SELECT i, j, v FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(v, 6) DESC, j) AS r FROM s2) WHERE r <= 10)"
 
 
