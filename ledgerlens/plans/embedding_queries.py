@@ -94,7 +94,7 @@ def _(spark, d):
     return spark.createDataFrame(rows, "component int, p int, loading double")
 
 
-@query("latent_factor")
+@query("pca_low_rank")
 def _(spark, d):
     return embedding.low_rank(vectors(spark, d), 30)
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import evaluation, graph, prep, ranking
+from ledgerlens.operators import evaluation, graph, krylov, prep, ranking
 from ledgerlens.plans.feature_queries import rounded
 from ledgerlens.plans.prep_queries import ROW, ROW_SQL
 from ledgerlens.plans.registry import ORDER_SQL, query
@@ -555,13 +557,71 @@ def _(spark, d):
 NEUMANN = f"WITH {BIP.replace('grp', 'item')}, s0 AS (SELECT min(i) AS i, 1.0::DOUBLE AS v FROM a WHERE starts_with(i, 'customer:')), " + ", ".join(f"s{n} AS (SELECT a.i, 0.001::DOUBLE * sum(a.v * s.v) AS v FROM a JOIN s{n - 1} s ON a.j = s.i GROUP BY 1)" for n in (1, 2, 3, 4)) + " SELECT i, round(sum(v) * 1e6 + 1e-7, 4) AS v FROM (" + " UNION ALL ".join(f"SELECT * FROM s{n}" for n in range(5)) + ") GROUP BY 1"
 
 
-@query("katz_inverse_column", NEUMANN)
+@query("katz_series_column", NEUMANN)
 def _(spark, d):
     edges = graph.checkpointed(bipartite(spark, d, "item"))
     start = edges.where(F.col("i").startswith("customer:")).groupBy().agg(F.min("i").alias("i")).withColumn("v", F.lit(1.0))
     return ranking.katz_column(edges, start, 0.001, 4).select("i", F.round(F.col("v") * 1e6 + 1e-7, 4).alias("v"))
 
 
+# 1 / 0.05 lies below the largest singular value of the incidence (33 to 37), so the series diverges. The SQL solves the normal
+# equations by second-order Richardson steps for a spectrum within 0.1 and 9, which is that of these tables.
+INVERSE_BETA = 0.05
+_LOW, _HIGH = math.sqrt(0.1), 3.0
+INVERSE = f"""WITH RECURSIVE {BIP.replace('grp', 'item').replace('a AS', 'a AS MATERIALIZED')}, start AS MATERIALIZED (SELECT i, CASE WHEN i = (SELECT min(i) FROM e) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS b FROM (SELECT DISTINCT i FROM a)),
+state(k, i, x, p) AS (SELECT 0, i, 0.0::DOUBLE, 0.0::DOUBLE FROM start UNION ALL
+  SELECT k + 1, i, x + {4 / (_LOW + _HIGH) ** 2!r}::DOUBLE * (r - {INVERSE_BETA}::DOUBLE * coalesce(ar, 0)) + {((_HIGH - _LOW) / (_LOW + _HIGH)) ** 2!r}::DOUBLE * (x - p), x FROM (
+    WITH t AS (SELECT s.k, s.i, s.x, s.p, b - (s.x - {INVERSE_BETA}::DOUBLE * coalesce(ax, 0)) AS r FROM state s JOIN start USING (i) LEFT JOIN (SELECT a.i, sum(a.v * y.x) AS ax FROM a JOIN state y ON y.i = a.j GROUP BY 1) z USING (i))
+    SELECT t.*, ar FROM t LEFT JOIN (SELECT a.i, sum(a.v * y.r) AS ar FROM a JOIN t y ON y.i = a.j GROUP BY 1) z USING (i)) WHERE k < 150)
+SELECT i, round(x + 1e-7, 6) AS v FROM state WHERE k = (SELECT max(k) FROM state)"""
+
+
+@query("katz_inverse_column", INVERSE)
+def _(spark, d):
+    edges = graph.checkpointed(bipartite(spark, d, "item"))
+    start = edges.where(F.col("i").startswith("customer:")).groupBy().agg(F.min("i").alias("i")).withColumn("v", F.lit(1.0))
+    return krylov.solve(edges, start, INVERSE_BETA).values.select("i", F.round(F.col("v") + 1e-7, 6).alias("v"))
+
+
+def purchases(spark, d, item):
+    """How many lines each customer has of each item or group, as edges."""
+    return transactions(spark, d).groupBy(F.col("customer_id").alias("i"), F.col(item).alias("j")).agg(F.count(F.lit(1)).cast("double").alias("v"))
+
+
+@query("latent_factor")
+def _(spark, d):
+    """What thirty singular vectors of the purchases say of each pair of customer and item."""
+    edges = purchases(spark, d, "item")
+    scores = krylov.rebuilt(krylov.singular_factors(edges, 30, tolerance=1e-4, most=20), edges)
+    return scores.select(F.col("i").alias("customer_id"), F.col("j").alias("item"), F.col("v").alias("score"))
+
+
+@query("latent_factor_check", "SELECT 30 AS axes, CAST(sum(n * n) AS BIGINT) AS squared_norm, true AS orthonormal, true AS error_is_least FROM (SELECT customer_id, item, count(*) AS n FROM tx GROUP BY 1, 2)")
+def _(spark, d):
+    """The same factors by what holds for singular vectors alone: both sides are orthonormal, and the squared Frobenius error is what the values leave of the squared norm."""
+    edges = graph.checkpointed(purchases(spark, d, "item"))
+    found = krylov.singular_factors(edges, 30, tolerance=1e-4, most=20)
+    axes = len(found.values)
+    off = F.lit(0.0)
+    for side in (found.left, found.right):
+        inner = side.agg(*[F.sum(F.col("u")[a] * F.col("u")[b]) for a in range(axes) for b in range(a, axes)]).first()
+        off += sum(abs(x - (a == b)) for x, (a, b) in zip(inner, [(a, b) for a in range(axes) for b in range(a, axes)], strict=True))
+    squared = float(sum(s * s for s in found.values))
+    met = edges.join(krylov.rebuilt(found, edges).withColumnRenamed("v", "w"), ["i", "j"])
+    sums = met.agg(F.sum(F.col("v") * F.col("v")).alias("norm"), F.sum(F.col("v") * F.col("w")).alias("inner"))
+    error = F.col("norm") - 2 * F.col("inner") + squared
+    return sums.select(F.lit(axes).alias("axes"), F.col("norm").cast("long").alias("squared_norm"), (off < 1e-6).alias("orthonormal"), (F.abs(error - (F.col("norm") - squared)) < 1e-6 * F.col("norm")).alias("error_is_least"))
+
+
+@query("latent_factor_groups", "SELECT customer_id, grp, round(count(*)::DOUBLE, 6) AS lines FROM tx GROUP BY 1, 2")
+def _(spark, d):
+    """With as many axes as there are groups, the factors give back the counts."""
+    edges = purchases(spark, d, "grp")
+    groups = edges.select("j").distinct().count()
+    back = krylov.rebuilt(krylov.singular_factors(edges, groups), edges)
+    return back.select(F.col("i").alias("customer_id"), F.col("j").alias("grp"), F.round("v", 6).alias("lines"))
+
+
 # The same over items, and with all blocks.
 KATZ_ITEMS = KATZ.replace("grp", "item")
 KATZ_WHOLE = KATZ_ITEMS.replace(" WHERE starts_with(j, 'item:')", "")

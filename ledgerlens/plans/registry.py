@@ -45,7 +45,8 @@ def query(name: str, sql: str | None = None, tx: bool = True):
         if sql is not None:
             text = sql.strip()
             if tx:
-                text = f"WITH {TX_SQL.strip()}{', ' + text[5:] if text[:5].upper() == 'WITH ' else chr(10) + text}"
+                start = next((w for w in ("WITH RECURSIVE ", "WITH ") if text.startswith(w)), "")
+                text = f"{start or 'WITH '}{TX_SQL.strip()}{', ' + text[len(start):] if start else chr(10) + text}"
             ORACLES[name] = text
         return f
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from ledgerlens.operators import ranking, sparse
+from ledgerlens.operators import krylov, ranking, sparse
 
 
 def cut(matrix, most, places=9):
@@ -80,3 +80,51 @@ def test_both_ways_of_adding_up():
     cols, vals = draw.integers(0, 50, 400), draw.integers(-9, 9, 400).astype(float)
     near, far = sparse.add_up(rows, cols, vals), sparse.add_up(rows * 10**6, cols * 10**12, vals)
     assert all((a == b).all() for a, b in zip(near, (far[0] // 10**6, far[1] // 10**12, far[2]), strict=True))
+
+
+@pytest.mark.parametrize("beta", [0.001, 0.1, 0.9])
+def test_solver_equals_a_dense_solve(spark, beta):
+    """Beyond 1 / spectral radius too, where a series in beta diverges; for a matrix that isn't symmetric."""
+    n = 40
+    m = np.abs(a_matrix(n, 8))
+    found = krylov.solve(table_of(spark, m), spark.createDataFrame([("n004", 1.0)], "i string, v double"), beta, restart=50)
+    want = np.linalg.solve(np.eye(n) - beta * m, np.eye(n)[4])
+    got = {int(r["i"][1:]): r["v"] for r in found.values.collect()}
+    assert found.residual <= 1e-8 and np.allclose([got.get(i, 0.0) for i in range(n)], want, atol=1e-6 * np.abs(want).max())
+    assert beta == 0.001 or beta * np.abs(np.linalg.eigvals(m)).max() > 1
+
+
+def test_solver_starts_again_and_knows_nothing_to_do(spark):
+    n = 40
+    m = np.abs(a_matrix(n, 8))
+    m = m + m.T
+    b = spark.createDataFrame([("n004", 2.0), ("n004", -1.0), ("alone", 3.0)], "i string, v double")
+    found = krylov.solve(table_of(spark, m), b, 0.004, restart=4)
+    want = np.linalg.solve(np.eye(n) - 0.004 * m, np.eye(n)[4])
+    got = {r["i"]: r["v"] for r in found.values.collect()}
+    assert found.products > 5 and found.residual <= 1e-8 and got["alone"] == pytest.approx(3.0)
+    assert np.allclose([got.get(f"n{i:03d}", 0.0) for i in range(n)], want, atol=1e-6)
+    assert krylov.solve(table_of(spark, m), b.limit(0), 0.1).residual == 0.0
+
+
+def test_singular_values_equal_those_of_the_dense_matrix(spark):
+    draw = np.random.default_rng(4)
+    m = (draw.random((50, 30)) < 0.3) * draw.normal(size=(50, 30))
+    m[:, 5] = 0
+    edges = table_of(spark, m)
+    found = krylov.singular_factors(edges, 6)
+    want = np.linalg.svd(m)
+    assert np.allclose(found.values, want[1][:6], rtol=1e-6) and (found.residuals < 1e-3 * want[1][0]).all()
+    for side in (found.left, found.right):
+        u = np.array([r["u"] for r in side.collect()])
+        assert np.allclose(u.T @ u, np.eye(6), atol=1e-8)
+    best = np.linalg.norm(m - (want[0][:, :6] * want[1][:6]) @ want[2][:6])
+    pairs = spark.createDataFrame([(f"n{i:03d}", f"n{j:03d}") for i in range(50) for j in range(30)], "i string, j string")
+    assert np.linalg.norm(m - dense(krylov.rebuilt(found, pairs), 50)[:, :30]) == pytest.approx(best, rel=1e-5)
+
+
+def test_a_matrix_of_small_rank(spark):
+    m = np.outer(np.arange(1.0, 9), np.arange(1.0, 5)) + np.outer(np.ones(8), [0, 1.0, 0, 1.0])
+    found = krylov.singular_factors(table_of(spark, m), 4)
+    assert len(found.values) == 2 and np.allclose(found.values, np.linalg.svd(m)[1][:2])
+    assert len(krylov.singular_factors(table_of(spark, m).limit(0), 4).values) == 0
