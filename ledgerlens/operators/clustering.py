@@ -103,22 +103,36 @@ def distance_to_center(vectors: DataFrame, labels: DataFrame, key: str = "id", v
     return d.agg(F.avg("d").alias("mean_distance"))
 
 
-def silhouette(vectors: DataFrame, labels: DataFrame, key: str = "id", vector: str = "v") -> DataFrame:
-    """One row: mean silhouette with Euclidean distances, over all pairs, which meet in blocks; 0 for clusters of one."""
-    rows = vectors.join(labels, key).select(F.col(key).cast("string").alias("id"), F.col("cluster").cast("long").alias("tag"), F.transform(vector, lambda x: x.cast("double")).alias("vector"))
+def silhouettes(vectors: DataFrame, labels: DataFrame, key: str = "id", vector: str = "v", clusters: str = "clusters") -> DataFrame:
+    """(labeling, silhouette): mean silhouettes of several labelings, given as an array of each row, in one pass over all pairs.
+
+    Pairs meet in blocks, and each distance is added to the sums of all labelings; distances are Euclidean, and
+    clusters of one count 0.
+    """
+    rows = vectors.join(labels, key).select(F.col(key).cast("string").alias("id"), F.transform(clusters, lambda c: c.cast("long")).alias("tag"), F.transform(vector, lambda x: x.cast("double")).alias("vector"))
 
-    def add(i, tag, v, block):
+    def add(i, tags, v, block):
         d = distances(v, block["vectors"])
         other = block["ids"] != i
-        clusters, at = np.unique(block["tags"][other], return_inverse=True)
-        return list(zip([i] * len(clusters), [tag] * len(clusters), clusters, np.bincount(at, d[other], len(clusters)), np.bincount(at, minlength=len(clusters)), strict=True))
-
-    schema = pa.schema([("i", pa.string()), ("cluster", pa.int64()), ("c", pa.int64()), ("sum", pa.float64()), ("n", pa.int64())])
-    sums = each_against_all(rows, add, schema, "i string, cluster bigint, c bigint, sum double, n bigint").groupBy("i", "cluster", "c").agg((F.sum("sum") / F.sum("n")).alias("m"))
+        d, all_tags, out = d[other], block["tags"][other], []
+        for n, own in enumerate(tags):
+            found, at = np.unique(all_tags[:, n], return_inverse=True)
+            out += zip([i] * len(found), [n] * len(found), [own] * len(found), found, np.bincount(at, d, len(found)), np.bincount(at, minlength=len(found)), strict=True)
+        return out
+
+    schema = pa.schema([("i", pa.string()), ("labeling", pa.int64()), ("cluster", pa.int64()), ("c", pa.int64()), ("sum", pa.float64()), ("n", pa.int64())])
+    sums = each_against_all(rows, add, schema, "i string, labeling bigint, cluster bigint, c bigint, sum double, n bigint").groupBy("i", "labeling", "cluster", "c").agg((F.sum("sum") / F.sum("n")).alias("m"))
     own = F.max(F.when(F.col("c") == F.col("cluster"), F.col("m")))
     near = F.min(F.when(F.col("c") != F.col("cluster"), F.col("m")))
-    s = sums.groupBy("i").agg(own.alias("own"), near.alias("near")).select(F.when(F.col("own").isNull(), 0.0).otherwise(F.try_divide(F.col("near") - F.col("own"), F.greatest("near", "own"))).alias("s"))
-    return s.agg(F.avg("s").alias("silhouette"))
+    s = sums.groupBy("i", "labeling").agg(own.alias("own"), near.alias("near"))
+    s = s.select("labeling", F.when(F.col("own").isNull(), 0.0).otherwise(F.try_divide(F.col("near") - F.col("own"), F.greatest("near", "own"))).alias("s"))
+    return s.groupBy("labeling").agg(F.avg("s").alias("silhouette"))
+
+
+def silhouette(vectors: DataFrame, labels: DataFrame, key: str = "id", vector: str = "v") -> DataFrame:
+    """One row: the mean silhouette of the labels (key, cluster)."""
+    one = silhouettes(vectors, labels.select(key, F.array("cluster").alias("clusters")), key, vector)
+    return one.agg(F.max("silhouette").alias("silhouette"))
 
 
 def top_components(center: DataFrame, n: int = 5, places: int = 9) -> DataFrame:
@@ -128,13 +142,17 @@ def top_components(center: DataFrame, n: int = 5, places: int = 9) -> DataFrame:
 
 
 def latent_evaluation(vectors: DataFrame, options: Sequence[int] = (4, 6, 8, 10, 12), seed: int = 1, key: str = "id", vector: str = "v") -> list[tuple[int, float]]:
-    """(k, silhouette) of k-means for each k below the number of rows."""
-    n, out = vectors.count(), []
+    """(k, silhouette) of k-means for each k below the number of rows; all labelings share one pass over the pairs."""
+    n = vectors.count()
+    options = [k for k in options if n > k]
+    labels = vectors.withColumn("__features", array_to_vector(vector))
     for k in options:
-        if n > k:
-            labels = _labels(_fit(vectors, k, seed, 1, vector), vectors, key, vector).select(key, "cluster")
-            out.append((k, silhouette(vectors, labels, key, vector).first()[0]))
-    return out
+        labels = _fit(vectors, k, seed, 1, vector).setPredictionCol(f"__k{k}").transform(labels)
+    if not options:
+        return []
+    labels = checkpointed(labels.select(key, F.array(*[f"__k{k}" for k in options]).alias("clusters")))
+    found = {r["labeling"]: r["silhouette"] for r in silhouettes(vectors, labels, key, vector).collect()}
+    return [(k, found[i]) for i, k in enumerate(options)]
 
 
 def as_array(vectors: DataFrame, column: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.lineage import checkpointed
+from ledgerlens.operators.neighbours import meetings
 from ledgerlens.operators.pairwise import distances, each_against_all
 
 
@@ -58,11 +59,25 @@ def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
 
 
+def _all_meet(rows: DataFrame, most: int, with_self: bool, metric: str, places: int) -> DataFrame:
+    def best(i, _, v, block):
+        d = np.round(distances(v, block["vectors"], metric), places)
+        ids = block["ids"]
+        itself = ids == i
+        order = np.lexsort((ids, d, ~itself))
+        order = order if with_self else order[~itself[order]]
+        return [(i, ids[n], d[n]) for n in order[:most]]
+
+    kind = dict(rows.dtypes)["id"]
+    id_type = pa.int64() if kind == "bigint" else pa.string()
+    return each_against_all(rows, best, pa.schema([("i", id_type), ("j", id_type), ("d", pa.float64())]), f"i {kind}, j {kind}, d double")
+
+
 def nearest(vectors: DataFrame, k: int, metric: str = "euclidean", include_self: bool = True, key: str = "id", vector: str = "v", places: int = 9, drop_first: bool = False) -> DataFrame:
     """(i, j, d, rank): k nearest of each vector; with itself in front if `include_self`.
 
     `drop_first` takes the first k with itself and drops the first, so k - 1 are left. Vectors meet in blocks,
-    each of which keeps the best of its own. Rows without a vector take no part; an undefined distance comes last.
+    as far as the triangle inequality leaves room, and each block keeps the best of its own. Rows without a vector take no part; an undefined distance comes last.
     """
     most = k + 1 if include_self else k
     with_self = include_self or drop_first
@@ -70,16 +85,12 @@ def nearest(vectors: DataFrame, k: int, metric: str = "euclidean", include_self:
     numbers = kind in ("tinyint", "smallint", "int", "bigint")
     rows = vectors.where(F.col(vector).isNotNull()).select((F.col(key).cast("long") if numbers else F.col(key).cast("string")).alias("id"), F.lit(0).alias("tag"), F.transform(vector, lambda x: x.cast("double")).alias("vector"))
 
-    def best(i, _, v, block):
-        d = np.round(distances(v, block["vectors"], metric), places)
-        ids = block["ids"]
-        itself = ids == i
-        order = np.lexsort((ids, d, ~itself))
-        order = order if with_self else order[~itself[order]]
-        return [(i, ids[n], d[n]) for n in order[:most]]
-
-    id_type = pa.int64() if numbers else pa.string()
-    found = each_against_all(rows, best, pa.schema([("i", id_type), ("j", id_type), ("d", pa.float64())]), "i bigint, j bigint, d double" if numbers else "i string, j string, d double")
+    # Bounds need a metric and finite numbers; other vectors all meet.
+    wild = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    if metric == "euclidean" and rows.where(wild).isEmpty() and not rows.isEmpty():
+        found = meetings(rows.select("id", "vector"), most, with_self, places).found
+    else:
+        found = _all_meet(rows, most, with_self, metric, places)
     itself = F.when(F.col("i") == F.col("j"), 0).otherwise(1)
     order = Window.partitionBy("i").orderBy(itself, "d", "j") if with_self else Window.partitionBy("i").orderBy("d", "j")
     out = found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most)

@@ -54,6 +54,16 @@ def _(spark, d):
     return rounded(clustering.silhouette(vectors(spark, d), labels(spark, d)))
 
 
+LABELINGS = ("label", "label % 2", "label % 3", "label % 4", "label % 5")
+
+
+@query("cluster_silhouettes", " UNION ALL ".join(f"SELECT {n} AS labeling, * FROM (WITH {SIL.replace('a.label', 'a.' + label).replace('b.label', 'b.' + label)} SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) + 1e-9, 6) AS silhouette FROM s)" for n, label in enumerate(LABELINGS)), tx=False)
+def _(spark, d):
+    (e,) = tables(spark, d, "embeddings")
+    several = e.select(F.col("vec_id").alias("id"), F.array(*[F.expr(label) for label in LABELINGS]).alias("clusters"))
+    return rounded(clustering.silhouettes(vectors(spark, d), several).withColumn("labeling", F.col("labeling").cast("int")))
+
+
 @query("cluster_assign_nearest", "WITH n AS (SELECT e.vec_id AS id, c.vec_id AS k, list_distance(CAST(e.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS d FROM embeddings e, embeddings c WHERE c.vec_id < 8) SELECT id, CAST(arg_min(k, (d, k)) AS INTEGER) AS cluster, round(min(d) + 1e-9, 6) AS distance FROM n GROUP BY 1", tx=False)
 def _(spark, d):
     v = vectors(spark, d)
@@ -79,7 +89,7 @@ def _(spark, d):
 @query("ml_latent_eval")
 def _(spark, d):
     v = embedding.principal_components(vectors(spark, d), 8).coordinates
-    return spark.createDataFrame(clustering.latent_evaluation(v, (4, 6)), "k int, silhouette double")
+    return spark.createDataFrame(clustering.latent_evaluation(v), "k int, silhouette double")
 
 
 @query("ml_pca")
