@@ -30,9 +30,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from ledgerlens.llm.common import bounded_sample, text_slices
 
@@ -45,8 +45,9 @@ WINDOW = 2
 #: Most labelled documents that the network is fitted on; a quarter of them sets the temperature.
 TRAIN_LIMIT = 30_000
 HIDDEN = 32
-#: Words of a text that are pooled at a time.
+#: Words that are taken at a time.
 PIECE = 50_000
+_RARE = 8
 
 _WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
@@ -54,14 +55,16 @@ _WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 class Buckets(dict):
     """The buckets of the words of a piece without white space; what was learnt is forgotten at a limit, so memory is bounded."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 600_000):
         super().__init__()
         self.limit = limit
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         # A first letter's case is set by its place in a sentence; a word in capitals is another word.
-        plain = piece if piece[1:].lower() != piece[1:] else piece.lower()
-        found = tuple(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 12) % BUCKETS for w in _WORD.findall(plain))
+        rest = piece[1:]
+        plain = piece.lower() if rest == rest.lower() else piece
+        words = (plain,) if plain.isalpha() else _WORD.findall(plain)
+        found = tuple([xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 12) % BUCKETS for w in words])
         if len(piece) <= 40:
             if len(self) >= self.limit:
                 self.clear()
@@ -69,7 +72,7 @@ class Buckets(dict):
         return found
 
     def of(self, text: str | None) -> np.ndarray:
-        return np.fromiter(itertools.chain.from_iterable(map(self.__getitem__, (text or "").split())), np.int32)
+        return np.array(list(itertools.chain.from_iterable(map(self.__getitem__, (text or "").split()))), np.int32)
 
 
 def index_vectors() -> np.ndarray:
@@ -88,14 +91,25 @@ def add_contexts(ids: list[np.ndarray], index: np.ndarray, sums: np.ndarray) ->
     index = np.vstack([index, np.zeros((1, DIMENSIONS), np.int8)])  # what stands between texts adds nothing
     for start in range(WINDOW, len(row) - WINDOW, PIECE):
         end = min(start + PIECE, len(row) - WINDOW)
-        own = index[row[start - WINDOW : end + WINDOW]]
+        own = index.take(row[start - WINDOW : end + WINDOW], axis=0)
         n = end - start
         context = sum((own[WINDOW + k : WINDOW + k + n] for k in range(-WINDOW, WINDOW + 1) if k), np.zeros((n, DIMENSIONS), np.int8))
-        order = np.argsort(row[start:end], kind="stable")
-        words, first = np.unique(row[start:end][order], return_index=True)
-        found = np.add.reduceat(context[order], first, axis=0, dtype=np.int32)
-        real = words < BUCKETS
-        sums[words[real]] += found[real]
+        real = np.flatnonzero(row[start:end] < BUCKETS)
+        if not len(real):
+            continue
+        words = row[start:end][real].astype(np.uint16)
+        order = np.argsort(words, kind="stable")
+        words, order = words[order], real[order]
+        first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+        counts = np.diff(np.append(first, len(words)))
+        # Words that are rare here are added occurrence by occurrence, the others summed up first: one sum has a fixed cost for each component.
+        for k in range(_RARE):
+            some = first[(counts <= _RARE) & (counts > k)]
+            sums[words[some]] += context[order[some + k]]
+        often = counts > _RARE
+        if often.any():
+            found = np.add.reduceat(context[order[np.repeat(often, counts)]], np.concatenate([[0], np.cumsum(counts[often])[:-1]]), axis=0, dtype=np.int32)
+            sums[words[first[often]]] += found
 
 
 def context_sums(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -138,11 +152,11 @@ def pooled(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
         return np.zeros(2 * DIMENSIONS + 3)
     total, squares, near = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS), 0.0
     for at in range(0, len(ids), PIECE):
-        own = vectors[ids[at : at + PIECE + 1]].astype(float)  # with the first word of the next piece
-        near += float((own[:-1] * own[1:]).sum())
+        own = vectors.take(ids[at : at + PIECE + 1], axis=0)  # with the first word of the next piece
+        near += float(np.einsum("ij,ij->", own[:-1], own[1:], dtype=float))
         own = own[:PIECE]
-        total += own.sum(axis=0)
-        squares += (own * own).sum(axis=0)
+        total += own.sum(axis=0, dtype=float)
+        squares += np.einsum("ij,ij->j", own, own, dtype=float)
     mean = total / len(ids)
     spread = np.sqrt(np.maximum(squares / len(ids) - mean * mean, 0))
     return np.concatenate([mean, spread, [near / max(1, len(ids) - 1), len(np.unique(ids)) / len(ids), np.log1p(len(ids))]])
