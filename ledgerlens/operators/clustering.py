@@ -155,5 +155,37 @@ def latent_evaluation(vectors: DataFrame, options: Sequence[int] = (4, 6, 8, 10,
     return [(k, found[i]) for i, k in enumerate(options)]
 
 
+# What a cluster is called, with the beginnings of the features that speak for it.
+FAMILIES = {
+    "high activity / long-tenure buyers": ("activity__", "time__"),
+    "high spend / margin buyers": ("agg__Invoiced price__", "agg__margin_value__", "agg__GM%__"),
+    "broad assortment buyers": ("activity__unique", "activity__top_item_share"),
+    "specialized / concentrated buyers": ("share__", "bucketshare__", "bucket_"),
+}
+
+
+def interpret(decoded: DataFrame, families: dict[str, Sequence[str]] | None = None, n: int = 6) -> DataFrame:
+    """(cluster, label, rationale, top_positive, top_negative) of centers given as (cluster, feature, z), z in deviations.
+
+    A family scores the sum of the positive deviations of the features that begin as it says; the best
+    family is the label, the first of equals, and the two best are the rationale. A feature can speak for several
+    families, and a family without features isn't ranked. Beside it stand the n largest and the n
+    smallest features, ties by name.
+    """
+    families = families or FAMILIES
+    own = F.array_compact(F.array(*[F.when(F.greatest(*[F.startswith("feature", F.lit(p)) for p in (*begins, begins[0])]), F.struct(F.lit(k).alias("place"), F.lit(family).alias("family"))) for k, (family, begins) in enumerate(families.items())]))
+    scores = decoded.select("cluster", F.explode(own).alias("f"), F.greatest("z", F.lit(0.0)).alias("z")).groupBy("cluster", "f").agg(F.sum("z").alias("score"))
+    ranked = scores.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct((-F.round("score", 9)).alias("below"), F.col("f.place").alias("place"), F.col("f.family").alias("family"), "score"))).alias("best"))
+    said = F.transform(F.slice("best", 1, 2), lambda x: F.concat(x["family"], F.lit(" ("), F.format_string("%.2f", x["score"]), F.lit(")")))
+    labels = ranked.select("cluster", F.col("best")[0]["family"].alias("label"), F.concat(F.lit("Highest decoded positive deviations fall in "), F.array_join(said, " and "), F.lit(".")).alias("rationale"))
+    listed = lambda sign, name: (
+        decoded.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy(F.round(sign * F.col("z"), 9), "feature")))
+        .where(F.col("r") <= n)
+        .groupBy("cluster")
+        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "feature", "z"))), lambda x: F.concat(x["feature"], F.lit(" ("), F.format_string("%.2f", x["z"]), F.lit(")"))), ", ").alias(name))
+    )
+    return labels.join(listed(-1, "top_positive"), "cluster").join(listed(1, "top_negative"), "cluster")
+
+
 def as_array(vectors: DataFrame, column: str) -> DataFrame:
     return vectors.withColumn(column, vector_to_array(column))

@@ -1,22 +1,24 @@
 """Embeddings of customers: principal axes, and a variational autoencoder with optional heads.
 
-The autoencoder is a small model of a customer matrix. It is trained on all rows: tasks sum the gradients
-of theirs, and the driver takes the steps. It is applied to all rows in Arrow batches.
+The autoencoder is a small model of a customer matrix. It is trained on all rows, by tasks that keep theirs
+and exchange sums of gradients, and applied to all rows in Arrow batches.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.exchange import Exchange
 from ledgerlens.operators.graph import checkpointed
 
 
@@ -26,6 +28,11 @@ def centred(vectors: DataFrame, key: str = "id", vector: str = "v") -> DataFrame
     return vectors.crossJoin(F.broadcast(mean)).select(key, F.zip_with(vector, "__mean", lambda x, m: x.cast("double") - m).alias(vector))
 
 
+#: Most tasks of a training, and most bytes that the first one receives in a step.
+TASKS = 32
+EXCHANGED = 64_000_000
+
+
 @dataclass
 class Components:
     """Coordinates of all rows, loadings by row of the vector, and the share of variance each axis explains."""
@@ -43,7 +50,7 @@ def principal_components(vectors: DataFrame, n: int = 16, key: str = "id", vecto
 
 @dataclass
 class Head:
-    """A target predicted from the latent mean: squared error, or logistic loss for 0/1 targets with a ranking part."""
+    """A target predicted from the latent mean through one hidden layer: squared error, or logistic loss for 0/1 targets with a ranking part."""
 
     name: str
     width: int
@@ -71,7 +78,8 @@ class Autoencoder:
         shapes |= {"mu": (self.sizes[-1], self.latent), "lv": (self.sizes[-1], self.latent)}
         back = (self.latent, *reversed(self.sizes))
         shapes |= {f"d{k}": s for k, s in enumerate(zip(back, back[1:], strict=False))}
-        shapes |= {f"h_{h.name}": (self.latent, h.width) for h in self.heads}
+        for h in self.heads:
+            shapes |= {f"i_{h.name}": (self.latent, self.latent), f"h_{h.name}": (self.latent, h.width)}
         for name, (a, b) in shapes.items():
             self.weights[name] = rng.standard_normal((a, b)) * np.sqrt(2 / a) * (0.1 if name == "lv" else 1)
             self.weights[f"{name}_b"] = np.zeros(b)
@@ -121,7 +129,8 @@ class Autoencoder:
         g_lv = (grad * noise * deviation / 2 + beta * 0.5 * (np.exp(lv) - 1) / n) * (np.abs(raw) <= 10)
         total = losses["reconstruction"] + beta * losses["divergence"]
         for h in self.heads:
-            logits = mu @ w[f"h_{h.name}"] + w[f"h_{h.name}_b"]
+            inner = np.maximum(0, mu @ w[f"i_{h.name}"] + w[f"i_{h.name}_b"])
+            logits = inner @ w[f"h_{h.name}"] + w[f"h_{h.name}_b"]
             y = targets[h.name]
             if h.binary:
                 p = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
@@ -140,7 +149,7 @@ class Autoencoder:
                 g = 2 * (logits - y) / n
             losses[h.name] = own
             total += h.weight * own
-            g_mu = g_mu + through(f"h_{h.name}", mu, h.weight * g)
+            g_mu = g_mu + through(f"i_{h.name}", mu, through(f"h_{h.name}", inner, h.weight * g) * (inner > 0))
         back = through("mu", hidden[-1], g_mu) + through("lv", hidden[-1], g_lv)
         for k in range(len(self.sizes) - 2, -1, -1):
             back = through(f"e{k}", hidden[k], back * (hidden[k + 1] > 0))
@@ -203,67 +212,105 @@ def normals(hashes: np.ndarray, width: int, salt: int) -> np.ndarray:
     return np.sqrt(-2 * np.log(u[:, :width])) * np.cos(2 * np.pi * u[:, width:])
 
 
-def train_on_rows(vectors: DataFrame, latent: int = 16, hidden: Sequence[int] = (128, 64), beta: float = 1.0, warm_up: int = 10, epochs: int = 50, batches: int = 12, rate: float = 1e-3, seed: int = 1, heads: Sequence[Head] = (), targets: Callable[[np.ndarray], dict[str, np.ndarray]] | None = None, key: str = "id", vector: str = "v") -> Autoencoder:
+def train_on_rows(vectors: DataFrame, latent: int = 16, hidden: Sequence[int] = (128, 64), beta: float = 1.0, warm_up: int = 10, epochs: int = 50, batches: int = 12, rate: float = 1e-3, seed: int = 1, heads: Sequence[Head] = (), targets: Callable[[np.ndarray], dict[str, np.ndarray]] | None = None, key: str = "id", vector: str = "v", tasks: int | None = None) -> Autoencoder:
     """Adam over all rows of a table; every epoch deals them into `batches` by hash, at any size of the table.
 
-    Each step sends the weights with the tasks and brings back sums of losses and gradients, which a small
-    groupBy adds. `targets` makes the heads' targets of a matrix of rows.
+    One barrier stage does it: its tasks run side by side, read their rows once and keep them. In each step a
+    task sums losses and gradients over its rows of the batch, all tasks exchange these sums, and each takes the same
+    Adam step with the totals. If a task is lost, Spark runs the stage again, with the same result. What is sent in
+    a step is bounded: tasks times weights, at most `EXCHANGED` bytes. `targets` makes the heads' targets
+    of a matrix of rows. Barrier stages don't run with dynamic allocation of executors.
     """
     data = vectors.where(F.col(vector).isNotNull())
     data = checkpointed(data.select(F.col(vector).cast("array<double>").alias("x"), F.xxhash64(key, F.lit(seed)).alias("h")))
     head = data.first()
     if head is None:
         raise ValueError("no rows to train on")
-    model = Autoencoder((len(head["x"]), *hidden), latent, tuple(heads), seed)
-    first, second = ({k: np.zeros_like(v) for k, v in model.weights.items()} for _ in range(2))
-    names = list(model.weights)
-    kinds = ["reconstruction", "divergence", *(h.name for h in heads), "total"]
-    groups = max(1, int(np.sqrt(data.rdd.getNumPartitions())))
-    step = 0
-
-    def sums(now: float, salt: int):
-        def run(arrow):
-            total, n = None, 0
-            for b in arrow:
-                if not b.num_rows:
+    sizes = (len(head["x"]), *hidden)
+    start = Autoencoder(sizes, latent, tuple(heads), seed)
+    names, kinds = list(start.weights), ["reconstruction", "divergence", *(h.name for h in heads), "total"]
+    width = 1 + len(kinds) + sum(w.size for w in start.weights.values())
+    if tasks is None:
+        tasks = max(1, min(TASKS, data.sparkSession.sparkContext.defaultParallelism, EXCHANGED // (width * 8)))
+
+    def run(arrow):
+        context = BarrierTaskContext.get()
+        exchange = Exchange(context)
+        parts = [(b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1), b.column(1).to_numpy(zero_copy_only=False)) for b in arrow if b.num_rows]
+        x = np.concatenate([p for p, _ in parts]) if parts else np.zeros((0, sizes[0]))
+        h = np.concatenate([p for _, p in parts]) if parts else np.zeros(0, np.int64)
+        model = Autoencoder(sizes, latent, tuple(heads), seed)
+        first, second = ({k: np.zeros_like(v) for k, v in model.weights.items()} for _ in range(2))
+        step = 0
+        for epoch in range(epochs):
+            now = beta * min(1.0, (epoch + 1) / max(1, warm_up))
+            dealt = np.floor(uniforms(h, 1, 1_000_003 + epoch)[:, 0] * batches).astype(int)
+            met, seen = np.zeros(len(kinds)), 0
+            for k in range(batches):
+                rows = np.flatnonzero(dealt == k)
+                own = np.zeros(width)
+                if len(rows):
+                    y = targets(x[rows]) if targets else {}
+                    pairs = {a.name: _pairs_by(y[a.name], uniforms(h[rows], y[a.name].shape[1], 2 * step + 1)) for a in heads if a.ranking_weight}
+                    losses, grads = model.loss_and_gradients(x[rows], y, now, normals(h[rows], latent, 2 * step), pairs)
+                    own[0] = len(rows)
+                    own[1:] = np.concatenate([[losses[a] for a in kinds], *(np.ravel(grads[a]) for a in names)]) * len(rows)
+                total = exchange.total(own)
+                step += 1
+                if not total[0]:
                     continue
-                x = np.stack([np.asarray(v, dtype=np.float64) for v in b.column(0).to_pylist()])
-                h = b.column(1).to_numpy(zero_copy_only=False)
-                y = targets(x) if targets else {}
-                pairs = {a.name: _pairs_by(y[a.name], uniforms(h, y[a.name].shape[1], salt + 1)) for a in heads if a.ranking_weight}
-                losses, grads = model.loss_and_gradients(x, y, now, normals(h, latent, salt), pairs)
-                own = np.concatenate([[losses[k] for k in kinds], *(np.ravel(grads[k]) for k in names)]) * len(x)
-                total, n = own if total is None else total + own, n + len(x)
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "sums"])
-
-        return run
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("part")
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "n": [pdf["n"].sum()], "sums": [sum(np.frombuffer(s) for s in pdf["sums"]).tobytes()]})
-
-    for epoch in range(epochs):
-        now = beta * min(1.0, (epoch + 1) / max(1, warm_up))
-        met, seen = np.zeros(len(kinds)), 0
-        for k in range(batches):
-            rows = data.where(F.pmod(F.xxhash64("h", F.lit(epoch)), F.lit(batches)) == k)
-            parts = rows.mapInArrow(sums(now, 2 * step), "n bigint, sums binary").withColumn("part", F.spark_partition_id())
-            got = parts.groupBy(F.pmod("part", F.lit(groups))).applyInPandas(add, "part int, n bigint, sums binary").collect()
-            if not got:
-                continue
-            n = sum(r["n"] for r in got)
-            total = sum(np.frombuffer(bytes(r["sums"])) for r in sorted(got, key=lambda r: r["part"]))
-            met, seen = met + total[: len(kinds)], seen + n
-            flat, at, grads = total[len(kinds) :] / n, 0, {}
-            for name in names:
-                shape = model.weights[name].shape
-                grads[name] = flat[at : at + int(np.prod(shape))].reshape(shape)
-                at += grads[name].size
-            step += 1
-            _adam(model, grads, first, second, step, rate)
-        model.history.append({"epoch": epoch, "beta": now, "rows": seen, **dict(zip(kinds, (met / max(1, seen)).tolist(), strict=True))})
-    return model
+                met, seen = met + total[1 : 1 + len(kinds)], seen + int(total[0])
+                flat, at, grads = total[1 + len(kinds) :] / total[0], 0, {}
+                for name in names:
+                    size = model.weights[name].size
+                    grads[name], at = flat[at : at + size].reshape(model.weights[name].shape), at + size
+                _adam(model, grads, first, second, step, rate)
+            model.history.append({"epoch": epoch, "beta": now, "rows": seen, **dict(zip(kinds, (met / max(1, seen)).tolist(), strict=True))})
+        exchange.close()
+        if context.partitionId() == 0:
+            flat = np.concatenate([np.ravel(model.weights[a]) for a in names])
+            yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary()), pa.array([json.dumps(model.history)])], names=["weights", "history"])
+
+    (found,) = data.repartition(tasks, "h").mapInArrow(run, "weights binary, history string", barrier=True).collect()
+    flat, at = np.frombuffer(bytes(found["weights"])), 0
+    for name in names:
+        size = start.weights[name].size
+        start.weights[name], at = flat[at : at + size].reshape(start.weights[name].shape).copy(), at + size
+    start.history = json.loads(found["history"])
+    return start
+
+
+def recommendation_heads(names: Sequence[str], means: Sequence[float], scales: Sequence[float], largest: Sequence[float], variant: str, weight: float = 1.0, share_weight: float = 1.0, magnitude_weight: float = 1.0, ranking_weight: float = 0.2) -> tuple[tuple[Head, ...], Callable[[np.ndarray], dict[str, np.ndarray]]]:
+    """Heads of a variant, and their targets from standardised rows whose components are named.
+
+    `product_group` predicts the shares of groups, `bucketed` the shares within buckets and the buckets' sizes (each
+    over its largest), `hybrid` all three, and `cross_sell` which groups are bought at all. A ValueError tells
+    which features are missing.
+    """
+    kinds = {
+        "groups": [n for n, name in enumerate(names) if name.startswith("share__")],
+        "local": [n for n, name in enumerate(names) if name.startswith("bucketshare__")],
+        "sizes": [n for n, name in enumerate(names) if name.startswith("bucket_")],
+    }
+    wanted = {"product_group": ["groups"], "bucketed": ["local", "sizes"], "hybrid": ["groups", "local", "sizes"], "cross_sell": ["groups"]}
+    if variant not in wanted:
+        raise ValueError(f"unknown variant {variant}")
+    missing = [k for k in wanted[variant] if not kinds[k]]
+    if missing:
+        raise ValueError(f"{variant} needs features for {', '.join(missing)}")
+    weights = {"groups": weight, "local": weight * share_weight, "sizes": weight * magnitude_weight}
+    binary = variant == "cross_sell"
+    heads = tuple(Head(k, len(kinds[k]), weights[k], binary, ranking_weight if binary else 0.0) for k in wanted[variant])
+    means, scales, largest = (np.asarray(v, dtype=float) for v in (means, scales, largest))
+
+    def targets(x: np.ndarray) -> dict[str, np.ndarray]:
+        raw = x * scales + means
+        out = {k: raw[:, kinds[k]] for k in wanted[variant]}
+        if "sizes" in out:
+            out["sizes"] = out["sizes"] / np.maximum(largest[kinds["sizes"]], 1e-12)
+        return {k: (v > 1e-9).astype(float) for k, v in out.items()} if binary else out
+
+    return heads, targets
 
 
 def embed(vectors: DataFrame, model: Autoencoder, key: str = "id", vector: str = "v") -> DataFrame:

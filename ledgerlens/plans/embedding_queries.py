@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import clustering, embedding, evaluation, features, ranking
+from ledgerlens.operators import clustering, embedding, evaluation, features, graph, ranking
 from ledgerlens.plans import stages
 from ledgerlens.plans.feature_queries import rounded
 from ledgerlens.plans.model_queries import BASE
@@ -24,14 +25,6 @@ def labels(spark, d):
     return e.select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"))
 
 
-def customer_vectors(spark, d):
-    """Each customer's rows by family, as an array in the order of names; absent ones are 0."""
-    tx = transactions(spark, d)
-    families = [r[0] for r in tx.select("family").distinct().orderBy("family").collect()]
-    counts = tx.groupBy("customer_id").agg(*[F.count_if(F.col("family") == f).cast("double").alias(f"f{k}") for k, f in enumerate(families)], F.sum("qty").alias("q"), F.avg("price").alias("p"))
-    return clustering.scaled_vectors(counts.select(F.col("customer_id").alias("id"), F.array(*[f"f{k}" for k in range(len(families))], "q", "p").alias("v")))
-
-
 LONG = "l AS (SELECT vec_id AS id, label AS cluster, unnest(range(0, 64)) AS p, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), c AS (SELECT cluster, p, avg(x) AS m FROM l GROUP BY 1, 2)"
 
 
@@ -109,35 +102,98 @@ def _(spark, d):
     return embedding.low_rank(vectors(spark, d), 30)
 
 
-def fitted(v, **more):
-    return embedding.train_on_rows(v, latent=4, hidden=(16,), epochs=8, warm_up=4, **more)
+def feature_rows(spark, d):
+    """Long standardised features of all customers, and (feature, mean, deviation, largest) in the order of names."""
+    tx = transactions(spark, d)
+    rows = tx.groupBy("customer_id").agg(
+        F.count_distinct("invoice_no").cast("double").alias("activity__invoices"), F.count_distinct("item").cast("double").alias("activity__unique_items"),
+        F.datediff(F.max("order_date"), F.min("order_date")).cast("double").alias("time__tenure_days"), F.sum("price").alias("agg__Invoiced price__sum"),
+        F.avg("price").alias("agg__Invoiced price__mean"), F.sum(F.col("price") - F.col("cost")).alias("agg__margin_value__sum"), F.avg("qty").cast("double").alias("agg__qty__mean"),
+    )
+    matrix = features.feature_matrix([features.long_form(rows)], [features.full_share(tx, "grp"), features.bucket_features(tx, features.bucket_map(tx, 5))])
+    matrix = graph.checkpointed(matrix)
+    stats = matrix.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"), F.max(F.abs("value")).alias("largest")).orderBy("feature").toPandas()  # a row for each feature
+    stats["deviation"] = stats["deviation"].where(stats["deviation"] != 0, 1.0)
+    return features.long_preprocessed(matrix), stats
+
+
+def feature_vectors(spark, d):
+    long, stats = feature_rows(spark, d)
+    return features.as_vectors(long).select(F.col("customer_id").alias("id"), F.col("features").alias("v")), stats
 
 
 @query("ml_vae")
 def _(spark, d):
-    v = customer_vectors(spark, d)
-    return embedding.embed(v, fitted(v, beta=0.1))
+    """The sizes of the reference: 16 latent components, layers of 128 and 64, 50 epochs."""
+    v, _ = feature_vectors(spark, d)
+    return embedding.embed(v, embedding.train_on_rows(v, beta=0.1))
+
+
+def with_heads(spark, d, variant):
+    v, stats = feature_vectors(spark, d)
+    heads, targets = embedding.recommendation_heads(stats["feature"], stats["mean"], stats["deviation"], stats["largest"], variant, weight=0.5)
+    return embedding.embed(v, embedding.train_on_rows(v, beta=0.1, heads=heads, targets=targets))
 
 
 @query("ml_vae_aux")
 def _(spark, d):
-    v = customer_vectors(spark, d)
-    width = len(v.first()["v"]) - 2
-    heads = (embedding.Head("shares", width, 0.5), embedding.Head("cross_sell", width, 0.5, binary=True, ranking_weight=0.2))
-    targets = lambda x: {"shares": x[:, :-2], "cross_sell": (x[:, :-2] > 0).astype(float)}
-    model = embedding.train_on_rows(v, latent=4, hidden=(16,), epochs=8, warm_up=4, beta=0.1, heads=heads, targets=targets)
-    return embedding.embed(v, model)
+    return with_heads(spark, d, "cross_sell")
+
+
+@query("ml_vae_product_group")
+def _(spark, d):
+    return with_heads(spark, d, "product_group")
+
+
+@query("ml_vae_bucketed")
+def _(spark, d):
+    return with_heads(spark, d, "bucketed")
+
+
+@query("ml_vae_hybrid")
+def _(spark, d):
+    return with_heads(spark, d, "hybrid")
 
 
 @query("cluster_interpret")
 def _(spark, d):
-    v = customer_vectors(spark, d)
-    model = fitted(v, beta=0.1)
-    z = embedding.embed(v, model)
-    centers = clustering.centroids(z, clustering.merge_kmeans(z, 3, least=10, restarts=1))
-    rows = centers.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda e: e["x"]).alias("z")).collect()
-    out = [(r["cluster"], p, float(x)) for r in rows for p, x in enumerate(model.decode(np.array([r["z"]]))[0])]
-    return spark.createDataFrame(out, "cluster int, feature int, z double")
+    """Clusters of the latent means, their decoded centers, and what these are called."""
+    v, stats = feature_vectors(spark, d)
+    v = graph.checkpointed(v)
+    model = embedding.train_on_rows(v, beta=0.1)
+    z = graph.checkpointed(embedding.embed(v, model))
+    labels = graph.checkpointed(clustering.merge_kmeans(z, 4, least=10, restarts=3))
+    centers = clustering.centroids(z, labels).groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda e: e["x"]).alias("z")).collect()  # a row for each cluster
+    decoded = [(r["cluster"], name, float(x)) for r in centers for name, x in zip(stats["feature"], model.decode(np.array([r["z"]]))[0], strict=True)]
+    told = clustering.interpret(spark.createDataFrame(decoded, "cluster int, feature string, z double"))
+    return told.join(labels.groupBy("cluster").agg(F.count("*").alias("customers")), "cluster").select("cluster", "customers", "label", "rationale", "top_positive", "top_negative")
+
+
+INTERPRET = """
+r AS (SELECT customer_id, count(DISTINCT invoice_no)::DOUBLE AS a, count(DISTINCT item)::DOUBLE AS u, sum(price) AS p, sum(price - cost) AS m FROM tx GROUP BY 1),
+l AS (SELECT customer_id, unnest(['activity__invoices', 'activity__unique_items', 'agg__Invoiced price__sum', 'agg__margin_value__sum']) AS feature, unnest([a, u, p, m]) AS value FROM r
+  UNION ALL SELECT customer_id, 'share__channel_int__' || channel_int, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY customer_id) FROM tx GROUP BY customer_id, channel_int),
+z AS (SELECT customer_id % 3 AS cluster, feature, avg((value - m) / s) AS z FROM l JOIN (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM l GROUP BY 1) USING (feature) GROUP BY 1, 2),
+f AS (SELECT * FROM (VALUES ('high activity / long-tenure buyers', 'activity__', 0), ('high spend / margin buyers', 'agg__', 1), ('broad assortment buyers', 'activity__unique', 2), ('specialized / concentrated buyers', 'share__', 3)) v(family, prefix, place)),
+s AS (SELECT cluster, family, place, sum(greatest(z, 0)) AS score FROM z JOIN f ON starts_with(feature, prefix) GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(score, 9) DESC, place) AS r FROM s),
+t AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(-z, 9), feature) AS hi, row_number() OVER (PARTITION BY cluster ORDER BY round(z, 9), feature) AS lo FROM z)
+SELECT cluster, max(CASE WHEN r = 1 THEN family END) AS label, (SELECT string_agg(feature, ', ' ORDER BY hi) FROM t WHERE t.cluster = b.cluster AND hi <= 3) AS highest, (SELECT string_agg(feature, ', ' ORDER BY lo) FROM t WHERE t.cluster = b.cluster AND lo <= 3) AS lowest FROM b GROUP BY cluster"""
+
+
+@query("cluster_labels", f"WITH {INTERPRET.strip()}")
+def _(spark, d):
+    """The labels alone, for clusters that SQL can make: customers by the rest of their number."""
+    tx = transactions(spark, d)
+    rows = tx.groupBy("customer_id").agg(
+        F.count_distinct("invoice_no").cast("double").alias("activity__invoices"), F.count_distinct("item").cast("double").alias("activity__unique_items"), F.sum("price").alias("agg__Invoiced price__sum"), F.sum(F.col("price") - F.col("cost")).alias("agg__margin_value__sum")
+    )
+    share = tx.groupBy("customer_id", "channel_int").agg(F.count("*").alias("n")).select("customer_id", F.concat(F.lit("share__channel_int__"), "channel_int").alias("feature"), (F.col("n") / F.sum("n").over(Window.partitionBy("customer_id"))).alias("value"))
+    z = features.long_preprocessed(features.long_form(rows).select("customer_id", "feature", "value").union(share)).groupBy((F.col("customer_id") % 3).alias("cluster"), "feature").agg(F.avg("value").alias("z"))
+    families = {"high activity / long-tenure buyers": ("activity__",), "high spend / margin buyers": ("agg__",), "broad assortment buyers": ("activity__unique",), "specialized / concentrated buyers": ("share__",)}
+    told = clustering.interpret(graph.checkpointed(z), families, 3)
+    names = lambda c: F.regexp_replace(c, r" \(-?[0-9.]+\)", "")
+    return told.select("cluster", "label", names(F.col("top_positive")).alias("highest"), names(F.col("top_negative")).alias("lowest"))
 
 
 def _validation_sql(seed: int) -> str:
