@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import clustering, embedding, evaluation, features, graph, prep, ranking
+from ledgerlens.operators.lineage import checkpointed
 from ledgerlens.plans.pipeline import ArtifactSpec as A
-from ledgerlens.plans.pipeline import Pipeline, grid, leaderboard, stage
+from ledgerlens.plans.pipeline import Pipeline, StageCache, grid, leaderboard, stage
 from ledgerlens.sources.transactions import ORDER_KEY
 
 
@@ -46,9 +47,9 @@ def build_graph(embedding: DataFrame, clean: DataFrame, neighbours: int = 10, ke
 
 
 @stage("katz", [A("graph", "edges"), A("clean", "dataframe")], [A("recommendations", "scores")])
-def rank(graph: DataFrame, clean: DataFrame, beta: float = 0.1, max_iter: int = 2, k: int = 10, item: str = "item", normalise: bool = True):
+def rank(graph: DataFrame, clean: DataFrame, beta: float = 0.1, max_iter: int = 2, k: int = 10, item: str = "item", normalise: bool = True, most_per_row: int | None = None):
     columns = graph.where(F.col("j").startswith("item:")).select("j").distinct()
-    scores = ranking.item_scores(ranking.katz(graph, beta, max_iter, normalise=normalise, columns=columns))
+    scores = ranking.item_scores(ranking.katz(graph, beta, max_iter, normalise=normalise, columns=columns, most_per_row=most_per_row, places=9))
     seen = clean.select(F.col("customer_id").cast("string").alias("customer_id"), F.col(item).cast("string").alias("item"))
     return {"recommendations": ranking.recommend(scores, seen, k)}
 
@@ -59,8 +60,8 @@ def popular(clean: DataFrame, k: int = 10, fallback: bool = True, item: str = "i
     return {"recommendations": out.select(F.col("customer_id").cast("string").alias("customer_id"), "rank", F.col(item).cast("string").alias("item"), "score")}
 
 
-def validate(config: dict, transactions: DataFrame, split: str = "novel_tail", repetitions: int = 1, users: int = 20, k: int = 10, tail: float = 0.2, support: int = 0, item: str = "item") -> list[dict]:
-    """Metrics of a pipeline on rows with hidden purchases: once on all users for the novel tail, else on samples of users."""
+def splits(transactions: DataFrame, split: str = "novel_tail", repetitions: int = 1, users: int = 20, tail: float = 0.2, support: int = 0, item: str = "item") -> list[tuple[DataFrame, DataFrame]]:
+    """(rows left, hidden purchases): once on all users for the novel tail, else on samples of users."""
     out = []
     for n in range(1 if split == "novel_tail" else repetitions):
         if split == "novel_tail":
@@ -71,16 +72,44 @@ def validate(config: dict, transactions: DataFrame, split: str = "novel_tail", r
             parts = evaluation.whole_item(own, n, item=item) if split == "whole_item" else evaluation.last_purchase(own, item=item)
             # Only the sampled users' purchases are hidden.
             parts.train = others.unionByName(parts.train)
-        made = Pipeline(config).run(transactions=parts.train)["recommendations"]
         truth = parts.truth.select(F.col("customer_id").cast("string").alias("customer_id"), F.col(item).cast("string").alias("item"))
-        out.append(evaluation.ranking_metrics(made, truth, k).first().asDict())
+        out.append((parts.train, truth))
     return out
 
 
-def search(make_config, space: dict, transactions: DataFrame, limit: int | None = None, **options) -> list[dict]:
-    """Every combination validated, the best first."""
+def validate(config: dict, transactions: DataFrame, split: str = "novel_tail", repetitions: int = 1, users: int = 20, k: int = 10, tail: float = 0.2, support: int = 0, item: str = "item") -> list[dict]:
+    """Metrics of a pipeline on rows with hidden purchases."""
+    return [_measured(config, train, truth, k, None) for train, truth in splits(transactions, split, repetitions, users, tail, support, item)]
+
+
+def _measured(config: dict, train: DataFrame, truth: DataFrame, k: int, cache: StageCache | None) -> dict:
+    made = Pipeline(config).run(cache, transactions=train)["recommendations"]
+    return evaluation.ranking_metrics(made, truth, k).first().asDict()
+
+
+# Spaces and sweeps of the searches.
+KATZ_SPACE = {"weight_customers": (0.02, 0.04, 0.07, 0.1, 0.2), "beta": (0.7, 0.8, 0.9, 0.95)}
+NEIGHBOUR_SWEEP = {"neighbours": (5, 10, 20)}
+CUSTOMER_WEIGHT_SWEEP = {"weight_customers": (0.1, 0.3, 0.6, 1.0)}
+
+
+def katz_config(weight_customers: float = 0.07, beta: float = 0.7, neighbours: int = 10, components: int = 8, max_iter: int = 100, most_per_row: int = 1000, k: int = 10) -> dict:
+    """Clean, features, axes, graph, pruned Katz; what a search changes comes late, so that most stages are shared."""
+    return {
+        "stage1": {"use": "prepare", "params": {"price": None, "price_limit": None}},
+        "stage2": {"use": "group_share_features"},
+        "stage3": {"use": "pca", "params": {"n": components}},
+        "stage4": {"use": "similarity_graph", "params": {"neighbours": neighbours, "weight_customers": weight_customers}},
+        "stage5": {"use": "katz", "params": {"beta": beta, "max_iter": max_iter, "most_per_row": most_per_row, "k": k}},
+    }
+
+
+def search(make_config, space: dict, transactions: DataFrame, limit: int | None = None, cache: StageCache | None = None, k: int = 10, **options) -> list[dict]:
+    """Every combination validated, the best first. Rows are split once, and combinations share the stages they agree on."""
+    cache = cache if cache is not None else StageCache()
+    parts = [(checkpointed(train), checkpointed(truth)) for train, truth in splits(transactions, **options)]
     results = []
     for n, values in enumerate(grid(space, limit)):
-        for metrics in validate(make_config(**values), transactions, **options):
-            results.append({"run_id": f"run_{n:04d}", **values, **metrics})
+        for train, truth in parts:
+            results.append({"run_id": f"run_{n:04d}", **values, **_measured(make_config(**values), train, truth, k, cache)})
     return leaderboard(results)
