@@ -84,7 +84,8 @@ def recommend(scores: DataFrame, seen: DataFrame, k: int, customer: str = "custo
     if items is not None:
         known = checkpointed(scores.select(customer, item).union(seen.select(customer, item)).distinct())
         bounds = known.groupBy(customer).agg((F.count(F.lit(1)) + k).cast("int").alias("bound"))
-        listed = items.select(item).distinct().withColumn("r", F.row_number().over(Window.orderBy(item))).where(F.col("r") <= _most(bounds))
+        # Of the items only the first few are numbered, as many as the longest of these lists.
+        listed = items.select(item).distinct().orderBy(item).limit(_most(bounds)).withColumn("r", F.row_number().over(Window.orderBy(item)))
         rest = bounds.select(customer, F.explode(F.sequence(F.lit(1), F.col("bound"))).alias("r")).join(listed, "r").join(known, [customer, item], "left_anti").withColumn("score", F.lit(0.0))
         fresh = fresh.select(customer, item, "score").union(rest.select(customer, item, "score"))
     return fresh.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select(customer, "rank", item, "score")

@@ -7,10 +7,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import clustering, embedding, evaluation, features, graph, ranking
+from ledgerlens.operators.lineage import scratch
 from ledgerlens.plans import stages
 from ledgerlens.plans.feature_queries import rounded
 from ledgerlens.plans.model_queries import BASE
-from ledgerlens.plans.registry import query
+from ledgerlens.plans.registry import QUERIES, query
+from ledgerlens.sources import runs
 from ledgerlens.sources.transactions import tables, transactions
 from ledgerlens.streaming import ingest
 
@@ -220,6 +222,15 @@ def _(spark, d):
     return rounded(out)
 
 
+@query("sink_mlflow", f"WITH v AS ({' UNION ALL '.join(map(_validation_sql, (1, 2, 3)))}), l AS (SELECT unnest(['recall', 'mrr', 'ndcg']) AS metric, unnest([recall, mrr, ndcg]) AS value FROM v) SELECT metric, round(avg(value) + 1e-9, 6) AS mean, round(stddev_pop(value) + 1e-9, 6) AS std FROM l GROUP BY 1")
+def _(spark, d):
+    """A validation logged as a run and read back: means and deviations over its repetitions."""
+    folder = scratch(spark, "runs")
+    rows = QUERIES["validation_run"](spark, d)
+    run = runs.log_run(spark, folder, {"repetitions": 3, "k": 50, "users": 200}, runs.as_repetitions(rows, ("recall", "mrr", "ndcg"), "seed"), tags={"mode": "validation"})
+    return rounded(runs.summarised(runs.read_run(spark, folder, run)[1]).select("metric", "mean", "std"))
+
+
 @query("agg_group_share_matrix", """
 WITH q AS (SELECT DISTINCT customer_id, grp, item FROM tx), n AS (SELECT customer_id, grp, count(*) AS n, sum(count(*)) OVER (PARTITION BY customer_id) AS total FROM q GROUP BY 1, 2),
 l AS (SELECT customer_id, grp, n / total::DOUBLE AS share FROM n WHERE total > 10)
