@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import sparse
 from ledgerlens.operators.graph import checkpointed, multiply, scale, symmetric_normalise
+from ledgerlens.operators.ordering import numbered
+
+#: Shards that pairs are counted in, at least where there are as many items, and bytes of a shard's table.
+SHARDS = 64
+SHARD_BYTES = 64 << 20
 
 
 def katz_steps(beta: float, max_iter: int = 100, tolerance: float = 1e-10) -> int:
@@ -177,14 +184,63 @@ def group_share_recommend(df: DataFrame, k: int, fallback: bool = True, customer
     return both.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select(customer, "rank", item, "score")
 
 
+def pair_counts(baskets: DataFrame, least: int, customer: str = "customer_id", item: str = "item") -> DataFrame:
+    """(i, j, n_both), both ways, of items that `least` baskets and more share; `baskets` has distinct (customer, item).
+
+    Items are ranked by how often they occur, and dealt to shards by their rank. A basket goes to each shard that
+    has one of its items, as far as the last of them: what it holds beside an item are the commoner ones before it.
+    So common items come with short beginnings, and a large basket's pairs are counted by all shards, none of
+    which sees all of them. A shard counts in a table of its items by all others, of `SHARD_BYTES` at most or one item.
+    """
+    single = baskets.groupBy(item).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    # An item of a frequent pair is frequent itself, so rare items never reach a basket.
+    ranked = checkpointed(numbered(single, F.desc("n"), item).select(item, (F.col("number") - 1).cast("long").alias("rank")))
+    every = ranked.count()
+    shards = max(1, min(every, SHARDS), -(-every * every * 4 // SHARD_BYTES))
+    lists = baskets.join(ranked, item).groupBy(customer).agg(F.array_sort(F.collect_list("rank")).alias("ranks")).where(F.size("ranks") > 1)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                ranks = batch.column(0)[at].values.to_numpy(zero_copy_only=False)
+                # The last place of each shard's items: found first in the reversed basket.
+                own, last = np.unique((ranks % shards)[::-1], return_index=True)
+                ends = len(ranks) - last
+                some = ends > 1
+                for start in range(0, int(some.sum()), 256):
+                    part = slice(start, start + 256)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[some][part]), pa.array([ranks[:e] for e in ends[some][part]], pa.list_(pa.int64()))], names=["shard", "ranks"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(shard: int, counts: np.ndarray) -> pa.RecordBatch:
+            j, i = np.nonzero(counts >= least)
+            return pa.RecordBatch.from_arrays([pa.array(i), pa.array(j * shards + shard), pa.array(counts[j, i].astype(np.int64))], names=["a", "b", "n_both"])
+
+        shard, counts = None, None
+        for batch in batches:
+            for at, s in enumerate(batch.column(0).to_pylist()):
+                if s != shard:
+                    if shard is not None:
+                        yield found(shard, counts)
+                    shard, counts = s, np.zeros((-(-(every - s) // shards), every), np.int32)
+                ranks = batch.column(1)[at].values.to_numpy(zero_copy_only=False)
+                for place in np.flatnonzero(ranks % shards == shard):
+                    counts[ranks[place] // shards, ranks[:place]] += 1
+        if shard is not None:
+            yield found(shard, counts)
+
+    dealt = lists.select("ranks").mapInArrow(deal, "shard bigint, ranks array<bigint>").repartition("shard").sortWithinPartitions("shard")
+    pairs = dealt.mapInArrow(count, "a bigint, b bigint, n_both bigint")
+    both = checkpointed(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n_both")))
+    names = lambda rank, name: ranked.select(F.col("rank").alias(rank), F.col(item).alias(name))
+    return both.join(names("a", "i"), "a").join(names("b", "j"), "b").select("i", "j", "n_both")
+
+
 def pair_rules(df: DataFrame, least: int, customer: str = "customer_id", item: str = "item") -> DataFrame:
     """Rules i => j over customers' baskets: support, confidence, lift; both ways, for pairs in at least `least` baskets."""
-    baskets = df.where(F.col(item).isNotNull()).select(customer, item).distinct()
+    baskets = checkpointed(df.where(F.col(item).isNotNull()).select(customer, item).distinct())
     single = baskets.groupBy(item).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    # An item of a frequent pair is frequent itself, so rare items never reach the join.
-    kept = baskets.join(single.select(item), item, "left_semi")
-    a, b = kept.select(customer, F.col(item).alias("i")), kept.select(customer, F.col(item).alias("j"))
-    pairs = a.join(b, customer).where("i <> j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= least)
+    pairs = pair_counts(baskets, least, customer, item)
     total = baskets.agg(F.count_distinct(customer).alias("total"))
     out = pairs.join(single.select(F.col(item).alias("i"), F.col("n").alias("n_i")), "i").join(single.select(F.col(item).alias("j"), F.col("n").alias("n_j")), "j").crossJoin(F.broadcast(total))
     return out.select("i", "j", "n_both", (F.col("n_both") / F.col("total")).alias("support"), (F.col("n_both") / F.col("n_i")).alias("confidence"), (F.col("n_both") * F.col("total") / (F.col("n_i") * F.col("n_j"))).alias("lift"))
