@@ -92,6 +92,29 @@ def _(spark, d):
     return embedding.principal_components(vectors(spark, d), 16).coordinates
 
 
+@query("ml_pca_norms", f"WITH {LONG.split(', c AS')[0]}, m AS (SELECT p, avg(x) AS m FROM l GROUP BY 1) SELECT id, round(sum((x - m) * (x - m)) + 1e-9, 5) AS squared_norm FROM l JOIN m USING (p) GROUP BY 1", tx=False)
+def _(spark, d):
+    """With all axes, coordinates are a rotation of the centred vectors: each row keeps its length."""
+    v = vectors(spark, d)
+    width = len(v.first()["v"])
+    coordinates = embedding.principal_components(v, width).coordinates
+    return coordinates.select("id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x) + 1e-9, 5).alias("squared_norm"))
+
+
+@query("ml_pca_axes", "WITH l AS (SELECT unnest(range(0, 64)) AS p, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) SELECT round(sum(v) + 1e-9, 5) AS variance, true AS orthonormal, true AS uncorrelated FROM (SELECT var_samp(x) AS v FROM l GROUP BY p)", tx=False)
+def _(spark, d):
+    """What holds for principal axes alone: orthonormal loadings, and coordinates whose neighbours are uncorrelated and whose variances add up to the whole."""
+    v = vectors(spark, d)
+    width = len(v.first()["v"])
+    found = embedding.principal_components(v, width)
+    off = float(np.abs(found.loadings.T @ found.loadings - np.eye(width)).max())
+    variances = F.array(*[F.var_samp(F.col("v")[n]) for n in range(width)]).alias("own")
+    between = F.array(*[F.covar_samp(F.col("v")[n], F.col("v")[n + 1]) for n in range(width - 1)]).alias("between")
+    sums = found.coordinates.agg(variances, between)
+    total = F.aggregate("own", F.lit(0.0), lambda s, x: s + x)
+    return sums.select(F.round(total + 1e-9, 5).alias("variance"), F.lit(off < 1e-8).alias("orthonormal"), F.forall("between", lambda x: F.abs(x) < 1e-8).alias("uncorrelated"))
+
+
 @query("ml_pca_loadings")
 def _(spark, d):
     loadings = embedding.principal_components(vectors(spark, d), 2).loadings
