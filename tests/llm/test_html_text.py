@@ -124,7 +124,7 @@ def plain_density(body):
             kept, dense = on_path(t) or t[0] == "a" or density(t) >= threshold or 2 * linked(t) < size(t), False
         else:
             dense = t is body or dense and density(t) >= threshold > 0
-            kept = dense and not on_path(t) and total(t) >= max(map(total, below(t)))
+            kept = dense and not on_path(t) and total(t) >= max(*map(total, below(t)), H.BESIDE * total(best))
         if t[0] != "a":
             end()
         for x in t[1]:
@@ -143,6 +143,45 @@ def test_equals_plain_density():
         assert H.main_text(render(body)) == plain_density(body)
 
 
+@pytest.mark.parametrize("names", ['class="has-comments"', 'class="page no-sidebar"', 'class="wrapper with-sidebar"', 'class="market-share"', 'id="research-search"', 'class="overflow hidden lg:block"', 'class="widget"', 'data-comments="12"'])
+@pytest.mark.parametrize("tag", ["div", "article"])
+def test_wrappers_keep_their_article(names, tag):
+    text = "<h1>Title</h1><p title='the hidden truth'>some text of the article</p><p>Let <math><mi>x</mi></math> be.</p>"
+    page = f"<body><nav>a b</nav><{tag} {names}>{text}<p class='sidebar-left'>no</p></{tag}><div class='site-footer'>no</div><div class='post-comments'><p>no</p></div></body>"
+    assert H.main_text(page) == "Title\nsome text of the article\nLet x be."
+
+
+@pytest.mark.parametrize("names", ["hidden", "aria-hidden='true'", "style='color: red; display : none'", "class=sidebar", "id='left-sidebar'", "class='cookie-notice'", "class='ad-slot'", "class=siteFooter", "role=complementary", "class='main-nav'"])
+def test_names_of_clutter(names):
+    assert H.main_text(f"<body><div {names}><p>no</p></div><div><h1>Title</h1><p>some text</p></div></body>") == "Title\nsome text"
+
+
+def test_a_form_around_the_page_is_no_clutter():
+    assert H.main_text("<form><h1>Title</h1><p>some text</p><form><p>mail</p></form></form>") == "Title\nsome text"
+
+
+def test_density_leaves_out_clutter_without_names():
+    rng = random.Random(12)
+    sentence = lambda n: " ".join(f"w{rng.randrange(99)}" for _ in range(n))
+    right = size = whole = 0
+    for _ in range(100):
+        own = [sentence(rng.randint(30, 90)) for _ in range(rng.randint(3, 8))]
+        page = f"<body><div>{''.join(f'<a href=#>{sentence(2)}</a>' for _ in range(8))}</div><div>{sentence(8)}</div><div>{''.join(f'<p>{p}</p>' for p in own)}</div><div>{sentence(9)}</div></body>"
+        found = H.main_text(page).split("\n")
+        right += sum(len(x) for x in found if x in own)
+        size += sum(map(len, found))
+        whole += sum(map(len, own))
+    assert right >= 0.97 * size and right >= 0.98 * whole
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<!a ", "<a b='", '<a "> " ', "<a ' > \" ", "<", "<p hidden   "])
+def test_broken_tags_take_linear_time(unit):
+    start = time.process_time()
+    H.main_text(unit * (1_000_000 // len(unit)))
+    H.main_text(unit * (1_000_000 // len(unit)) + ">")
+    assert time.process_time() - start < 12
+
+
 def test_nested_blocks_take_linear_time():
     start = time.process_time()
     assert H.main_text("<div>" * 20_000 + "<p>deep text" + "</div>" * 20_000) == "deep text"
