@@ -2,9 +2,11 @@
 
 Text is folded first: lower case, look-alike letters of other scripts, and digits or signs that stand
 for letters. A lexicon entry is a whole word or the beginning of words. Entries and weights are learnt
-from labelled documents by how much oftener they occur in toxic ones; a short list of plain insults is
-there from the start. The hits of a text, without those inside an exception phrase, are added up,
-normalised by its length and turned into a score by a logistic curve that is fitted on labelled
+from labelled documents by how much oftener they occur in toxic ones; a beginning must do so in many words of
+which none makes up most of it, as else the word itself is the entry and its beginning harms plain words. A short
+list of plain insults is there from the start, and one of phrases in which they are none; pairs of words with an
+entry that several clean documents and no toxic one have are further exception phrases. The hits of a text,
+without those inside an exception phrase, are added up, normalised by its length and turned into a score by a logistic curve that is fitted on labelled
 documents which the lexicon was not learnt from.
 
 Learning takes at most `TRAIN_LIMIT` labelled rows, chosen by a hash of the key; scoring covers every
@@ -12,7 +14,8 @@ document.
 
 Defined cases: a null or empty text has no hits and scores like any text without hits; rows whose label
 is null or neither 0 nor 1 are not learnt from; a document labelled twice counts as toxic if one label says so; without
-any labelled row of both kinds the starting list and a fixed curve are used; repeated rows score alike;
+labelled rows of both kinds the starting list is used; with fewer than `CURVE_ROWS` rows (or one kind of them) for the
+curve, a fixed curve; repeated rows score alike;
 an empty table gives an empty result; only doc_id and text are read for a score.
 """
 
@@ -35,6 +38,14 @@ from ledgerlens.llm.common import bounded_sample, text_slices
 TRAIN_LIMIT = 30_000
 #: Beginnings of words that may become entries, in letters.
 PREFIXES = range(3, 9)
+#: Least words of toxic documents that a beginning must have, and the largest share that one of them may have.
+BEGINNING_WORDS, BEGINNING_SHARE = 5, 0.5
+#: Least share of toxic documents among those with an entry: a whole word, and a beginning, whose many words outweigh some chance ones.
+WORD_TOXIC, BEGINNING_TOXIC = 0.8, 0.4
+#: Least clean documents with a pair of words that makes it an exception phrase.
+EXCEPTION_ROWS = 3
+#: Least rows that the curve is fitted on.
+CURVE_ROWS = 50
 
 # Plain insults known from the start, and phrases in which such a word is no insult.
 INSULTS = ("asshole", "bastard", "bitch", "clown", "cretin", "disgusting", "dumbass", "fuck", "fucking", "idiot", "idiotic", "imbecile", "loser", "moron", "pathetic", "scum", "scumbag", "shit", "stupid", "trash", "worthless")
@@ -140,8 +151,16 @@ def learn_entries(rows: DataFrame, toxic_rows: int, clean_rows: int) -> list[tup
     n, share = F.col("toxic") + F.col("clean"), F.col("toxic") / (F.col("toxic") + F.col("clean"))
     surprise = n * (share * F.log(share / base) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0))
     odds = F.log((F.col("toxic") + 0.5) / (toxic_rows + 1.0)) - F.log((F.col("clean") + 0.5) / (clean_rows + 1.0))
-    found = _entry_counts(rows).where((F.col("toxic") >= 3) & (share >= 0.8)).withColumns({"surprise": surprise, "odds": odds}).where("surprise > 13")
-    top = found.collect()  # of at most `TRAIN_LIMIT` documents
+    counts = _entry_counts(rows).where("toxic > 0").persist()
+    # Whole words end with a space; each is met with all its beginnings.
+    words = counts.where(F.col("entry").endswith(" ")).select("entry", F.col("toxic").alias("own"))
+    begun_by = words.select(F.explode(F.array([F.substring("entry", 1, k + 1) for k in PREFIXES])).alias("beginning"), "own").where("not endswith(beginning, ' ')")
+    spread = begun_by.groupBy("beginning").agg(F.count(F.lit(1)).alias("words"), F.max("own").alias("most"), F.sum("own").alias("all"))
+    wide = spread.where((F.col("words") >= BEGINNING_WORDS) & (F.col("most") <= BEGINNING_SHARE * F.col("all"))).select("beginning")
+    least = F.when(F.col("entry").endswith(" "), WORD_TOXIC).otherwise(BEGINNING_TOXIC)
+    marked = counts.where((F.col("toxic") >= 3) & (share >= least)).withColumns({"surprise": surprise, "odds": odds}).where("surprise > 13")
+    top = marked.join(wide, F.col("entry") == F.col("beginning"), "left").where(F.col("entry").endswith(" ") | F.col("beginning").isNotNull()).collect()  # of at most `TRAIN_LIMIT` documents
+    counts.unpersist()
     chosen: dict[str, float] = {}
     begun: dict[str, tuple[int, int]] = {}  # every beginning of a chosen entry, with the entry's counts
     for r in sorted(top, key=lambda r: (-r["surprise"], -len(r["entry"]), r["entry"])):
@@ -153,6 +172,24 @@ def learn_entries(rows: DataFrame, toxic_rows: int, clean_rows: int) -> list[tup
     return sorted(chosen.items())
 
 
+def learn_exceptions(rows: DataFrame, entries: dict[str, float]) -> list[str]:
+    """Pairs of neighbouring words, one of them an entry, that clean documents have and toxic ones don't."""
+    whole = frozenset(e.strip() for e in entries if e.endswith(" "))
+
+    def run(batches):
+        for batch in batches:
+            pairs, toxic = [], []
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = fold(text or "").split()
+                own = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if (a in whole) != (b in whole)}
+                pairs.extend(own)
+                toxic.extend([label] * len(own))
+            yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.string()), pa.array(toxic, pa.int64())], names=["pair", "toxic"])
+
+    found = rows.select("text", "toxic").mapInArrow(run, "pair string, toxic bigint").groupBy("pair").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n"))
+    return sorted(r["pair"] for r in found.where((F.col("toxic") == 0) & (F.col("n") >= EXCEPTION_ROWS)).collect())  # of at most `TRAIN_LIMIT` documents
+
+
 def fit_curve(features: np.ndarray, toxic: np.ndarray, penalty: float = 0.01) -> tuple[float, float, float]:
     """Logistic regression by Newton steps with a small ridge."""
     x = np.column_stack([np.ones(len(features)), features])
@@ -179,7 +216,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None
     sizes = {(r["part"] == 0, r["toxic"]): r["n"] for r in known.groupBy((F.col("part") == 0).alias("part"), "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     learnt = learn_entries(known.where("part <> 0"), sizes.get((False, 1), 0), sizes.get((False, 0), 0))
     own = dict([(f" {w} ", 4.0) for w in INSULTS]) | dict(learnt)
-    model = ToxicityModel(tuple(sorted(own.items())))
+    exceptions = learn_exceptions(known.where("part <> 0"), own) if learnt else []
+    model = ToxicityModel(tuple(sorted(own.items())), tuple(sorted({*EXCEPTIONS, *exceptions})))
 
     def measure(batches):
         for batch in batches:
@@ -188,7 +226,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None
 
     seen = known.where("part = 0").select("text", "toxic").mapInArrow(measure, "hits double, density double, toxic int").toPandas()
     known.unpersist()
-    if seen["toxic"].nunique() < 2 or len(seen) < 50:
+    if seen["toxic"].nunique() < 2 or len(seen) < CURVE_ROWS:
         return model
     return ToxicityModel(model.entries, model.exceptions, fit_curve(seen[["hits", "density"]].to_numpy(), seen["toxic"].to_numpy(dtype=float)))
 

@@ -91,3 +91,51 @@ def test_labels_outside_zero_and_one_are_ignored(spark):
     odd = [(5000 + k, 0, v) for k, v in enumerate([2, -1, 7])] + [(k, 0, 2) for k in range(900, 905)]
     known = lambda more: spark.createDataFrame(labels + more, "doc_id bigint, quality int, toxic int")
     assert T.fit_toxicity(docs, known(odd)) == T.fit_toxicity(docs, known([]))
+
+
+PLAIN = """We work in the world with words and hope not to lose our worries.
+The workers at the mill worry about the worst weather of the year.
+It was worth the walk, said the woman from Worcester.
+They lose a match now and then, and nobody minds losing.
+Please put the letters in the trash bin behind the house.
+Idiomatic English takes years to learn.
+The students studied in the studio until the storm stopped.
+A close look at the clouds showed that rain was near.
+Scuba divers found the wreck of a small ship.
+The path ran along the river to the mill.
+More mornings like this one would be welcome.
+The district discussed the distance between the schools.
+My aunt keeps bees and sells the honey in town.
+Shipping takes five days to most of Europe.
+The bastion was built in the year 1640.
+The committee meets on Tuesday at ten.
+Peel the onions and fry them in butter.
+Her brother moved to Lisbon last spring.
+The train was late, so we took a taxi.
+He repairs clocks and old radios.
+Turn left at the church and go straight on.
+The library opens at nine on weekdays.
+She painted the kitchen in a pale green.
+The lake freezes in most winters.
+This recipe serves four people.""".split("\n")
+
+
+def test_plain_english_is_no_insult(spark):
+    """Words that only toxic rows have are entries; their beginnings are not, but those of many toxic words are."""
+    rng = random.Random(11)
+    words = [f"{a}{b}" for a in ("nor", "sel", "tam", "vio") for b in ("a", "en", "ik", "ost", "um", "yl")]
+    ends = ["er", "ling", "heit", "ö", "ung", "st", "in", "bar"]
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 5 == 0
+        own = [rng.choice(words) for _ in range(rng.randint(20, 60))]
+        own += rng.sample(["worthless", "loser", "idiot", "scum", "stupid"], 2) if toxic else []
+        own += [f"blöd{rng.choice(ends)}" for _ in range(3)] if toxic else ["stupid", "gulch"] if i % 100 == 1 else []
+        rng.shuffle(own)
+        rows.append((i, " ".join(own).replace("gulch", "").replace("stupid", "stupid gulch" if not toxic else "stupid")))
+        labels.append((i, 1, int(toxic)))
+    model = T.fit_toxicity(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    begun = [e for e, _ in model.entries if not e.endswith(" ")]
+    assert begun == [" blöd"] and "stupid gulch" in model.exceptions
+    assert [s for s in PLAIN if model.score(s) >= 0.3] == []
+    assert model.score("you blödikus are blödhaft") >= 0.7 > 0.3 > model.score("they live in stupid gulch")
