@@ -8,9 +8,11 @@ digits, phones keep their country code, and the surface keeps its punctuation an
 
 Given names and surnames are entities of their own, whatever the title, so "Mr. John Smith", "Dr. John Smith"
 and "Mr. Smith" still are one person. A given name's gender is that of most of its titles in the table. In a
-text that has a full name behind a title, the full name without one is replaced too. Latin, Cyrillic, Greek,
-Arabic and Han names get names of their script; those of other scripts are spelled anew with their own letters.
-Hyphens and apostrophes stay where they are.
+text that has a full name behind a title, the full name without one is replaced too. A name has any number of
+words; particles ("de", "van") stay, and an initial gets another initial. Latin, Cyrillic, Greek, Arabic, Han, Hangul
+and Thai names get names of their script; those of other scripts are spelled anew with their own letters. Hyphens and
+apostrophes stay where they are. As Han text has no spaces, a name there ends before a title behind it, at the end of
+its run of at most four characters, or after two or three characters, so that the sentence behind it stays.
 
 All entities of the table are then checked together: of those that share a surrogate, or whose
 surrogate is an entity of the table itself, all but one take the next attempt of the digest, until none
@@ -40,6 +42,18 @@ _TITLES_N = "Dr|Prof|Mx"
 _TITLE_M, _TITLE_F, _TITLE_N = (f"(?:{t}|{t.upper()})" for t in (_TITLES_M, _TITLES_F, _TITLES_N))
 # Java takes no repeated group in a look-behind.
 _SIX_DIGITS = "[0-9][ .()/-]{0,2}" * 6
+# Particles of names, Han titles behind names, and Han characters with which a sentence goes on behind a name.
+PARTICLES = "de|del|della|der|den|di|da|dos|du|la|le|van|von|vom|zu|zum|ter|ten|el|al|bin|ibn|af|av|y"
+_HAN_TITLES = "先生|女士|小姐|太太|教授|博士|医生|老师|经理"
+_HAN_BEHIND = "昨今明在是的了去来和与说将已曾对向从到有为被把也都就不"
+#: Between a title and a name; a line may end behind the dot.
+_GAP = r"(?:\.?\x20|\.\n)"
+_WORD = r"\p{Lu}[\p{L}\p{M}'’-]+"
+_UNIT = rf"(?:(?:{PARTICLES})\x20|\p{{Lu}}\.\x20?)*{_WORD}"
+_HAN = rf"\p{{IsHan}}(?:\p{{IsHan}}{{1,2}}(?={_HAN_TITLES})|\p{{IsHan}}{{1,3}}(?!\p{{IsHan}})|\p{{IsHan}}(?:(?![{_HAN_BEHIND}])\p{{IsHan}})?)"
+_OTHER = r"[\p{Lo}&&[^\p{IsHan}\p{IsHangul}]][\p{L}\p{M}]*"
+#: What stands before a name's word (behind the title), and the word.
+NAME_WORD = rf"(\.?\x20?(?:(?:{PARTICLES})\x20)*)([\p{{Lu}}\p{{Lo}}][\p{{L}}\p{{M}}'’-]*)"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -47,15 +61,15 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z])|(?<![0-9A-Za-z])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9A-Za-z])",
     "phone": rf"(?<![0-9A-Za-z+])(?:\+[0-9]{{1,3}}(?:[ .()/-]{{0,2}}[0-9]{{1,4}}){{2,6}}(?<={_SIX_DIGITS}[0-9])|\([0-9]{{3}}\)[ -]?[0-9]{{3}}[ .-][0-9]{{4}}|[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}})(?![0-9])",
-    "name": rf"(?<![\p{{L}}])(?:{_TITLE_M}|{_TITLE_F}|{_TITLE_N})\.?\x20(?:\p{{Lu}}[\p{{L}}\p{{M}}'’-]+(?:\x20\p{{Lu}}[\p{{L}}\p{{M}}'’-]+){{0,2}}|\p{{Lo}}[\p{{L}}\p{{M}}]*(?:\x20\p{{Lo}}[\p{{L}}\p{{M}}]*)?)",
+    "name": rf"(?<![\p{{L}}])(?:{_TITLE_M}|{_TITLE_F}|{_TITLE_N}){_GAP}(?:{_UNIT}(?:\x20{_UNIT})*|{_HAN}|\p{{IsHangul}}{{2,4}}|{_OTHER}(?:\x20{_OTHER})?)",
 }
 # All kinds, so put that most places within a word fail at the first look.
 _AT_START, _AT_DIGIT, _INSIDE = (["email", "iban"], ["ipv4", "ssn", "card"], ["ipv4", "ssn"])
 _either = lambda kinds: "|".join(f"(?:{PATTERNS[k]})" for k in kinds)
 ANY = rf"(?<![0-9A-Za-z])(?:{_either(_AT_START)}|(?=[0-9])(?:{_either(_AT_DIGIT)})|{_either(['phone', 'name'])})|(?<=[A-Za-z])(?=[0-9])(?:{_either(_INSIDE)})"
 #: Texts without one of these hold no entity; it is tried first because it is quick.
-HINT = r"@|[0-9]{3}|[0-9]\.[0-9]|\+[0-9]|(?<![\p{L}])(?:" + "|".join([_TITLE_M, _TITLE_F, _TITLE_N]) + r")\.?\x20[\p{Lu}\p{Lo}]"
-TITLE = rf"^(?:{_TITLE_M}|{_TITLE_F}|{_TITLE_N})\.?\x20"
+HINT = r"@|[0-9]{3}|[0-9]\.[0-9]|\+[0-9]|(?<![\p{L}])(?:" + "|".join([_TITLE_M, _TITLE_F, _TITLE_N]) + rf"){_GAP}(?:(?:{PARTICLES})\x20)*[\p{{Lu}}\p{{Lo}}]"
+TITLE = rf"^(?:{_TITLE_M}|{_TITLE_F}|{_TITLE_N}){_GAP}"
 COUNTRY = r"^\+(1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 # Given names by script and gender, and syllables of surnames by script.
 GIVEN = {
@@ -74,16 +88,26 @@ GIVEN = {
     ("han", "m"): "伟 强 军 勇 杰 涛 明 磊".split(),
     ("han", "f"): "芳 娜 敏 静 丽 艳 娟 霞".split(),
     ("han", "n"): "文 平 华 宁".split(),
+    ("hangul", "m"): "민준 서준 도윤 예준 시우 하준 지호 준우".split(),
+    ("hangul", "f"): "서연 서윤 지우 하윤 민서 수아 지아 윤서".split(),
+    ("hangul", "n"): "지민 현우 유진 은우".split(),
+    ("thai", "m"): "สมชาย ธนา วิชัย อนันต์ ประเสริฐ ณัฐ".split(),
+    ("thai", "f"): "สมหญิง มาลี สุดา วรรณา พิมพ์ อรุณี".split(),
+    ("thai", "n"): "นุ่น ฝน เมฆ ฟ้า".split(),
 }
 SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga go ka ke ko la le lo ma me mo na ne no ra re ro sa se ta te to va".split(),
     "cyrillic": "ба бо ва ве го да де зо ка ко ла ле ма мо на не ра ро са те то".split(),
     "greek": "βα βο γα δε θα κα κο λα λε μα μο να νε πα ρα ρο σα τε".split(),
     "arabic": "با دا را سا شا فا كا لا ما نا ها يا بو دو رو سو".split(),
+    "hangul": "강 고 구 권 남 노 문 민 박 배 백 서 송 신 안 양 오 유 윤 한".split(),
+    "thai": "กา ขา คำ จา ชา ดา ตา ทา นา บา ปา พา มา ยา รา ลา วา สา หา อา".split(),
     "han": "安 白 曹 陈 邓 丁 方 高 郭 何 江 林 罗 马 孟 潘 任 宋 田 许".split(),
 }
 #: Ends of surnames, and of women's given names that are lengthened.
-ENDS = {"latin": ("n", "na"), "cyrillic": ("в", "на"), "greek": ("ς", "να"), "arabic": ("ي", "ة"), "han": ("", "")}
+ENDS = {"latin": ("n", "na"), "cyrillic": ("в", "на"), "greek": ("ς", "να"), "arabic": ("ي", "ة"), "han": ("", ""), "hangul": ("", ""), "thai": ("น", "นา")}
+#: Scripts whose names have a character for each syllable; surrogates have as many as the name.
+SYLLABIC = ("han", "hangul")
 SCRIPTS = {script: rf"\p{{Is{script.capitalize()}}}" for script in SYLLABLES}
 _JOINTS = "[-'’]"
 #: Attempts after which surrogates of one format count as used up, and get longer with each attempt.
@@ -145,6 +169,9 @@ def _name(kind: Column, canonical: Column, gender: Column, attempt: Column, h: C
     def spelled(script: str, n: Column, shift: Column) -> Column:
         return F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: _pick(SYLLABLES[script], _byte(h, i + shift))), "")
 
+    def initial(script: str, n: Column) -> Column:
+        return _pick(sorted({x[0] for (own, _), names in GIVEN.items() if own == script for x in [n.lower() for n in names]}), n)
+
     def segment(value: Column, place: Column) -> Column:
         shift = place * 5
         letters = _chars(value)
@@ -156,10 +183,11 @@ def _name(kind: Column, canonical: Column, gender: Column, attempt: Column, h: C
             for g in ("m", "f"):
                 given = F.when(gender == g, _pick([n.lower() for n in GIVEN[script, g]], _byte(h, shift))).otherwise(given)
             given = F.concat(given, F.when(attempt > 0, F.concat(spelled(script, most, shift), F.when(gender == "f", woman).otherwise(""))).otherwise(""))
-            surname = F.concat(spelled(script, most + (0 if script == "han" else 2), shift), F.lit(end))
-            # An initial as in O'Neil stays one letter, until there are too few.
-            short = (F.length(value) == 1) & (F.lit(script) != "han") & (F.length(canonical) > 1)
-            out = out.when(value.rlike(pattern), F.when(short, F.substring(surname, 1, 1)).when(kind == "surname", surname).otherwise(given))
+            surname = F.concat(spelled(script, most + (F.length(value) - 1 if script in SYLLABIC else 2), shift), F.lit(end))
+            # An initial, as in O'Neil or J. Smith, stays one letter, until there are too few.
+            short = F.lit(script not in SYLLABIC) & (F.length(value) == 1) & ((F.length(canonical) > 1) | (kind == "given") & (attempt <= SAME_FORMAT))
+            first = F.when(F.length(canonical) > 1, F.substring(surname, 1, 1)).otherwise(initial(script, _byte(h, shift)))
+            out = out.when(value.rlike(pattern), F.when(short, first).when(kind == "surname", surname).otherwise(given))
         return out.otherwise(own)
 
     return _joined(F.transform(F.split(canonical, _JOINTS, -1), segment), F.regexp_extract_all(canonical, F.lit(_JOINTS), F.lit(0)))
@@ -222,11 +250,12 @@ def parts_of(kind: Column, value: Column) -> Column:
     plain = F.array(F.struct(kind.alias("kind"), canonical.alias("canonical"), F.lit("").alias("gender"), F.lit("").alias("lead"), value.alias("surface")))
     title = F.regexp_extract(value, TITLE, 0)
     gender = F.when(title.rlike(rf"^{_TITLE_M}[. ]"), "m").when(title.rlike(rf"^{_TITLE_F}[. ]"), "f").otherwise("")
-    names = F.split(value.substr(F.length(title) + 1, F.length(value)), " ")
+    behind = value.substr(F.length(title) + 1, F.length(value))
+    leads, names = (F.regexp_extract_all(behind, F.lit(NAME_WORD), F.lit(k)) for k in (1, 2))
 
     def part(n: Column, i: Column) -> Column:
         last = i == F.size(names) - 1
-        return F.struct(F.when(last, "surname").otherwise("given").alias("kind"), F.replace(F.lower(n), F.lit("’"), F.lit("'")).alias("canonical"), F.when(last, "").otherwise(gender).alias("gender"), F.when(i == 0, title).otherwise(F.lit(" ")).alias("lead"), n.alias("surface"))
+        return F.struct(F.when(last, "surname").otherwise("given").alias("kind"), F.replace(F.lower(n), F.lit("’"), F.lit("'")).alias("canonical"), F.when(last, "").otherwise(gender).alias("gender"), F.concat(F.when(i == 0, title).otherwise(""), F.get(leads, i)).alias("lead"), n.alias("surface"))
 
     return F.when(kind == "name", F.transform(names, part)).otherwise(plain)
 

@@ -188,3 +188,23 @@ def test_no_python_in_the_plan(spark):
 
 def test_empty_table(spark):
     assert P.replace_entities(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_names_of_many_forms(spark):
+    """Sentences behind names stay, particles and initials are known, and no word of a name is left in clear."""
+    texts = [
+        "Dr. 王伟先生昨天去了北京开会然后回家", "Dr. 王伟昨天去了北京", "Mr. 王小明", "Mr. Anna Maria Berta Carla Smith went",
+        "Mr. de Gaulle, Mr. Charles de Gaulle", "Mr J. Smith met Mr. J. R. Smith and Mr. J.R.R. Tolkien.", "Mr. 김철수 씨가 왔다", "Mr. สมศักดิ์ ใจดี", "Mr.\nSmith left", "Mr. and so on",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = [r["text"] for r in sorted(P.replace_entities(docs, "k").select("doc_id", "text").collect())]
+    assert re.fullmatch("Dr. (..)先生昨天去了北京开会然后回家", got[0])[1] == re.fullmatch("Dr. (..)昨天去了北京", got[1])[1] != "王伟"
+    assert re.fullmatch("Mr. ...", got[2]) and "王" not in got[2]
+    assert re.fullmatch(r"Mr\.(?: [A-Z][a-z]+){5} went", got[3]) and not set(got[3].split()) & {"Anna", "Maria", "Berta", "Carla", "Smith"}
+    assert re.fullmatch(r"Mr\. de ([A-Z][a-z]+), Mr\. [A-Z][a-z]+ de \1", got[4]) and "Gaulle" not in got[4]
+    first = re.fullmatch(r"Mr ([A-Z])\. ([A-Z][a-z]+) met Mr\. \1\. ([A-Z])\. \2 and Mr\. \1\.\3\.\3\. ([A-Z][a-z]+)\.", got[5])
+    assert first and first[1] != first[3] and first[2] != "Smith" and first[4] not in ("Tolkien", first[2])
+    assert re.fullmatch("Mr. [가-힣]{3} 씨가 왔다", got[6]) and not set("김철수") & set(got[6])
+    assert not any(w in got[7] for w in ("สมศักดิ์", "ใจดี")) and sorted(got[7].split()[-1]) != sorted("ใจดี")
+    assert got[8] == f"Mr.\n{first[2]} left"
+    assert got[9] == texts[9]
