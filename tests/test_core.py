@@ -362,3 +362,10 @@ def test_cohorts_export_each_customer_once(spark, tmp_path):
     assert (notes["items"], notes["cohort_customers"], notes["fallback_customers"]) == (6, 0, 2)
     sizes = cohort_export.definitions(cohort_export.memberships([small, raw], support=1)).orderBy("dataset").collect()
     assert sizes[0]["cohort_size"] == sizes[0]["evaluated"] == 2 and sizes[1]["cumulative"] == sum(r["cohort_size"] for r in sizes)
+
+
+def test_last_row_of_a_single_purchase(spark):
+    rows = [(1, "a", "2024-01-01"), (1, "b", "2024-01-02"), (2, "c", "2024-01-01")]
+    tx = table(spark, rows, "customer_id int, item string, day string")
+    assert {r["customer_id"]: r["item"] for r in evaluation.last_rows(tx, ("day",)).collect()} == {1: "b", 2: "c"}
+    assert [r["item"] for r in evaluation.last_purchase(tx, ("day",)).truth.collect()] == ["b"]
