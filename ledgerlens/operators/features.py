@@ -138,11 +138,11 @@ def family_features(df: DataFrame, family: str = "family", group: str = "grp", r
     return totals.union(share)
 
 
-def feature_matrix(blocks: Sequence[DataFrame], zero_blocks: Sequence[DataFrame] = (), most_nulls: float = 0.85, customer: str = "customer_id") -> DataFrame:
-    """Long matrix of all blocks: features with too many nulls go, the rest of the nulls become the feature's median.
+def outer_aligned(blocks: Sequence[DataFrame], zero_blocks: Sequence[DataFrame] = (), customer: str = "customer_id") -> DataFrame:
+    """Long table of every (customer, feature) pair of all blocks.
 
     A customer that a block doesn't know has nulls there. In `zero_blocks`, pairs that a known customer
-    lacks are zeros. Every (customer, feature) pair is in the result.
+    lacks are zeros.
     """
     customers = reduce(DataFrame.union, [b.select(customer) for b in (*blocks, *zero_blocks)]).distinct()
     parts = []
@@ -153,7 +153,15 @@ def feature_matrix(blocks: Sequence[DataFrame], zero_blocks: Sequence[DataFrame]
         if zeros:
             full = customers.crossJoin(F.broadcast(names)).join(full.withColumn("value", F.coalesce("value", F.lit(0.0))), [customer, "feature"], "left")
         parts.append(full.select(customer, "feature", F.when(F.abs("value") < float("inf"), F.col("value")).alias("value")))
-    whole = reduce(DataFrame.union, parts)
+    return reduce(DataFrame.union, parts)
+
+
+def feature_matrix(blocks: Sequence[DataFrame], zero_blocks: Sequence[DataFrame] = (), most_nulls: float = 0.85, customer: str = "customer_id") -> DataFrame:
+    """Long matrix of all blocks: features with too many nulls go, the rest of the nulls become the feature's median.
+
+    Every (customer, feature) pair is in the result.
+    """
+    whole = outer_aligned(blocks, zero_blocks, customer)
     stats = whole.groupBy("feature").agg(F.median("value").alias("median"), F.avg(F.col("value").isNull().cast("double")).alias("nulls")).where(F.col("nulls") <= most_nulls)
     return whole.join(F.broadcast(stats.select("feature", "median")), "feature").select(customer, "feature", F.coalesce("value", "median").alias("value"))
 

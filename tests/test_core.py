@@ -369,3 +369,11 @@ def test_last_row_of_a_single_purchase(spark):
     tx = table(spark, rows, "customer_id int, item string, day string")
     assert {r["customer_id"]: r["item"] for r in evaluation.last_rows(tx, ("day",)).collect()} == {1: "b", 2: "c"}
     assert [r["item"] for r in evaluation.last_purchase(tx, ("day",)).truth.collect()] == ["b"]
+
+
+def test_outer_alignment_keeps_nulls(spark):
+    one = table(spark, [(1, "a", 1.0), (2, "a", None)], "customer_id int, feature string, value double")
+    two = table(spark, [(1, "s", 0.5), (1, "t", 0.5), (3, "t", 1.0)], "customer_id int, feature string, value double")
+    got = features.outer_aligned([one], [two]).groupBy("customer_id").agg(F.count("value").alias("set"), F.count("*").alias("n")).collect()
+    assert {r["customer_id"]: (r["set"], r["n"]) for r in got} == {1: (3, 3), 2: (0, 3), 3: (2, 3)}
+    assert features.feature_matrix([one], [two]).where("value is null").isEmpty()
