@@ -25,7 +25,9 @@ def impute_numeric(df: DataFrame, columns: Sequence[str], customer: str = "custo
 def impute_timestamps(df: DataFrame, columns: Sequence[str], customer: str = "customer_id") -> DataFrame:
     """Customer's mean time, then that of all, in whole microseconds."""
     def mean(c):
-        return F.timestamp_micros(F.floor(F.avg(F.unix_micros(c))).cast("long"))
+        # Decimals, as sums of microseconds leave the whole numbers of a double after a dozen rows.
+        total, n = F.sum(F.unix_micros(c).cast("decimal(38,0)")), F.count(c).cast("decimal(20,0)")
+        return F.timestamp_micros(F.call_function("div", total - F.pmod(total, n), n))
 
     stamped = df.withColumns({c: F.col(c).cast("timestamp") for c in columns})
     return _filled(stamped, columns, customer, mean, mean, lambda x: x)

@@ -377,3 +377,11 @@ def test_outer_alignment_keeps_nulls(spark):
     got = features.outer_aligned([one], [two]).groupBy("customer_id").agg(F.count("value").alias("set"), F.count("*").alias("n")).collect()
     assert {r["customer_id"]: (r["set"], r["n"]) for r in got} == {1: (3, 3), 2: (0, 3), 3: (2, 3)}
     assert features.feature_matrix([one], [two]).where("value is null").isEmpty()
+
+
+def test_mean_times_are_whole_numbers(spark):
+    # 999 sums of 2**50 - 1 lie far beyond the whole numbers of a double.
+    micros = 2**50 - 1
+    rows = spark.range(999).select(F.lit(1).alias("customer_id"), F.timestamp_micros(F.lit(micros)).alias("day")).union(spark.sql("select 1, cast(null as timestamp)")).union(spark.sql("select 2, cast(null as timestamp)"))
+    got = impute.impute_timestamps(rows, ["day"]).select(F.unix_micros("day").alias("m")).distinct().collect()
+    assert [r["m"] for r in got] == [micros]
