@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import clustering, embedding, evaluation, features, graph, impute, prep, ranking
+from ledgerlens.operators import clustering, embedding, evaluation, features, graph, impute, prep, ranking, sparse
 from ledgerlens.plans import cohort_export, pipeline, stages  # noqa: F401
 from ledgerlens.sources import files, service
 from ledgerlens.sources.transactions import transactions
@@ -385,3 +385,16 @@ def test_mean_times_are_whole_numbers(spark):
     rows = spark.range(999).select(F.lit(1).alias("customer_id"), F.timestamp_micros(F.lit(micros)).alias("day")).union(spark.sql("select 1, cast(null as timestamp)")).union(spark.sql("select 2, cast(null as timestamp)"))
     got = impute.impute_timestamps(rows, ["day"]).select(F.unix_micros("day").alias("m")).distinct().collect()
     assert [r["m"] for r in got] == [micros]
+
+
+def test_group_share_lists_are_not_shuffled(spark):
+    rows = [(c, f"P{(c * 7 + n * n) % 40}", f"G{(c * 7 + n * n) % 40 % 3}") for c in range(30) for n in range(6)]
+    lists = ranking.group_share_recommend(table(spark, rows, "customer_id int, item string, grp string"), 4, fallback=False)
+    assert "Window" not in lists._jdf.queryExecution().optimizedPlan().toString()
+    assert lists.groupBy("customer_id").count().where("count <> 4").isEmpty()
+
+
+def test_decimals_round_as_spark_does(spark):
+    values = [0.0000005, 0.1234565, 0.1234564999999999, 2.5e-7, 1.0000005, 0.3, 1234.5678905]
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(F.round("v", 6)).collect()]
+    assert list(sparse.decimals(np.array(values), 6) / 1e6) == want
