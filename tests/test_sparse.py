@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.operators import krylov, ranking, sparse
 
@@ -128,3 +129,14 @@ def test_a_matrix_of_small_rank(spark):
     found = krylov.singular_factors(table_of(spark, m), 4)
     assert len(found.values) == 2 and np.allclose(found.values, np.linalg.svd(m)[1][:2])
     assert len(krylov.singular_factors(table_of(spark, m).limit(0), 4).values) == 0
+
+
+def test_katz_columns_of_hot_nodes_lie_in_several_units(spark, monkeypatch):
+    monkeypatch.setattr(sparse, "cut_units", lambda edges, longest, squared=True, cut=sparse.cut_units: cut(edges, longest, 40, squared))
+    pairs = [(f"c{n:03}", f"i{n % 3}") for n in range(90)] + [("c001", "i0"), ("c002", "i0")]
+    one = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "i string, j string, v double")
+    both = one.union(one.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+    columns = one.select("j").distinct()
+    got = {(r["i"], r["j"]): r["v"] for r in ranking.katz(both, 0.01, max_iter=2, columns=columns).collect()}
+    want = {(r["i"], r["j"]): r["v"] for r in ranking.katz(both, 0.01, max_iter=2).collect() if r["j"].startswith("i")}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
