@@ -140,3 +140,21 @@ def test_katz_columns_of_hot_nodes_lie_in_several_units(spark, monkeypatch):
     got = {(r["i"], r["j"]): r["v"] for r in ranking.katz(both, 0.01, max_iter=2, columns=columns).collect()}
     want = {(r["i"], r["j"]): r["v"] for r in ranking.katz(both, 0.01, max_iter=2).collect() if r["j"].startswith("i")}
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+def test_factors_shuffle_dense_rows_and_not_edges(spark):
+    """Rows in several units, and a row of more edges than a unit, give the same factors."""
+    draw = np.random.default_rng(5)
+    m = (draw.random((60, 40)) < 0.2) * draw.normal(size=(60, 40))
+    m[7] = draw.normal(size=40)
+    edges = table_of(spark, m)
+    units = krylov._row_units(edges, 24)
+    assert units.packed.count() > 5 and {r["i"] for r in units.long.select("i").distinct().collect()} == {"n007"}
+    # A unit asks for each column once, so no more rows leave for it than it has columns.
+    assert units.wants["j"].count() == units.wants["j"].distinct().count() < edges.count()
+    want = np.linalg.svd(m)
+    for size in (24, 1 << 20):
+        found = krylov.singular_factors(edges, 6, unit=size)
+        assert np.allclose(found.values, want[1][:6], rtol=1e-6) and (found.residuals < 1e-3 * want[1][0]).all()
+        u = np.array([r["u"] for r in found.left.collect()])
+        assert np.allclose(u.T @ u, np.eye(6), atol=1e-8)
