@@ -57,3 +57,14 @@ def test_silhouettes_in_one_pass_equal_single_ones(spark):
     together = {r["labeling"]: r["silhouette"] for r in clustering.silhouettes(v, several).collect()}
     for n in range(5):
         assert clustering.silhouette(v, several.select("id", F.col("clusters")[n].alias("cluster"))).first()[0] == pytest.approx(together[n], abs=1e-12)
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e6])
+def test_blocks_pass_by_groups_and_only_the_best_leave(spark, monkeypatch, offset):
+    """Blocks in few groups; far from the origin single precision tells nothing, and what leaves is the best of each vector alone."""
+    monkeypatch.setattr(neighbours, "GROUPS", 3)
+    x = np.round(clustered(600, 5, 8.0, 3), 3) + offset
+    x[100:110] = x[3]
+    rows = spark.createDataFrame(list(enumerate(x.tolist())), "id bigint, vector array<double>")
+    found = neighbours.meetings(rows, 5, True, 9, size=50).found
+    assert {(r["i"], r["j"], r["d"]) for r in found.collect()} == brute(x, list(range(600)), 5, True)
