@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.lineage import checkpointed
-from ledgerlens.operators.pairwise import distances, each_against_all
+from ledgerlens.operators.pairwise import cluster_sums
 
 
 def scaled_vectors(vectors: DataFrame, key: str = "id", vector: str = "v") -> DataFrame:
@@ -111,17 +109,7 @@ def silhouettes(vectors: DataFrame, labels: DataFrame, key: str = "id", vector:
     """
     rows = vectors.join(labels, key).select(F.col(key).cast("string").alias("id"), F.transform(clusters, lambda c: c.cast("long")).alias("tag"), F.transform(vector, lambda x: x.cast("double")).alias("vector"))
 
-    def add(i, tags, v, block):
-        d = distances(v, block["vectors"])
-        other = block["ids"] != i
-        d, all_tags, out = d[other], block["tags"][other], []
-        for n, own in enumerate(tags):
-            found, at = np.unique(all_tags[:, n], return_inverse=True)
-            out += zip([i] * len(found), [n] * len(found), [own] * len(found), found, np.bincount(at, d, len(found)), np.bincount(at, minlength=len(found)), strict=True)
-        return out
-
-    schema = pa.schema([("i", pa.string()), ("labeling", pa.int64()), ("cluster", pa.int64()), ("c", pa.int64()), ("sum", pa.float64()), ("n", pa.int64())])
-    sums = each_against_all(rows, add, schema, "i string, labeling bigint, cluster bigint, c bigint, sum double, n bigint").groupBy("i", "labeling", "cluster", "c").agg((F.sum("sum") / F.sum("n")).alias("m"))
+    sums = cluster_sums(rows).repartition("i", "labeling").groupBy("i", "labeling", "cluster", "c").agg((F.sum("sum") / F.sum("n")).alias("m"))
     own = F.max(F.when(F.col("c") == F.col("cluster"), F.col("m")))
     near = F.min(F.when(F.col("c") != F.col("cluster"), F.col("m")))
     s = sums.groupBy("i", "labeling").agg(own.alias("own"), near.alias("near"))

@@ -68,3 +68,28 @@ def test_blocks_pass_by_groups_and_only_the_best_leave(spark, monkeypatch, offse
     rows = spark.createDataFrame(list(enumerate(x.tolist())), "id bigint, vector array<double>")
     found = neighbours.meetings(rows, 5, True, 9, size=50).found
     assert {(r["i"], r["j"], r["d"]) for r in found.collect()} == brute(x, list(range(600)), 5, True)
+
+
+def test_silhouettes_shuffle_blocks_once_for_each_group(spark, monkeypatch):
+    """Blocks in few groups, copies, a cluster of one, and vectors far from the origin."""
+    from ledgerlens.operators import pairwise
+
+    monkeypatch.setattr(pairwise, "BLOCK", 40)
+    monkeypatch.setattr(pairwise, "GROUPS", 3)
+    x = clustered(300, 4, 3.0, 2) + 1e5
+    x[50:60] = x[3]
+    label = np.array([i % 3 for i in range(299)] + [9])
+    v = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "id bigint, v array<double>")
+    labels = spark.createDataFrame([(i, int(c)) for i, c in enumerate(label)], "id bigint, cluster int")
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
+    want = []
+    for i in range(300):
+        others = np.arange(300) != i
+        means = {c: d[i, others & (label == c)].mean() for c in set(label[others].tolist())}
+        own = means.pop(int(label[i]), None)
+        want.append(0.0 if own is None else (min(means.values()) - own) / max(min(means.values()), own))
+    assert clustering.silhouette(v, labels).first()[0] == pytest.approx(np.mean(want), abs=1e-10)
+    rows = v.join(labels, "id").select(F.col("id").cast("string").alias("id"), F.array(F.col("cluster").cast("long")).alias("tag"), F.col("v").alias("vector"))
+    # One row for each row and cluster: blocks add up before anything leaves.
+    sums = pairwise.cluster_sums(rows)
+    assert sums.count() == 300 * 4 - 1
