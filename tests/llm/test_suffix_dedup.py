@@ -132,3 +132,13 @@ def test_hot_beginnings_are_spread(spark, monkeypatch):
         sizes[r["range"]] = sizes.get(r["range"], 0) + len(S.read_piece(bytes(r["piece"]))["doc"])
     assert max(sizes.values()) < 0.1 * sum(sizes.values())
     assert sorted(tuple(r) for r in S.dedup_digests(docs).collect()) == brute(rows)
+
+
+def test_records_are_ordered_as_python_orders_them():
+    draw = random.Random(3)
+    rows = []
+    for n in range(3_000):
+        suffix = bytes(draw.choice(b"ab\x00\xff") for _ in range(draw.randint(12, 50)))
+        rows.append((draw.choice([suffix, b"a" * 20 + suffix[:12], b"a" * 13]), suffix[: draw.randint(0, 5)], draw.randint(0, 9), 0, n))
+    assert S.in_order(rows) == sorted(rows)
+    assert S.in_order([]) == []
