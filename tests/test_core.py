@@ -333,6 +333,22 @@ def test_wide_scores_come_back(spark, tmp_path):
     assert files.read_wide_scores(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_wide_scores_of_many_columns_are_found_among_the_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "PART_BYTES", 100_000)
+    assert list(files.line_entries(b'"a,0.0",0.0,0.5,1e-09,-1.0,junk,NaN,0.0,7.0', 8))[:2] == [(('"a,0.0"', 2), 0.5), (('"a,0.0"', 3), 1e-09)]
+    assert [n for (_, n), _ in files.line_entries(b'"a,0.0",0.0,0.5,1e-09,-1.0,junk,NaN,0.0,7.0', 8)] == [2, 3, 6, 8]
+    rows = [(c, f"P{(c * 37 + n * 101) % 5000}", (n + 1) / 7) for c in range(40) for n in range(3)]
+    scores = table(spark, rows, "customer_id int, item string, score double")
+    files.write_wide_scores(scores, str(tmp_path / "w"), items=spark.range(5000).selectExpr("concat('P', id) AS item"))
+    found = files.read_wide_scores(spark, str(tmp_path / "w")).collect()
+    assert sorted((int(r["customer"]), r["item"], r["score"]) for r in found) == sorted(rows)
+    # 800,000 bytes of zeros are no bytes of the files, and lie in several parts.
+    parts = [p for p in (tmp_path / "w").iterdir() if p.name.startswith("part")]
+    assert len(parts) > 3 and sum(p.stat().st_size for p in parts) < 200_000
+    with pytest.raises(Exception, match="several scores"):
+        files.write_wide_scores(scores.union(scores), str(tmp_path / "twice"))
+
+
 def test_artifacts_and_leaderboard_come_back(spark, tmp_path):
     made = {"a": table(spark, [(1, "x"), (2, None)], "n int, s string"), "b": table(spark, [(1.5, [1, 2])], "v double, l array<int>"), "c": table(spark, [(3,)], "n int")}
     files.write_artifacts(str(tmp_path), made, {"seed": 1}, spark, {"a": "csv", "b": "json"})
