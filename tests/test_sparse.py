@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import krylov, ranking, sparse
+from ledgerlens.operators import krylov, ranking, sparse, walks
 
 
 def cut(matrix, most, places=9):
@@ -158,3 +158,35 @@ def test_factors_shuffle_dense_rows_and_not_edges(spark):
         assert np.allclose(found.values, want[1][:6], rtol=1e-6) and (found.residuals < 1e-3 * want[1][0]).all()
         u = np.array([r["u"] for r in found.left.collect()])
         assert np.allclose(u.T @ u, np.eye(6), atol=1e-8)
+
+
+@pytest.mark.parametrize("kept", [0, 12_000_000])
+def test_unpruned_rows_are_made_without_products_between(spark, monkeypatch, kept):
+    rng = np.random.default_rng(5)
+    half = (rng.random((9, 14)) < 0.3) * rng.integers(1, 4, (9, 14)).astype(float)
+    names = [*(f"c{n}" for n in range(9)), *(f"i{n:02}" for n in range(14))]
+    m = np.block([[np.zeros((9, 9)), half], [half.T, np.zeros((14, 14))]])
+    both = spark.createDataFrame([(names[a], names[b], float(m[a, b])) for a, b in np.argwhere(m)], "i string, j string, v double")
+    monkeypatch.setattr(ranking, "_joined", None)
+    monkeypatch.setattr(walks, "KEPT", kept)
+    monkeypatch.setattr(walks, "PIECE", 5)
+    monkeypatch.setattr(walks, "TOGETHER", 2)
+    k = m + 0.1 * m @ m + 0.01 * m @ m @ m
+    got = {(r["i"], r["j"]): r["v"] for r in ranking.katz(both, 0.1, max_iter=2).collect()}
+    assert got == {(names[a], names[b]): pytest.approx(k[a, b]) for a, b in np.argwhere(k)}
+    rows = spark.createDataFrame([(n,) for n in names[:9]], "i string")
+    columns = spark.createDataFrame([(n,) for n in names[9:]], "j string")
+    best = {}
+    for r in ranking.katz_best(both, 0.1, 3, max_iter=2, rows=rows, columns=columns).collect():
+        best.setdefault(r["i"], set()).add(r["j"])
+    want = {}
+    for a in range(9):
+        fresh = [b for b in range(9, 23) if k[a, b] > 0 and not m[a, b]]
+        if fresh:
+            want[names[a]] = {names[b] for b in sorted(fresh, key=lambda b: (-round(k[a, b], 6), names[b]))[:3]}
+    assert best == want
+
+
+def test_sums_of_zero_stay_entries(spark):
+    both = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 1.0), ("x", "b", 1.0), ("y", "b", -1.0)], "i string, j string, v double")
+    assert ("a", "b", 0.0) in {tuple(r) for r in ranking.katz(both, 0.5, max_iter=1).collect()}
