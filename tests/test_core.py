@@ -414,3 +414,11 @@ def test_decimals_round_as_spark_does(spark):
     values = [0.0000005, 0.1234565, 0.1234564999999999, 2.5e-7, 1.0000005, 0.3, 1234.5678905]
     want = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(F.round("v", 6)).collect()]
     assert list(sparse.decimals(np.array(values), 6) / 1e6) == want
+
+
+def test_onehot_features_join_the_lines_once(spark):
+    from __spark_entry__ import queries
+
+    made = queries()["agg_10_features_onehot"](spark, "/root/testdata/sf0.001")
+    assert not [f for f in made.inputFiles() if "lineitem" in f or "orders" in f]
+    assert made.select("customer_id").distinct().count() == made.count() > 0
