@@ -52,6 +52,8 @@ WINDOW, SEED = 50, 12
 BEFORE = WINDOW - SEED
 #: Bytes of text in a run, in a range, and in one step of the search for anchors.
 RUN_BYTES, RANGE_BYTES, STEP_BYTES = 6_000_000, 6_000_000, 1_000_000
+#: Places whose hashes are looked at together, so that they stay in the processor's cache.
+SCAN = 16_384
 #: The splitters are sampled from this share of the documents, or from so many where that is more; sampled suffixes
 #: for each range; and sampled suffixes below which no beginning is hot.
 SPLITTER_SHARE, SPLITTER_DOCS, SPLITTER_ROWS, HOT_ROWS = 0.005, 4_000, 2_048, 24
@@ -70,54 +72,53 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return (np.zeros(0, np.int64),) * 3
     # The first and the last eight bytes of the seed at every place.
     words = np.ndarray(shape=(n - 7,), dtype="<u8", buffer=raw, strides=(1,))
-    value = words[: n - SEED + 1] * np.uint64(0x9E3779B97F4A7C15)
-    value ^= value >> np.uint64(32)
-    value += words[SEED - 8 :]
-    value *= np.uint64(0xC2B2AE3D27D4EB4F)
-    value ^= value >> np.uint64(32)
-    place = np.arange(len(value), dtype=np.int32)
-    span, width = 1, WINDOW - SEED + 1
-    while span < width:  # the smallest of ever longer stretches, the leftmost of equals
-        step = min(span, width - span)
-        left = value[:-step] <= value[step:]
-        value = np.where(left, value[:-step], value[step:])
-        place = np.where(left, place[:-step], place[step:])
-        span += step
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    ends = np.cumsum(sizes)
-    owner_start = np.repeat(ends - sizes, sizes)[: len(place)]
-    inside = np.arange(len(place)) + WINDOW <= np.repeat(ends, sizes)[: len(place)]
+    places, width = n - SEED + 1, WINDOW - SEED + 1
+    # A place's number is half of its hash and then the place, so that the smallest is the leftmost of equals.
+    place = np.empty(places - width + 1, dtype=np.int64)
+    for at in range(0, len(place), SCAN):
+        end = min(at + SCAN, len(place)) + width - 1
+        value = words[at:end] * np.uint64(0x9E3779B97F4A7C15)
+        value ^= value >> np.uint64(32)
+        value += words[at + SEED - 8 : end + SEED - 8]
+        value *= np.uint64(0xC2B2AE3D27D4EB4F)
+        value ^= value >> np.uint64(32)
+        value <<= np.uint64(32)
+        value |= np.arange(at, end, dtype=np.uint64)
+        span = 1
+        while span < width:  # the smallest of ever longer stretches
+            step = min(span, width - span)
+            value = np.minimum(value[:-step], value[step:])
+            span += step
+        place[at : at + SCAN] = value & np.uint64(0xFFFFFFFF)
+    ends = np.cumsum(np.array([len(t) for t in texts], dtype=np.int64))
+    # Windows begin anew with each text; those that begin in a text's last bytes lie in none.
     new = np.ones(len(place), dtype=bool)
-    new[1:] = (place[1:] != place[:-1]) | (owner_start[1:] != owner_start[:-1]) | (inside[1:] != inside[:-1])
+    np.not_equal(place[1:], place[:-1], out=new[1:])
+    borders = np.concatenate([ends, ends - WINDOW + 1])
+    new[borders[(borders > 0) & (borders < len(place))]] = True
     first = np.flatnonzero(new)
-    last = np.concatenate([first[1:], [len(place)]]) - 1
-    keep = inside[first]
+    last = np.append(first[1:], len(place)) - 1
+    keep = first + WINDOW <= ends[np.searchsorted(ends, first, side="right")]
     first, last = first[keep], last[keep]
-    return place[first].astype(np.int64), first, last
+    return place[first], first, last
 
 
-def records(batch: list[tuple[int, int, bytes]]) -> list[tuple[bytes, bytes, int, int, int]]:
-    """(suffix, bytes before it backwards, doc, row, place in the document) of documents (doc, row, text)."""
-    out = []
+def _steps(batch: list[tuple[int, int, bytes]]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """Documents, rows and texts of about `STEP_BYTES` at a time."""
     start = 0
     while start < len(batch):
         size, end = 0, start
         while end < len(batch) and (end == start or size + len(batch[end][2]) <= STEP_BYTES):
             size += len(batch[end][2])
             end += 1
-        texts = [t for _, _, t in batch[start:end]]
-        raw = b"".join(texts)
-        back, n = raw[::-1], len(raw)
-        at, first, last = anchors(texts)
-        borders = np.cumsum([0, *map(len, texts)])
-        owner = np.searchsorted(borders, first, side="right") - 1
-        place = (at - borders[owner]).tolist()
-        docs, rows, owner = [d for d, _, _ in batch[start:end]], [r for _, r, _ in batch[start:end]], owner.tolist()
-        suffixes = [raw[p:e] for p, e in zip(at.tolist(), (last + WINDOW).tolist(), strict=True)]
-        befores = [back[p:s] for p, s in zip((n - at).tolist(), (n - first).tolist(), strict=True)]
-        out += zip(suffixes, befores, [docs[k] for k in owner], [rows[k] for k in owner], place, strict=True)
+        docs, rows, texts = zip(*batch[start:end], strict=True)
+        yield list(docs), list(rows), list(texts)
         start = end
-    return out
+
+
+def records(batch: list[tuple[int, int, bytes]]) -> list[Record]:
+    """(suffix, bytes before it backwards, doc, row, place in the document) of documents (doc, row, text)."""
+    return run_of(batch).records() if batch else []
 
 
 def in_order(rows: list[Record]) -> list[Record]:
@@ -137,6 +138,104 @@ def single_windows(record: tuple[bytes, bytes, int, int, int]) -> Iterator[tuple
         yield suffix[: WINDOW - x], before[:x], doc, row, place
 
 
+@dataclass(frozen=True)
+class Run:
+    """Records as columns: suffixes and bytes before them as rows of bytes filled up with zeros, and the lengths of both."""
+
+    suffix: np.ndarray
+    before: np.ndarray
+    length: np.ndarray
+    left: np.ndarray
+    doc: np.ndarray
+    row: np.ndarray
+    place: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.doc)
+
+    def columns(self) -> tuple[np.ndarray, ...]:
+        return self.suffix, self.before, self.length, self.left, self.doc, self.row, self.place
+
+    def take(self, rows: np.ndarray | slice) -> Run:
+        return Run(*(c[rows] for c in self.columns()))
+
+    def records(self) -> list[Record]:
+        suffixes, befores = self.suffix.tobytes(), self.before.tobytes()
+        starts = zip(range(0, len(suffixes), _WIDE), self.length.tolist(), range(0, len(befores), _WIDE_BEFORE), self.left.tolist(), self.doc.tolist(), self.row.tolist(), self.place.tolist(), strict=True)
+        return [(suffixes[a : a + n], befores[b : b + m], doc, row, place) for a, n, b, m, doc, row, place in starts]
+
+    def in_order(self) -> Run:
+        """Sorted as the records are: pairs of words of eight bytes at a time, and only rows that are equal so far are looked at again."""
+        words, back = (c.view(">u8") for c in (self.suffix, self.before))
+        keys = [*words.T, self.length, *back.T, self.left, self.doc, self.row, self.place]
+        order, at, group = np.arange(len(self)), np.arange(len(self)), np.zeros(len(self), dtype=np.int64)
+        while keys and len(at):
+            rows = order[at]
+            own = [k[rows].astype(np.int64 if k.dtype.kind == "i" else np.uint64) for k in keys[:2]]
+            by = np.lexsort([*own[::-1], group])
+            order[at] = rows[by]
+            same = np.zeros(len(at) + 1, dtype=bool)
+            same[1:-1] = np.diff(group) == 0  # groups stay where they are
+            for k in own:
+                k = k[by]
+                same[1:-1] &= k[1:] == k[:-1]
+            group = np.cumsum(~same[:-1])
+            tied = same[:-1] | same[1:]
+            at, group, keys = at[tied], group[tied], keys[2:]
+        return self.take(order)
+
+    def shared(self) -> np.ndarray:
+        """How many bytes each suffix shares with the one before; 0 for the first."""
+        found = shared_lengths(self.suffix[:, :WINDOW])
+        found[1:] = np.minimum(found[1:], np.minimum(self.length[1:], self.length[:-1]))
+        return found
+
+    def first_of_equals(self) -> tuple[Run, list[tuple[int, int, bytes]]]:
+        """As `_first_of_equals` does for records in order."""
+        same = np.zeros(len(self), dtype=bool)
+        same[1:] = (self.length[1:] == self.length[:-1]) & (self.left[1:] == self.left[:-1])
+        for words in (self.suffix.view("<u8"), self.before.view("<u8")):
+            at = np.flatnonzero(same)
+            same[at] = (words[at] == words[at - 1]).all(axis=1)
+        if not same.any():
+            return self, []
+        firsts = np.maximum.accumulate(np.where(same, 0, np.arange(len(self))))
+        local = self.doc != self.doc[firsts]
+        gone = self.take(local)
+        return self.take(~local), list(_span_rows(gone.doc, gone.row, gone.place - gone.left, gone.place + gone.length))
+
+
+#: Bytes of a row of suffixes, and of bytes before an anchor: whole words.
+_WIDE, _WIDE_BEFORE = -(-WINDOW // 8) * 8, -(-BEFORE // 8) * 8
+_MASK, _MASK_BEFORE = (np.where(np.arange(w) < np.arange(w + 1)[:, None], 255, 0).astype(np.uint8).view(np.uint64) for w in (_WIDE, _WIDE_BEFORE))
+
+
+def run_of(batch: list[tuple[int, int, bytes]]) -> Run:
+    """The records of documents (doc, row, text) as columns."""
+    parts: list[tuple[np.ndarray, ...]] = []
+    for docs, rows, texts in _steps(batch):
+        raw = np.frombuffer(b"".join([*texts, bytes(_WIDE)]), dtype=np.uint8)
+        n = len(raw) - _WIDE
+        back = np.concatenate([raw[:n][::-1], np.zeros(_WIDE_BEFORE, dtype=np.uint8)])
+        at, first, last = anchors(texts)
+        borders = np.cumsum([0, *map(len, texts)])
+        owner = np.searchsorted(borders, first, side="right") - 1
+        length, left = last + WINDOW - at, at - first
+        suffix = np.lib.stride_tricks.sliding_window_view(raw, _WIDE)[at]
+        before = np.lib.stride_tricks.sliding_window_view(back, _WIDE_BEFORE)[n - at]
+        for words, mask, size in ((suffix, _MASK, length), (before, _MASK_BEFORE, left)):
+            view = words.view(np.uint64)
+            view &= mask[size]
+        parts.append((suffix, before, length, left, np.array(docs, dtype=np.int64)[owner], np.array(rows, dtype=np.int64)[owner], at - borders[owner]))
+    return Run(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+
+
+def as_run(rows: list[Record]) -> Run:
+    suffixes, befores, doc, row, place = zip(*rows, strict=True)
+    length, left = (np.fromiter(map(len, x), dtype=np.int64, count=len(rows)) for x in (suffixes, befores))
+    return Run(_matrix(b"".join(suffixes), length, _WIDE), _matrix(b"".join(befores), left, _WIDE_BEFORE), length, left, *(np.array(x, dtype=np.int64) for x in (doc, row, place)))
+
+
 def _matrix(joined: bytes, lengths: np.ndarray, width: int) -> np.ndarray:
     """Strings put end to end as rows of bytes, filled up with zeros."""
     out = np.zeros((len(lengths), width), dtype=np.uint8)
@@ -153,17 +252,17 @@ def shared_lengths(matrix: np.ndarray) -> np.ndarray:
     return out
 
 
-def write_piece(rows: list[tuple[bytes, bytes, int, int, int]]) -> bytes:
+def write_piece(rows: list[Record] | Run) -> bytes:
     """A sorted piece, front-coded."""
-    suffixes, befores, doc, row, place = zip(*rows, strict=True)
-    lengths = np.fromiter(map(len, suffixes), dtype=np.int64, count=len(rows))
-    shared = shared_lengths(_matrix(b"".join(suffixes), lengths, WINDOW))
-    shared[1:] = np.minimum(shared[1:], np.minimum(lengths[1:], lengths[:-1]))
-    tails = b"".join([s[c:] for s, c in zip(suffixes, shared.tolist(), strict=True)])
-    docs, at = np.unique(np.array(doc, dtype=np.int64), return_inverse=True)
-    before = np.fromiter(map(len, befores), dtype=np.uint8, count=len(rows))
-    parts = [shared.astype(np.uint8).tobytes(), lengths.astype(np.uint8).tobytes(), before.tobytes(), at.astype("<u4").tobytes(), np.array(row, dtype="<u4").tobytes(), np.array(place, dtype="<u4").tobytes(), docs.astype("<i8").tobytes(), tails, b"".join(befores)]
-    head = np.array([len(rows), *map(len, parts)], dtype="<u4").tobytes()
+    run = rows if isinstance(rows, Run) else as_run(rows)
+    shared = run.shared()
+    cells, cells_before = np.arange(_WIDE, dtype=np.uint8), np.arange(_WIDE_BEFORE, dtype=np.uint8)
+    skip, length, left = (c.astype(np.uint8) for c in (shared, run.length, run.left))
+    tails = run.suffix[(cells >= skip[:, None]) & (cells < length[:, None])].tobytes()
+    befores = run.before[cells_before < left[:, None]].tobytes()
+    docs, at = np.unique(run.doc, return_inverse=True)
+    parts = [skip.tobytes(), length.tobytes(), left.tobytes(), at.astype("<u4").tobytes(), run.row.astype("<u4").tobytes(), run.place.astype("<u4").tobytes(), docs.astype("<i8").tobytes(), tails, befores]
+    head = np.array([len(run), *map(len, parts)], dtype="<u4").tobytes()
     return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
 
 
@@ -195,58 +294,57 @@ def merge_runs(suffixes: list[list[bytes]], shared: list[list[int]]) -> tuple[li
     """Merge sorted runs: the run of each suffix in order, and how much it shares with the one put out before it.
 
     `shared` has the same for each run alone. A node of the tree keeps the loser of its match; what a
-    head shares with the last suffix put out is in `known`, and it is all that most matches look at.
+    head shares with the last suffix put out is in `known`, and it is all that most matches look at. Heads are
+    numbers: the bytes, zeros up to the longest, and the length, so what two of them share shows in their difference.
     """
     size = 1
     while size < len(suffixes):
         size *= 2
-    heads: list[bytes | None] = [s[0] if s else None for s in suffixes] + [None] * (size - len(suffixes))
-    known, place, loser = [0] * size, [0] * size, [0] * (2 * size)
+    wide = max((len(x) for s in suffixes for x in s), default=0)
+    bits, tops = 8 * wide + 16, [n.to_bytes(2, "big") for n in range(wide + 1)]
+    numbers = [iter([int.from_bytes(x.ljust(wide, b"\0") + tops[len(x)], "big") for x in s]) for s in suffixes]
+    follow = [iter(s) for s in shared]
+    heads = [next(n, 0) for n in numbers] + [0] * (size - len(suffixes))
+    # A run at its end knows less than all others, so it loses.
+    known = [-1 if next(f, None) is None else 0 for f in follow] + [-1] * (size - len(suffixes))
+    loser = [0] * (2 * size)
 
     def match(a: int, b: int) -> tuple[int, int]:
-        """Winner and loser; the loser then knows what it shares with the winner."""
+        """Winner and loser, of those that know as much; the loser then knows what it shares with the winner."""
         x, y = heads[a], heads[b]
-        if x is None or y is None:
-            return (b, a) if x is None else (a, b)
-        if known[a] != known[b]:
-            return (a, b) if known[a] > known[b] else (b, a)
-        at, end = known[a], min(len(x), len(y))
-        while at < end and x[at] == y[at]:
-            at += 1
-        first = len(x) <= len(y) if at == end else x[at] < y[at]
-        a, b = (a, b) if first else (b, a)
-        known[b] = at
+        if known[a] < 0:
+            return a, b
+        at = (bits - (x ^ y).bit_length()) >> 3
+        if y < x:
+            a, b = b, a
+        known[b] = min(at, x & 65535, y & 65535)
         return a, b
 
     winners = [0] * size + list(range(size))
     for node in range(size - 1, 0, -1):
-        winners[node], loser[node] = match(winners[2 * node], winners[2 * node + 1])
+        a, b = winners[2 * node], winners[2 * node + 1]
+        winners[node], loser[node] = match(a, b) if known[a] == known[b] else (a, b) if known[a] > known[b] else (b, a)
     best = winners[1] if size > 1 else 0
     runs, lengths = [], []
-    while heads[best] is not None:
+    now = known[best]
+    while now >= 0:
         runs.append(best)
-        lengths.append(known[best])
-        place[best] += 1
-        own = suffixes[best]
-        if place[best] < len(own):
-            heads[best] = own[place[best]]
-            known[best] = shared[best][place[best]]
-        else:
-            heads[best] = None
+        lengths.append(now)
+        now = known[best] = next(follow[best], -1)
+        heads[best] = next(numbers[best], 0)
         node = (best + size) >> 1
         while node:
             other = loser[node]
-            x, y = heads[best], heads[other]
-            if y is None:
-                pass
-            elif x is None:
+            rival = known[other]
+            if now < rival:
                 best, loser[node] = other, best
-            else:
-                a, b = known[best], known[other]
-                if a < b:
-                    best, loser[node] = other, best
-                elif a == b:
-                    best, loser[node] = match(best, other)
+                now = rival
+            elif now == rival and now >= 0:
+                x, y = heads[best], heads[other]
+                if y < x:
+                    best, loser[node], other = other, best, best
+                at, end = (bits - (x ^ y).bit_length()) >> 3, (x if x < y else y) & 65535
+                known[other] = at if at < end else min(at, x & 65535, y & 65535)
             node >>= 1
     return runs, lengths
 
@@ -337,13 +435,30 @@ class Ranges:
             at = end
         return (cold + rows[at:] if at else rows), hot
 
+    def split_run(self, run: Run) -> tuple[Run, list[Record]]:
+        """As `split` does for records in order."""
+        if not self.hot or not len(run):
+            return run, []
+        hot = np.array(list(self.hot), dtype=f"S{SEED}")
+        firsts = np.ascontiguousarray(run.suffix[:, :SEED]).view(f"S{SEED}").ravel()
+        change = np.zeros(len(run) + 1, dtype=np.int64)
+        np.add.at(change, np.searchsorted(firsts, hot, side="left"), 1)
+        np.add.at(change, np.searchsorted(firsts, hot, side="right"), -1)
+        inside = np.cumsum(change[:-1]) > 0
+        return run.take(~inside), run.take(inside).records()
+
+    def deal(self, hot: list[Record], width: int) -> dict[int, list[Record]]:
+        """Windows at hot beginnings, by a hash of the window."""
+        dealt: dict[int, list[Record]] = {}
+        for r in hot:
+            dealt.setdefault(zlib.crc32(r[1][::-1] + r[0]) % self.number // width, []).append(r)
+        return dealt
+
     def cut(self, cold: list[Record], hot: list[Record], wide: bool) -> Iterator[tuple[int, list[Record]]]:
         """The rows of each range, or of each wide one. Windows at hot beginnings are dealt by a hash of the window."""
         width = self.width if wide else 1
         splitters = self.splitters[width - 1 :: width]
-        dealt: dict[int, list[Record]] = {}
-        for r in hot:
-            dealt.setdefault(zlib.crc32(r[1][::-1] + r[0]) % self.number // width, []).append(r)
+        dealt = self.deal(hot, width)
         cuts = [0, *(bisect.bisect_left(cold, (s,)) for s in splitters), len(cold)]
         for k, (start, end) in enumerate(itertools.pairwise(cuts)):
             own = cold[start:end]
@@ -352,6 +467,19 @@ class Ranges:
             if own:
                 yield k, own
 
+    def cut_run(self, cold: Run, hot: list[Record]) -> Iterator[tuple[int, Run]]:
+        """The rows of each wide range, as `cut` gives them."""
+        splitters = self.splitters[self.width - 1 :: self.width]
+        dealt = self.deal(hot, self.width)
+        firsts = np.ascontiguousarray(cold.suffix[:, :SEED]).view(f"S{SEED}").ravel()
+        cuts = [0, *np.searchsorted(firsts, np.array(splitters, dtype=f"S{SEED}")).tolist(), len(cold)] if splitters else [0, len(cold)]
+        for k, (start, end) in enumerate(itertools.pairwise(cuts)):
+            own = cold.take(slice(start, end))
+            if k in dealt:
+                own = Run(*(np.concatenate(c) for c in zip(own.columns(), as_run(dealt.pop(k)).columns(), strict=True))).in_order()
+            if len(own):
+                yield k, own
+
 
 def _first_of_equals(rows: list[Record]) -> tuple[list[Record], list[tuple[int, int, bytes]]]:
     """Of sorted records those of the smallest id among equal ones, and the spans of the others, which are repeats."""
@@ -378,12 +506,12 @@ def _send_runs(ranges: Ranges, parts: int):
     targets = -(-ranges.number // ranges.width)
 
     def send(batch, part):
-        cold, hot = ranges.split(in_order(records(batch)))
-        cold, spans = _first_of_equals(cold)
-        hot, more = _first_of_equals(sorted(w for r in hot for w in single_windows(r)))
+        cold, hot = ranges.split_run(run_of(batch).in_order())
+        cold, spans = cold.first_of_equals()
+        hot, more = _first_of_equals(in_order([w for r in hot for w in single_windows(r)]))
         for doc, row, own in spans + more:
             yield doc % targets, part, None, doc, row, own
-        for k, own in ranges.cut(cold, hot, wide=True):
+        for k, own in ranges.cut_run(cold, hot):
             yield k, part, write_piece(own), 0, 0, None
 
     def run(batches):

@@ -142,3 +142,28 @@ def test_records_are_ordered_as_python_orders_them():
         rows.append((draw.choice([suffix, b"a" * 20 + suffix[:12], b"a" * 13]), suffix[: draw.randint(0, 5)], draw.randint(0, 9), 0, n))
     assert S.in_order(rows) == sorted(rows)
     assert S.in_order([]) == []
+
+
+def test_runs_as_columns_equal_records():
+    """Sorting, dropping equal records and cutting on columns give what they give on tuples, also with zero bytes and hot beginnings."""
+    batch = [(d, 0, t.encode()) for d, t in corpus(6, 150) if len((t or "").encode()) >= S.WINDOW]
+    batch += [(7, 1, b"\x00" * 90), (8, 1, b"\x00" * 70 + b"a" * 60), (9, 1, b"a" * 61 + b"\x00" * 50)]
+    rows = S.records(batch)
+    for doc, row, text in batch:
+        assert {text[p - len(b) : p + len(s)] for s, b, d, r, p in rows if (d, r) == (doc, row)} == {b[::-1] + s for s, b, d, r, _ in rows if (d, r) == (doc, row)}
+    run = S.run_of(batch).in_order()
+    assert run.records() == sorted(rows)
+    assert S.as_run(rows).in_order().records() == sorted(rows)
+    ranges = S.Ranges(tuple(sorted({r[0][: S.SEED] for r in rows[::40]})), frozenset({rows[5][0][: S.SEED], b"\x00" * S.SEED}), 3)
+    cold, hot = ranges.split_run(run)
+    plain_cold, plain_hot = ranges.split(sorted(rows))
+    assert (cold.records(), hot) == (plain_cold, plain_hot)
+    assert hot
+    kept, gone = cold.first_of_equals()
+    plain_kept, plain_gone = S._first_of_equals(plain_cold)
+    assert (kept.records(), gone) == (plain_kept, plain_gone)
+    assert gone
+    windows, _ = S._first_of_equals(S.in_order([w for r in hot for w in S.single_windows(r)]))
+    pieces = list(ranges.cut_run(kept, windows))
+    assert [(k, own.records()) for k, own in pieces] == list(ranges.cut(plain_kept, windows, wide=True))
+    assert all(list(S.records_of(S.read_piece(S.write_piece(own)))) == own.records() for _, own in pieces)
