@@ -95,6 +95,24 @@ def test_solver_equals_a_dense_solve(spark, beta):
     assert beta == 0.001 or beta * np.abs(np.linalg.eigvals(m)).max() > 1
 
 
+def test_solver_cuts_vectors_and_edges(spark, monkeypatch):
+    """Many pieces and units, a node with edges to all others both ways, weights alike and not: no unit holds a hot row or column alone."""
+    monkeypatch.setattr(krylov, "PIECE", 8)
+    monkeypatch.setattr(krylov, "EDGES", 20)
+    n = 40
+    m = np.abs(a_matrix(n, 8))
+    m[3, :] = 1.0
+    m[:, 3] = 2.0
+    cut = krylov._pieces(table_of(spark, m), spark.createDataFrame([("n004", 1.0)], "i string, v double"))
+    assert cut.nodes.select("piece").distinct().count() > 3
+    edges_of = [int(np.frombuffer(bytes(r["data"]), np.int64, 1)[0]) for r in cut.units.collect()]
+    assert sum(edges_of) == np.count_nonzero(m) and max(edges_of) < 80
+    found = krylov.solve(table_of(spark, m), spark.createDataFrame([("n004", 1.0)], "i string, v double"), 0.002)
+    want = np.linalg.solve(np.eye(n) - 0.002 * m, np.eye(n)[4])
+    got = {int(r["i"][1:]): r["v"] for r in found.values.collect()}
+    assert np.allclose([got.get(i, 0.0) for i in range(n)], want, atol=1e-6)
+
+
 def test_solver_starts_again_and_knows_nothing_to_do(spark):
     n = 40
     m = np.abs(a_matrix(n, 8))
