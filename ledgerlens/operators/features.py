@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.lineage import stored
+
 STATISTICS = {
     "sum": lambda c: F.coalesce(F.sum(c), F.lit(0.0)),
     "mean": F.avg,
@@ -144,15 +146,15 @@ def outer_aligned(blocks: Sequence[DataFrame], zero_blocks: Sequence[DataFrame]
     A customer that a block doesn't know has nulls there. In `zero_blocks`, pairs that a known customer
     lacks are zeros.
     """
-    customers = reduce(DataFrame.union, [b.select(customer) for b in (*blocks, *zero_blocks)]).distinct()
+    blocks, zero_blocks = [stored(b) for b in blocks], [stored(b) for b in zero_blocks]  # each is read for its customers, its names and its values
+    customers = stored(reduce(DataFrame.union, [b.select(customer) for b in (*blocks, *zero_blocks)]).distinct())
     parts = []
     for block, zeros in [*((b, False) for b in blocks), *((b, True) for b in zero_blocks)]:
         names = block.select("feature").distinct()
-        grid = customers.crossJoin(F.broadcast(names)) if not zeros else block.select(customer).distinct().crossJoin(F.broadcast(names))
-        full = grid.join(block, [customer, "feature"], "left")
-        if zeros:
-            full = customers.crossJoin(F.broadcast(names)).join(full.withColumn("value", F.coalesce("value", F.lit(0.0))), [customer, "feature"], "left")
-        parts.append(full.select(customer, "feature", F.when(F.abs("value") < float("inf"), F.col("value")).alias("value")))
+        known = customers.join(block.select(customer).distinct().withColumn("known", F.lit(True)), customer, "left") if zeros else customers.withColumn("known", F.lit(False))
+        full = known.crossJoin(F.broadcast(names)).join(block, [customer, "feature"], "left")
+        value = F.coalesce("value", F.when(F.col("known"), F.lit(0.0)))
+        parts.append(full.select(customer, "feature", value.alias("value")).select(customer, "feature", F.when(F.abs("value") < float("inf"), F.col("value")).alias("value")))
     return reduce(DataFrame.union, parts)
 
 
@@ -161,7 +163,7 @@ def feature_matrix(blocks: Sequence[DataFrame], zero_blocks: Sequence[DataFrame]
 
     Every (customer, feature) pair is in the result.
     """
-    whole = outer_aligned(blocks, zero_blocks, customer)
+    whole = stored(outer_aligned(blocks, zero_blocks, customer))
     stats = whole.groupBy("feature").agg(F.median("value").alias("median"), F.avg(F.col("value").isNull().cast("double")).alias("nulls")).where(F.col("nulls") <= most_nulls)
     return whole.join(F.broadcast(stats.select("feature", "median")), "feature").select(customer, "feature", F.coalesce("value", "median").alias("value"))
 

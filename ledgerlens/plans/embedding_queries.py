@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import clustering, embedding, evaluation, features, graph, ranking
-from ledgerlens.operators.lineage import scratch
+from ledgerlens.operators.lineage import scratch, stored
 from ledgerlens.plans import stages
 from ledgerlens.plans.feature_queries import rounded
 from ledgerlens.plans.model_queries import BASE
@@ -129,14 +129,14 @@ def _(spark, d):
 
 def feature_rows(spark, d):
     """Long standardised features of all customers, and (feature, mean, deviation, largest) in the order of names."""
-    tx = transactions(spark, d)
+    tx = stored(transactions(spark, d).select("customer_id", "invoice_no", "item", "order_date", "price", "cost", "qty", "grp"))
     rows = tx.groupBy("customer_id").agg(
         F.count_distinct("invoice_no").cast("double").alias("activity__invoices"), F.count_distinct("item").cast("double").alias("activity__unique_items"),
         F.datediff(F.max("order_date"), F.min("order_date")).cast("double").alias("time__tenure_days"), F.sum("price").alias("agg__Invoiced price__sum"),
         F.avg("price").alias("agg__Invoiced price__mean"), F.sum(F.col("price") - F.col("cost")).alias("agg__margin_value__sum"), F.avg("qty").cast("double").alias("agg__qty__mean"),
     )
     matrix = features.feature_matrix([features.long_form(rows)], [features.full_share(tx, "grp"), features.bucket_features(tx, features.bucket_map(tx, 5))])
-    matrix = graph.checkpointed(matrix)
+    matrix = stored(matrix)
     stats = matrix.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"), F.max(F.abs("value")).alias("largest")).orderBy("feature").toPandas()  # a row for each feature
     stats["deviation"] = stats["deviation"].where(stats["deviation"] != 0, 1.0)
     return features.long_preprocessed(matrix), stats

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import clustering, embedding
+from ledgerlens.operators import clustering, embedding, features
 
 NAMES = ["activity__invoices", "bucket_1_5_total_count", "bucketshare__bucket_1_5__a", "bucketshare__bucket_1_5__b", "share__grp__a", "share__grp__b"]
 
@@ -60,3 +60,29 @@ def test_labels_of_clusters_equal_plain_python(spark):
     found = clustering.interpret(spark.createDataFrame(rows, "cluster int, feature string, z double").repartition(4)).collect()
     assert {r["cluster"]: tuple(r[1:]) for r in found} == want
     assert want[4][0] == "high activity / long-tenure buyers"
+
+
+def test_rows_taken_in_parts_train_the_same(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    rows = spark.createDataFrame([(n, [float(x) for x in draw.standard_normal(5)]) for n in range(60)], "id bigint, v array<double>")
+    whole = embedding.train_on_rows(rows, 2, (4,), beta=0.01, epochs=2, batches=2, rate=1e-2, tasks=2)
+    monkeypatch.setattr(embedding, "TOGETHER", 3)
+    parts = embedding.train_on_rows(rows, 2, (4,), beta=0.01, epochs=2, batches=2, rate=1e-2, tasks=2)
+    assert all(np.allclose(whole.weights[k], parts.weights[k], atol=1e-9) for k in whole.weights)
+
+
+def test_blocks_of_features_are_made_once(spark):
+    met = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            met.add(len(b))
+            yield b
+
+    rows = spark.createDataFrame([(c, f"f{n}", float(c + n)) for c in range(6) for n in range(3)], "customer_id bigint, feature string, value double")
+    shares = rows.where("customer_id > 0 and (customer_id + value) % 2 = 0 and not (customer_id = 2 and feature = 'f2')").mapInPandas(seen, rows.schema)
+    matrix = features.feature_matrix([rows], [shares.withColumn("feature", F.concat(F.lit("s"), "feature"))])
+    values = {(r["customer_id"], r["feature"]): r["value"] for r in matrix.collect()}
+    assert met.value == 9
+    # Absent pairs of a known customer are zeros; a customer that the block doesn't know gets the median.
+    assert len(values) == 30 and values[2, "sf2"] == 0.0 and values[0, "sf0"] == 3.0 and values[2, "sf0"] == 2.0
