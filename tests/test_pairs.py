@@ -5,8 +5,9 @@ from itertools import permutations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerlens.operators import ranking
+from ledgerlens.operators import graph, ranking
 
 
 @pytest.mark.parametrize(("shards", "size"), [(64, 64 << 20), (3, 64 << 20), (1, 500)])
@@ -32,3 +33,15 @@ def test_pairs_equal_plain_counting(spark, monkeypatch, shards, size):
 def test_no_frequent_item(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "customer_id bigint, item string")
     assert ranking.pair_rules(df, 2).collect() == [] and ranking.pair_rules(df.limit(0), 1).collect() == []
+
+
+def test_pairs_of_a_cluster_are_dealt(spark, monkeypatch):
+    """One large cluster, repeated rows, nulls: the pairs of a join, over several tasks."""
+    monkeypatch.setattr(graph, "MEMBERS", 10)
+    rows = [(n, 1) for n in range(90)] + [(5, 1), (None, 1), (100, 2), (101, None), (102, None)]
+    df = spark.createDataFrame(rows, "customer_id bigint, cluster int")
+    found = graph.same_cluster(df)
+    want = Counter((a, b) for a, x in rows for b, y in rows if x is not None and x == y)
+    assert Counter((r["i"], r["j"]) for r in found.collect()) == want
+    assert found.select(F.spark_partition_id()).distinct().count() > 4
+    assert graph.same_cluster(df.limit(0)).isEmpty()
