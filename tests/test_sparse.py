@@ -208,3 +208,66 @@ def test_unpruned_rows_are_made_without_products_between(spark, monkeypatch, kep
 def test_sums_of_zero_stay_entries(spark):
     both = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 1.0), ("x", "b", 1.0), ("y", "b", -1.0)], "i string, j string, v double")
     assert ("a", "b", 0.0) in {tuple(r) for r in ranking.katz(both, 0.5, max_iter=1).collect()}
+
+
+def test_products_are_kept_in_files_and_not_shuffled(spark):
+    """A product takes its right rows from files, wherever they lie, and rows of several units are whole again in the index."""
+    m = a_matrix(30, 4)
+    edges = table_of(spark, m)
+    numbers = sparse.node_numbers(edges)
+    numbered = sparse.with_numbers(edges, numbers).persist()
+    units = sparse.cut_units(numbered, 30, 150)
+    product = sparse.multiply_rows(units, sparse.keep(numbered))
+    assert units.count > 3 and isinstance(product, sparse.Kept)
+    lines = product.index.collect()
+    assert len({r["file"] for r in lines}) > 1 and len({r["i"] for r in lines}) == len(lines)
+    order = {r["number"]: int(r["node"][1:]) for r in numbers.collect()}
+    want = m @ m
+    met = {(order[r["i"]], order[r["j"]]): r["v"] for r in product.entries().collect()}
+    assert all(met.get((a, b), 0.0) == want[a, b] for a, b in np.ndindex(*want.shape))
+    rows = sparse.Rows.of(product.folder, product.index_files())
+    asked = np.array([2, 5, 29, 77])
+    ends, cols, vals = rows.rows(asked)
+    assert ends[-1] == len(cols) == rows.sizes(asked).sum() and (np.diff(ends, prepend=0) == rows.sizes(asked)).all() and rows.sizes(asked)[-1] == 0
+    numbered.unpersist()
+
+
+def test_pruned_lists_leave_edges_out(spark):
+    """The best entries of pruned rows without those of the graph, of the rows and columns asked for alone."""
+    n, most = 40, 12
+    m = np.abs(a_matrix(n, 5))
+    current = total = m
+    for f in (0.5, 0.25):
+        current = cut(m @ current, most)
+        total = cut(total + f * current, most)
+    rows = spark.createDataFrame([(f"n{i:03d}",) for i in range(0, n, 2)], "i string")
+    columns = spark.createDataFrame([(f"n{i:03d}",) for i in range(20, n)], "j string")
+    got = {(r["i"], r["j"]) for r in ranking.katz_best(table_of(spark, m), 0.5, 2, max_iter=2, rows=rows, columns=columns, most_per_row=most, cut_places=9).collect()}
+    want = set()
+    for i in range(0, n, 2):
+        fresh = [j for j in range(20, n) if total[i, j] > 0 and not m[i, j]]
+        want |= {(f"n{i:03d}", f"n{j:03d}") for j in sorted(fresh, key=lambda j: (-round(total[i, j], 6), j))[:2]}
+    assert got == want
+
+
+def test_walks_read_only_the_rows_they_name(monkeypatch, tmp_path):
+    """A step's products come from the rows of its entries, some at once; dense steps add hot columns' edges one slot after the other."""
+    m = np.abs(a_matrix(40, 6))
+    i, j = np.nonzero(m)
+    out = sparse.Writer(f"file://{tmp_path}")
+    rows = sparse.Rows(out.folder, sparse.pa.Table.from_batches([out.put(i[:90], j[:90], m[i, j][:90]), out.put(i[90:], j[90:], m[i, j][90:])]))
+    out.close()
+    asked = np.array([3, 8, 11])
+    ends, cols, vals = rows.rows(asked)
+    monkeypatch.setattr(walks, "PRODUCTS", 7)
+    r, c, v = walks.sparse_step((np.repeat(np.arange(3), np.diff(ends, prepend=0)), cols.astype(np.int64), vals), rows)
+    got = np.zeros((3, 40))
+    got[r, c] = v
+    assert np.allclose(got, (m @ m)[asked])
+    monkeypatch.setattr(walks, "SLOTS", 4)
+    monkeypatch.setattr(walks, "CHUNK", 8)
+    order = np.lexsort((i, j))
+    dense_out = np.zeros((40, 3))
+    for part in np.array_split(order, 3):
+        walks.Piece(i[part], j[part], m[i, j][part]).add(np.ascontiguousarray(m[asked].T), dense_out)
+    assert np.allclose(dense_out.T, (m @ m)[asked])
