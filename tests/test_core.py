@@ -183,6 +183,16 @@ def test_correlation_of_constants_is_null(spark):
     assert df.agg(features.safe_correlation("x", "y").alias("r")).first()["r"] is None
 
 
+def test_katz_lists_are_whole(spark):
+    """No candidate is cut: all customers get ten items, as nearly all items can be reached."""
+    from ledgerlens.catalog import queries
+
+    d = "/root/testdata/sf0.001"
+    customers = spark.read.parquet(f"{d}/orders.parquet").select("o_custkey").distinct().count()
+    lists = queries()["katz_recommend"](spark, d).groupBy("customer_id").count().collect()
+    assert len(lists) == customers and {r["count"] for r in lists} == {10}
+
+
 def test_item_katz_ranks_items(spark):
     from ledgerlens.catalog import queries
 
