@@ -271,3 +271,22 @@ def test_walks_read_only_the_rows_they_name(monkeypatch, tmp_path):
     for part in np.array_split(order, 3):
         walks.Piece(i[part], j[part], m[i, j][part]).add(np.ascontiguousarray(m[asked].T), dense_out)
     assert np.allclose(dense_out.T, (m @ m)[asked])
+
+
+def test_units_carry_no_lists(spark):
+    """A table of lists of a unit's edges is read thousands of rows at once; the edges lie in files, and rows of several units are marked."""
+    star = np.zeros((60, 60))
+    star[0, 1:], star[1:, 0] = 1.0, 1.0
+    edges = table_of(spark, star)
+    units = sparse.cut_units(sparse.with_numbers(edges, sparse.node_numbers(edges)), 4, 40)
+    assert not any(kind.startswith("array") for _, kind in units.lines.dtypes)
+    assert {(r["i"], r["open"]) for r in units.lines.collect()} == {(0, True), *((i, False) for i in range(1, 60))}
+
+
+def test_lists_of_few_columns_equal_those_of_walks(spark):
+    pairs = [(f"c{n:03}", f"i{(n * k) % 5}") for n in range(40) for k in (1, 3)]
+    one = spark.createDataFrame([(a, b, 1.0) for a, b in sorted(set(pairs))], "i string, j string, v double")
+    both = one.union(one.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+    rows, columns = one.select("i").distinct(), one.select("j").distinct()
+    lists = [{(r["i"], r["j"], round(r["v"], 9)) for r in ranking.katz_best(both, 0.1, 2, max_iter=2, rows=rows, columns=columns, few_columns=f).collect()} for f in (True, False)]
+    assert lists[0] == lists[1] and len(lists[0]) > 40
