@@ -315,6 +315,18 @@ def test_pipeline_contracts():
     assert len(list(pipeline.grid({"x": [1, 2, 3], "y": [1, 2]}, 4))) == 4
 
 
+def test_random_graph_is_drawn_by_all_tasks(spark):
+    """The same pairs as by the number drawn, also at the ends of its range, and of one file's nodes many tasks take some."""
+    nodes = spark.range(60).coalesce(1)
+    pairs = nodes.join(nodes.withColumnRenamed("id", "j"), F.col("id") < F.col("j"))
+    for share in (0.0, 0.3, 1.0):
+        want = {(r["id"], r["j"]) for r in pairs.where(graph.draw("id", "j", 1) < share).collect()}
+        found = graph.random_symmetric(nodes, share)
+        got = {(r["i"], r["j"]) for r in found.collect()}
+        assert got == want | {(j, i) for i, j in want}
+    assert found.select(F.spark_partition_id()).distinct().count() > 4
+
+
 def test_masked_edges(spark):
     g = graph.random_symmetric(spark.range(40), 0.3)
     left, removed = graph.mask_edges(g, g.select("i").distinct().where("i < 5"), 0.2, 3)
