@@ -45,3 +45,15 @@ def test_pairs_of_a_cluster_are_dealt(spark, monkeypatch):
     assert Counter((r["i"], r["j"]) for r in found.collect()) == want
     assert found.select(F.spark_partition_id()).distinct().count() > 4
     assert graph.same_cluster(df.limit(0)).isEmpty()
+
+
+def test_counting_some_at_a_time(monkeypatch):
+    """Pairs are counted as they come, in room for those that occur: no table of all items."""
+    monkeypatch.setattr(ranking, "SHARD_BYTES", 800)
+    numbers = np.random.default_rng(2).integers(0, 1 << 50, 300)[np.random.default_rng(3).integers(0, 300, 20_000)]
+    held = ranking.Counted()
+    for part in np.array_split(numbers, 90):
+        held.add(part)
+    keys, counts = held.done()
+    want = Counter(numbers.tolist())
+    assert dict(zip(keys.tolist(), counts.tolist(), strict=True)) == want and (np.diff(keys) > 0).all()
