@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import clustering, embedding, evaluation, features, graph, prep, ranking
-from ledgerlens.operators.lineage import checkpointed
+from ledgerlens.operators.lineage import checkpointed, stored
 from ledgerlens.plans.pipeline import ArtifactSpec as A
 from ledgerlens.plans.pipeline import Pipeline, StageCache, grid, leaderboard, stage
 from ledgerlens.sources.transactions import ORDER_KEY
@@ -48,7 +48,13 @@ def build_graph(embedding: DataFrame, clean: DataFrame, neighbours: int = 10, ke
 
 @stage("katz", [A("graph", "edges"), A("clean", "dataframe")], [A("recommendations", "scores")])
 def rank(graph: DataFrame, clean: DataFrame, beta: float = 0.1, max_iter: int = 2, k: int = 10, item: str = "item", normalise: bool = True, most_per_row: int | None = None):
+    graph = stored(graph)  # all neighbours would be looked for again for each of what follows
     columns = graph.where(F.col("j").startswith("item:")).select("j").distinct()
+    if not most_per_row and graph.where("v is null or not v > 0 or isnan(v)").isEmpty():
+        # Only rows of customers are made, and of these only the best entries leave their task.
+        rows = graph.where(F.col("i").startswith("customer:")).select("i").distinct()
+        best = ranking.katz_best(graph, beta, k, max_iter, rows=rows, columns=columns, normalise=normalise)
+        return {"recommendations": ranking.ranked(ranking.item_scores(best), k)}
     scores = ranking.item_scores(ranking.katz(graph, beta, max_iter, normalise=normalise, columns=columns, most_per_row=most_per_row, places=9))
     seen = clean.select(F.col("customer_id").cast("string").alias("customer_id"), F.col(item).cast("string").alias("item"))
     return {"recommendations": ranking.recommend(scores, seen, k)}

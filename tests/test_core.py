@@ -315,6 +315,27 @@ def test_pipeline_contracts():
     assert len(list(pipeline.grid({"x": [1, 2, 3], "y": [1, 2]}, 4))) == 4
 
 
+def test_chain_ranks_rows_of_customers_alone(spark, monkeypatch):
+    """The lists of all rows and columns, from the rows of customers; weights of 0 take the longer way."""
+    from ledgerlens.operators import ranking
+    from ledgerlens.plans import stages
+
+    bought = [(c, f"p{(c * k) % 11}") for c in range(1, 13) for k in (1, 2, 5)]
+    clean = table(spark, bought, "customer_id bigint, item string").distinct()
+    for low in (0.5, 0.0):
+        users = table(spark, [(a, a % 12 + 1, low if a == 3 else 0.5 + a / 7) for a in range(1, 13)], "i bigint, j bigint, v double")
+        both = graph.combined(users, graph.incidence(clean, "customer_id", "item"), 0.3)
+        columns = both.where("j like 'item:%'").select("j").distinct()
+        scores = ranking.item_scores(ranking.katz(both, 0.1, 2, normalise=True, columns=columns, places=9))
+        seen = clean.withColumn("customer_id", F.col("customer_id").cast("string"))
+        want = {(r["customer_id"], r["rank"], r["item"]) for r in ranking.recommend(scores, seen, 3).collect()}
+        if low:
+            monkeypatch.setattr(ranking, "recommend", None)
+        got = {(r["customer_id"], r["rank"], r["item"]) for r in stages.rank(both, clean, k=3)["recommendations"].collect()}
+        monkeypatch.undo()
+        assert got == want and len(want) > 20
+
+
 def test_random_graph_is_drawn_by_all_tasks(spark):
     """The same pairs as by the number drawn, also at the ends of its range, and of one file's nodes many tasks take some."""
     nodes = spark.range(60).coalesce(1)
