@@ -290,3 +290,15 @@ def test_lists_of_few_columns_equal_those_of_walks(spark):
     rows, columns = one.select("i").distinct(), one.select("j").distinct()
     lists = [{(r["i"], r["j"], round(r["v"], 9)) for r in ranking.katz_best(both, 0.1, 2, max_iter=2, rows=rows, columns=columns, few_columns=f).collect()} for f in (True, False)]
     assert lists[0] == lists[1] and len(lists[0]) > 40
+
+
+def test_steps_of_factors_shuffle_no_rows(spark, monkeypatch):
+    """Steps read dense rows from files, some rows of the matrix at once, whatever order they lie in; only `rebuilt` deals rows to units."""
+    draw = np.random.default_rng(9)
+    m = (draw.random((50, 30)) < 0.4) * draw.normal(size=(50, 30))
+    monkeypatch.setattr(krylov, "_in_units", None)
+    found = krylov.singular_factors(table_of(spark, m), 5, unit=64)
+    want = np.linalg.svd(m)
+    u, v = ({r["id"]: np.array(r["u"]) for r in side.collect()} for side in (found.left, found.right))
+    low = np.array([[(u[f"n{i:03d}"] * found.values) @ v[f"n{j:03d}"] for j in range(30)] for i in range(50)])
+    assert np.allclose(low, (want[0][:, :5] * want[1][:5]) @ want[2][:5], atol=1e-3)
