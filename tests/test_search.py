@@ -65,3 +65,13 @@ def test_a_search_makes_features_once(spark, monkeypatch):
     assert [ran.count(n) for n in ("prepare", "group_share_features", "pca", "similarity_graph", "katz")] == [1, 1, 1, 2, 4]
     assert found == pipeline.leaderboard(found)
     assert len(list(pipeline.grid(stages.KATZ_SPACE))) == 20
+
+
+def test_validation_makes_lists_for_drawn_users_alone(spark, monkeypatch):
+    from ledgerlens.catalog import queries
+    from ledgerlens.operators import ranking
+
+    asked, real = [], ranking.group_share_recommend
+    monkeypatch.setattr(ranking, "group_share_recommend", lambda rows, k, **options: asked.append(options["wanted"].count()) or real(rows, k, **options))
+    assert len(queries()["validation_run"](spark, "/root/testdata/sf0.001").collect()) == 3
+    assert len(asked) == 3 and max(asked) <= 200
